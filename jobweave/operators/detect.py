@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
 from jobweave.functions.text import all_skills, no_strings, norm_skill, present, tokenize
-from jobweave.operators.skew import broadcast_if_small
+from jobweave.operators.skew import broadcast_if_small, spread_if_narrow
 
 _DELIMITER = "(?U)" + fv.TERM_DELIMITERS
 
@@ -31,22 +31,24 @@ def piece_counts(dictionary: DataFrame, term: str = "skill") -> list[int]:
 def spans(text: Column, counts: list[int]) -> Column:
     """Distinct delimited stretches of the lower-cased text, of the given piece counts."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    pieces = _pieces(low)
-    marks = F.regexp_extract_all(low, F.lit(f"({_DELIMITER})"), 1)
-    found = []
-    for n in counts:
+    marks = F.regexp_extract_all(low, F.lit(f"({_DELIMITER})"), 1) if counts != [1] else no_strings()
+    # The cut text is bound to a lambda variable, so that it is cut once and not per run.
+    cut = F.array(F.struct(_pieces(low).alias("pieces"), marks.alias("marks")))
+
+    def runs(row: Column, n: int) -> Column:
         if n == 1:
-            found.append(pieces)
-            continue
-        joined = lambda i, n=n: F.concat(*[
-            part for j in range(n)
-            for part in ([F.get(pieces, i + j)] if j == 0 else [F.get(marks, i + j - 1), F.get(pieces, i + j)])
-        ])
-        last = F.size(pieces) - n
-        found.append(
-            F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), joined)).otherwise(no_strings())
-        )
-    return F.array_distinct(found[0] if len(found) == 1 else F.concat(*found)) if found else no_strings()
+            return row["pieces"]
+        last = F.size(row["pieces"]) - n
+
+        def run_at(i: Column) -> Column:
+            following = [part for j in range(1, n) for part in (F.get(row["marks"], i + (j - 1)), F.get(row["pieces"], i + j))]
+            return F.concat(F.get(row["pieces"], i), *following)
+
+        return F.when(
+            last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run_at)
+        ).otherwise(no_strings())
+
+    return F.array_distinct(F.flatten(F.transform(cut, lambda row: F.concat(no_strings(), *[runs(row, n) for n in counts]))))
 
 
 def lookup_table(dictionary: DataFrame, term: str = "skill") -> DataFrame:
@@ -61,7 +63,7 @@ def detect_terms(texts: DataFrame, dictionary: DataFrame, *, key: str = "id", te
     small enough to broadcast; otherwise both sides shuffle on the span.
     """
     counts = piece_counts(dictionary, term)
-    stretches = texts.select(key, F.explode(spans(F.col(text), counts)).alias("span"))
+    stretches = spread_if_narrow(texts.select(key, text)).select(key, F.explode(spans(F.col(text), counts)).alias("span"))
     return stretches.join(broadcast_if_small(lookup_table(dictionary, term)), "span").select(key, "term")
 
 
@@ -72,7 +74,8 @@ def detect_skills(postings: DataFrame, dictionary: DataFrame) -> DataFrame:
     too is one map-side join.
     """
     counts = piece_counts(dictionary)
-    rows = postings.select(
+    needed = postings.select("id", "title", "description", "skills_required", "skills_nice_to_have")
+    rows = spread_if_narrow(needed).select(
         F.col("id").alias("job_id"),
         F.transform(all_skills(), lambda s: F.lower(s)).alias("_listed"),
         spans(F.col("title"), counts).alias("_title"),

@@ -115,23 +115,38 @@ def within_days(events: DataFrame, stamp: str, as_of: Column | str, days: int =
     return events.where(F.col(stamp) >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+URL_GRAM = 16
+
+
 def find_by_url(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted URL: the exact posting, else the first one whose URL contains it.
 
-    Exact hits are an equi join.  Only URLs without one go on to the containment search;
-    that list is small by nature (links a user pasted) and is measured before broadcast.
+    Exact hits are an equi join.  A contained URL shares its last URL_GRAM characters with
+    the stored one, so the rest is an equi join on those, checked afterwards.  Only URLs too
+    short for that, or with LIKE wildcards, are compared one by one.
     """
     from jobweave.operators.skew import broadcast_if_small
 
-    exact = postings.join(
-        broadcast_if_small(wanted.select(F.col("wanted_url"))), F.col("url") == F.col("wanted_url")
+    urls = postings.select("id", "url")
+    exact = urls.join(
+        broadcast_if_small(wanted.select("wanted_url")), F.col("url") == F.col("wanted_url")
     ).groupBy("wanted_url").agg(F.min("id").alias("id"))
-    open_urls = wanted.join(exact, "wanted_url", "left_anti").withColumn(
-        "_like", F.concat(F.lit("%"), F.regexp_replace("wanted_url", "/+$", ""), F.lit("%"))
+    rest = wanted.join(exact, "wanted_url", "left_anti").withColumn(
+        "_clean", F.lower(F.regexp_replace("wanted_url", "/+$", ""))
     )
+    plain = (F.length("_clean") >= URL_GRAM) & ~F.col("_clean").rlike(r"[%_\\\\]")
+    grams = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("url") - URL_GRAM + 1)),
+        lambda i: F.substring(F.lower("url"), i, URL_GRAM),
+    ))
+    tails = rest.where(plain).withColumn("_gram", F.lower(F.expr(f"right(_clean, {URL_GRAM})")))
     partial = (
-        postings.select("id", "url")
-        .join(broadcast_if_small(open_urls), F.expr("url ILIKE _like"))
-        .groupBy("wanted_url").agg(F.min("id").alias("id"))
+        urls.withColumn("_gram", F.explode(grams)).join(broadcast_if_small(tails), "_gram")
+        .where(F.contains(F.lower("url"), F.col("_clean"))).select("wanted_url", "id")
     )
+    odd = rest.where(~plain)
+    if not odd.isEmpty():
+        like = F.broadcast(odd.withColumn("_like", F.concat(F.lit("%"), "_clean", F.lit("%"))))
+        partial = partial.unionByName(urls.join(like, F.expr("url ILIKE _like")).select("wanted_url", "id"))
+    partial = partial.groupBy("wanted_url").agg(F.min("id").alias("id"))
     return exact.withColumn("exact", F.lit(True)).unionByName(partial.withColumn("exact", F.lit(False)))

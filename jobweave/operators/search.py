@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
-from jobweave.functions.text import skills_combined, strip
+from jobweave.functions.text import no_strings, skills_combined, strip
 from jobweave.operators.skew import broadcast_if_small, fits_broadcast
 
 K1 = 1.2
@@ -115,11 +115,11 @@ def expand_fuzzy(query_terms: DataFrame, index: TermIndex) -> DataFrame:
     )
     # Pieces of the same length at every offset of a vocabulary term.
     lengths = [r[0] for r in pieces.select(F.length("piece")).distinct().collect()]
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length("term") >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col("term"), i, n)
-        )).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)
-    ]))) if lengths else F.array().cast("array<string>")
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1)))
+        return F.when(F.length("term") >= n, F.transform(starts, lambda i: F.substring(F.col("term"), i, n))).otherwise(no_strings())
+
+    grams = F.array_distinct(F.concat(no_strings(), *[grams_of(n) for n in sorted(lengths)]))
     shards = vocabulary.withColumn("piece", F.explode(grams))
     close = (
         shards.join(broadcast_if_small(pieces), ["field", "piece"])

@@ -63,3 +63,13 @@ def attach_by_key(
     if how == "inner":
         return out.where(F.col(frequency).isNotNull())
     return out
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores before costly per-row work on an input with few splits.
+
+    Meant for frames straight from a scan.  A large input has more splits than cores and is
+    returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
