@@ -231,10 +231,10 @@ def matched_postings_exact_case(spark, sf):
 @query("skill_set_operations", _OVERLAP.replace("ranked AS", "ranked0 AS") + """ SELECT resume_id, CAST(count(*) AS BIGINT) AS jobs, CAST(sum(c) AS BIGINT) AS matched, CAST(sum(l.n - c) AS BIGINT) AS missing
  FROM pairs JOIN (SELECT id AS job_id, count(DISTINCT s) AS n FROM listed GROUP BY 1) l USING (job_id) WHERE job_id = resume_id GROUP BY 1""")
 def skill_set_operations(spark, sf):
-    """Intersection and difference of a resume's skills and those of the posting with its number."""
-    mine = skills._wanted_sets(derived.resumes(spark, sf))
-    listed = skills._listed_sets(derived.postings(spark, sf, skills=True), True)
-    both = mine.join(listed, F.col("resume_id") == F.col("id")).select(
-        "resume_id", F.size(F.array_intersect("wanted", "listed")).alias("c"), F.size(F.array_except("listed", "wanted")).alias("m")
-    ).where("c > 0")
-    return both.groupBy("resume_id").agg(F.count(F.lit(1)).alias("jobs"), F.sum("c").alias("matched"), F.sum("m").alias("missing"))
+    """Skills shared by a resume and the posting with its number, and those it lacks."""
+    r = derived.resumes(spark, sf)
+    pairs = r.select("resume_id", F.col("resume_id").alias("job_id")).distinct()
+    d = skills.skill_differences(derived.postings(spark, sf, skills=True), r, pairs).where(F.size("common") > 0)
+    return d.groupBy("resume_id").agg(
+        F.count(F.lit(1)).alias("jobs"), F.sum(F.size("common")).alias("matched"), F.sum(F.size("missing")).alias("missing")
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
 from jobweave.functions.text import no_strings, skills_combined, strip
-from jobweave.operators.skew import broadcast_if_small, fits_broadcast
+from jobweave.operators.skew import broadcast_if_small, fits_broadcast, task_count
 
 K1 = 1.2
 B = 0.75
@@ -91,27 +91,23 @@ def allowed_edits(term: Column) -> Column:
 def expand_fuzzy(query_terms: DataFrame, index: TermIndex) -> DataFrame:
     """Replace each query term by the indexed terms within its edit distance.
 
-    Candidates come from an equi join: two strings within d edits share, after cutting one
-    of them into d + 1 pieces, at least one piece up to a shift of d.  The edit distance is
-    then checked on those candidates only.
+    Candidates come from an equi join: cut the asked term into d + 1 pieces; a string within
+    d edits of it still contains one of them whole.  The edit distance is then checked on
+    the candidates only.
     """
-    reach = 2
     vocabulary = index.frequencies.where(~F.col("field").isin(list(WHOLE_VALUE_FIELDS))).select("field", "term")
 
     def cut(term: Column) -> Column:
-        # d + 1 near-equal pieces: struct(piece, start)
+        """d + 1 pieces of equal length, the last with the rest."""
         d = allowed_edits(term)
-        step = F.ceil(F.length(term) / (d + 1)).cast("int")
-        return F.filter(
-            F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda i: F.struct(
-                F.substring(term, i * step + 1, step).alias("piece"), (i * step).alias("at"), i.alias("i"), d.alias("d"),
-            )),
-            lambda e: (e["i"] <= e["d"]) & (F.length(e["piece"]) > 0),
-        )
+        step = F.greatest(F.lit(1), F.floor(F.length(term) / (d + 1)).cast("int"))
+        length = lambda i: F.when(i == d, F.length(term)).otherwise(step)
+        return F.transform(F.sequence(F.lit(0), d), lambda i: F.substring(term, i * step + 1, length(i)))
 
     asked = query_terms.where(~F.col("field").isin(list(WHOLE_VALUE_FIELDS)))
-    pieces = asked.withColumn("_p", F.explode(cut(F.col("term")))).select(
-        "query_id", "field", F.col("term").alias("asked"), "n", "_p.piece", "_p.at", "_p.d"
+    pieces = asked.select(
+        "query_id", "field", F.col("term").alias("asked"), "n", allowed_edits(F.col("term")).alias("d"),
+        F.explode(F.array_distinct(cut(F.col("term")))).alias("piece"),
     )
     # Pieces of the same length at every offset of a vocabulary term.
     lengths = [r[0] for r in pieces.select(F.length("piece")).distinct().collect()]
@@ -131,7 +127,7 @@ def expand_fuzzy(query_terms: DataFrame, index: TermIndex) -> DataFrame:
     whole = query_terms.where(F.col("field").isin(list(WHOLE_VALUE_FIELDS))).select(
         "query_id", "field", "term", F.col("n").cast("double").alias("n")
     )
-    return fuzzy.where("n > 0").unionByName(whole).groupBy("query_id", "field", "term").agg(F.max("n").alias("n"))
+    return fuzzy.where("n > 0").unionByName(whole).groupBy("query_id", "field", "term").agg(F.sum("n").alias("n"))
 
 
 def search_keyword(
@@ -157,7 +153,7 @@ def search_keyword(
     tf = F.col("tf")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     # With the small side broadcast, one shuffle by job serves both aggregations.
-    terms_by_job = index.terms.repartition("job_id") if small else index.terms
+    terms_by_job = index.terms.repartition(task_count(index.terms), "job_id") if small else index.terms
     scored = (
         terms_by_job.join(lookup, ["field", "term"])
         .groupBy("job_id", "query_id", "field").agg(F.sum(part).alias("s"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key outside the HOT_KEYS most frequent ones holds at most 1/(HOT_KEYS+1) of the rows.
-HOT_KEYS = 1000
-SPREAD = 4096
+HOT_KEYS = 200
+SPREAD = 256
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -31,38 +31,37 @@ def attach_by_key(
     frequency: str,
     spread_on: str,
     how: str = "left",
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
-    """Left-join the one-row-per-key table ``per_key`` to ``rows`` without a hot partition.
+    """Join the one-row-per-key table ``per_key`` to ``rows`` without a hot partition.
 
     The HOT_KEYS most frequent keys (a fixed number of rows, so a safe broadcast) are
-    matched map-side.  Their rows then carry a salt that no row of ``per_key`` has, so the
-    shuffle join for the remaining keys spreads them evenly instead of sending a key's
-    rows to one task.  A plain join would not be split at run time here, because the
-    aggregated side is not a bare shuffle.
+    marked on both sides: their rows get one of SPREAD salts, their entry of ``per_key`` is
+    repeated once per salt.  All other keys join as they are.  A plain join would not be
+    split at run time here, because the aggregated side is not a bare shuffle.
+
+    ``frequencies`` (keys, frequency) names the counts where they come cheaper than from
+    ``per_key`` itself.
     """
     values = [c for c in per_key.columns if c not in keys]
-    packed = per_key.select(*keys, F.struct(*values).alias("_v"))
-    hot = (
-        per_key.orderBy(F.desc(frequency), *keys).limit(HOT_KEYS)
-        .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*values).alias("_hot"))
-    )
-    on_hot = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    marked = rows.join(F.broadcast(hot), on_hot, "left").drop(*[f"_h_{k}" for k in keys])
-    salted = marked.withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(spread_on), F.lit(SPREAD)).cast("int") + 1
-        ),
+    counted = per_key if frequencies is None else frequencies
+    hot = F.broadcast(
+        counted.select(*keys, frequency).orderBy(F.desc(frequency), *keys).limit(HOT_KEYS)
+        .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
     )
-    cold = packed.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_v"), F.lit(0).alias("_c_salt")
+
+    def marked(df: DataFrame, salt: Column) -> DataFrame:
+        on = [df[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys]
+        return df.join(hot, on, "left").withColumn("_salt", salt).drop("_hot", *[f"_h_{k}" for k in keys])
+
+    is_hot = F.col("_hot").isNotNull()
+    left = marked(rows, F.when(is_hot, F.pmod(F.xxhash64(spread_on), F.lit(SPREAD)).cast("int")).otherwise(0))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(per_key, F.explode(salts)).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], *values, F.col("_salt").alias("_k_salt")
     )
-    on_cold = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.col("_salt") == F.col("_c_salt")]
-    joined = salted.join(cold, on_cold, "left").withColumn("_v", F.coalesce("_hot", "_v"))
-    out = joined.select(*rows.columns, *[F.col("_v").getField(v).alias(v) for v in values])
-    if how == "inner":
-        return out.where(F.col(frequency).isNotNull())
-    return out
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_salt") == F.col("_k_salt")]
+    return left.join(right, on, how).select(*rows.columns, *values)
 
 
 def spread_if_narrow(df: DataFrame) -> DataFrame:
@@ -73,3 +72,10 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def task_count(df: DataFrame) -> int:
+    """Partitions for work whose cost is out of proportion to its input size, where run-time
+    coalescing by bytes would leave too few tasks."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

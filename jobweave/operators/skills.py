@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobweave import fixed_values as fv
 from jobweave.functions.numbers import percent
 from jobweave.functions.text import all_skills, norm_skill, present, strip, strings_or_empty
-from jobweave.operators.skew import attach_by_key, broadcast_if_small
+from jobweave.operators.skew import attach_by_key, broadcast_if_small, task_count
 
 
 def known_skills(postings: DataFrame) -> DataFrame:
@@ -188,11 +188,21 @@ def score_from_lists(matching: Column, to_add: Column) -> Column:
 
 # --- skill overlap ------------------------------------------------------------------
 
-def _listed_sets(postings: DataFrame, trim: bool) -> DataFrame:
-    """(id, listed): the normalized distinct skills of each posting that has any."""
+def _normalized_names(trim: bool = True) -> Column:
+    """Normalized distinct skills of a posting, sorted."""
     norm = norm_skill if trim else F.lower
     names = F.filter(F.transform(all_skills(), lambda s: norm(s)), lambda s: s.isNotNull() & (s != ""))
-    return postings.select("id", F.array_sort(F.array_distinct(names)).alias("listed")).where(F.size("listed") > 0)
+    return F.array_sort(F.array_distinct(names))
+
+
+def skill_differences(postings: DataFrame, resume_skills: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(resume_id, job_id, common, missing) for given pairs: skills of the posting the resume
+    has, and those it lacks."""
+    listed = postings.select(F.col("id").alias("job_id"), _normalized_names().alias("listed"))
+    return (
+        pairs.join(_wanted_sets(resume_skills), "resume_id").join(listed, "job_id")
+        .select("resume_id", "job_id", F.array_intersect("listed", "wanted").alias("common"), F.array_except("listed", "wanted").alias("missing"))
+    )
 
 
 def _wanted_sets(resume_skills: DataFrame) -> DataFrame:
@@ -202,24 +212,59 @@ def _wanted_sets(resume_skills: DataFrame) -> DataFrame:
 def _shown(trim: bool) -> Column:
     """Matched skills in the posting's last spelling, sorted."""
     if not trim:
-        return F.array_sort(F.array_intersect("wanted", F.array_distinct(F.transform("_raw", lambda s: F.lower(s)))))
-    spelled = F.transform("_raw", lambda s: F.struct(norm_skill(s).alias("n"), s.alias("raw")))
+        return F.array_sort(F.array_intersect("wanted", F.array_distinct(F.transform("raw", lambda s: F.lower(s)))))
+    spelled = F.transform("raw", lambda s: F.struct(norm_skill(s).alias("n"), s.alias("raw")))
     common = F.array_intersect("wanted", F.transform(spelled, lambda e: e["n"]))
     return F.array_sort(F.transform(
         common, lambda m: F.element_at(F.filter(spelled, lambda e: e["n"] == m), -1)["raw"]
     ))
 
 
-def _set_overlaps(sets: DataFrame, wanted: DataFrame, set_key: list[str]) -> DataFrame:
-    """Number of common skills per (posting set, resume set).
+def _resume_sets(people: DataFrame, column: str) -> DataFrame:
+    """(wanted_id, column, resumes): distinct skill sets, named by their smallest resume."""
+    return people.groupBy(column).agg(F.min("resume_id").alias("wanted_id"), F.count(F.lit(1)).alias("_resumes"))
+
+
+def _posting_sets(postings: DataFrame, names: Column, limit: int) -> DataFrame:
+    """(set_id, job_id, nth, names, raw): the first ``limit`` postings of each distinct skill
+    set, which is called by its smallest posting id."""
+    raw = all_skills()
+    order = Window.partitionBy("names").orderBy("job_id")
+    return (
+        postings.select(F.col("id").alias("job_id"), names.alias("names"), raw.alias("raw")).where(F.size("names") > 0)
+        .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
+        .withColumn("set_id", F.first("job_id").over(order))
+    )
+
 
-    The posting side stays partitioned by its set through the explode and the broadcast
-    join, so the count needs no shuffle of the pairs.
+def _best_jobs(overlaps: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """(wanted_id, rank, job_id, match_count, raw) from (wanted_id, set_id, match_count).
+
+    A set behind ``limit`` others by (count, first id) has all its ids behind theirs, so the
+    first cut is by set; it happens per partition before any pair moves.
     """
-    asked = wanted.select("wanted").distinct().withColumn("skill_n", F.explode("wanted"))
+    by_set = Window.partitionBy("wanted_id").orderBy(F.desc("match_count"), F.asc("set_id"))
+    kept = overlaps.withColumn("_rn", F.row_number().over(by_set)).where(F.col("_rn") <= limit).drop("_rn")
+    by_job = Window.partitionBy("wanted_id").orderBy(F.desc("match_count"), F.asc("job_id"))
     return (
-        sets.withColumn("skill_n", F.explode("listed")).join(broadcast_if_small(asked), "skill_n")
-        .groupBy(*set_key, "wanted").agg(F.count(F.lit(1)).alias("match_count"))
+        sets.select("set_id", "job_id", "raw").join(kept, "set_id")
+        .withColumn("rank", F.row_number().over(by_job).cast("bigint")).where(F.col("rank") <= limit)
+    )
+
+
+def _per_resume(people: DataFrame, column: str, resume_sets: DataFrame, hits: DataFrame, size: Column, *extra: str) -> DataFrame:
+    """Hand the bounded list of each resume set to every resume that has the set."""
+    fields = ["rank", "job_id", "match_count", *extra]
+    lists = (
+        hits.groupBy("wanted_id").agg(F.collect_list(F.struct(*fields)).alias("_hits"))
+        .join(resume_sets.select("wanted_id", column), "wanted_id").drop("wanted_id")
+    )
+    joined = attach_by_key(
+        people, lists, [column], "_resumes", "resume_id", "inner", resume_sets.select(column, "_resumes")
+    )
+    return joined.select("resume_id", size.alias("_n"), F.explode("_hits").alias("_h")).select(
+        "resume_id", "_h.rank", "_h.job_id", "_h.match_count", (F.col("_h.match_count") / F.col("_n")).alias("match_ratio"),
+        *[F.col(f"_h.{c}").alias(c) for c in extra],
     )
 
 
@@ -229,80 +274,44 @@ def match_postings(
     """(resume_id, rank, job_id, match_count, match_ratio, matched_skills), top ``limit`` each.
 
     Postings with the same skill set score alike, and resumes with the same skill set get
-    the same list.  Both sides are reduced to distinct sets; of a posting set only its
-    first ``limit`` ids can be in anyone's list.  Top-k cuts happen per partition, before
-    rows move.  ``trim=False`` only lower-cases the posting's skills.
+    the same list, so both sides are reduced to distinct sets; of a posting set only its
+    first ``limit`` ids can be in anyone's list.  While the resume sets are small enough to
+    broadcast, overlaps are counted where the posting set lives and only each partition's
+    top-k moves.  ``trim=False`` only lower-cases the posting's skills.
     """
-    wanted = _wanted_sets(resume_skills)
-    first_ids = Window.partitionBy("listed").orderBy("id")
-    sets = (
-        _listed_sets(postings, trim).withColumn("_rn", F.row_number().over(first_ids)).where(F.col("_rn") <= limit)
-        .groupBy("listed").agg(F.array_sort(F.collect_list("id")).alias("_ids"))
-    )
-    overlaps = _set_overlaps(sets, wanted, ["listed", "_ids"])
-    # A set behind ``limit`` others by (count, first id) has all its ids behind theirs.
-    by_set = Window.partitionBy("wanted").orderBy(F.desc("match_count"), F.asc(F.col("_ids")[0]))
-    kept = overlaps.withColumn("_rn", F.row_number().over(by_set)).where(F.col("_rn") <= limit)
-    by_job = Window.partitionBy("wanted").orderBy(F.desc("match_count"), F.asc("job_id"))
-    hits = (
-        kept.select("wanted", "match_count", F.explode("_ids").alias("job_id"))
-        .withColumn("rank", F.row_number().over(by_job).cast("bigint")).where(F.col("rank") <= limit)
-    )
-    spelled = hits.join(postings.select(F.col("id").alias("job_id"), all_skills().alias("_raw")), "job_id").select(
-        "wanted", "rank", "job_id", "match_count", _shown(trim).alias("matched_skills")
-    )
-    # One bounded list per resume set, handed to every resume that has the set.
-    lists = spelled.groupBy("wanted").agg(
-        F.collect_list(F.struct("rank", "job_id", "match_count", "matched_skills")).alias("_hits")
-    ).join(wanted.groupBy("wanted").agg(F.count(F.lit(1)).alias("_resumes")), "wanted")
-    return (
-        attach_by_key(wanted, lists, ["wanted"], "_resumes", "resume_id", how="inner")
-        .select("resume_id", F.size("wanted").alias("_n"), F.explode("_hits").alias("_h"))
-        .select(
-            "resume_id", "_h.rank", "_h.job_id", "_h.match_count",
-            (F.col("_h.match_count") / F.col("_n")).alias("match_ratio"), "_h.matched_skills",
-        )
+    people = _wanted_sets(resume_skills)
+    wanted = _resume_sets(people, "wanted")
+    sets = _posting_sets(postings, _normalized_names(trim), limit)
+    asked = wanted.select("wanted_id", F.explode("wanted").alias("skill_n"))
+    overlaps = (
+        sets.where("nth = 1").select("set_id", "names").repartition(task_count(postings), "set_id")
+        .select("set_id", F.explode("names").alias("skill_n")).join(broadcast_if_small(asked), "skill_n")
+        .groupBy("set_id", "wanted_id").agg(F.count(F.lit(1)).alias("match_count"))
     )
+    hits = _best_jobs(overlaps, sets, limit).join(wanted.select("wanted_id", "wanted"), "wanted_id")
+    spelled = hits.select("wanted_id", "rank", "job_id", "match_count", _shown(trim).alias("matched_skills"))
+    return _per_resume(people, "wanted", wanted, spelled, F.size("wanted"), "matched_skills")
 
 
 def match_postings_exact_case(postings: DataFrame, resume_skills: DataFrame, limit: int = fv.MATCH_LIMIT) -> DataFrame:
     """As ``match_postings``, but a posting must hold one resume skill in its exact case.
 
-    Resumes are kept apart by their raw skills, postings by their raw lists.
+    Sets are kept apart by their raw spelling here.
     """
-    raw = F.array_sort(F.array_distinct(F.filter(all_skills(), lambda s: s.isNotNull() & (s != ""))))
+    normal = lambda arr: F.array_distinct(F.transform(arr, lambda s: norm_skill(s)))
     typed = resume_skills.select("resume_id", F.trim("skill").alias("skill")).where("skill <> ''")
     people = typed.groupBy("resume_id").agg(F.array_sort(F.collect_set("skill")).alias("exact"))
-    listed = postings.select("id", raw.alias("raw")).where(F.size("raw") > 0)
-    first_ids = Window.partitionBy("raw").orderBy("id")
-    sets = (
-        listed.withColumn("_rn", F.row_number().over(first_ids)).where(F.col("_rn") <= limit)
-        .groupBy("raw").agg(F.array_sort(F.collect_list("id")).alias("_ids"))
-    )
-    asked = people.select("exact").distinct().withColumn("_s", F.explode("exact"))
-    pairs = (
-        sets.withColumn("_s", F.explode("raw")).join(broadcast_if_small(asked), "_s")
-        .select("raw", "_ids", "exact").distinct()
-    )
-    names = lambda arr: F.array_distinct(F.transform(arr, lambda s: norm_skill(s)))
-    counted = pairs.withColumn(
-        "match_count", F.size(F.array_intersect(names(F.col("raw")), names(F.col("exact")))).cast("bigint")
-    )
-    by_set = Window.partitionBy("exact").orderBy(F.desc("match_count"), F.asc(F.col("_ids")[0]))
-    kept = counted.withColumn("_rn", F.row_number().over(by_set)).where(F.col("_rn") <= limit)
-    by_job = Window.partitionBy("exact").orderBy(F.desc("match_count"), F.asc("job_id"))
-    hits = (
-        kept.select("exact", "match_count", F.explode("_ids").alias("job_id"))
-        .withColumn("rank", F.row_number().over(by_job).cast("bigint")).where(F.col("rank") <= limit)
-    )
-    lists = hits.groupBy("exact").agg(F.collect_list(F.struct("rank", "job_id", "match_count")).alias("_hits")).join(
-        people.groupBy("exact").agg(F.count(F.lit(1)).alias("_resumes")), "exact"
-    )
-    return attach_by_key(people, lists, ["exact"], "_resumes", "resume_id", how="inner").select(
-        "resume_id", F.size(names(F.col("exact"))).alias("_n"), F.explode("_hits").alias("_h")
-    ).select(
-        "resume_id", "_h.rank", "_h.job_id", "_h.match_count", (F.col("_h.match_count") / F.col("_n")).alias("match_ratio")
+    wanted = _resume_sets(people, "exact")
+    spelled = F.array_sort(F.array_distinct(F.filter(all_skills(), lambda s: s.isNotNull() & (s != ""))))
+    sets = _posting_sets(postings, spelled, limit)
+    asked = wanted.select("wanted_id", normal(F.col("exact")).alias("wanted"), F.explode("exact").alias("_s"))
+    overlaps = (
+        sets.where("nth = 1").select("set_id", "names").repartition(task_count(postings), "set_id")
+        .select("set_id", normal(F.col("names")).alias("listed"), F.explode("names").alias("_s"))
+        .join(broadcast_if_small(asked), "_s")
+        .groupBy("set_id", "wanted_id").agg(F.first(F.size(F.array_intersect("listed", "wanted"))).cast("bigint").alias("match_count"))
     )
+    return _per_resume(people, "exact", wanted, _best_jobs(overlaps, sets, limit), F.size(normal(F.col("exact"))))
 
 
 def canonical_resume_skills(keywords: DataFrame, known: DataFrame, raw_limit: int = fv.RAW_TOKEN_LIMIT) -> DataFrame:
