@@ -131,3 +131,11 @@ def attach_detected_skills(page: DataFrame, postings: DataFrame, detected: DataF
     )
     out = attach_by_key(with_key(page), lists, KEY, "_n", "id")
     return out.withColumn("detected_skills", strings_or_empty(F.col("detected_skills"))).drop("_n", "title_l")
+
+
+def resume_history(users: DataFrame, resumes: DataFrame) -> DataFrame:
+    """Resumes of the given users, newest first within a user."""
+    from jobweave.operators.skew import broadcast_if_small
+
+    mine = resumes.join(broadcast_if_small(users.select("user_id")), "user_id", "left_semi")
+    return mine.orderBy("user_id", F.desc_nulls_first("uploaded_at"), "resume_id")

@@ -117,10 +117,10 @@ def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inference_log_of(events: DataFrame) -> DataFrame:
     """Events read as model calls; every seventh has no latency."""
     k = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("ts").alias("created_at"),
         F.col("event_type").alias("model"),
         F.when(k % 7 != 0, F.floor("value")).cast("bigint").alias("latency_ms"),
@@ -130,6 +130,10 @@ def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference_log_of(table(spark, sf_dir, "events"))
+
+
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One resume per customer (resume_id, skill): the words, in upper case, and the type of
     the part that has the customer's number."""
