@@ -67,7 +67,7 @@ def feed_lines(spark, sf):
     # An object category, spliced in where the string one was left out.
     named = F.regexp_replace(body, r"^\{", F.concat(F.lit('{"category":{"id":"'), F.lower("category"), F.lit('"},')))
     line = F.when(k % 2 == 0, body).otherwise(named)
-    return p.select("id", F.when(k % 50 == 49, F.substring(line, 1, 40)).otherwise(line).alias("line"))
+    return p.select("id", F.explode(F.array(F.when(k % 50 == 49, F.substring(line, 1, 40)).otherwise(line))).alias("line"))
 
 
 @query("parsed_feed", SKILLED + """ SELECT 'https://nofluffjobs.com/pl/job/offer-' || id AS url, title, company, array_to_string(location, '|') AS location, salary_min,

@@ -11,6 +11,7 @@ from jobweave.operators.fusion import rerank, rrf_multi, rrf_pair
 from jobweave.operators.search import TermIndex, search_keyword
 from jobweave.operators.skew import broadcast_if_small
 from jobweave.operators.vectors import VectorIndex, search_knn
+from jobweave.session import cut_lineage
 
 _UUID = r"(?i)^[{]?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}[}]?$"
 HIT_COLUMNS = ["title", "company", "url", "category"]
@@ -66,7 +67,7 @@ def search_hybrid(
     asked = queries.where(F.size("embedding") > 0)
     text = strip(F.coalesce("query_text", F.lit("")))
     keyword = search_keyword(terms, asked, top_k=2 * top_k)
-    semantic = search_knn(vectors, asked, top_k=2 * top_k)
+    semantic = cut_lineage(search_knn(vectors, asked, top_k=2 * top_k))
     with_text = asked.where(text != "").select("query_id")
     fused = rrf_pair(keyword, semantic.join(broadcast_if_small(with_text), "query_id", "left_semi"), k=k, top_k=top_k)
     plain = rrf_pair(
@@ -85,7 +86,7 @@ def multi_query_retrieve(
     """
     depth = candidates if reranking else top_k
     named = variants.withColumn("query_id", F.struct("resume_id", "variant"))
-    hits = search_hybrid(terms, vectors, named, top_k=depth)
+    hits = cut_lineage(search_hybrid(terms, vectors, named, top_k=depth))
     lists = hits.select(
         F.col("query_id.resume_id").alias("query_id"), F.col("query_id.variant").alias("list_id"), "job_id", "rank", "score",
     )
@@ -109,6 +110,7 @@ def with_keyword_fallback(hybrid: DataFrame, terms: TermIndex, queries: DataFram
     Output: query_id, status, rank, job_id, score.  A query with neither is one row with
     status ``none``.
     """
+    hybrid = cut_lineage(hybrid)
     ok = hybrid.select("query_id", F.lit("ok").alias("status"), "rank", "job_id", "score")
     open_queries = queries.join(hybrid.select("query_id").distinct(), "query_id", "left_anti")
     keyword = search_keyword(terms, open_queries, top_k=top_k)

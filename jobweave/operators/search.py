@@ -1,7 +1,7 @@
 """Keyword search over a term table: BM25 per field, best field wins, top-k per query.
 
 The index is a table of (job_id, field, term, tf, dl) and two small statistics tables.
-It is partitioned by job, and queries are the broadcast side, so scores of a (query, job)
+It is partitioned by job (write it bucketed by job to keep that), and queries are the broadcast side, so scores of a (query, job)
 pair are summed where the job lives and only each partition's top-k moves.  A frequent
 term therefore never gathers its postings in one task.
 """
@@ -57,7 +57,10 @@ def build_index(docs: DataFrame, boosts: dict[str, float] | None = None, key: st
         F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("tokens")) for f in boosts]),
         lambda e: F.size(e["tokens"]) > 0,
     )
-    fields = docs.select(F.col(key).alias("job_id"), F.explode(per_field).alias("_f")).select(
+    # The texts move once, to their job's partition; counting terms needs no shuffle after
+    # that, since all rows of a job are in place.
+    placed = docs.select(F.col(key).alias("job_id"), *boosts).repartition(task_count(docs), "job_id")
+    fields = placed.select("job_id", F.explode(per_field).alias("_f")).select(
         "job_id", "_f.field", "_f.tokens", F.size("_f.tokens").cast("bigint").alias("dl")
     )
     terms = (
@@ -152,10 +155,9 @@ def search_keyword(
     lookup = F.broadcast(weighted) if small else weighted
     tf = F.col("tf")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    # With the small side broadcast, one shuffle by job serves both aggregations.
-    terms_by_job = index.terms.repartition(task_count(index.terms), "job_id") if small else index.terms
+    # With the small side broadcast, the scores are summed in the term table's own partitions.
     scored = (
-        terms_by_job.join(lookup, ["field", "term"])
+        index.terms.join(lookup, ["field", "term"])
         .groupBy("job_id", "query_id", "field").agg(F.sum(part).alias("s"))
         .groupBy("job_id", "query_id").agg(F.round(F.max("s"), digits).alias("score"))
     )

@@ -9,6 +9,7 @@ from jobweave import fixed_values as fv
 from jobweave.functions.numbers import percent
 from jobweave.functions.text import all_skills, norm_skill, present, strip, strings_or_empty
 from jobweave.operators.skew import attach_by_key, broadcast_if_small, task_count
+from jobweave.session import cut_lineage
 
 
 def known_skills(postings: DataFrame) -> DataFrame:
@@ -116,10 +117,10 @@ def category_scores(postings: DataFrame, resume_skills: DataFrame, min_jobs: int
     """(resume_id, category, job_count, match_score, matching_skills): one row for every
     resume and category; lists by falling weight.
 
-    The category heads are as few as the distinct categories and are measured before
-    they are broadcast.
+    The profile (categories x vocabulary) is computed once and kept; it is measured before
+    it is broadcast.
     """
-    profile = category_skills(postings, min_jobs)
+    profile = cut_lineage(category_skills(postings, min_jobs))
     mine = resume_skills_n(resume_skills)
     matched = (
         mine.join(broadcast_if_small(profile.where("skill_n IS NOT NULL").select("category", "skill_n", "display", "weight")), "skill_n")
@@ -155,7 +156,7 @@ def skills_to_add(
     missing ones among the category's first ``limit + m`` skills, so only those are joined:
     exact, and bounded per resume and category.  ``limit=None`` lists every missing skill.
     """
-    profile = category_skills(postings, min_jobs).where("skill_n IS NOT NULL").where(F.col("weight") >= min_weight)
+    profile = cut_lineage(category_skills(postings, min_jobs)).where("skill_n IS NOT NULL").where(F.col("weight") >= min_weight)
     order = [F.desc("weight"), F.asc("display"), F.asc("skill_n")]
     mine = resume_skills_n(resume_skills)
     people = mine.groupBy("resume_id").agg(F.collect_set("skill_n").alias("_mine"))

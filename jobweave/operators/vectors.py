@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobweave.operators.search import top_k_per_query
+from jobweave.session import cut_lineage
 
 DIGITS = 10
 MAX_PIVOTS = 256
@@ -176,7 +177,8 @@ def search_knn(
     asked = queries.where(F.size("embedding") == dims).select("query_id", "embedding")
     query_blocks = max(1, -(-asked.count() // query_rows))
     first = _scan(index, _visits(index, asked, top_k, True), top_k, block_rows, query_blocks)
-    found = top_k_per_query(first.select("query_id", "job_id", F.col("cosine").alias("score")), top_k)
+    # Read twice below; at most top_k rows per query, so it is kept rather than recomputed.
+    found = cut_lineage(top_k_per_query(first.select("query_id", "job_id", F.col("cosine").alias("score")), top_k))
     bound = found.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= top_k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).otherwise(4.0).alias("bound")
     )

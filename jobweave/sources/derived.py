@@ -101,7 +101,10 @@ def salaried(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 
 def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting per document: its text is the description, its first words are skills."""
-    words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
+    # The first two runs of two or more letters; the match ends there, whatever the length.
+    pattern = r"^[\s\S]*?(\p{L}{2,})(?:[^\p{L}][\s\S]*?(\p{L}{2,}))?"
+    found = F.array(F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2))
+    words = F.filter(found, lambda w: w != "")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example/doc/"), F.col("doc_id").cast("string")).alias("url"),
@@ -109,10 +112,8 @@ def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.split("text", r"\n"), 1).alias("title"),
         F.concat_ws("-", "source", "lang").alias("company"),
         F.col("lang").alias("category"),
-        F.slice(words, 1, 2).alias("skills_required"),
-        F.array_except(
-            F.array(F.array_join(F.slice(words, 1, 2), " ")), F.array(F.lit(""))
-        ).alias("skills_nice_to_have"),
+        words.alias("skills_required"),
+        F.array_except(F.array(F.array_join(words, " ")), F.array(F.lit(""))).alias("skills_nice_to_have"),
         F.col("text").alias("description"),
     )
 
