@@ -152,7 +152,7 @@ def offer_pages(spark, sf):
         "id",
         F.when(kind < 3, F.concat(F.lit("https://justjoin.it"), path)).when(kind == 3, F.concat(F.lit("https://nofluffjobs.com/pl/backend"), path))
         .otherwise(F.concat(F.lit("https://elsewhere.example"), path)).alias("url"),
-        F.when(kind == 0, payload).when(kind == 1, ld).when(kind == 2, plain).otherwise(nf).alias("html"),
+        F.explode(F.array(F.when(kind == 0, payload).when(kind == 1, ld).when(kind == 2, plain).otherwise(nf))).alias("html"),
     )
 
 
