@@ -78,7 +78,7 @@ def build_vector_index(
             away = _distances(units, centers)
             nearest = away.argmin(axis=1)
             yield pd.DataFrame({
-                key: batch[key].to_numpy()[has], "unit": list(units), "cell": nearest.astype("int32"),
+                key: batch[key].to_numpy()[has], "unit": pd.Series(list(units), dtype=object), "cell": nearest.astype("int32"),
                 "away": away[np.arange(len(nearest)), nearest],
             })
 
@@ -122,7 +122,7 @@ def _visits(index: VectorIndex, queries: DataFrame, top_k: int, first: bool) ->
                 if len(rows) >= EMIT_ROWS or i == len(units) - 1:
                     yield pd.DataFrame({
                         "query_id": pd.Series([r[0] for r in rows], dtype=batch["query_id"].dtype),
-                        "unit": [r[1] for r in rows], "cell": np.array([r[2] for r in rows], dtype="int32"),
+                        "unit": pd.Series([r[1] for r in rows], dtype=object), "cell": np.array([r[2] for r in rows], dtype="int32"),
                     })
                     rows = []
 
