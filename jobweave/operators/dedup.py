@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
-from jobweave.operators.skew import attach_by_key
+from jobweave.operators.skew import attach_by_key, rows_with_keys
 
 KEY = ["company", "title_l"]
 
@@ -121,10 +121,8 @@ def tag_reposts(batch: DataFrame, committed: DataFrame | None = None) -> DataFra
     seen = _role(batch).select(*cols)
     if committed is not None:
         before = _role(committed).withColumn("batch_no", F.lit(-1).cast("bigint")).select(*cols)
-        # Only roles of the batch matter: a semi join keeps the stored table from being
-        # aggregated in full.
-        before = before.join(_role(batch).select(*role).distinct(), role, "left_semi")
-        seen = seen.unionByName(before)
+        # Only roles of the batch matter, so the stored table is not aggregated in full.
+        seen = seen.unionByName(rows_with_keys(before, _role(batch), role))
     # A NULL created_at sorts last, as in an ascending lookup.
     rank = F.struct(
         F.col("batch_no").cast("bigint").alias("batch_no"), F.col("created_at").isNull().alias("unknown"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
 from jobweave.functions.text import all_skills, no_strings, norm_skill, present, tokenize
-from jobweave.operators.skew import broadcast_if_small, spread_if_narrow
+from jobweave.operators.skew import broadcast_if_small, rows_with_keys, spread_if_narrow
 
 _DELIMITER = "(?U)" + fv.TERM_DELIMITERS
 
@@ -107,9 +107,9 @@ def detect_missing(postings: DataFrame, processed: DataFrame, dictionary: DataFr
 
 def upsert_detected(stored: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of ``found`` to append: new (job_id, skill_name) pairs, once each."""
-    return found.dropDuplicates(["job_id", "skill_name"]).join(
-        stored.select("job_id", "skill_name"), ["job_id", "skill_name"], "left_anti"
-    )
+    pair = ["job_id", "skill_name"]
+    known = rows_with_keys(stored.select(*pair), found, ["job_id"])
+    return found.dropDuplicates(pair).join(known, pair, "left_anti")
 
 
 def detected_of(detected: DataFrame, job_ids: DataFrame) -> DataFrame:

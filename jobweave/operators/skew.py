@@ -64,6 +64,15 @@ def attach_by_key(
     return left.join(right, on, how).select(*rows.columns, *values)
 
 
+def rows_with_keys(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``big`` whose key is among ``keys``.
+
+    For a small batch against a stored table: the batch's keys are measured and broadcast,
+    so that the table is scanned but not shuffled; a large batch shuffles both.
+    """
+    return big.join(broadcast_if_small(keys.select(*on).distinct()), on, "left_semi")
+
+
 def spread_if_narrow(df: DataFrame) -> DataFrame:
     """Spread rows over all cores before costly per-row work on an input with few splits.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.salary import normalize_salary
 from jobweave.functions.text import format_category, is_blank, strings_or_empty
 from jobweave.operators.filters import has_salary, missing_description
-from jobweave.operators.skew import broadcast_if_small
+from jobweave.operators.skew import broadcast_if_small, rows_with_keys
 
 EDITABLE = ["status", "applied_date", "notes", "is_reposted", "saved"]
 
@@ -42,7 +42,7 @@ def delete_postings(postings: DataFrame, detected: DataFrame, ids: DataFrame) ->
 
 def split_duplicates(incoming: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new rows, duplicate report with existing_id), by URL."""
-    known = postings.select("url", F.col("id").alias("existing_id"))
+    known = rows_with_keys(postings.select("url", F.col("id").alias("existing_id")), incoming, ["url"])
     matched = incoming.join(known, "url", "left")
     return (
         matched.where("existing_id IS NULL").drop("existing_id"),

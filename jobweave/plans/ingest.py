@@ -11,8 +11,10 @@ from jobweave import schema
 from jobweave.functions.salary import normalize_salary
 from jobweave.functions.text import present
 from jobweave.operators.dedup import tag_reposts
-from jobweave.operators.detect import detect_skills, undetected, upsert_detected
+from jobweave.operators.detect import detect_skills, upsert_detected
+from jobweave.operators.skew import rows_with_keys
 from jobweave.operators.skills import known_skills
+from jobweave.session import cut_lineage
 from jobweave.sources.tables import VersionedTable
 
 
@@ -32,7 +34,8 @@ def valid_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unseen(feed: DataFrame, postings: DataFrame) -> DataFrame:
-    return feed.join(postings.select("url"), "url", "left_anti")
+    """Feed rows whose URL is not stored yet."""
+    return feed.join(rows_with_keys(postings.select("url"), feed, ["url"]), "url", "left_anti")
 
 
 def batch_numbers(feed: DataFrame, position: str, batch_rows: int) -> DataFrame:
@@ -46,7 +49,10 @@ def new_postings(feed: DataFrame, postings: DataFrame, *, now: str, rates: DataF
     ``feed`` carries batch_no; ``now`` is the run's timestamp text, so that a retry gives
     the same rows.  The id is a hash of the URL, which is the table's key.
     """
-    fresh = unseen(feed, postings).withColumn("created_at", F.lit(now).cast("timestamp")).withColumn("id", posting_id())
+    # Read several times by the repost rule, so the batch is kept instead of parsed again.
+    fresh = cut_lineage(
+        unseen(feed, postings).withColumn("created_at", F.lit(now).cast("timestamp")).withColumn("id", posting_id())
+    )
     tagged = tag_reposts(fresh, postings)
     paid = normalize_salary(tagged, rates, "explicit_period" if "explicit_period" in tagged.columns else None)
     return schema.conform(
@@ -64,7 +70,7 @@ def posting_id() -> "F.Column":
 
 def ingest_counts(feed: DataFrame, postings: DataFrame, rejects: DataFrame) -> DataFrame:
     """imported, skipped, errors and processed per source."""
-    known = postings.select("url", F.lit(1).alias("_known")).dropDuplicates(["url"])
+    known = rows_with_keys(postings.select("url"), feed, ["url"]).distinct().withColumn("_known", F.lit(1))
     marks = (
         feed.select("source", "url").join(known, "url", "left")
         .select("source", F.coalesce("_known", F.lit(0)).alias("skip"), F.lit(0).alias("bad"))
@@ -119,7 +125,7 @@ def ingest_batch(
         parsed = parsed.withColumn("position", F.monotonically_increasing_id())
     usable, rejects = valid_rows(parsed)
     rejects = rejects if rejected is None else rejects.unionByName(rejected)
-    feed = first_per_url(usable).withColumn("batch_no", F.lit(batch).cast("bigint"))
+    feed = cut_lineage(first_per_url(usable).withColumn("batch_no", F.lit(batch).cast("bigint")))
     if not store.postings.has_version(batch):
         before = store.postings.read()
         if not store.audit.has_version(batch):
@@ -128,9 +134,9 @@ def ingest_batch(
             )
         store.postings.append(new_postings(feed, before, now=now, rates=rates), batch)
     if not store.processed.has_version(batch):
-        stored = store.postings.read()
-        todo = undetected(stored, store.processed.read())
+        # Only what this batch added is searched; the dictionary is that of the whole table.
+        todo = store.postings.read_version(batch)
         if not store.detected.has_version(batch):
-            found = detect_skills(todo, known_skills(stored))
+            found = detect_skills(todo, known_skills(store.postings.read()))
             store.detected.append(upsert_detected(store.detected.read(), found), batch)
         store.processed.append(todo.select(F.col("id").alias("job_id")), batch)
