@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
@@ -73,6 +73,20 @@ def build_index(docs: DataFrame, boosts: dict[str, float] | None = None, key: st
     return TermIndex(terms, frequencies, stats, dict(boosts))
 
 
+def write_index(index: TermIndex, root: str) -> None:
+    """Store the term table and its statistics."""
+    index.terms.write.parquet(f"{root}/terms")
+    index.frequencies.write.parquet(f"{root}/frequencies")
+    index.fields.write.parquet(f"{root}/fields")
+
+
+def read_index(spark: SparkSession, root: str, boosts: dict[str, float] | None = None) -> TermIndex:
+    """A stored index, placed by job once for all searches over it."""
+    parts = [spark.read.parquet(f"{root}/{name}") for name in ("terms", "frequencies", "fields")]
+    placed = parts[0].repartition(task_count(parts[0]), "job_id")
+    return TermIndex(placed, parts[1], parts[2], dict(boosts or fv.SEARCH_FIELD_BOOSTS))
+
+
 def _query_terms(queries: DataFrame, index: TermIndex, query: str, text: str) -> DataFrame:
     """(query_id, field, term, n): analyzed terms, and the whole text for whole-value fields."""
     clean = queries.select(F.col(query).alias("query_id"), strip(F.coalesce(text, F.lit(""))).alias("_q")).where("_q <> ''")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobweave import fixed_values as fv
 from jobweave.functions.numbers import percent
 from jobweave.functions.text import all_skills, norm_skill, present, strip, strings_or_empty
-from jobweave.operators.skew import attach_by_key, broadcast_if_small, task_count
+from jobweave.operators.skew import attach_by_key, broadcast_if_small, task_count, with_every
 from jobweave.session import cut_lineage
 
 
@@ -131,9 +131,7 @@ def category_scores(postings: DataFrame, resume_skills: DataFrame, min_jobs: int
         )
     )
     heads = profile.select("category", "job_count", "total_weight").distinct()
-    grid = mine.select("resume_id").distinct().withColumn("_k", F.lit(1)).join(
-        broadcast_if_small(heads.withColumn("_k", F.lit(1))), "_k"
-    ).drop("_k")
+    grid = with_every(mine.select("resume_id").distinct(), heads, "resume_id")
     share = F.rint(F.col("matched_weight") / F.col("total_weight") * 100)
     return grid.join(matched, ["resume_id", "category"], "left").select(
         "resume_id", "category", "job_count",
@@ -166,7 +164,7 @@ def skills_to_add(
         by_weight = Window.partitionBy("category").orderBy(*order)
         ranked = ranked.withColumn("_rn", F.row_number().over(by_weight)).where(F.col("_rn") <= limit + longest)
         ranked = ranked.drop("_rn")
-    offered = people.withColumn("_k", F.lit(1)).join(broadcast_if_small(ranked.withColumn("_k", F.lit(1))), "_k")
+    offered = with_every(people, ranked, "resume_id")
     lacking = offered.where(~F.array_contains("_mine", F.col("skill_n")))
     per_pair = Window.partitionBy("resume_id", "category").orderBy(*order)
     out = lacking.withColumn("position", F.row_number().over(per_pair).cast("bigint"))

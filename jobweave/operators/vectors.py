@@ -26,6 +26,7 @@ DIGITS = 10
 MAX_PIVOTS = 256
 SLACK = 1e-9
 EMIT_ROWS = 4096
+STEP = 256  # queries per matrix product, which bounds its size
 
 
 def split_by_length(vectors: DataFrame, dims: int, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -153,14 +154,19 @@ def _scan(index: VectorIndex, visits: DataFrame, top_k: int, block_rows: int, qu
             return pd.DataFrame({"query_id": left["query_id"][:0], "job_id": right["job_id"][:0], "cosine": np.zeros(0)})
         right = right.sort_values("job_id", kind="stable")
         ids = right["job_id"].to_numpy()
-        sims = np.round(np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T, DIGITS)
-        keep = min(top_k, sims.shape[1])
-        # Stable sort over ids in order: equal similarities keep the smaller id first.
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-        return pd.DataFrame({
-            "query_id": np.repeat(left["query_id"].to_numpy(), keep), "job_id": ids[order].ravel(),
-            "cosine": np.take_along_axis(sims, order, axis=1).ravel(),
-        })
+        stored = np.stack(right["unit"].to_numpy()).T
+        keep = min(top_k, stored.shape[1])
+        parts = []
+        for start in range(0, len(left), STEP):
+            some = left.iloc[start:start + STEP]
+            sims = np.round(np.stack(some["unit"].to_numpy()) @ stored, DIGITS)
+            # Stable sort over ids in order: equal similarities keep the smaller id first.
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
+            parts.append(pd.DataFrame({
+                "query_id": np.repeat(some["query_id"].to_numpy(), keep), "job_id": ids[order].ravel(),
+                "cosine": np.take_along_axis(sims, order, axis=1).ravel(),
+            }))
+        return pd.concat(parts)
 
     keys = ["cell", "block", "part"]
     return asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(best, schema)

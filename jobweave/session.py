@@ -23,6 +23,8 @@ def build_session(app: str = "jobweave", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Pages and texts can be large, so fewer rows travel to Python at a time.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         **{key: str(value) for key, value in conf.items()},
     }
     for key, value in settings.items():

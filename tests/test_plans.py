@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from jobweave import schema
 from jobweave.plans import changes
+from jobweave.plans.enrich import enrich_backfill
 from jobweave.plans.ingest import PostingStore, ingest_batch
+from jobweave.plans.resume import analyze_resumes
 from jobweave.plans.search_index import IndexNotUsable, IndexStore, active_run
 from jobweave.sources.board_feed import parse_feed
 from jobweave.sources.tables import VersionedTable
@@ -121,3 +123,30 @@ def test_log_is_appended(spark, tmp_path):
     stream = spark.readStream.schema(schema.INFERENCE_LOG).parquet(str(tmp_path / "log"))
     stream_log(stream, str(tmp_path / "copy"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "copy")).count() == 2
+
+
+def small_postings(spark):
+    rows = [
+        (i, f"https://nofluffjobs.com/pl/job/{i}", "Dev", "Acme", "Backend", ["Python", "SQL"] if i % 2 else ["Go"], ["Docker"] if i < 4 else [], "has text" if i == 2 else None)
+        for i in range(6)
+    ] + [(9, "https://elsewhere.example/9", "Dev", "Acme", "Backend", [], [], None)]
+    return spark.createDataFrame(rows, "id long, url string, title string, company string, category string, skills_required array<string>, skills_nice_to_have array<string>, description string")
+
+
+def test_enrichment_run(spark):
+    page = lambda i: (f"https://nofluffjobs.com/pl/job/{i}", "<h1>Dev</h1><h2>Opis</h2><p>We use Go and docker</p><h2>Required</h2><ul><li>SQL</li></ul>")
+    done = enrich_backfill(small_postings(spark), spark.createDataFrame([page(0), page(1), page(2)], "url string, html string"))
+    rows = {r.id: r for r in done.postings.collect()}
+    assert {i for i, r in rows.items() if r.enriched} == {0, 1} and rows[1].skills_required == ["SQL"] and rows[2].description == "has text"
+    assert {(r.job_id, r.skill_name) for r in done.detected.collect()} == {(0, "Go"), (1, "Go")}
+    assert {r.url[-1] for r in done.errors.collect()} == {"3", "4", "5"}
+
+
+def test_resume_analysis(spark):
+    texts = spark.createDataFrame([(1, "Senior python / docker engineer"), (2, "gardener and cook")], "resume_id long, text string")
+    out = analyze_resumes(texts, small_postings(spark))
+    assert {(r.resume_id, r.skill) for r in out.skills.collect()} == {(1, "Python"), (1, "Docker"), (2, "gardener"), (2, "cook")}
+    best = out.matches.where("resume_id = 1 AND rank = 1").first()
+    assert (best.job_id, best.match_count, best.match_ratio) == (1, 2, 1.0)
+    assert {r.resume_id: r.match_score for r in out.categories.collect()} == {1: 54, 2: 0}
+    assert out.to_add.count() == 0

@@ -95,6 +95,16 @@ def test_company_matches_only_as_a_whole(spark):
     assert [(h.query_id, h.job_id) for h in hits] == [(1, 2)]
 
 
+def test_stored_index_gives_the_same_hits(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"dev {'python' if i % 2 else 'go'}", "", "sql", "text " * i) for i in range(20)], "job_id long, title string, company string, skills_combined string, description string")
+    queries = spark.createDataFrame([(1, "python sql"), (2, "text go")], "query_id long, query_text string")
+    index = search.build_index(docs)
+    search.write_index(index, str(tmp_path / "index"))
+    want = search.search_keyword(index, queries, top_k=5)
+    got = search.search_keyword(search.read_index(spark, str(tmp_path / "index")), queries, top_k=5)
+    assert want.count() == 10 and got.exceptAll(want).isEmpty()
+
+
 # --- fusion -----------------------------------------------------------------------------------
 
 LIST = "query_id long, job_id string, rank long, score double"
