@@ -61,7 +61,7 @@ def feed_lines(spark, sf):
             F.transform("skills_required", tile("requirement")), F.transform("skills_required", tile("requirement")),
             F.transform("skills_nice_to_have", tile("niceToHave")), extra,
         ).alias("values")).alias("tiles"),
-        F.array(F.lower("seniority")).alias("seniority"), F.unix_millis(F.col("created_at").cast("timestamp")).alias("posted"),
+        F.array(F.lower("seniority")).alias("seniority"), (F.unix_date(F.col("created_at").cast("date")).cast("bigint") * 86_400_000).alias("posted"),
         F.lit("").alias("description"), F.concat(F.lit("About "), "title").alias("offerDescription"),
     ))
     # An object category, spliced in where the string one was left out.

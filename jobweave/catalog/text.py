@@ -69,7 +69,7 @@ def work_type_names(spark, sf):
  CASE WHEN o_orderkey%2=0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS expiry_day FROM orders""")
 def date_texts(spark, sf):
     d = F.col("o_orderdate")
-    millis = F.unix_millis(d.cast("timestamp"))
+    millis = F.unix_date(d.cast("date")).cast("bigint") * 86_400_000
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Oferta WAŻNA do: "), F.date_format(d, "dd.MM.yyyy"), F.lit(" r."))).otherwise("none")
     return derived.table(spark, sf, "orders").select(
         "o_orderkey", T.iso_day(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).alias("iso_day"), T.epoch_day(millis).alias("epoch_day"),

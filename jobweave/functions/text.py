@@ -211,7 +211,8 @@ def iso_day(stamp: Column) -> Column:
 
 
 def epoch_day(millis: Column) -> Column:
-    return F.when(millis != 0, F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd"))
+    """UTC day of an epoch time, whatever the session's zone; NULL for 0."""
+    return F.when(millis != 0, F.date_from_unix_date(F.floor(millis / 86_400_000).cast("int")).cast("string"))
 
 
 def expiry_day(text: Column) -> Column:
