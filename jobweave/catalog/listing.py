@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobweave import fixed_values as fv
 from jobweave.catalog import query
 from jobweave.catalog.views import DESCRIBED, PAID, PLAIN, SKILLED
 from jobweave.operators import dedup, filters, listing

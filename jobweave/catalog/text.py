@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
 from jobweave.catalog import query
-from jobweave.catalog.views import DESCRIBED, TEXT_POSTINGS
+from jobweave.catalog.views import DESCRIBED
 from jobweave.functions import text as T
 from jobweave.sources import derived
 

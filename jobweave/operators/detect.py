@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
-from jobweave.functions.text import all_skills, no_strings, norm_skill, present, tokenize
+from jobweave.functions.text import all_skills, no_strings, present, tokenize
 from jobweave.operators.skew import broadcast_if_small, rows_with_keys, spread_if_narrow
 
 _DELIMITER = "(?U)" + fv.TERM_DELIMITERS

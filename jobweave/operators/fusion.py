@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobweave import fixed_values as fv
 from jobweave.functions.numbers import half_up
 from jobweave.functions.text import rerank_text, strip
-from jobweave.operators.search import analyze, top_k_per_query
+from jobweave.operators.search import analyze
 
 DIGITS = 12
 
