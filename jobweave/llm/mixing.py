@@ -62,7 +62,7 @@ def pareto_sample(items: DataFrame, group: str, size: str, copies: str, rank: Co
     Every item first gets floor(copies) certain whole copies.  For the fraction p left over, the
     item's order is its random odds u/(1-u) over its inclusion odds p/(1-p); in each group
     items are taken in rising order as long as the sum of sizes comes nearer to the sum of
-    p * size, which fixes the size of the sample.  Items with p = 0 never are.
+    p * size, rounded so that no order of summing shows, which fixes the size of the sample.  Items with p = 0 never are.
 
     The order is cut into BINS bins by its value.  Sums per (group, bin) are small; only
     the one bin per group that holds the cut is sorted, so no task sees a whole group.
@@ -75,7 +75,7 @@ def pareto_sample(items: DataFrame, group: str, size: str, copies: str, rank: Co
     # order/(1+order) lies in (0, 1) and keeps the order of the items.
     df = df.withColumn("_bin", F.floor(F.col("_order") / (1 + F.col("_order")) * BINS).cast("int"))
     df = stash(df, "pareto_items")
-    sums = df.groupBy(group).agg(F.sum(F.col("_p") * F.col(size)).alias("_goal"))
+    sums = df.groupBy(group).agg(F.round(F.sum(F.col("_p") * F.col(size)), 6).alias("_goal"))
     bins = df.where(F.col("_bin").isNotNull()).groupBy(group, "_bin").agg(F.sum(size).alias("_size"))
     running = F.sum("_size").over(W.partitionBy(group).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
     bins = bins.withColumn("_before", F.coalesce(running, F.lit(0))).withColumnRenamed(group, "_g")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import bpe, exact_dedup, language_id, mixing, near_dedup, preference, quality, token_files, toxicity, url_filter
+from jobweave.llm import bpe, exact_dedup, language_id, mixing, near_dedup, preference, quality, sql, token_files, toxicity, url_filter
 from jobweave.llm.shared import table, work_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -85,4 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_exact_dedup": sql.OP2, "op6_preference": sql.OP6, "op8_mixing": sql.OP8, "op9_url_filter": sql.OP9, "op10_quality": sql.OP10,
+}
