@@ -258,11 +258,15 @@ def _crowd_links(crowded: DataFrame, found: DataFrame, sets: DataFrame, forest:
         F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(1)).alias("df"), "s"))).alias("_all"))
     # A set of n shares at least ceil(percent * n) shingles with any partner.
     prefix = F.col("n") - F.ceil(F.col("n") * forest.percent / 100).cast("int") + 1
-    rare = ranked.select("node", "root", "_seeks", "n", F.explode(F.slice("_all", F.lit(1), prefix)).alias("_e")).where("_e.df > 1")
-    rare = stash(rare.select("node", "root", "_seeks", "n", "_e.s"), "crowd_prefixes")
+    rare = ranked.select("node", "root", "_seeks", "n", F.posexplode(F.slice("_all", F.lit(1), prefix)).alias("_at", "_e")).where("_e.df > 1")
+    rare = stash(rare.select("node", "root", "_seeks", "n", "_at", "_e.s"), "crowd_prefixes")
     x, y = rare.where("_seeks").alias("x"), rare.alias("y")
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root"))).where(
-        F.least("x.n", "y.n") * 100 >= forest.percent * F.greatest("x.n", "y.n"))
+    # Two sets need this many in common, and can have no more than follow the first they share.
+    needed = F.ceil((F.col("x.n") + F.col("y.n")) * forest.percent / (100 + forest.percent))
+    pairs = x.join(y, (
+        (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root"))
+        & (F.col("x.n") - F.col("x._at") >= needed) & (F.col("y.n") - F.col("y._at") >= needed)
+    ))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return _links(stash(pairs, "crowd_pairs"), sets, forest)
 
