@@ -7,10 +7,10 @@ Words that are not in it are merged exactly, by rank, as the tokenizer's merge l
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,10 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobweave.llm.chunks import ChunkEncoder, chunks_of, slices
-from jobweave.llm.shared import work_path
+from jobweave.llm.shared import stash, work_path
 
 LEXICON_WORDS = 1 << 16
 SLICE_CHARS = 4_000_000  # texts encoded at once in a task
@@ -333,10 +334,19 @@ def _count_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``most`` most frequent words of all texts, by count over the whole corpus, then by bytes."""
+    """The most frequent words of all texts, by count over the whole corpus.
+
+    All words that occur as often as the last one are in, as long as there are ``most`` at most.
+    """
     counts = docs.select(F.col(text).alias("text")).mapInArrow(lambda b: _count_words(b, tokenizer_path), "word binary, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r.word) for r in top.select("word").collect()]
+    counts = stash(counts.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+    # The smallest count that no more than ``most`` words reach; one row per count is ordered here.
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_words"))
+    reach = sizes.select("n", F.sum("_words").over(W.orderBy(F.desc("n"))).alias("_reach"))
+    least = reach.where(F.col("_reach") <= most).agg(F.min("n")).first()[0]
+    if least is None:
+        return []
+    return [bytes(r.word) for r in counts.where(F.col("n") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", most: int = LEXICON_WORDS) -> str:
@@ -348,7 +358,7 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", most
     """
     words = sorted(frequent_words(docs, tokenizer_path, text, most))
     blob = Lexicon.compile(words, merges_of(tokenizer_path).merge_words(words)).to_bytes()
-    name = f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex[:24]}.bin"
     return _share(docs.sparkSession, name, blob)
 
 
