@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from jobweave.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from jobweave.llm.queries import WORD_TOKENIZER, encoding_digests
-from jobweave.llm.shared import apply_times, table, work_path
+from jobweave.llm.shared import apply_times, numbered, table, work_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; frequent lines go from the texts of the others, whose n_chars follows."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", "source")
-    judged = quality.judge(packed).where("kept")
-    changed = ~F.col("cleaned_text").eqNullSafe(F.col("text"))
+    inner, name = numbered(docs)
+    judged = quality.judge(inner, name["text"], name["source"]).where("kept")
+    changed = ~F.col("cleaned_text").eqNullSafe(F.col(name["text"]))
     columns = {
         "text": F.col("cleaned_text"),
-        "n_chars": F.when(changed, F.char_length("cleaned_text").cast("long")).otherwise(F.col("_doc.n_chars")),
+        "n_chars": F.when(changed, F.char_length("cleaned_text").cast("long")).otherwise(F.col(name["n_chars"])),
     }
-    return judged.select(*[columns.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+    return judged.select(*[columns.get(c, F.col(name[c])).alias(c) for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.shared import WORD, fingerprint, small_side, stash
+from jobweave.llm.shared import WORD, fingerprint, numbered, small_side, stash
 
 SPACE_RUN = "[\\x20\\x09\\x0B-\\x0D]+"
 SYMBOL = "[#*$%&|<>]"
@@ -62,6 +62,13 @@ def _covered(positions: Column) -> Column:
     )
 
 
+def once(**columns: Column) -> Column:
+    """Columns that are computed where they stand.  A filter on one of them would else be moved
+    down with a copy of what it is made from, also into the functions over array elements,
+    where an array would be made anew for each element."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     c = F.coalesce(F.col(text), F.lit(""))
@@ -76,14 +83,13 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_starts", F.when(
         F.col("_repeats"), F.sort_array(F.filter(at, lambda _, i: ((i > 0) & same(i, -1)) | same(i, 1)))
     ))
-    return df.select(
-        *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
-        F.regexp_count(c, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.col("_repeats"), _covered(F.col("_starts"))), F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+    return df.select(*docs.columns, once(
+        n_words=F.size("_words").cast("long"),
+        word_chars=F.length(F.concat_ws("", "_words")).cast("long"),
+        n_symbols=F.regexp_count(c, F.lit(SYMBOL)).cast("long"),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        n_repeat_words=F.coalesce(F.when(F.col("_repeats"), _covered(F.col("_starts"))), F.lit(0)).cast("long"),
+    ))
 
 
 def normal_lines(text: Column) -> Column:
@@ -137,19 +143,19 @@ def judge(
     """
     rules = rules or LineRules()
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned_text", "n_words_left", "base_failed", "kept"]
-    rest = docs.drop(*[c for c in made if c not in (text, host)])
-    narrow = docs.select(text, host)
-    hits = stash(line_hits(narrow, text, host, rules), "line_hits")
-    df = base_measures(rest, text).withColumns({"_h1": fingerprint(host, text)[0], "_h2": fingerprint(host, text)[1]})
+    inner, name = numbered(docs)
+    body, place = name[text], name[host]
+    hits = stash(line_hits(inner.select(body, place), body, place, rules), "line_hits")
+    df = base_measures(inner, body).withColumns(dict(zip(("_h1", "_h2"), fingerprint(place, body))))
     df = df.join(small_side(hits), ["_h1", "_h2"], "left")
     # Lines go out of the original text by position, so the rest keeps its form.
-    raw, normal = F.split(F.col(text), "\n"), normal_lines(F.col(text))
-    stay = F.transform(normal, lambda x: ~F.array_contains("_hashes", F.xxhash64(x)))
-    left = F.array_join(F.filter(raw, lambda _, i: F.get(stay, i)), "\n")
-    df = df.withColumn("cleaned_text", F.when(F.col("_hashes").isNull(), F.col(text)).otherwise(left))
+    lines = F.zip_with(F.split(F.col(body), "\n"), normal_lines(F.col(body)), lambda r, x: F.when(~F.array_contains("_hashes", F.xxhash64(x)), r))
+    left = F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
+    df = df.select("*", once(cleaned_text=F.when(F.col("_hashes").isNull(), F.col(body)).otherwise(left)))
     df = df.withColumn("n_words_left", F.when(F.col("_hashes").isNull(), F.col("n_words")).otherwise(
         F.regexp_count(F.col("cleaned_text"), F.lit(WORD)).cast("long")))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     depleted = F.col("_hashes").isNotNull() & (
         (F.col("n_words_left") < rules.min_words) | (F.col("n_words_left") < rules.min_left * F.col("n_words")))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("_h1", "_h2", "_hashes")
+    df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+    return df.select(*[F.col(name[c]).alias(c) for c in docs.columns if c not in made], *made)

@@ -69,7 +69,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    each = [F.struct(*[F.lit(v).alias(c) for v, c in zip(rule, ("host", "path", "action"))]) for rule in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*each)))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

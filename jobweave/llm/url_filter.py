@@ -43,9 +43,10 @@ def _prefixes(path: Column, most: Column) -> Column:
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """One row per (host, path) with its digest; where the same rule is given twice, block wins."""
-    named = rules.select(
-        ascii_lower(F.coalesce("host", F.lit(""))).alias("_rh"), F.coalesce("path", F.lit("")).alias("_rp"),
+    """One row per (host, path) with its digest; where the same rule is given twice, block wins.  Rules
+    without a host fit nothing."""
+    named = rules.where("host <> ''").select(
+        ascii_lower(F.col("host")).alias("_rh"), F.coalesce("path", F.lit("")).alias("_rp"),
         (F.col("action") == "block").alias("_block"),
     ).groupBy("_rh", "_rp").agg(F.max("_block").alias("_block"))
     digest = F.sha2(F.concat("_rh", F.lit("\n"), "_rp"), 256)
@@ -66,15 +67,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     """
     prepared = stash(prepare_rules(rules), "url_rules")
     by_prefix = prepared.groupBy("_short").agg(F.collect_list(F.struct("_digest", "_rh", "_rp", "_block")).alias("_rules"))
-    # No rule is longer than these, so longer expressions cannot fit.
+    # No rule is longer than these two numbers, so longer expressions cannot fit.
     longest = prepared.agg(
-        F.coalesce(F.max(F.size(F.split("_rh", "\\."))), F.lit(0)).alias("_labels"),
-        F.coalesce(F.max(F.size(F.split("_rp", "/"))), F.lit(0)).alias("_depth"),
-    )
+        F.coalesce(F.max(F.size(F.split("_rh", "\\."))), F.lit(0)).alias("labels"),
+        F.coalesce(F.max(F.size(F.split("_rp", "/"))), F.lit(0)).alias("depth"),
+    ).first()
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url")).withColumns(
         {"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
-    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(longest.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    hosts, paths = _suffixes(F.col("_host"), F.col("_labels")), _prefixes(F.col("_path"), F.col("_depth"))
+    hosts, paths = _suffixes(F.col("_host"), F.lit(longest.labels)), _prefixes(F.col("_path"), F.lit(longest.depth))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("h"), p.alias("p")))))
     rows = rows.withColumn("_pairs", pairs).withColumn("_count", F.greatest(F.size("_pairs"), F.lit(1)))
     each = rows.select("_key", "_url", "_host", "_path", "_count", F.explode_outer("_pairs").alias("_pair"))
