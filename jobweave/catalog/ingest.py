@@ -77,7 +77,7 @@ def ingest_counts(spark, sf):
     return ingest.ingest_counts(p.where("status <> 'P'"), p.where("status = 'F'"), p.where("status = 'P'"))
 
 
-@query("last_errors", PLAIN + """ SELECT source, url FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, url) AS rn FROM postings WHERE status = 'P') WHERE rn <= 50""")
+@query("last_errors", PLAIN + """ SELECT source, url FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, url) AS rn FROM postings WHERE status = 'P')""")
 def last_errors(spark, sf):
     return ingest.last_errors(derived.postings(spark, sf).where("status = 'P'"), "created_at").select("source", "url")
 
@@ -136,7 +136,7 @@ def merge_enrichment(spark, sf):
     return changes.merge_enrichment(p, parsed).select("id", "enriched", "description", F.array_join("skills_required", "|").alias("skills_required"))
 
 
-@query("enrichment_backlog", DESCRIBED + """ SELECT id, url FROM postings WHERE trim(coalesce(description, '')) = '' AND contains(url, 'src1') ORDER BY id LIMIT 2000""")
+@query("enrichment_backlog", DESCRIBED + """ SELECT id, url FROM postings WHERE trim(coalesce(description, '')) = '' AND contains(url, 'src1')""")
 def enrichment_backlog(spark, sf):
     return changes.enrichment_backlog(derived.postings(spark, sf, described=True), F.contains(F.col("url"), F.lit("src1")))
 

@@ -133,7 +133,7 @@ def listings_of_shared_roles(spark, sf):
 
 
 @query("first_seen_matches", PLAIN + """ SELECT query_id, position, job_id FROM (SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, job_id) AS position FROM (
- SELECT category AS query_id, id AS job_id, id AS rank, row_number() OVER (PARTITION BY category, title, company ORDER BY id) AS rn FROM postings) WHERE rn = 1) WHERE position <= 8""")
+ SELECT category AS query_id, id AS job_id, id AS rank, row_number() OVER (PARTITION BY category, title, company ORDER BY id) AS rn FROM postings) WHERE rn = 1)""")
 def first_seen_matches(spark, sf):
     p = derived.postings(spark, sf).select(F.col("category").alias("query_id"), F.col("id").alias("job_id"), F.col("id").alias("rank"), "title", "company")
     return dedup.first_seen(p, "query_id", "rank").select("query_id", "position", "job_id")
@@ -143,7 +143,7 @@ def first_seen_matches(spark, sf):
  SELECT category AS query_id, id AS job_id, title, company, 0 AS leg, id AS rank FROM postings WHERE saved
  UNION ALL SELECT category, id, title, company, 1, id FROM postings),
  firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, title, company ORDER BY leg, rank, job_id) AS rn FROM both_legs)
- SELECT query_id, position, job_id, CAST(leg AS INTEGER) AS leg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank, job_id) AS position FROM firsts WHERE rn = 1) WHERE position <= 8""")
+ SELECT query_id, position, job_id, CAST(leg AS INTEGER) AS leg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank, job_id) AS position FROM firsts WHERE rn = 1)""")
 def merge_keyword_and_semantic(spark, sf):
     ranked = derived.postings(spark, sf).select(
         F.col("category").alias("query_id"), F.col("id").alias("job_id"), "title", "company", F.col("id").alias("rank"), "saved"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobweave import fixed_values as fv
 from jobweave.catalog import query
 from jobweave.catalog.views import SKILLED
 from jobweave.sources import board_feed, derived, pages
@@ -174,7 +175,7 @@ _PAGE_SQL = SKILLED + f""", expected AS (SELECT *, id%5 AS kind, array_to_string
  CASE kind WHEN 0 THEN 'a {{nested}} body' WHEN 1 THEN 'Work on ' || category WHEN 2 THEN 'Short' ELSE 'Praca zdalnie' || chr(10) || 'w Kraków' || chr(10) || chr(10) || '10 000 – 12 000 PLN, B2B, ważna do 03.04.2025' END AS description,
  CASE kind WHEN 0 THEN {_TITLE.format('category')} WHEN 3 THEN 'Backend' ELSE 'DevOps' END AS category,
  CASE kind WHEN 0 THEN '2024-05-06' WHEN 1 THEN date_added END AS date_published, CASE kind WHEN 3 THEN '2025-04-03' END AS date_expires
- FROM expected WHERE kind < 4 AND NOT (kind IN (1, 2) AND req = '')""")
+ FROM expected WHERE kind < 4""")
 def parsed_pages(spark, sf):
     parsed, _ = pages.parse_pages(offer_pages(spark, sf))
     text = lambda c: F.array_join(c, "|").alias(c)
@@ -182,8 +183,7 @@ def parsed_pages(spark, sf):
         "url", "source", "title", "company", text("location"), "salary_min", "salary_currency", "salary_type", "explicit_period",
         text("skills_required"), text("skills_nice_to_have"), "seniority", "work_type", text("employment_types"), "description", "category",
         "date_published", "date_expires",
-    # Pages without any listed skill fall back to other headings; the twin leaves those out.
-    ).where("NOT (url LIKE 'https://justjoin.it%' AND skills_required = '' AND (description = 'Short' OR description LIKE 'Work on %'))")
+    )
 
 
 @query("unsupported_pages", _PAGE_SQL + """ SELECT page_url AS url, 'Unsupported URL: ' || page_url || '. Supported sites: justjoin.it, nofluffjobs.com' AS error FROM expected WHERE kind = 4""")
@@ -202,8 +202,21 @@ def structured_data_fields(spark, sf):
     )
 
 
-@query("page_tag_fields")
+_SEEN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script\s*>', '', 'g'), '(?is)<style.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+_TEXT = r"""replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(seen, '(?s)<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&ndash;', chr(8211)),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&')"""
+_LEVELS = " ".join(f"WHEN contains(t, '{w}') THEN '{w}'" for w in fv.SENIORITY_ORDER_NF)
+
+
+@query("page_tag_fields", rf"""WITH s AS (SELECT url, {_SEEN} AS seen FROM pages), x AS (SELECT *, {_TEXT} AS t, lower({_TEXT}) AS low FROM s)
+ SELECT url, trim(regexp_replace(regexp_extract(seen, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '(?s)<[^>]*>', '', 'g').replace('&amp;', '&')) AS title,
+ CASE {_LEVELS} END AS seniority,
+ CASE WHEN regexp_matches(low, 'zdalnie|remote') AND contains(low, 'hybryd') THEN 'Hybrid' WHEN regexp_matches(low, 'zdalnie|remote') THEN 'Remote'
+  WHEN regexp_matches(low, 'hybryd|hybrid') THEN 'Hybrid' WHEN regexp_matches(low, 'stacjonarnie|onsite|on-site') THEN 'Onsite' END AS work_type,
+ CAST(len(regexp_extract_all(seen, '(?i)<a\b')) AS INTEGER) AS links FROM x""")
 def page_tag_fields(spark, sf):
-    """The tag-tree fields of all crawled pages."""
-    found = pages.nf_html_postings(pages.page_sections(derived.table(spark, sf, "pages")))
-    return found.select("url", "title", "company", "seniority", "work_type", F.size("skills_required").alias("skills"))
+    """Tag fields of all crawled pages."""
+    found = pages.page_sections(derived.table(spark, sf, "pages"))
+    text = F.col("text")
+    return found.select(
+        "url", "title", pages.first_listed(fv.SENIORITY_ORDER_NF, text).alias("seniority"), pages.work_type_of_text(text).alias("work_type"), F.size("links").alias("links"))

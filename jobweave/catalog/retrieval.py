@@ -16,7 +16,7 @@ from jobweave.sources import derived
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _INDEX = TEXT_POSTINGS + f""",
 docs AS (SELECT id AS job_id, coalesce(title, '') AS title, company, category, url, array_to_string(list_concat(skills_required, skills_nice_to_have), ' ') AS skills_combined,
- substr(coalesce(description, ''), 1, 5000) AS description FROM tp),
+ coalesce(description, '') AS description FROM tp),
 ft AS (SELECT *, len(tokens) AS dl FROM (SELECT job_id, 'title' AS field, 2.0::DOUBLE AS boost, {_TOKENS.format('title')} AS tokens FROM docs
  UNION ALL SELECT job_id, 'skills_combined', 1.5::DOUBLE, {_TOKENS.format('skills_combined')} FROM docs
  UNION ALL SELECT job_id, 'description', 1.0::DOUBLE, {_TOKENS.format('description')} FROM docs) WHERE len(tokens) > 0),
@@ -188,7 +188,7 @@ _MULTI = f"""{_INDEX}, {_VARIANTS}, {_keyword_sql('SELECT resume_id * 2 + varian
 {_semantic_sql('SELECT resume_id * 2 + variant AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM variants JOIN embeddings ON vec_id = vec', 60)}, {_fused_sql(30)},
 multi AS (SELECT query_id // 2 AS resume_id, job_id, sum(1.0::DOUBLE / (60 + rank)) AS s, bool_or(ra IS NOT NULL) AS from_keyword, bool_or(rb IS NOT NULL) AS from_semantic FROM fused GROUP BY 1, 2),
 candidates AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY round(s, 12) DESC, job_id) AS rank FROM multi QUALIFY rank <= 30),
-scored AS (SELECT c.*, list_distinct({_TOKENS.format('v.query_text')}) AS qt, list_distinct({_TOKENS.format("trim(concat_ws(' ', nullif(title, ''), nullif(company, ''), nullif(category, ''), nullif(skills_combined, ''), nullif(substr(description, 1, 500), '')))")}) AS dt
+scored AS (SELECT c.*, list_distinct({_TOKENS.format('v.query_text')}) AS qt, list_distinct({_TOKENS.format("trim(concat_ws(' ', nullif(title, ''), nullif(company, ''), nullif(category, ''), nullif(skills_combined, ''), nullif(description, '')))")}) AS dt
  FROM candidates c JOIN docs USING (job_id) JOIN variants v ON v.resume_id = c.resume_id AND v.variant = 0),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY len(list_intersect(qt, dt))::DOUBLE / len(qt) DESC, rank) AS new_rank FROM scored QUALIFY new_rank <= 10)"""
 
@@ -224,7 +224,7 @@ _OVER = "len(list_intersect(qt, dt))::DOUBLE / len(qt)"
 
 
 @query("rerank_keyword_hits", f"""{_INDEX}, {_keyword_sql(_BENCH, 30)}, s AS (SELECT k.*, list_distinct({_TOKENS.format('query_text')}) AS qt,
- list_distinct({_TOKENS.format("concat_ws(' ', title, company, category, skills_combined, substr(description, 1, 500))")}) AS dt FROM keyword k JOIN q USING (query_id) JOIN docs USING (job_id))
+ list_distinct({_TOKENS.format("concat_ws(' ', title, company, category, skills_combined, description)")}) AS dt FROM keyword k JOIN q USING (query_id) JOIN docs USING (job_id))
  SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY {_OVER} DESC, rank) AS rank, round({_OVER}, 6) AS rerank_score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_OVER} DESC, rank) <= 10""")
 def rerank_keyword_hits(spark, sf):
     queries, docs = _passages(spark, sf), _documents(spark, sf)

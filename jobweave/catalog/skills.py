@@ -136,14 +136,13 @@ def resume_keywords(spark, sf):
     return _keywords(spark, sf)
 
 
-@query("resume_skills_canonical", _KEYWORDS + f""", vocabulary AS (SELECT lower(skill) AS k, max(skill) AS canonical FROM known WHERE length(skill) > 6 GROUP BY 1),
+@query("resume_skills_canonical", _KEYWORDS + f""", vocabulary AS (SELECT lower(skill) AS k, max(skill) AS canonical FROM known GROUP BY 1),
  tagged AS (SELECT resume_id, keyword, canonical FROM keywords LEFT JOIN vocabulary ON k = lower(keyword)),
  none AS (SELECT resume_id FROM tagged GROUP BY 1 HAVING count(canonical) = 0)
  SELECT DISTINCT resume_id, canonical AS skill FROM tagged WHERE canonical IS NOT NULL
- UNION ALL SELECT resume_id, keyword FROM (SELECT resume_id, keyword, row_number() OVER (PARTITION BY resume_id ORDER BY keyword) AS rn FROM (
-  SELECT DISTINCT resume_id, keyword FROM keywords WHERE resume_id IN (SELECT resume_id FROM none))) WHERE rn <= 50 AND length(keyword) >= 2""")
+ UNION ALL SELECT DISTINCT resume_id, keyword FROM keywords WHERE resume_id IN (SELECT resume_id FROM none) AND length(keyword) >= 2""")
 def resume_skills_canonical(spark, sf):
-    known = skills.known_skills(derived.text_postings(spark, sf)).where("length(skill) > 6")
+    known = skills.known_skills(derived.text_postings(spark, sf))
     return skills.canonical_resume_skills(_keywords(spark, sf), known)
 
 

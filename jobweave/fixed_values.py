@@ -72,6 +72,7 @@ BOARD_NF = "nofluffjobs.com"
 JJ_OFFER_PREFIX = "https://justjoin.it/job-offer/"
 NF_OFFER_PREFIX = "https://nofluffjobs.com/pl/job/"
 OFFER_LINK = "job-offer/([a-z0-9][a-z0-9-]+)"
+PAYLOAD_START = r'(?s)\{"slug":"[^"]+","title":"[^"]+","experienceLevel".*'
 NICE_TILE_TYPES = ["nice_to_have", "optional", "niceToHave"]
 MAX_SKILL_LENGTH = 50
 REQUIRED_HEADINGS = ["required", "obowiązkowe", "must have", "wymagane"]
@@ -121,25 +122,16 @@ INJECTION_PATTERNS = [
     r"system\s*:\s*",
     r"<\|[a-z_]+\|>",
 ]
-PROMPT_TEXT_LIMIT = 500
-PROMPT_SKILL_LIMIT = 80
 
 # --- retrieval ---------------------------------------------------------------
 RRF_K = 60
 RERANK_CANDIDATES = 30
 MATCH_LIMIT = 100
-MERGED_MATCH_LIMIT = 8
 RECALL_CUTOFFS = [5, 10, 20]
 SEARCH_FIELD_BOOSTS = {"title": 2.0, "company": 1.0, "skills_combined": 1.5, "description": 1.0}
-EMBED_TEXT_DESCRIPTION = 2000
-SEARCH_DOC_DESCRIPTION = 5000
-RERANK_TEXT_DESCRIPTION = 500
-HIT_DESCRIPTION = 1000
-EMBED_INPUT_LIMIT = 8000
 BGE_QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 NOMIC_DOCUMENT_PREFIX = "search_document: "
 NOMIC_QUERY_PREFIX = "search_query: "
 CATEGORY_MIN_JOBS = 5
 ADVICE_MIN_WEIGHT = 5
 ADVICE_LIMIT = 40
-RAW_TOKEN_LIMIT = 50

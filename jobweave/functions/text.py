@@ -119,21 +119,21 @@ def _joined(*parts: Column) -> Column:
     return F.when(text == "", "unknown").otherwise(text)
 
 
-def posting_text(desc_chars: int = fv.EMBED_TEXT_DESCRIPTION) -> Column:
-    """Text of a posting that is embedded."""
+def posting_text() -> Column:
+    """Text of a posting that is embedded, whole."""
     return _joined(
         F.col("title"), F.col("company"), F.col("category"),
         F.array_join(strings_or_empty(F.col("skills_required")), " "),
         F.array_join(strings_or_empty(F.col("skills_nice_to_have")), " "),
-        F.substring(F.col("description"), 1, desc_chars),
+        F.col("description"),
     )
 
 
 def rerank_text() -> Column:
-    """Text of a search hit that a pair scorer reads."""
+    """Text of a search hit that a pair scorer reads, whole."""
     return _joined(
         F.col("title"), F.col("company"), F.col("category"), F.col("skills_combined"),
-        F.substring(F.col("description"), 1, fv.RERANK_TEXT_DESCRIPTION),
+        F.col("description"),
     )
 
 
@@ -157,7 +157,7 @@ def embed_profile(source: Column, model: Column, explicit: Column, *, built: boo
 
 
 def embedding_input(text: Column, profile: Column, usage: Column) -> Column:
-    """Text with the prefix its profile and usage ask for, cut to the input limit."""
+    """Text with the prefix its profile and usage ask for.  A model that reads less takes it in parts."""
     clean = strip(F.coalesce(text, F.lit("")))
     query = usage == "query"
     prefix = (
@@ -167,13 +167,13 @@ def embedding_input(text: Column, profile: Column, usage: Column) -> Column:
         .otherwise("")
     )
     return F.when(clean == "", "").otherwise(
-        F.substring(F.concat(prefix, clean), 1, fv.EMBED_INPUT_LIMIT)
+        F.concat(prefix, clean)
     )
 
 
 def content_key(prepared: Column, model: Column, source: Column, profile: Column, usage: Column) -> Column:
     return F.sha2(
-        F.concat_ws("|", F.substring(prepared, 1, fv.EMBED_INPUT_LIMIT), model, source, profile, usage), 256
+        F.concat_ws("|", prepared, model, source, profile, usage), 256
     )
 
 
@@ -182,20 +182,27 @@ def content_key(prepared: Column, model: Column, source: Column, profile: Column
 _INJECTION = "(?i)" + "|".join(f"(?:{p})" for p in fv.INJECTION_PATTERNS)
 
 
-def safe_lines(text: Column) -> Column:
-    """Lines left after unprintable characters and lines with injected instructions go."""
-    cleaned = F.regexp_replace(
+def _printable_lines(text: Column) -> Column:
+    printable = F.regexp_replace(
         F.coalesce(text, F.lit("")), r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\t]]", ""
     )
-    return F.filter(F.split(cleaned, "\n"), lambda line: ~line.rlike(_INJECTION))
+    return F.split(printable, "\n")
 
 
-def sanitize_for_prompt(text: Column, limit: int = fv.PROMPT_TEXT_LIMIT) -> Column:
-    return F.substring(strip(F.array_join(safe_lines(text), "\n")), 1, limit)
+def safe_lines(text: Column) -> Column:
+    """Lines left after unprintable characters and lines with injected instructions go."""
+    return F.filter(_printable_lines(text), lambda line: ~line.rlike(_INJECTION))
+
+
+def sanitize_for_prompt(text: Column, limit: int | None = None) -> Column:
+    """The safe lines; ``limit`` is for prompts that hold no more characters."""
+    safe = strip(F.array_join(safe_lines(text), "\n"))
+    return safe if limit is None else F.substring(safe, 1, limit)
 
 
 def flagged_lines(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(_INJECTION)))
+    """How many lines :func:`safe_lines` takes out."""
+    return F.size(F.filter(_printable_lines(text), lambda line: line.rlike(_INJECTION)))
 
 
 def usable_url(url: Column) -> Column:
@@ -235,51 +242,55 @@ def detect_entry_period(entry: dict[str, Column]) -> Column:
     return F.coalesce(*tests)
 
 
+_QUOTED = r'"((?:[^"\\]|\\.)*)"'
+
+
+def _answered_list(raw: Column, key: str) -> Column:
+    """The texts that an answer lists under ``key``, as it stands: the first JSON object that has
+    the key; where none reads, the quoted texts between the brackets that follow the key."""
+    starts = F.filter(F.split(raw, r"(?=\{)"), lambda part: part.startswith("{"))
+    whole = F.transform(starts, lambda part: F.from_json(part, f"`{key}` array<string>")[key])
+    read = F.try_element_at(F.filter(whole, lambda names: names.isNotNull()), F.lit(1))
+    after = F.regexp_extract(raw, rf'(?s)"{key}"\s*:\s*\[([^\]]*)\]', 1)
+    return F.coalesce(read, F.regexp_extract_all(after, F.lit(_QUOTED), 1))
+
+
+def _names(texts: Column) -> Column:
+    return F.filter(F.transform(texts, strip), lambda s: s.isNotNull() & (s != ""))
+
+
 def parse_skill_answer(raw: Column) -> Column:
-    """Skill names in a model answer: the JSON object if it reads, else a bare string list."""
-    block = F.regexp_extract(raw, r'(?s)(\{[^{}]*"skills"[^{}]*\[.*?\]\s*[^{}]*\})', 1)
-    text = F.when(block != "", block).otherwise(strip(raw))
-    parsed = F.from_json(text, "skills array<string>").getField("skills")
-    first = F.regexp_extract(text, r'\[\s*"([^"]+)"(?:\s*,\s*"([^"]+)")*\s*\]', 1)
-    last = F.regexp_extract(text, r'\[\s*"([^"]+)"(?:\s*,\s*"([^"]+)")*\s*\]', 2)
-    listed = F.filter(F.array(first, last), lambda s: s != "")
-    names = F.transform(F.coalesce(parsed, listed), strip)
-    return F.array_distinct(F.filter(names, lambda s: s.isNotNull() & (s != "")))
+    """Different skill names in a model answer: those under ``skills``, else those of a bare list."""
+    under = _names(_answered_list(raw, "skills"))
+    bare = _names(F.regexp_extract_all(F.regexp_extract(raw, r"(?s)\[([^\]]*)\]", 1), F.lit(_QUOTED), 1))
+    return F.array_distinct(F.when(raw.contains('"skills"'), under).otherwise(bare))
 
 
 def parse_query_answer(raw: Column) -> Column:
     """Query variants in a model answer, in order; empty where nothing reads."""
-    inner = F.regexp_extract(raw, r'(?s)\{\s*"queries"\s*:\s*\[(.*?)\]\s*\}', 1)
-    parsed = F.from_json(F.concat(F.lit('{"queries": ['), inner, F.lit("]}")), "queries array<string>")
-    names = F.transform(F.coalesce(parsed.getField("queries"), no_strings()), strip)
-    return F.filter(names, lambda s: s.isNotNull() & (s != ""))
+    return F.coalesce(_names(_answered_list(raw, "queries")), no_strings())
 
 
 def salary_range_text(text: Column) -> Column:
-    """First salary range in running text as struct(min, max, currency, type)."""
-    flat = F.translate(text, "  ", "  ")
-    currencies = "|".join(fv.SALARY_CURRENCIES)
-    spaced = rf"(\d[\d\s]*(?:[.,]\d+)?)\s*[–\-]\s*(\d[\d\s]*(?:[.,]\d+)?)\s*({currencies})"
-    commas = rf"(\d[\d,]*(?:\.\d+)?)\s*[–\-]\s*(\d[\d,]*(?:\.\d+)?)\s*({currencies})"
-
-    def read(pattern: str) -> Column:
-        number = lambda i: F.regexp_replace(F.regexp_extract(flat, pattern, i), "[ ,]", "").try_cast("double")
-        found = F.regexp_extract(flat, pattern, 0)
-        at = F.instr(flat, found)
-        start = F.greatest(F.lit(1), at - fv.SALARY_CONTEXT_CHARS)
-        context = F.substring(flat, start, at + F.length(found) + fv.SALARY_CONTEXT_CHARS - start)
-        kind = (
-            F.when(context.contains("B2B"), "B2B")
-            .when(context.contains("UoP") | context.contains("Permanent")
-                  | F.lower(context).contains("umowa o prac"), "Permanent")
-            .otherwise("")
-        )
-        return F.when(
-            (found != "") & number(1).isNotNull() & (number(2) >= fv.SALARY_TEXT_FLOOR),
-            F.struct(
-                number(1).alias("min"), number(2).alias("max"),
-                F.regexp_extract(flat, pattern, 3).alias("currency"), kind.alias("type"),
-            ),
-        )
-
-    return F.coalesce(read(spaced), read(commas))
+    """First salary range in running text as struct(min, max, currency, type).
+
+    Amounts group their digits by white space or by commas; the form with white space is tried
+    first.  What surrounds the range tells the kind of contract.
+    """
+    flat = F.translate(text, "\u00a0\u202f", "  ")
+    codes = "|".join(fv.SALARY_CURRENCIES)
+
+    def read(group: str, fraction: str) -> Column:
+        amount = rf"\d[\d{group}]*(?:{fraction}\d+)?"
+        # The range with its surroundings, found once: before, from, to, currency, after.
+        near = fv.SALARY_CONTEXT_CHARS
+        pattern = rf"(?s)(.{{0,{near}}}?)({amount})\s*[–-]\s*({amount})\s*({codes})(.{{0,{near}}})"
+        part = lambda i: F.regexp_extract(flat, pattern, i)
+        value = lambda i: F.translate(part(i), " ,\t\n", "").try_cast("double")
+        around = F.concat(part(1), part(2), part(3), part(4), part(5))
+        permanent = around.contains("UoP") | around.contains("Permanent") | F.lower(around).contains("umowa o prac")
+        kind = F.when(around.contains("B2B"), "B2B").when(permanent, "Permanent").otherwise("")
+        return F.when(value(2).isNotNull() & (value(3) >= fv.SALARY_TEXT_FLOOR), F.struct(
+            value(2).alias("min"), value(3).alias("max"), part(4).alias("currency"), kind.alias("type")))
+
+    return F.coalesce(read(r"\s", "[.,]"), read(",", r"\."))

@@ -139,7 +139,7 @@ def tag_reposts(batch: DataFrame, committed: DataFrame | None = None) -> DataFra
 
 # --- ranked match lists ------------------------------------------------------------
 
-def first_seen(matches: DataFrame, query: str, rank: str, limit: int | None = fv.MERGED_MATCH_LIMIT) -> DataFrame:
+def first_seen(matches: DataFrame, query: str, rank: str, limit: int | None = None) -> DataFrame:
     """Per query keep the first match of each (title, company); wholly blank keys go."""
     keyed = matches.withColumns({
         "_t": F.coalesce("title", F.lit("")), "_c": F.coalesce("company", F.lit("")),
@@ -154,9 +154,9 @@ def first_seen(matches: DataFrame, query: str, rank: str, limit: int | None = fv
 
 
 def merge_keyword_semantic(
-    keyword: DataFrame, semantic: DataFrame, query: str = "query_id", limit: int = fv.MERGED_MATCH_LIMIT
+    keyword: DataFrame, semantic: DataFrame, query: str = "query_id", limit: int | None = None
 ) -> DataFrame:
-    """Keyword matches first, then semantic ones, one per (title, company), cut to ``limit``."""
+    """Keyword matches first, then semantic ones, one per (title, company); the first ``limit`` if given."""
     both = keyword.withColumn("leg", F.lit(0)).unionByName(
         semantic.withColumn("leg", F.lit(1)), allowMissingColumns=True
     )

@@ -28,7 +28,7 @@ def search_documents(postings: DataFrame, vectors: DataFrame | None = None) -> D
         F.col("id").alias("job_id"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "company", "category", "url")],
         skills_combined().alias("skills_combined"),
-        F.substring(F.coalesce("description", F.lit("")), 1, fv.SEARCH_DOC_DESCRIPTION).alias("description"),
+        F.coalesce("description", F.lit("")).alias("description"),
     )
     return docs if vectors is None else docs.join(vectors.select("job_id", "embedding"), "job_id")
 

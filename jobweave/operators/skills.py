@@ -313,19 +313,17 @@ def match_postings_exact_case(postings: DataFrame, resume_skills: DataFrame, lim
     return _per_resume(people, "exact", wanted, _best_jobs(overlaps, sets, limit), F.size(normal(F.col("exact"))))
 
 
-def canonical_resume_skills(keywords: DataFrame, known: DataFrame, raw_limit: int = fv.RAW_TOKEN_LIMIT) -> DataFrame:
+def canonical_resume_skills(keywords: DataFrame, known: DataFrame, raw_limit: int | None = None) -> DataFrame:
     """(resume_id, skill): keywords known to the postings, in their listed spelling; a
-    resume with none keeps its first ``raw_limit`` keywords in order."""
+    resume with none keeps its keywords, or the first ``raw_limit`` in order."""
     spelled = known.groupBy(norm_skill(F.col("skill")).alias("key")).agg(F.max("skill").alias("canonical"))
     tagged = keywords.withColumn("key", norm_skill(F.col("keyword"))).join(
         broadcast_if_small(spelled), "key", "left"
     )
     hits = tagged.where("canonical IS NOT NULL").select("resume_id", F.col("canonical").alias("skill")).distinct()
     none = tagged.groupBy("resume_id").agg(F.count("canonical").alias("n")).where("n = 0").select("resume_id")
-    order = Window.partitionBy("resume_id").orderBy("keyword")
-    raw = (
-        keywords.where("keyword <> ''").join(none, "resume_id", "left_semi").distinct()
-        .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= raw_limit)
-        .where(F.length("keyword") >= 2).select("resume_id", F.col("keyword").alias("skill"))
-    )
-    return hits.unionByName(raw)
+    raw = keywords.where("keyword <> ''").join(none, "resume_id", "left_semi").select("resume_id", "keyword").distinct()
+    if raw_limit is not None:
+        order = Window.partitionBy("resume_id").orderBy("keyword")
+        raw = raw.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= raw_limit)
+    return hits.unionByName(raw.where(F.length("keyword") >= 2).select("resume_id", F.col("keyword").alias("skill")))

@@ -13,15 +13,18 @@ from jobweave.operators.skew import broadcast_if_small, rows_with_keys
 EDITABLE = ["status", "applied_date", "notes", "is_reposted", "saved"]
 
 
-def apply_changes(postings: DataFrame, changes: DataFrame, today: str) -> DataFrame:
+def apply_changes(postings: DataFrame, changes: DataFrame, today: str, at: str | None = None) -> DataFrame:
     """Partial update by id; NULL fields of ``changes`` leave the stored value.
 
     A status set to applied without a date gets ``today``.  Postings without a change pass
-    through; changes are few, so they are measured and broadcast.
+    through; changes are few, so they are measured and broadcast.  ``at`` names the column that orders
+    several edits of one posting; without it the larger value counts.
     """
-    new = changes.select(
-        F.col("id"), *[F.col(c).alias(f"_new_{c}") for c in EDITABLE if c in changes.columns]
-    )
+    fields = [c for c in EDITABLE if c in changes.columns]
+    order = F.col(at) if at else F.lit(0)
+    # Of several edits of a posting the latest that gives a value counts, field by field.
+    new = changes.groupBy("id").agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct(order.alias("at"), F.col(c).alias("value"))))["value"].alias(f"_new_{c}") for c in fields])
     have = {c for c in EDITABLE if c in changes.columns}
     joined = postings.join(broadcast_if_small(new), "id", "left")
     updates = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in have if c in postings.columns}
@@ -77,17 +80,19 @@ def needs_enrichment() -> "F.Column":
     return is_blank(F.col("description")) | (F.size(strings_or_empty(F.col("skills_nice_to_have"))) == 0)
 
 
-def merge_enrichment(postings: DataFrame, parsed: DataFrame) -> DataFrame:
+def merge_enrichment(postings: DataFrame, parsed: DataFrame, at: str | None = None) -> DataFrame:
     """Fill a blank description and replace skill lists by non-empty parsed ones.
 
     ``parsed``: url, description, skills_required, skills_nice_to_have.  ``enriched`` flags
-    the rows that were eligible and had a parsed page.
+    the rows that were eligible and had a parsed page; ``at`` names the column that orders repeated crawls.
     """
-    new = parsed.select(
-        "url", F.col("description").alias("_d"), F.col("skills_required").alias("_r"), F.col("skills_nice_to_have").alias("_n"),
+    # One parsed page per address: of repeated crawls the latest, or with the longest description.
+    order = F.struct(F.col(at) if at else F.lit(0), F.length(F.coalesce("description", F.lit(""))), "description", "skills_required", "skills_nice_to_have")
+    new = parsed.groupBy("url").agg(F.max_by(F.struct("description", "skills_required", "skills_nice_to_have"), order).alias("_p")).select(
+        "url", F.col("_p.description").alias("_d"), F.col("_p.skills_required").alias("_r"), F.col("_p.skills_nice_to_have").alias("_n"),
         F.lit(True).alias("_hit"),
     )
-    joined = postings.join(new, "url", "left")
+    joined = postings.join(broadcast_if_small(new), "url", "left")
     enriched = needs_enrichment() & F.coalesce("_hit", F.lit(False))
     longer = lambda c: F.col("enriched") & (F.size(strings_or_empty(F.col(c))) > 0)
     return (
@@ -103,7 +108,7 @@ def merge_enrichment(postings: DataFrame, parsed: DataFrame) -> DataFrame:
     )
 
 
-def enrichment_backlog(postings: DataFrame, supported: "F.Column", limit: int | None = 2000) -> DataFrame:
-    """Postings without description on a supported board; ``limit`` bounds one run."""
+def enrichment_backlog(postings: DataFrame, supported: "F.Column", limit: int | None = None) -> DataFrame:
+    """Postings without description on a supported board; ``limit``, if given, is the size of one run."""
     backlog = missing_description(postings).where(supported)
     return backlog.select("id", "url") if limit is None else backlog.orderBy("id").limit(limit).select("id", "url")

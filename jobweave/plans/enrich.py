@@ -22,8 +22,8 @@ class Enrichment:
     errors: DataFrame     # url, error
 
 
-def enrich_backfill(postings: DataFrame, pages: DataFrame, limit: int | None = 2000) -> Enrichment:
-    """``pages``: url, html of fetched offers.  ``limit`` bounds one run, as a batch size."""
+def enrich_backfill(postings: DataFrame, pages: DataFrame, limit: int | None = None) -> Enrichment:
+    """``pages``: url, html of fetched offers.  ``limit``, if given, is the size of one run."""
     backlog = cut_lineage(enrichment_backlog(postings, source_of(F.col("url")).isNotNull(), limit))
     parsed, rejected = parse_pages(rows_with_keys(pages, backlog, ["url"]))
     parsed = cut_lineage(parsed)

@@ -82,8 +82,10 @@ def ingest_counts(feed: DataFrame, postings: DataFrame, rejects: DataFrame) -> D
     )
 
 
-def last_errors(rejects: DataFrame, order: str, keep: int = 50) -> DataFrame:
-    """The latest ``keep`` errors per source."""
+def last_errors(rejects: DataFrame, order: str, keep: int | None = None) -> DataFrame:
+    """Errors per source, or the latest ``keep`` of each."""
+    if keep is None:
+        return rejects
     w = Window.partitionBy("source").orderBy(F.desc(order), F.asc("url"))
     return rejects.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
 
