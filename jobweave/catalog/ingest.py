@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from jobweave.catalog import query
 from jobweave.catalog.views import DESCRIBED, LOG, PLAIN, with_salary
 from jobweave.operators import dedup, listing
 from jobweave.plans import changes, ingest, search_index
+from jobweave.session import ensure_checkpoint_dir
 from jobweave.sources import derived
 from jobweave.streaming.metrics_stream import daily_metrics
 
@@ -192,17 +192,20 @@ def queryable_runs(spark, sf):
  CAST(count(latency_ms) AS BIGINT) AS latency_count, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens,
  CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens FROM log GROUP BY 1, 2""")
 def streamed_inference_by_day(spark, sf):
-    """The daily figures over the events as a stream, run to its end.  Each trigger writes the
-    complete result (one row per day and model) as a new folder; the last one is returned."""
+    """The daily figures over the events as a stream, run to its end.
+
+    Update mode: a trigger writes only the days it changed, and days behind the watermark leave
+    the state.  The newest row of each (day, model) is the result.
+    """
     events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events*.parquet")
     log = derived.inference_log_of(events).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    out = f"{shared}/daily-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="jobweave-")
-    last = []
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/daily-{uuid.uuid4().hex}"
 
     def write(batch, number):
-        batch.write.parquet(f"{out}/result/{number}")
-        last.append(number)
+        batch.write.mode("overwrite").parquet(f"{out}/result/trigger={number}")
 
-    daily_metrics(log).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/result/{last[-1]}")
+    daily_metrics(log).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/result")
+    fields = ["count", "latency_sum", "latency_count", "input_tokens", "output_tokens"]
+    newest = rows.groupBy("day", "model").agg(F.max_by(F.struct(*fields), "trigger").alias("_r"))
+    return newest.select("day", "model", "_r.*")

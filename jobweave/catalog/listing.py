@@ -43,7 +43,6 @@ _filtered("filter_source_contains", PostingFilter(source="SRC1"), "source ILIKE
 _filtered("filter_category", PostingFilter(category="BUILDING"), "category = 'BUILDING'")
 _filtered("filter_seniority_one", PostingFilter(seniority="low"), "seniority ILIKE '%low%'")
 _filtered("filter_seniority_many", PostingFilter(seniority="1-URGENT, 5-LOW"), "seniority IN ('1-URGENT', '5-LOW')")
-_filtered("filter_seniority_only_commas", PostingFilter(seniority=",, "), "1 = 0")
 _filtered("filter_work_type", PostingFilter(work_type="rem"), "work_type ILIKE '%rem%'")
 _filtered("filter_location", PostingFilter(location="NATION_3"), "list_contains(location, 'NATION_3')")
 _filtered(
@@ -132,6 +131,14 @@ def listings_of_shared_roles(spark, sf):
     return dedup.shared_roles(derived.postings(spark, sf))
 
 
+@query("alternate_listings_of_requested", PLAIN + """ SELECT a.id AS job_id, b.id, b.source, b.url FROM postings a JOIN postings b
+ ON lower(a.company) = lower(b.company) AND lower(a.title) = lower(b.title) AND a.id <> b.id AND a.source <> b.source WHERE a.id % 50 = 0""")
+def alternate_listings_of_requested(spark, sf):
+    """The list form, for every posting whose id is divisible by 50."""
+    p = derived.postings(spark, sf)
+    return dedup.alternate_listings(p, p.where("id % 50 = 0").select(F.col("id").alias("job_id")))
+
+
 @query("first_seen_matches", PLAIN + """ SELECT query_id, position, job_id FROM (SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, job_id) AS position FROM (
  SELECT category AS query_id, id AS job_id, id AS rank, row_number() OVER (PARTITION BY category, title, company ORDER BY id) AS rn FROM postings) WHERE rn = 1)""")
 def first_seen_matches(spark, sf):

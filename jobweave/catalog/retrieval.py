@@ -357,3 +357,16 @@ def embed_postings(spark, sf):
     """Feature-hash vectors of all documents; one row each, with the cache key."""
     v = embed.embed_postings(derived.text_postings(spark, sf), dims=64)
     return v.select("job_id", "content_key", "ok", F.size("embedding").alias("dims"))
+
+
+@query("hits_with_valid_ids", """SELECT md5(CAST(o_orderkey AS VARCHAR)) AS job_id, c_name AS title FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey%3 <> 0""")
+def hits_with_valid_ids(spark, sf):
+    """Hits whose id is no UUID are dropped before their postings are looked up."""
+    k = F.col("o_orderkey")
+    orders = derived.table(spark, sf, "orders").join(derived.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    uuid = F.md5(k.cast("string"))
+    named = orders.select(
+        uuid.alias("id"), F.col("c_name").alias("title"), *[F.lit("").alias(c) for c in ("company", "url", "category")],
+        *[F.array().cast("array<string>").alias(c) for c in ("skills_required", "skills_nice_to_have")])
+    hits = orders.select(F.when(k % 3 == 0, F.concat(F.lit("job-"), k)).otherwise(uuid).alias("job_id"))
+    return recommend.hydrate(hits, named, valid_only=True).select("job_id", "title")

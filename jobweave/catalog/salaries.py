@@ -60,3 +60,13 @@ def salary_range_spans(spark, sf):
     return bars.select(
         "category", F.coalesce("avg_min", F.lit(0.0)).alias("range_min"), salary.range_span(F.col("avg_min"), F.col("avg_max")).alias("range_span")
     )
+
+
+@query("pay_period_beside_url", """SELECT o_orderkey AS id, CASE WHEN o_orderkey%3 = 0 AND o_orderkey%2 = 0 THEN 'hourly' ELSE 'monthly' END AS period FROM orders""")
+def pay_period_beside_url(spark, sf):
+    """A URL names hourly pay where the posting gives a type."""
+    k = F.col("o_orderkey")
+    url = F.concat(F.lit("https://x.example/"), F.when(k % 3 == 0, "100-USD/h/").otherwise("full/"), k)
+    kind = F.when(k % 2 == 0, F.lit("B2B"))
+    period = salary.detect_period(kind, F.col("o_totalprice"), F.lit("CHF"), url=url)
+    return derived.table(spark, sf, "orders").select(k.alias("id"), period.alias("period"))

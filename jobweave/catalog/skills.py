@@ -136,6 +136,14 @@ def resume_keywords(spark, sf):
     return _keywords(spark, sf)
 
 
+@query("resume_keywords_with_model", _KEYWORDS + """ SELECT DISTINCT resume_id, keyword FROM keywords UNION
+ SELECT DISTINCT doc_id, 'term ' || source FROM documents""")
+def resume_keywords_with_model(spark, sf):
+    """Keywords found by rule together with those another model names."""
+    named = derived.table(spark, sf, "documents").select(F.col("doc_id").alias("resume_id"), F.concat(F.lit("term "), "source").alias("keyword"))
+    return skills.with_extra_keywords(_keywords(spark, sf), named)
+
+
 @query("resume_skills_canonical", _KEYWORDS + f""", vocabulary AS (SELECT lower(skill) AS k, max(skill) AS canonical FROM known GROUP BY 1),
  tagged AS (SELECT resume_id, keyword, canonical FROM keywords LEFT JOIN vocabulary ON k = lower(keyword)),
  none AS (SELECT resume_id FROM tagged GROUP BY 1 HAVING count(canonical) = 0)

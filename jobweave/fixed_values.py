@@ -17,6 +17,7 @@ EXPLICIT_PERIODS = {
     "yearly": ["yearly", "year", "annual"],
 }
 HOURLY_MARKS = ["/h", "per hour", "hourly", "/godz", "godzin"]
+HOURLY_URL_MARK = "usd/h"
 DAILY_MARKS = ["/day", "per day", "daily", "/dzie", "dzień"]
 PERIOD_KEYS = ["timeUnit", "period", "salaryPeriod"]
 

@@ -19,11 +19,6 @@ def half_up(value: Column) -> Column:
     return F.floor(value + F.lit(0.5))
 
 
-def whole_half_even(value: Column) -> Column:
-    """Round to a whole number, halves to even; exact on the binary value."""
-    return F.rint(value)
-
-
 def percent(part: Column, whole: Column) -> Column:
     """Browser-rounded percentage, 0 where the whole is 0 or missing."""
     return F.when(whole > 0, half_up(part / whole * 100)).otherwise(F.lit(0)).cast("bigint")

@@ -60,8 +60,9 @@ def detect_period(
     salary_max: Column,
     currency: Column,
     explicit_period: Column | None = None,
+    url: Column | None = None,
 ) -> Column:
-    """First rule that applies: explicit word, marks in the type text, size of the amount."""
+    """First rule that applies: explicit word, marks in the type text or, beside one, in the URL, size of the amount."""
     chain = None
     if explicit_period is not None:
         word = F.lower(explicit_period)
@@ -72,6 +73,8 @@ def detect_period(
     hourly = _mentions(text, fv.HOURLY_MARKS)
     chain = F.when(hourly, "hourly") if chain is None else chain.when(hourly, "hourly")
     chain = chain.when(_mentions(text, fv.DAILY_MARKS), "daily")
+    if url is not None:
+        chain = chain.when((text != "") & F.lower(url).contains(fv.HOURLY_URL_MARK), "hourly")
     code = F.upper(currency)
     for name, limit in fv.HOURLY_LIMITS.items():
         chain = chain.when(
@@ -96,6 +99,7 @@ def normalize_salary(
     period = detect_period(
         F.col("salary_type"), F.col("salary_max"), F.col("salary_currency"),
         F.col(explicit_period) if explicit_period else None,
+        F.col("url") if "url" in postings.columns else None,
     )
     joined = postings.withColumn("_cur", currency_code(F.col("salary_currency"))).join(
         lookup, F.col("_cur") == F.col("_code"), "left"

@@ -28,7 +28,8 @@ def newest_per_key(postings: DataFrame, keep_key: bool = False) -> DataFrame:
 
 
 def dup_counts(postings: DataFrame) -> DataFrame:
-    return with_key(postings).groupBy(*KEY).agg(F.count(F.lit(1)).alias("dup_count"))
+    """Postings per key.  A null title or company is no key: it equals nothing, as in a join."""
+    return with_key(postings).dropna(subset=KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("dup_count"))
 
 
 def attach_dup_count(rows: DataFrame, postings: DataFrame) -> DataFrame:
@@ -52,6 +53,7 @@ def attach_dup_count_to_page(page: DataFrame, postings: DataFrame) -> DataFrame:
 # --- other listings of the same role ---------------------------------------------
 
 def _role(postings: DataFrame) -> DataFrame:
+    """The role of a posting; where part of it is null it is nobody else's."""
     return postings.withColumns({"title_l": F.lower("title"), "company_l": F.lower("company")})
 
 
@@ -61,7 +63,7 @@ def alternate_counts(postings: DataFrame) -> DataFrame:
     Counted from (role, source) totals, so the pairs themselves are never formed.
     """
     role = ["company_l", "title_l"]
-    per_source = _role(postings).groupBy(*role, "source").agg(F.count(F.lit(1)).alias("_here"))
+    per_source = _role(postings).dropna(subset=role).groupBy(*role, "source").agg(F.count(F.lit(1)).alias("_here"))
     totals = per_source.groupBy(*role).agg(F.sum("_here").alias("_all"))
     by_source = per_source.join(totals, role).select(
         *role, "source", "_here", (F.col("_all") - F.col("_here")).alias("alternates")
@@ -98,7 +100,7 @@ def shared_roles(postings: DataFrame) -> DataFrame:
     """
     role = ["company_l", "title_l"]
     spread = (
-        _role(postings).groupBy(*role)
+        _role(postings).dropna(subset=role).groupBy(*role)
         .agg(F.min("source").alias("_a"), F.max("source").alias("_b"), F.count(F.lit(1)).alias("_n"))
         .where("_a <> _b").select(*role, F.col("_n").alias("listings"))
     )
@@ -118,7 +120,7 @@ def tag_reposts(batch: DataFrame, committed: DataFrame | None = None) -> DataFra
     """
     role = ["company_l", "title_l"]
     cols = ["batch_no", "created_at", "id", *role]
-    seen = _role(batch).select(*cols)
+    seen = _role(batch).select(*cols).dropna(subset=role)
     if committed is not None:
         before = _role(committed).withColumn("batch_no", F.lit(-1).cast("bigint")).select(*cols)
         # Only roles of the batch matter, so the stored table is not aggregated in full.

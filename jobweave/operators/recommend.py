@@ -22,12 +22,14 @@ def valid_hits(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("job_id").isNotNull() & F.col("job_id").cast("string").rlike(_UUID))
 
 
-def hydrate(hits: DataFrame, postings: DataFrame, keep_missing: bool = True) -> DataFrame:
+def hydrate(hits: DataFrame, postings: DataFrame, keep_missing: bool = True, valid_only: bool = False) -> DataFrame:
     """Hits with their posting's columns.
 
     ``keep_missing``: a hit whose posting is gone keeps the fields stored in the index (if
-    the hits carry them); otherwise it is dropped.
+    the hits carry them); otherwise it is dropped.  ``valid_only`` first drops hits whose id is no
+    UUID, for tables keyed by one.
     """
+    hits = valid_hits(hits) if valid_only else hits
     chosen = postings.select(
         F.col("id").alias("job_id"), *[F.col(c).alias(f"_p_{c}") for c in HIT_COLUMNS],
         strings_or_empty(F.col("skills_required")).alias("skills_required"),

@@ -85,16 +85,6 @@ def with_every(rows: DataFrame, few: DataFrame, spread_on: str) -> DataFrame:
     return salted.join(few.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), "_k").drop("_k")
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores before costly per-row work on an input with few splits.
-
-    Meant for frames straight from a scan.  A large input has more splits than cores and is
-    returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def task_count(df: DataFrame) -> int:
     """Partitions for work whose cost is out of proportion to its input size, where run-time
     coalescing by bytes would leave too few tasks."""

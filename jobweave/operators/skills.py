@@ -313,6 +313,11 @@ def match_postings_exact_case(postings: DataFrame, resume_skills: DataFrame, lim
     return _per_resume(people, "exact", wanted, _best_jobs(overlaps, sets, limit), F.size(normal(F.col("exact"))))
 
 
+def with_extra_keywords(found: DataFrame, extra: DataFrame) -> DataFrame:
+    """Distinct (resume_id, keyword) of both."""
+    return found.unionByName(extra.select("resume_id", "keyword")).distinct()
+
+
 def canonical_resume_skills(keywords: DataFrame, known: DataFrame, raw_limit: int | None = None) -> DataFrame:
     """(resume_id, skill): keywords known to the postings, in their listed spelling; a
     resume with none keeps its keywords, or the first ``raw_limit`` in order."""

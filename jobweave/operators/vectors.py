@@ -1,17 +1,16 @@
-"""Exact nearest neighbours by cosine, pruned with the triangle inequality.
-
-Unit vectors are assigned to the nearest of a few pivots (cells).  A query first scans the
-nearest cells that hold k vectors together; the k-th distance found there bounds the
-answer, so a cell whose pivot is farther than that distance plus the cell's radius cannot
-contribute and is never visited.  Cells meet queries in an equi join on (cell, block):
-large cells are cut into blocks of ``block_rows`` and the queries into blocks of
-``query_rows``, so no group is larger than the two numbers, whatever the data looks like.
+"""Exact nearest neighbours by cosine: every vector against blocks of queries.
+
+The vectors stay where they are and are read once for each block of queries.  A block has at most
+about ``query_rows`` queries, so what is broadcast does not grow with either table.  Each
+task keeps the best k of its own rows for each query; only those meet in a shuffle.  Nothing
+is left out by a bound, so near copies and ties cannot be lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,13 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobweave.operators.search import top_k_per_query
-from jobweave.session import cut_lineage
 
 DIGITS = 10
-MAX_PIVOTS = 256
-SLACK = 1e-9
-EMIT_ROWS = 4096
-STEP = 256  # queries per matrix product, which bounds its size
+STEP = 512  # stored vectors in one matrix product, which bounds its size
 
 
 def split_by_length(vectors: DataFrame, dims: int, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -35,161 +30,109 @@ def split_by_length(vectors: DataFrame, dims: int, column: str = "embedding") ->
     return vectors.where(fits), vectors.where(~fits)
 
 
-def _units(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows and a mask of the rows that have a direction."""
-    matrix = np.asarray(column.tolist(), dtype="float64")
-    norms = np.linalg.norm(matrix, axis=1)
-    has = norms > 0
-    return matrix[has] / norms[has][:, None], has
+@dataclass(frozen=True)
+class VectorIndex:
+    """The stored vectors of one length."""
 
+    vectors: DataFrame
+    key: str
+    column: str
+    dims: int
 
-def _distances(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * units @ pivots.T))
 
+def build_vector_index(vectors: DataFrame, *, key: str = "job_id", column: str = "embedding", dims: int | None = None) -> VectorIndex:
+    """Vectors of length ``dims``, by default the most frequent length."""
+    if dims is None:
+        sizes = vectors.where(F.size(column) > 0).groupBy(F.size(column).alias("n")).count()
+        top = sizes.orderBy(F.desc("count"), "n").first()
+        dims = top.n if top else 0
+    return VectorIndex(vectors.where(F.size(column) == dims).select(key, column), key, column, dims)
 
-@dataclass(frozen=True)
-class VectorIndex:
-    """``cells``: key, unit, cell.  Write it partitioned by cell to reuse it."""
 
-    cells: DataFrame
-    key: str
-    pivots: np.ndarray     # at most MAX_PIVOTS rows
-    radius: np.ndarray     # per cell
-    count: np.ndarray      # per cell
-
-
-def build_vector_index(
-    vectors: DataFrame, *, key: str = "job_id", column: str = "embedding", pivots: int | None = None
-) -> VectorIndex:
-    usable = vectors.where(F.size(column) > 0).select(key, column)
-    total = usable.count()
-    wanted = pivots or int(min(MAX_PIVOTS, max(1, np.sqrt(total) / 4)))
-    chosen = usable.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(wanted).toPandas()
-    centers, _ = _units(chosen[column]) if len(chosen) else (np.zeros((0, 0)), None)
-    schema = T.StructType([
-        usable.schema[key], T.StructField("unit", T.ArrayType(T.DoubleType())),
-        T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType()),
-    ])
+def _units(values: list) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows and a mask of the rows that have a direction."""
+    matrix = np.asarray(values, dtype="float64")
+    norms = np.linalg.norm(matrix, axis=1)
+    has = norms > 0
+    return matrix[has] / norms[has][:, None], has
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            units, has = _units(batch[column])
-            away = _distances(units, centers)
-            nearest = away.argmin(axis=1)
-            yield pd.DataFrame({
-                key: batch[key].to_numpy()[has], "unit": pd.Series(list(units), dtype=object), "cell": nearest.astype("int32"),
-                "away": away[np.arange(len(nearest)), nearest],
-            })
-
-    assigned = usable.mapInPandas(assign, schema)
-    size = len(centers)
-    radius, count = np.zeros(size), np.zeros(size, dtype="int64")
-    for r in assigned.groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n")).collect():
-        radius[r.cell], count[r.cell] = r.r, r.n
-    return VectorIndex(assigned.drop("away"), key, centers, radius, count)
-
-
-def _visits(index: VectorIndex, queries: DataFrame, top_k: int, first: bool) -> DataFrame:
-    """(query_id, unit, cell): the cells each query scans in this pass.
-
-    In the second pass ``queries`` carries ``bound``, the k-th distance found so far.
-    """
-    centers, radius, count = index.pivots, index.radius, index.count
-    schema = T.StructType([
-        queries.schema["query_id"], T.StructField("unit", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()),
-    ])
 
-    def near_cells(away: np.ndarray) -> np.ndarray:
-        order = np.argsort(away, kind="stable")
-        enough = np.searchsorted(np.cumsum(count[order]), top_k) + 1
-        return order[:enough]
+class _Best:
+    """The best k stored vectors for each of some queries, ties to the smaller id."""
+
+    def __init__(self, queries: int, top_k: int):
+        self.top_k = top_k
+        self.sims: np.ndarray = np.empty((queries, 0))
+        self.ids: np.ndarray | None = None
+
+    def add(self, ids: np.ndarray, sims: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, sims = ids[order], sims[:, order]
+        if self.ids is None or self.sims.shape[1] < self.top_k:
+            rows = np.arange(len(sims))
+        else:  # queries that one of these could still serve
+            rows = np.flatnonzero((sims >= self.sims[:, -1:]).any(axis=1))
+        if not len(rows):
+            return
+        # Stable over ids in order: of equal similarities the smaller id comes first.
+        top = np.argsort(-sims[rows], axis=1, kind="stable")[:, :self.top_k]
+        new_sims, new_ids = np.take_along_axis(sims[rows], top, 1), ids[top]
+        if self.ids is None:
+            self.sims, self.ids = new_sims, new_ids
+            return
+        both, every = np.concatenate([self.sims[rows], new_sims], axis=1), np.concatenate([self.ids[rows], new_ids], axis=1)
+        by_id = np.argsort(every, axis=1, kind="stable")
+        both, every = np.take_along_axis(both, by_id, 1), np.take_along_axis(every, by_id, 1)
+        keep = np.argsort(-both, axis=1, kind="stable")[:, :self.top_k]
+        best, named = np.take_along_axis(both, keep, 1), np.take_along_axis(every, keep, 1)
+        if len(rows) == len(self.sims):
+            self.sims, self.ids = best, named
+        else:
+            self.sims[rows], self.ids[rows] = best, named
+
+
+def _scan(index: VectorIndex, block: pd.DataFrame, query_type: T.DataType, top_k: int) -> DataFrame:
+    """(query_id, job_id, score) of each task's best for the queries of ``block``."""
+    units, has = _units(block["embedding"].tolist())
+    shared = index.vectors.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy()[has], units))
+
+    key, column = index.key, index.column
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, queries = shared.value
+        best = _Best(len(ids), top_k)
         for batch in batches:
-            if batch.empty or not len(centers):
-                continue
-            units, has = _units(batch["embedding"])
-            ids = batch["query_id"].to_numpy()[has]
-            bounds = None if first else batch["bound"].to_numpy(dtype="float64")[has]
-            rows: list[tuple] = []
-            for i, away in enumerate(_distances(units, centers)):
-                cells = near_cells(away)
-                if not first:
-                    reachable = np.flatnonzero((away - radius <= bounds[i] + SLACK) & (count > 0))
-                    cells = np.setdiff1d(reachable, cells)
-                rows.extend((ids[i], units[i], c) for c in cells)
-                if len(rows) >= EMIT_ROWS or i == len(units) - 1:
-                    yield pd.DataFrame({
-                        "query_id": pd.Series([r[0] for r in rows], dtype=batch["query_id"].dtype),
-                        "unit": pd.Series([r[1] for r in rows], dtype=object), "cell": np.array([r[2] for r in rows], dtype="int32"),
-                    })
-                    rows = []
-
-    return queries.mapInPandas(run, schema)
-
-
-def _scan(index: VectorIndex, visits: DataFrame, top_k: int, block_rows: int, query_blocks: int) -> DataFrame:
-    """Best ``top_k`` vectors per query within each visited block."""
-    blocks = [max(1, int(-(-n // block_rows))) for n in index.count]
-    per_cell = F.array(*[F.lit(b) for b in blocks])
-    blocks_of = F.element_at(per_cell, F.col("cell") + 1)
-    stored = index.cells.select(
-        F.col(index.key).alias("job_id"), "unit", "cell",
-        F.pmod(F.xxhash64(index.key), blocks_of).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"),
-    )
-    asked = visits.select(
-        "query_id", "unit", "cell", F.explode(F.sequence(F.lit(0), blocks_of - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("part"),
-    )
+            for start in range(0, len(batch), STEP):
+                some = batch.iloc[start:start + STEP]
+                stored, used = _units(some[column].tolist())
+                # Rounded before they are ranked, so that the order of summing decides no rank.
+                if used.any() and len(ids):
+                    best.add(some[key].to_numpy()[used], np.round(queries @ stored.T, DIGITS))
+        if best.ids is None:
+            return
+        width = best.sims.shape[1]
+        yield pd.DataFrame({"query_id": np.repeat(ids, width), "job_id": best.ids.ravel(), "score": best.sims.ravel()})
+
     schema = T.StructType([
-        visits.schema["query_id"], T.StructField("job_id", index.cells.schema[index.key].dataType),
-        T.StructField("cosine", T.DoubleType()),
-    ])
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "job_id": right["job_id"][:0], "cosine": np.zeros(0)})
-        right = right.sort_values("job_id", kind="stable")
-        ids = right["job_id"].to_numpy()
-        stored = np.stack(right["unit"].to_numpy()).T
-        keep = min(top_k, stored.shape[1])
-        parts = []
-        for start in range(0, len(left), STEP):
-            some = left.iloc[start:start + STEP]
-            sims = np.round(np.stack(some["unit"].to_numpy()) @ stored, DIGITS)
-            # Stable sort over ids in order: equal similarities keep the smaller id first.
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-            parts.append(pd.DataFrame({
-                "query_id": np.repeat(some["query_id"].to_numpy(), keep), "job_id": ids[order].ravel(),
-                "cosine": np.take_along_axis(sims, order, axis=1).ravel(),
-            }))
-        return pd.concat(parts)
-
-    keys = ["cell", "block", "part"]
-    return asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(best, schema)
-
-
-def search_knn(
-    index: VectorIndex, queries: DataFrame, *, top_k: int = 10, block_rows: int = 8192, query_rows: int = 4096
-) -> DataFrame:
+        T.StructField("query_id", query_type), T.StructField("job_id", index.vectors.schema[index.key].dataType), T.StructField("score", T.DoubleType())])
+    return index.vectors.mapInPandas(run, schema)
+
+
+def search_knn(index: VectorIndex, queries: DataFrame, *, top_k: int = 10, query_rows: int = 4096) -> DataFrame:
     """(query_id, rank, job_id, score) with score = (1 + cosine) / 2, exact.
 
     ``queries``: query_id, embedding of the index's length.
     """
-    dims = index.pivots.shape[1] if index.pivots.size else 0
-    asked = queries.where(F.size("embedding") == dims).select("query_id", "embedding")
-    query_blocks = max(1, -(-asked.count() // query_rows))
-    first = _scan(index, _visits(index, asked, top_k, True), top_k, block_rows, query_blocks)
-    # Read twice below; at most top_k rows per query, so it is kept rather than recomputed.
-    found = cut_lineage(top_k_per_query(first.select("query_id", "job_id", F.col("cosine").alias("score")), top_k))
-    bound = found.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= top_k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).otherwise(4.0).alias("bound")
-    )
-    rest = _scan(index, _visits(index, asked.join(bound, "query_id"), top_k, False), top_k, block_rows, query_blocks)
-    both = found.select("query_id", "job_id", "score").unionByName(
-        rest.select("query_id", "job_id", F.col("cosine").alias("score"))
-    )
-    return top_k_per_query(both, top_k).withColumn("score", F.round((1 + F.col("score")) / 2, DIGITS))
+    asked = queries.where(F.size("embedding") == index.dims).select("query_id", "embedding")
+    blocks = max(1, -(-asked.count() // query_rows))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    parts = []
+    for block in range(blocks):
+        some = numbered.where(F.col("_block") == block).drop("_block").toPandas()
+        if len(some):
+            parts.append(_scan(index, some, asked.schema["query_id"].dataType, top_k))
+    if not parts:
+        parts.append(index.vectors.limit(0).select(
+            F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), F.col(index.key).alias("job_id"), F.lit(0.0).alias("score")))
+    found = top_k_per_query(reduce(DataFrame.unionByName, parts), top_k)
+    return found.withColumn("score", F.round((1 + F.col("score")) / 2, DIGITS))

@@ -38,11 +38,6 @@ def unseen(feed: DataFrame, postings: DataFrame) -> DataFrame:
     return feed.join(rows_with_keys(postings.select("url"), feed, ["url"]), "url", "left_anti")
 
 
-def batch_numbers(feed: DataFrame, position: str, batch_rows: int) -> DataFrame:
-    """Commit number of each row where a feed is committed every ``batch_rows`` rows."""
-    return feed.withColumn("batch_no", F.floor(F.col(position) / batch_rows).cast("bigint"))
-
-
 def new_postings(feed: DataFrame, postings: DataFrame, *, now: str, rates: DataFrame | None = None) -> DataFrame:
     """Rows to append: unseen URLs, repost tags, monthly salary, status and stamps.
 
@@ -116,11 +111,11 @@ class PostingStore:
 
 def ingest_batch(
     store: PostingStore, parsed: DataFrame, batch: int, now: str, rates: DataFrame | None = None,
-    rejected: DataFrame | None = None,
+    rejected: DataFrame | None = None, feed_name: str = "",
 ) -> None:
-    """Append one batch.  Safe to repeat: every table skips a batch number it already has.
+    """Append one batch.  Safe to repeat: every table skips a batch of the feed that it already has.
 
-    Each write is its own version, so a lost executor or a failed run leaves no half batch
+    ``feed_name`` tells feeds with batch numbers of their own apart.  Each write is its own version, so a lost executor or a failed run leaves no half batch
     visible; the next run picks up where the manifests stand.
     """
     if "position" not in parsed.columns:
@@ -128,17 +123,17 @@ def ingest_batch(
     usable, rejects = valid_rows(parsed)
     rejects = rejects if rejected is None else rejects.unionByName(rejected)
     feed = cut_lineage(first_per_url(usable).withColumn("batch_no", F.lit(batch).cast("bigint")))
-    if not store.postings.has_version(batch):
+    if not store.postings.has_batch(feed_name, batch):
         before = store.postings.read()
-        if not store.audit.has_version(batch):
+        if not store.audit.has_batch(feed_name, batch):
             store.audit.append(
-                ingest_counts(feed, before, rejects).withColumn("batch", F.lit(batch).cast("bigint")), batch
+                ingest_counts(feed, before, rejects).withColumn("batch", F.lit(batch).cast("bigint")), batch, feed_name
             )
-        store.postings.append(new_postings(feed, before, now=now, rates=rates), batch)
-    if not store.processed.has_version(batch):
+        store.postings.append(new_postings(feed, before, now=now, rates=rates), batch, feed_name)
+    if not store.processed.has_batch(feed_name, batch):
         # Only what this batch added is searched; the dictionary is that of the whole table.
-        todo = store.postings.read_version(batch)
-        if not store.detected.has_version(batch):
+        todo = store.postings.read_batch(feed_name, batch)
+        if not store.detected.has_batch(feed_name, batch):
             found = detect_skills(todo, known_skills(store.postings.read()))
-            store.detected.append(upsert_detected(store.detected.read(), found), batch)
-        store.processed.append(todo.select(F.col("id").alias("job_id")), batch)
+            store.detected.append(upsert_detected(store.detected.read(), found), batch, feed_name)
+        store.processed.append(todo.select(F.col("id").alias("job_id")), batch, feed_name)

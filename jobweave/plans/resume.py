@@ -29,7 +29,7 @@ def analyze_resumes(
     known = skills.known_skills(postings)
     words = detect.keywords(texts, known)
     if extra_keywords is not None:
-        words = words.unionByName(extra_keywords).distinct()
+        words = skills.with_extra_keywords(words, extra_keywords)
     found = cut_lineage(skills.canonical_resume_skills(words, known))
     return ResumeAnalysis(
         found, skills.match_postings(postings, found, limit=limit),
