@@ -1,9 +1,8 @@
 """Keyword search over a term table: BM25 per field, best field wins, top-k per query.
 
-The index is a table of (job_id, field, term, tf, dl) and two small statistics tables.
-It is partitioned by job (write it bucketed by job to keep that), and queries are the broadcast side, so scores of a (query, job)
-pair are summed where the job lives and only each partition's top-k moves.  A frequent
-term therefore never gathers its postings in one task.
+Texts are cut into tokens as they are read and meet the asked terms there; only counts of asked
+terms are shuffled, by document, so a frequent term never gathers its postings in one task, and of
+the scores only each partition's top-k moves.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
 from jobweave.functions.text import no_strings, skills_combined, strip
-from jobweave.operators.skew import broadcast_if_small, fits_broadcast, task_count
+from jobweave.operators.skew import broadcast_if_small
+from jobweave.session import cut_lineage
 
 K1 = 1.2
 B = 0.75
@@ -40,14 +40,47 @@ def analyze(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class TermIndex:
-    terms: DataFrame       # job_id, field, term, tf, dl
-    frequencies: DataFrame  # field, term, df
+    """``tokens`` (job_id, field, tokens, dl) of texts cut up as they are read, or, for a stored index,
+    ``stored``: (job_id, field, term, tf, dl) bucketed or at least clustered by term."""
+
     fields: DataFrame       # field, docs, avg_dl
     boosts: dict[str, float]
+    tokens: DataFrame | None = None
+    stored: DataFrame | None = None
+
+    @property
+    def terms(self) -> DataFrame:
+        """job_id, field, term, tf, dl of every term."""
+        return self.stored if self.tokens is None else _counted(self.tokens.select("job_id", "field", "dl", F.explode("tokens").alias("term")))
+
+    @property
+    def frequencies(self) -> DataFrame:
+        """field, term, df of every term."""
+        return _frequencies(self.terms)
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """The rows of the terms in ``asked`` (field, term).
+
+        Tokens meet the asked terms right after they are cut, before anything is shuffled: only
+        counts of asked terms move, never a text and never the other terms.
+        """
+        wanted = broadcast_if_small(asked.select("field", "term").distinct())
+        if self.tokens is None:
+            return self.stored.join(wanted, ["field", "term"], "left_semi")
+        each = self.tokens.select("job_id", "field", "dl", F.explode("tokens").alias("term"))
+        return _counted(each.join(wanted, ["field", "term"], "left_semi"))
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("job_id", "field", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("job_id", "field", "term", "tf", "dl")
+
+
+def _frequencies(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def build_index(docs: DataFrame, boosts: dict[str, float] | None = None, key: str = "job_id") -> TermIndex:
-    """Term table and statistics of ``docs``.  Write ``terms`` bucketed by job to reuse it."""
+    """Tokens of every field of ``docs``, cut as the texts are read, and the fields' statistics."""
     boosts = boosts or fv.SEARCH_FIELD_BOOSTS
     def tokens(name: str) -> Column:
         if name in WHOLE_VALUE_FIELDS:
@@ -57,34 +90,21 @@ def build_index(docs: DataFrame, boosts: dict[str, float] | None = None, key: st
         F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("tokens")) for f in boosts]),
         lambda e: F.size(e["tokens"]) > 0,
     )
-    # The texts move once, to their job's partition; counting terms needs no shuffle after
-    # that, since all rows of a job are in place.
-    placed = docs.select(F.col(key).alias("job_id"), *boosts).repartition(task_count(docs), "job_id")
-    fields = placed.select("job_id", F.explode(per_field).alias("_f")).select(
+    cut = docs.select(F.col(key).alias("job_id"), F.explode(per_field).alias("_f")).select(
         "job_id", "_f.field", "_f.tokens", F.size("_f.tokens").cast("bigint").alias("dl")
     )
-    terms = (
-        fields.select("job_id", "field", "dl", F.explode("tokens").alias("term"))
-        .groupBy("job_id", "field", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        .select("job_id", "field", "term", "tf", "dl")
-    )
-    frequencies = terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = fields.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avg_dl"))
-    return TermIndex(terms, frequencies, stats, dict(boosts))
+    stats = cut.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avg_dl"))
+    return TermIndex(stats, dict(boosts), tokens=cut)
 
 
 def write_index(index: TermIndex, root: str) -> None:
-    """Store the term table and its statistics."""
-    index.terms.write.parquet(f"{root}/terms")
-    index.frequencies.write.parquet(f"{root}/frequencies")
+    """Store the term table, ordered by term so that a search reads few row groups, and its statistics."""
+    index.terms.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(f"{root}/terms")
     index.fields.write.parquet(f"{root}/fields")
 
 
 def read_index(spark: SparkSession, root: str, boosts: dict[str, float] | None = None) -> TermIndex:
-    """A stored index, placed by job once for all searches over it."""
-    parts = [spark.read.parquet(f"{root}/{name}") for name in ("terms", "frequencies", "fields")]
-    placed = parts[0].repartition(task_count(parts[0]), "job_id")
-    return TermIndex(placed, parts[1], parts[2], dict(boosts or fv.SEARCH_FIELD_BOOSTS))
+    return TermIndex(spark.read.parquet(f"{root}/fields"), dict(boosts or fv.SEARCH_FIELD_BOOSTS), stored=spark.read.parquet(f"{root}/terms"))
 
 
 def _query_terms(queries: DataFrame, index: TermIndex, query: str, text: str) -> DataFrame:
@@ -159,19 +179,19 @@ def search_keyword(
     terms = _query_terms(queries, index, query, text)
     if fuzzy:
         terms = expand_fuzzy(terms, index)
+    # Read for document frequencies and for scores; a few short rows per document at most.
+    rows = cut_lineage(index.of(terms))
     boost = F.element_at(F.create_map(*[F.lit(x) for kv in index.boosts.items() for x in kv]), F.col("field"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = (
-        terms.join(index.frequencies, ["field", "term"]).join(F.broadcast(index.fields), "field")
+        terms.join(broadcast_if_small(_frequencies(rows)), ["field", "term"]).join(F.broadcast(index.fields), "field")
         .select("query_id", "field", "term", (idf * boost * F.col("n")).alias("w"), "avg_dl")
     )
-    small = fits_broadcast(terms)
-    lookup = F.broadcast(weighted) if small else weighted
     tf = F.col("tf")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    # With the small side broadcast, the scores are summed in the term table's own partitions.
+    # Sums are combined before their shuffle, which is by document: a frequent term is spread.
     scored = (
-        index.terms.join(lookup, ["field", "term"])
+        rows.join(broadcast_if_small(weighted), ["field", "term"])
         .groupBy("job_id", "query_id", "field").agg(F.sum(part).alias("s"))
         .groupBy("job_id", "query_id").agg(F.round(F.max("s"), digits).alias("score"))
     )
