@@ -28,7 +28,7 @@ from jobweave.llm.chunks import ChunkEncoder, chunks_of, slices
 from jobweave.llm.shared import stash, work_path
 
 LEXICON_WORDS = 1 << 16
-SLICE_CHARS = 4_000_000  # texts encoded at once in a task
+SLICE_BYTES = 4_000_000  # texts encoded at once in a task
 LONG_WORD = 48  # bytes; longer words are merged one by one with a heap
 
 
@@ -307,8 +307,9 @@ class Encoder:
         ids = dict(zip(words, self.word_ids(words)))
         return [b"".join(ids[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in ps) for ps in parts]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b, "<i4") for b in self.texts.encode(texts)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        return self.texts.encode(texts)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -377,12 +378,12 @@ def _share(spark: SparkSession, name: str, blob: bytes) -> str:
 def _encode_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, lexicon: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(tokenizer_path, lexicon)
     for batch in batches:
-        for first, texts in slices(batch.column(1).to_pylist(), SLICE_CHARS):
-            encoded = encoder.encode(texts)
-            offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded])])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(encoded)))
-            decoded = pa.array((encoder.merges.decode(e.tolist()) for e in encoded), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), ids, decoded], names=["doc_id", "ids", "decoded"])
+        for first, texts in slices(batch.column(1), SLICE_BYTES):
+            ids, lengths = encoder.encode(texts)
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            decoded = pa.array((encoder.merges.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])), pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), lists, decoded], names=["doc_id", "ids", "decoded"])
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:

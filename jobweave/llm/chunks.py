@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # White space as the tokenizer's own patterns see it (Unicode White_Space).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -22,17 +25,21 @@ def chunks_of(text: str) -> list[str]:
     return [c for c in _CUT.split(text) if c]
 
 
-def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
-    """(position of the first, texts) for runs of about ``most`` characters; null counts as empty."""
-    run, first, size = [], 0, 0
-    for i, text in enumerate(texts):
-        run.append(text or "")
-        size += len(run[-1])
-        if size >= most:
-            yield first, run
-            run, first, size = [], i + 1, 0
-    if run:
-        yield first, run
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """(position of the first, texts) for runs of about ``most`` bytes; null counts as empty."""
+    texts = texts.fill_null("")
+    run = np.cumsum(pc.binary_length(texts).to_numpy()) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    yield from ((a, texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(chunks of all texts, number of chunks of each)."""
+    if pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():
+        lists = pa.array([chunks_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:  # white space is then what Arrow takes for it; at the ends it gives empty chunks
+        lists = pc.utf8_split_whitespace(texts)
+    return lists.flatten(), lists.value_lengths().to_numpy()
 
 
 class Recent:
@@ -41,7 +48,7 @@ class Recent:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def fetch(self, keys: set[str]) -> tuple[dict[str, bytes], list[str]]:
+    def fetch(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
         """(results that are there, keys without one)."""
         new, old, found, missing = self.new, self.old, {}, []
         for k in keys:
@@ -72,7 +79,7 @@ def plain_word(core: str) -> str | None:
 
 
 class ChunkEncoder:
-    """Ids of texts, as bytes of little-endian 32-bit integers, from ids of words and chunks.
+    """Ids of texts from ids of words and chunks, which are bytes of little-endian 32-bit integers.
 
     ``encode_words`` gives the ids of words of letters, ``encode_chunks`` those of any chunks.
     Most chunks are a word and perhaps a mark, whose ids follow each other.
@@ -83,18 +90,32 @@ class ChunkEncoder:
         self.chunks, self.words = Recent(most), Recent(2 * most)
         self.marks = dict(zip(_MARKS, encode_chunks(list(_MARKS))))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks_of(t) for t in texts]
-        found, missing = self.chunks.fetch(set(chain.from_iterable(cut)))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text).  Each different chunk is looked up once."""
+        chunks, counts = _cut(texts)
+        coded = chunks.dictionary_encode()
+        different, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found, missing = self.chunks.fetch(different)
         if missing:
             new = self._encode_new(missing)
             self.chunks.keep(new)
             found.update(new)
-        return [b"".join(map(found.__getitem__, chunks)) for chunks in cut]
+        parts = [found[c] for c in different]
+        lengths = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
+        ids, starts = np.frombuffer(b"".join(parts), "<i4"), np.cumsum(lengths) - lengths
+        # The ids of chunk after chunk: each run of places begins where the chunk's ids do.
+        size = lengths[at]
+        ends = np.cumsum(size)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - size), size)
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids[places], np.diff(edges)
 
     def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
         simple, odd = [], []
         for c in chunks:
+            if not c:
+                odd.append(c)
+                continue
             mark = c[-1] if c[-1] in _MARKS else ""
             word = plain_word(c[:-1] if mark else c)
             if word is None:

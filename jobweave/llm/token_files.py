@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from jobweave.llm.chunks import ChunkEncoder, slices
 from jobweave.llm.shared import small_side
 
-SLICE_CHARS = 4_000_000  # texts encoded at once in a task
+SLICE_BYTES = 4_000_000  # texts encoded at once in a task
 ROWS = "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>"
 
 
@@ -55,20 +55,19 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(encode_words, encode_chunks)
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit integers."""
-    return _encoder(path).encode(texts)
+def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, each followed by ``end_id``; number of ids of each)."""
+    ids, lengths = _encoder(path).encode(texts)
+    return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     shard, start = TaskContext.get().partitionId(), 0
-    end = np.array([end_id], "<i4").tobytes()
     for batch in batches:
-        for first, texts in slices(batch.column(1).to_pylist(), SLICE_CHARS):
-            encoded = [e + end for e in encode_texts(texts, path)]
-            lengths = np.fromiter((len(e) // 4 for e in encoded), np.int64, len(encoded))
+        for first, texts in slices(batch.column(1), SLICE_BYTES):
+            ids, lengths = encode_texts(texts, path, end_id)
             offsets = np.concatenate([[0], np.cumsum(lengths)])
-            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, len(texts)), pa.array(np.full(len(texts), shard), pa.int32()),
                  pa.array(start + offsets[:-1]), pa.array(lengths), tokens],

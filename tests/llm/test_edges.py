@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from brute import components, word_library
 from pyspark.sql import functions as F
@@ -179,8 +180,12 @@ def test_fuzzed_texts_encode_like_the_library():
     assert lexicon.numbers(some).tolist() == list(range(len(some)))
     assert lexicon.numbers([b"", b"zzzzz", some[3] + b"q"]).tolist() == [-1, -1, -1]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [i.tolist() for i in bpe.Encoder(merges, lexicon).encode(texts)] == want
-    assert token_files.encode_texts(texts, WORD_TOKENIZER) == [b"".join(i.to_bytes(4, "little") for i in ids) for ids in want]
+    plain = [t for t in texts if "\x1c" not in t]
+    for some, ids in ((texts, want), (plain, [i for t, i in zip(texts, want) if "\x1c" not in t])):
+        got, lengths = bpe.Encoder(merges, lexicon).encode(pa.array(some))
+        assert got.tolist() == [i for x in ids for i in x] and lengths.tolist() == [len(x) for x in ids]
+        got, lengths = token_files.encode_texts(pa.array(some), WORD_TOKENIZER, 2)
+        assert got.tolist() == [i for x in ids for i in [*x, 2]] and lengths.tolist() == [len(x) + 1 for x in ids]
 
 
 def test_shared_suffixes():
