@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from jobweave.llm.chunks import ChunkEncoder, slices
 from jobweave.llm.shared import small_side
 
-SLICE_BYTES = 4_000_000  # texts encoded at once in a task
+SLICE_BYTES = 8_000_000  # texts encoded at once in a task
 ROWS = "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>"
 
 
@@ -52,7 +52,7 @@ def _encoder(path: str) -> ChunkEncoder:
                 out += encode_chunks(some)
         return out
 
-    return ChunkEncoder(encode_words, encode_chunks)
+    return ChunkEncoder(encode_words, encode_chunks, most=300_000)
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
