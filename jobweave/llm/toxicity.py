@@ -24,7 +24,7 @@ class ChainSettings:
     min_documents: int = 5
     ridge: float = 1e-4
     iterations: int = 40
-    threshold: float = 0.5
+    threshold: float = 0.4
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,14 @@ class Chain:
     threshold: float
 
 
+STEM = 5
+
+
 def words_of(text: Column) -> Column:
-    """The different words of letters, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("\\p{L}+"), F.lit(0)))
+    """The different words of letters, in lower case, and the stems of longer ones, marked as such."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("\\p{L}+"), F.lit(0)))
+    long = F.filter(words, lambda w: F.length(w) > STEM)
+    return F.concat(words, F.array_distinct(F.transform(long, lambda w: F.concat(F.substring(w, 1, STEM), F.lit("-")))))
 
 
 def _with_features(df: DataFrame, categories: tuple[str, ...]) -> DataFrame:
