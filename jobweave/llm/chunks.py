@@ -87,7 +87,7 @@ class ChunkEncoder:
 
     def __init__(self, encode_words: Callable, encode_chunks: Callable, most: int = 150_000):
         self.encode_words, self.encode_chunks = encode_words, encode_chunks
-        self.chunks, self.words = Recent(most), Recent(2 * most)
+        self.chunks, self.words = Recent(most), Recent(most)
         self.marks = dict(zip(_MARKS, encode_chunks(list(_MARKS))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,8 @@ class ChunkEncoder:
         # The ids of chunk after chunk: each run of places begins where the chunk's ids do.
         size = lengths[at]
         ends = np.cumsum(size)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - size), size)
+        places = np.repeat((starts[at] - (ends - size)).astype(np.int32), size)
+        places += np.arange(len(places), dtype=np.int32)
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids[places], np.diff(edges)
 
