@@ -31,6 +31,10 @@ class LineRules:
     max_repeat_percent: int = 20
 
 
+# With a share, the number a line needs grows with its host, and lines of many texts stay on large hosts.
+BY_COUNT = LineRules(max_share=0.0)
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

@@ -14,6 +14,7 @@ from jobweave.llm.shared import table, work_path
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 CATEGORIES = ("poor", "toxic")
+QUALITY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"]
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
@@ -75,17 +76,22 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept")
+    return quality.judge(table(spark, sf_dir, "documents")).select(*QUALITY_COLUMNS)
+
+
+def op10_quality_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of texts as the only limit of a line, however large its host is."""
+    return quality.judge(table(spark, sf_dir, "documents"), rules=quality.BY_COUNT).select(*QUALITY_COLUMNS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_exact_dedup, op3_bpe, op4_near_dedup, op5_language_id, op6_preference, op7_token_files, op8_mixing,
-        op9_url_filter, op10_quality,
+        op9_url_filter, op10_quality, op10_quality_by_count,
     )
 }
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": sql.OP2, "op6_preference": sql.OP6, "op8_mixing": sql.OP8, "op9_url_filter": sql.OP9, "op10_quality": sql.OP10,
+    "op10_quality_by_count": sql.OP10_BY_COUNT,
 }

@@ -110,3 +110,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
          AND NOT (hit AND (n_words_left < 10 OR n_words_left < 0.3::DOUBLE * n_words)) AS kept
 FROM base
 """
+
+# A line's number of texts alone decides.
+OP10_BY_COUNT = OP10.replace("WHERE docs >= 20 AND docs > 0.2::DOUBLE * of)", "WHERE docs >= 20)")

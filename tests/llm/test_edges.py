@@ -118,6 +118,19 @@ def test_frequent_lines(spark):
     assert all(got[k].cleaned_text == got[k].text and got[k].kept for k in (*range(100, 140), 201, 202))
 
 
+def test_frequent_lines_by_count(spark):
+    """On a large host a line of 25 different texts goes by its count, and by its share it stays."""
+    line = "Read more on our site"
+    out = [(i, f"{words(i, 30, 9999)}\n{line}" if i % 20 == 0 else words(i, 30, 9999), "a") for i in range(500)]
+    out += [(1000 + i, f"{line}\n" * 12 + words(2000 + i, 12, 9999), "a") for i in range(3)] + [(2000, f"{words(9, 30, 9999)}\n{line}", "b")]
+    df = spark.createDataFrame(out, "doc_id long, text string, source string")
+    share, count = ({r.doc_id: r for r in quality.judge(df, rules=r).collect()} for r in (quality.LineRules(max_repeat_percent=100), quality.LineRules(max_share=0.0, max_repeat_percent=100)))
+    assert all(r.cleaned_text == r.text for r in share.values())
+    assert all(count[i].n_words_left == 30 and line not in count[i].cleaned_text and count[i].kept for i in range(0, 500, 20))
+    assert all(count[1000 + i].n_words_left == 12 and not count[1000 + i].kept and share[1000 + i].kept for i in range(3))
+    assert count[2000].cleaned_text == count[2000].text and quality.BY_COUNT == quality.LineRules(max_share=0.0)
+
+
 def test_repeat_words(spark):
     block = "a b c d e f"
     texts = ["a b c d e f g", f"{block} x {block}", "x " * 12, f"{block} {words(4, 50)} {block} {block}"]

@@ -4,7 +4,7 @@ import hashlib
 import zlib
 
 import pytest
-from brute import components, decisions, word_library
+from brute import components, decisions, quality, word_library
 from comparing import compare, duck
 
 import __spark_entry__ as entry_points
@@ -33,6 +33,15 @@ def test_against_sql(spark, sf_dir, con, name):
     assert compare(queries.QUERIES[name](spark, sf_dir), con, queries.SQL[name]) is None
 
 
+def test_op10_by_count_takes_lines_out(spark):
+    """On the given table of 10,000 documents lines go, and documents that are depleted without them."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs = duck(sf_dir).execute("SELECT doc_id, text, lang, source, n_chars FROM documents").fetchall()
+    rows = queries.op10_quality_by_count(spark, sf_dir).collect()
+    assert {r.doc_id for r in rows if r.kept} == {d[0] for d in quality(docs, max_share=0.0)}
+    assert any(r.n_words_left < r.n_words for r in rows) and any(not r.kept and not r.base_failed for r in rows)
+
+
 def test_op3_is_the_library(spark, sf_dir, documents):
     library = word_library()
     got = {r.doc_id: r for r in queries.op3_bpe(spark, sf_dir).collect()}
