@@ -1,4 +1,4 @@
-"""Quality rules: line frequency across documents, on top of word, symbol and repetition rules.
+"""Quality rules: line frequency across documents, on top of rules on the number of words and repetition.
 
 Everything here is DataFrame expressions; no text leaves the JVM and no text is shuffled
 unless the table of documents with frequent lines is too large for a broadcast.
@@ -15,7 +15,6 @@ from jobweave.llm.shared import WORD, fingerprint, numbered, small_side, stash
 
 SPACE_RUN = "[\\x20\\x09\\x0B-\\x0D]+"
 SYMBOL = "[#*$%&|<>]"
-POSITION_BITS = 24  # positions of words in a text, up to 16 million words
 
 
 @dataclass(frozen=True)
@@ -47,14 +46,8 @@ def _windows(words: Column) -> Column:
 
 
 def _side_by_side(windows: Column) -> Column:
-    """Positions of all windows, equal windows side by side.
-
-    Hash prefix and position share one long, so that a primitive sort brings equal windows
-    together; the caller compares neighbours by their full hashes.
-    """
-    low = (1 << POSITION_BITS) - 1
-    packed = F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-    return F.transform(F.sort_array(packed), lambda p: p.bitwiseAND(F.lit(low)).cast("int"))
+    """(hash, position) of all windows, equal windows side by side."""
+    return F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
 
 
 def _covered(positions: Column) -> Column:
@@ -82,11 +75,10 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     # Only texts that repeat a window at all pay for the sort.
     df = df.withColumn("_repeats", F.size("_win") > F.size(F.array_distinct("_win")))
     df = df.withColumn("_at", F.when(F.col("_repeats"), _side_by_side(F.col("_win"))))
-    win, at = F.col("_win"), F.col("_at")
-    same = lambda i, k: F.coalesce(F.get(win, F.get(at, i)) == F.get(win, F.get(at, i + k)), F.lit(False))
-    df = df.withColumn("_starts", F.when(
-        F.col("_repeats"), F.sort_array(F.filter(at, lambda _, i: ((i > 0) & same(i, -1)) | same(i, 1)))
-    ))
+    at = F.col("_at")
+    same = lambda x, i: F.coalesce(x["hash"] == F.get(at, i)["hash"], F.lit(False))
+    again = F.filter(at, lambda x, i: ((i > 0) & same(x, i - 1)) | same(x, i + 1))
+    df = df.withColumn("_starts", F.when(F.col("_repeats"), F.sort_array(F.transform(again, lambda x: x["at"]))))
     return df.select(*docs.columns, once(
         n_words=F.size("_words").cast("long"),
         word_chars=F.length(F.concat_ws("", "_words")).cast("long"),

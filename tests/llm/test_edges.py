@@ -145,6 +145,14 @@ def test_repeat_words(spark):
     assert [r.n_repeat_words for r in quality.base_measures(df).orderBy("doc_id").collect()] == want
 
 
+def test_repeat_words_of_close_hashes(spark):
+    """The hashes of the two windows agree in their upper 40 bits; the other lies between two equal ones."""
+    pairs = [("n259557", "n1746543"), ("n546209", "n1620421"), ("n936800", "n2103934")]
+    texts = [f"{a} b c d e {words(1, 20, 10**6)} {b} b c d e {words(2, 20, 10**6)} {a} b c d e" for a, b in pairs]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_repeat_words for r in quality.base_measures(df).collect()] == [10, 10, 10]
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs)
     again = mixing.mix(docs.repartition(5))
