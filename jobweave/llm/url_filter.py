@@ -31,15 +31,16 @@ def _suffixes(host: Column, most: Column) -> Column:
     )
 
 
-def _prefixes(path: Column, most: Column) -> Column:
-    """Prefixes of the path that end with a slash, no deeper than any rule, the empty one and the whole path."""
+def _prefixes(path: Column, most: Column, lengths: Column) -> Column:
+    """Prefixes of the path that end with a slash, no deeper than any rule, the empty one, and those of the given lengths."""
     parts = F.split(path, "/")
     count = F.least(F.size(parts) - 1, most)
     to_slash = F.transform(
         F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
         lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")),
     )
-    return F.array_distinct(F.concat(F.array(F.lit(""), path), to_slash))
+    cut = F.transform(F.filter(lengths, lambda n: n <= F.length(path)), lambda n: path.substr(F.lit(1), n))
+    return F.array_distinct(F.concat(F.array(F.lit("")), cut, to_slash))
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
@@ -57,9 +58,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     """(key, url, host, path, rule, verdict) of every row of ``pages``.
 
     ``rules`` has host, path and action (allow or block).  A rule fits its host and all
-    subdomains where the path starts with the rule's path; a rule path is empty, ends with a
-    slash or is a whole path.  The longest fitting rule wins, then the longer host; a URL that no rule
-    fits is allowed.  A null URL, or one without ``://``, has an empty host and path.  Repeated
+    subdomains where the path starts with the rule's path, with or without a slash at its end.
+    The longest fitting rule wins, then the longer host; a URL that no rule fits is allowed.  A null URL, or one without ``://``, has an empty host and path.  Repeated
     rows give repeated results; an empty rule table allows all.
 
     Each URL row becomes a few expressions; rules are grouped by short prefix, so the join
@@ -67,14 +67,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     """
     prepared = stash(prepare_rules(rules), "url_rules")
     by_prefix = prepared.groupBy("_short").agg(F.collect_list(F.struct("_digest", "_rh", "_rp", "_block")).alias("_rules"))
-    # No rule is longer than these two numbers, so longer expressions cannot fit.
+    # No rule is longer than labels and depth, so longer expressions cannot fit; a rule path that ends
+    # inside a name can only be met by a prefix of its length.
+    inside = ~F.col("_rp").endswith("/") & (F.col("_rp") != "")
     longest = prepared.agg(
         F.coalesce(F.max(F.size(F.split("_rh", "\\."))), F.lit(0)).alias("labels"),
         F.coalesce(F.max(F.size(F.split("_rp", "/"))), F.lit(0)).alias("depth"),
+        F.collect_set(F.when(inside, F.length("_rp"))).alias("lengths"),
     ).first()
+    lengths = F.array(*[F.lit(n) for n in longest.lengths]).cast("array<int>")
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url")).withColumns(
         {"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
-    hosts, paths = _suffixes(F.col("_host"), F.lit(longest.labels)), _prefixes(F.col("_path"), F.lit(longest.depth))
+    hosts, paths = _suffixes(F.col("_host"), F.lit(longest.labels)), _prefixes(F.col("_path"), F.lit(longest.depth), lengths)
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("h"), p.alias("p")))))
     rows = rows.withColumn("_pairs", pairs).withColumn("_count", F.greatest(F.size("_pairs"), F.lit(1)))
     each = rows.select("_key", "_url", "_host", "_path", "_count", F.explode_outer("_pairs").alias("_pair"))

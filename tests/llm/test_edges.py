@@ -297,6 +297,19 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages, rules.limit(0)).where("verdict = 'allow' and rule is null").count() == len(got)
 
 
+def test_url_paths_without_a_slash(spark):
+    """A rule path that ends inside a name fits every path that starts with it."""
+    rules = spark.createDataFrame([("example.org", "/a", "block"), ("example.org", "/ab/ç", "allow"), ("x.org", "/long/path", "block")], "host string, path string, action string")
+    urls = {"http://example.org/a": "/a", "http://example.org/a/b": "/a", "http://example.org/abc?q": "/a", "http://www.example.org/ab/çd/e": "/ab/ç",
+            "http://example.org/ab/": "/a", "http://example.org/b/a": None, "http://example.org/": None, "http://x.org/long/pat": None, "http://x.org/long/paths/1": "/long/path"}
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        path = urls[r.url]
+        assert r.rule == (path and ("x.org" if "//x.org" in r.url else "example.org") + path)
+        assert r.verdict == ("block" if path in ("/a", "/long/path") else "allow")
+
+
 def test_apply_times(spark, docs):
     keys = docs.select(F.col("doc_id").alias("_key"), *shared.fingerprint("text"))
     twice = keys.withColumn("times", F.when(F.col("_key").isin(3, 5), 2).when(F.col("_key") == 4, 0).otherwise(1))
