@@ -58,10 +58,11 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reply_pairs(conversations: DataFrame, closing_turns: bool = False) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides made from plain conversations.
 
-    Chosen is a conversation up to its last assistant turn; rejected is the same with that
+    Chosen is a conversation up to its last assistant turn, or with ``closing_turns`` the whole
+    conversation, turns after that reply being on both sides; rejected is the same with that
     turn's text taken from the last assistant turn of its partner, the conversation whose
     number differs in the lowest bit.  Without a partner's reply the rejected side has none; a
     conversation without assistant turns is the same on both sides.
@@ -72,7 +73,8 @@ def reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = last.select(F.col("pair_id").alias("_own"), F.col("_last.turn").alias("_end"))
     partner = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("_partner"), F.col("_last.text").alias("_reply"), F.lit(True).alias("_has"))
     rows = turns.join(own, F.col("pair_id") == F.col("_own"), "left").join(partner, F.col("pair_id") == F.col("_partner"), "left")
-    rows = rows.where(F.col("_end").isNull() | F.col("turn").isNull() | (F.col("turn") <= F.col("_end")))
+    if not closing_turns:
+        rows = rows.where(F.col("_end").isNull() | F.col("turn").isNull() | (F.col("turn") <= F.col("_end")))
     columns = ["pair_id", "turn", "role", "text"]
     is_reply = F.coalesce((F.col("turn") == F.col("_end")) & (F.col("role") == "assistant"), F.lit(False))
     rejected = rows.where(~is_reply | F.col("_has")).withColumn("text", F.when(is_reply, F.col("_reply")).otherwise(F.col("text")))

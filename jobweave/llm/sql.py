@@ -35,6 +35,9 @@ SELECT pair_id, side, turn, part, p.role AS role, '<|' || coalesce(p.role, '') |
 FROM each
 """
 
+# With the turns after the last reply.
+OP6_WHOLE = OP6.replace("WHERE o.conv_id IS NULL OR c.turn IS NULL OR c.turn <= o.l.turn)", ")")
+
 OP8 = rf"""
 WITH d AS (
  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(text, '')) AS h FROM documents),

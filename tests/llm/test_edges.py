@@ -280,6 +280,15 @@ def test_preferences(spark):
     assert preference.format_preferences(*preference.reply_pairs(empty)).count() == 0
 
 
+def test_closing_turns(spark):
+    """Every row of the table comes out on the chosen side; closing turns are on both sides, outside the loss."""
+    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "thanks"), (3, 0, "user", "q"), (3, 1, "assistant", "b"), (5, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = preference.format_preferences(*preference.reply_pairs(df, closing_turns=True)).collect()
+    assert sorted((r.pair_id, r.turn) for r in got if r.side != "rejected") == sorted((c, t) for c, t, _, _ in rows)
+    assert {(r.side, r.rendered, r.in_loss) for r in got if r.pair_id == 2 and r.turn == 2} == {(s, "<|user|>\nthanks\n", False) for s in ("chosen", "rejected")}
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
                                    ("EXAMPLE.org", "/a", "block"), ("example.org", "/a", "allow"), (None, None, None)], "host string, path string, action string")
