@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of the ids of every document, and digest of the text decoded from them."""
-    return encoding_digests(bpe.encode_decode(docs, WORD_TOKENIZER))
+    """Ids, source and language of every document, with the number and digest of the ids and the digest of the text decoded from them."""
+    return encoding_digests(bpe.encode_decode(docs, WORD_TOKENIZER, beside=["source", "lang"]), "ids", "source", "lang")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

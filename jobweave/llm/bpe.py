@@ -12,7 +12,7 @@ import json
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -23,6 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobweave.llm.chunks import ChunkEncoder, chunks_of, slices
 from jobweave.llm.shared import stash, work_path
@@ -383,16 +384,20 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, lexi
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             decoded = pa.array((encoder.merges.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])), pa.string())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), lists, decoded], names=["doc_id", "ids", "decoded"])
+            beside = [c.slice(first, len(texts)) for i, c in enumerate(batch.columns) if i != 1]
+            yield pa.RecordBatch.from_arrays([beside[0], lists, decoded, *beside[1:]], names=["doc_id", "ids", "decoded", *batch.schema.names[2:]])
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", most: int = LEXICON_WORDS, beside: Sequence[str] = ()) -> DataFrame:
     """(key, ids array<int>, decoded) of every document; the decoded text is made from the ids.
 
-    A null text is empty and has no ids.  Repeated rows give repeated results; other columns
-    are not looked at.  An empty table gives an empty result.
+    A null text is empty and has no ids.  Repeated rows give repeated results; of the other columns
+    those named in ``beside`` come along.  An empty table gives an empty result.
     """
     lexicon = build_lexicon(docs, tokenizer_path, text, most)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(lambda b: _encode_batches(b, tokenizer_path, lexicon), "doc_id long, ids array<int>, decoded string")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *beside)
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()),
+        *[rows.schema[c] for c in beside]])
+    out = rows.mapInArrow(lambda b: _encode_batches(b, tokenizer_path, lexicon), schema)
     return out.withColumnRenamed("doc_id", key)

@@ -32,11 +32,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
-def encoding_digests(encoded: DataFrame) -> DataFrame:
+def encoding_digests(encoded: DataFrame, *beside: str) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *beside)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,14 @@ def test_encoding(docs, none):
     assert bpe.encode_decode(none, WORD_TOKENIZER).count() == 0
 
 
+def test_last_stage_returns_the_corpus(docs):
+    """The encoded corpus itself comes out: ids, source and language of every row, repeated ones too."""
+    library = word_library()
+    got = corpus_pipeline.encode(None, docs, "").collect()
+    want = [(r[0], library.encode(r[1] or "", add_special_tokens=False).ids, r[3], r[2]) for r in rows()]
+    assert sorted(map(repr, ((r.doc_id, r.ids, r.source, r.lang) for r in got))) == sorted(map(repr, want))
+
+
 def test_fuzzed_texts_encode_like_the_library():
     library, merges, r = word_library(), bpe.Merges(WORD_TOKENIZER), random.Random(3)
     letters = [*"abcXYZ  \t\n.,'<>|12", *map(chr, (0xE9, 0x301, 0xC5, 0x3A3, 0x3C2, 0x130, 0xDF, 0x65E5, 0x1C, 0x85, 0xA0, 0x2003, 0x200B, 0x345, 0x1F600)),
