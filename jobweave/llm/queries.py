@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with the columns that their contracts name."""
+"""The operators over their whole tables, with the columns that their contracts name."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import bpe, exact_dedup, language_id, mixing, near_dedup, preference, quality, sql, token_files, toxicity, url_filter
+from jobweave.llm import bpe, exact_dedup, hard_negatives, language_id, mixing, near_dedup, preference, quality, sentence_pieces, spelling, sql, token_files, toxicity, url_filter
 from jobweave.llm.shared import table, work_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 CATEGORIES = ("poor", "toxic")
 QUALITY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"]
@@ -89,14 +90,31 @@ def op10_quality_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), rules=quality.BY_COUNT).select(*QUALITY_COLUMNS)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = spelling.word_counts(docs, drop_one_in=97)
+    return spelling.forms(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("id") % 50 == 0, "vec_id", "embedding", "label")
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(sentence_pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_exact_dedup, op3_bpe, op4_near_dedup, op5_language_id, op6_preference, op6_preference_whole, op7_token_files, op8_mixing,
-        op9_url_filter, op10_quality, op10_quality_by_count,
+        op9_url_filter, op10_quality, op10_quality_by_count, op11_spelling, op12_hard_negatives, op13_sentence_pieces,
     )
 }
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": sql.OP2, "op6_preference": sql.OP6, "op8_mixing": sql.OP8, "op9_url_filter": sql.OP9, "op10_quality": sql.OP10,
     "op6_preference_whole": sql.OP6_WHOLE, "op10_quality_by_count": sql.OP10_BY_COUNT,
+    "op11_spelling": sql.OP11, "op12_hard_negatives": sql.OP12,
 }

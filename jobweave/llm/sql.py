@@ -116,3 +116,56 @@ FROM base
 
 # A line's number of texts alone decides.
 OP10_BY_COUNT = OP10.replace("WHERE docs >= 20 AND docs > 0.2::DOUBLE * of)", "WHERE docs >= 20)")
+
+# The CRC table is built by its rule; a text's CRC folds its bytes.
+OP11 = """
+WITH steps AS (
+ SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (
+ SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+        unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+ FROM documents),
+marked AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS h FROM runs GROUP BY id, run),
+hashed AS (
+ SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+        lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) + 1 AS BIGINT)]))) AS h
+ FROM marked, steps),
+words AS (
+ SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+ FROM hashed GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+ SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+ UNION SELECT w.word, l.word, l.n FROM words w JOIN less l ON l.rest = w.word
+ UNION SELECT l.word, w.word, w.n FROM words w JOIN less l ON l.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, min({'m': -near_n, 'near': near}) AS b FROM pairs GROUP BY word),
+found AS (
+ SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * w.n THEN b.near END AS form, CASE WHEN -b.m >= 2 * w.n THEN -b.m END AS form_n
+ FROM words w LEFT JOIN best USING (word)),
+ways AS (
+ WITH RECURSIVE w AS (
+  SELECT word, word AS root, form AS next FROM found
+  UNION ALL SELECT w.word, f.word, f.form FROM w JOIN found f ON w.next = f.word)
+ SELECT word, root FROM w WHERE next IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN ways USING (word)
+"""
+
+OP12 = """
+WITH r AS (
+ SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+ FROM (SELECT DISTINCT vec_id, label, embedding FROM embeddings)
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+ SELECT a.id AS anchor_id, a.label AS anchor_label, b.id, b.label, CASE WHEN len(a.v) = 0 THEN 0 ELSE CAST(list_inner_product(a.v, b.v) AS BIGINT) END AS score
+ FROM r a JOIN r b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+p AS (
+ SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+ SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+ FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.label <> s.anchor_label
+ WHERE 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
