@@ -112,6 +112,20 @@ def search_vectors(spark, sf):
     return _rounded(vectors.search_knn(index, v.withColumnRenamed("job_id", "query_id"), top_k=10), "score")
 
 
+_STATED = """WITH vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+ SELECT CAST(count(*) AS BIGINT) AS queries, CAST(count(*) * least(10, (SELECT count(*) FROM vec)) AS BIGINT) AS wanted, TRUE AS reached FROM vec WHERE vec_id % 50 = 0"""
+
+
+@query("hyperplane_recall", _STATED)
+def hyperplane_recall(spark, sf):
+    """Recall of the hyperplane buckets against exact search, asked with every vector whose number divides by 50."""
+    v = _vectors(spark, sf)
+    index = vectors.build_vector_index(v)
+    asked = v.where("job_id % 50 = 0").withColumnRenamed("job_id", "query_id")
+    measured = vectors.recall_against(vectors.search_knn(index, asked), vectors.search_hyperplanes(index, asked))
+    return measured.select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query("vectors_by_length", """SELECT vec_id%9 <> 0 AS usable, CAST(count(*) AS BIGINT) AS vectors FROM embeddings GROUP BY 1""")
 def vectors_by_length(spark, sf):
     cut = _vectors(spark, sf).withColumn(

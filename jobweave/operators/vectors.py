@@ -1,27 +1,30 @@
-"""Exact nearest neighbours by cosine: every vector against blocks of queries.
+"""Nearest neighbours by cosine: exactly, block by block, or among the buckets of random hyperplanes.
 
-The vectors stay where they are and are read once for each block of queries.  A block has at most
-about ``query_rows`` queries, so what is broadcast does not grow with either table.  Each
-task keeps the best k of its own rows for each query; only those meet in a shuffle.  Nothing
-is left out by a bound, so near copies and ties cannot be lost.
+Blocks of queries meet blocks of vectors in tasks; no vector passes the driver, and both tables are
+read once however many blocks they make.  Each cell returns the best k of its own vectors for
+each of its queries; only those meet in a shuffle.  Nothing is left out by a bound, so near
+copies and ties cannot be lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobweave.operators.blocks import cogroup_cells, grid_of, meet_blocks
 from jobweave.operators.search import top_k_per_query
+from jobweave.operators.skew import task_count
+from jobweave.session import cut_lineage
 
 DIGITS = 10
-STEP = 512  # stored vectors in one matrix product, which bounds its size
+BLOCK_NUMBERS = 1 << 21  # components in a block
+SIMILARITIES = 1 << 20  # computed at once
 
 
 def split_by_length(vectors: DataFrame, dims: int, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -32,12 +35,17 @@ def split_by_length(vectors: DataFrame, dims: int, column: str = "embedding") ->
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """The stored vectors of one length."""
+    """The stored vectors of one length; ``rejected`` are the others, with all their columns."""
 
     vectors: DataFrame
     key: str
     column: str
     dims: int
+    rejected: DataFrame
+
+    def split_queries(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(queries that can be asked, queries whose vector is missing or of another length)."""
+        return split_by_length(queries, self.dims)
 
 
 def build_vector_index(vectors: DataFrame, *, key: str = "job_id", column: str = "embedding", dims: int | None = None) -> VectorIndex:
@@ -46,93 +54,139 @@ def build_vector_index(vectors: DataFrame, *, key: str = "job_id", column: str =
         sizes = vectors.where(F.size(column) > 0).groupBy(F.size(column).alias("n")).count()
         top = sizes.orderBy(F.desc("count"), "n").first()
         dims = top.n if top else 0
-    return VectorIndex(vectors.where(F.size(column) == dims).select(key, column), key, column, dims)
+    usable, rejected = split_by_length(vectors, dims, column)
+    return VectorIndex(usable.select(key, column), key, column, dims, rejected)
 
 
-def _units(values: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows and a mask of the rows that have a direction."""
-    matrix = np.asarray(values, dtype="float64")
+def _units(lists: pa.ChunkedArray | pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, and a mask of the rows that have a direction."""
+    flat = pc.cast(pc.list_flatten(lists), pa.float64())
+    matrix = np.array(flat.to_numpy(zero_copy_only=False) if isinstance(flat, pa.Array) else flat.to_numpy()).reshape(len(lists), dims)
     norms = np.linalg.norm(matrix, axis=1)
-    has = norms > 0
+    has = (norms > 0) & np.isfinite(norms)
     return matrix[has] / norms[has][:, None], has
 
 
-class _Best:
-    """The best k stored vectors for each of some queries, ties to the smaller id."""
-
-    def __init__(self, queries: int, top_k: int):
-        self.top_k = top_k
-        self.sims: np.ndarray = np.empty((queries, 0))
-        self.ids: np.ndarray | None = None
-
-    def add(self, ids: np.ndarray, sims: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, sims = ids[order], sims[:, order]
-        if self.ids is None or self.sims.shape[1] < self.top_k:
-            rows = np.arange(len(sims))
-        else:  # queries that one of these could still serve
-            rows = np.flatnonzero((sims >= self.sims[:, -1:]).any(axis=1))
-        if not len(rows):
-            return
-        # Stable over ids in order: of equal similarities the smaller id comes first.
-        top = np.argsort(-sims[rows], axis=1, kind="stable")[:, :self.top_k]
-        new_sims, new_ids = np.take_along_axis(sims[rows], top, 1), ids[top]
-        if self.ids is None:
-            self.sims, self.ids = new_sims, new_ids
-            return
-        both, every = np.concatenate([self.sims[rows], new_sims], axis=1), np.concatenate([self.ids[rows], new_ids], axis=1)
-        by_id = np.argsort(every, axis=1, kind="stable")
-        both, every = np.take_along_axis(both, by_id, 1), np.take_along_axis(every, by_id, 1)
-        keep = np.argsort(-both, axis=1, kind="stable")[:, :self.top_k]
-        best, named = np.take_along_axis(both, keep, 1), np.take_along_axis(every, keep, 1)
-        if len(rows) == len(self.sims):
-            self.sims, self.ids = best, named
-        else:
-            self.sims[rows], self.ids[rows] = best, named
-
-
-def _scan(index: VectorIndex, block: pd.DataFrame, query_type: T.DataType, top_k: int) -> DataFrame:
-    """(query_id, job_id, score) of each task's best for the queries of ``block``."""
-    units, has = _units(block["embedding"].tolist())
-    shared = index.vectors.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy()[has], units))
-
-    key, column = index.key, index.column
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, queries = shared.value
-        best = _Best(len(ids), top_k)
-        for batch in batches:
-            for start in range(0, len(batch), STEP):
-                some = batch.iloc[start:start + STEP]
-                stored, used = _units(some[column].tolist())
-                # Rounded before they are ranked, so that the order of summing decides no rank.
-                if used.any() and len(ids):
-                    best.add(some[key].to_numpy()[used], np.round(queries @ stored.T, DIGITS))
-        if best.ids is None:
-            return
-        width = best.sims.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(ids, width), "job_id": best.ids.ravel(), "score": best.sims.ravel()})
-
-    schema = T.StructType([
-        T.StructField("query_id", query_type), T.StructField("job_id", index.vectors.schema[index.key].dataType), T.StructField("score", T.DoubleType())])
-    return index.vectors.mapInPandas(run, schema)
-
-
-def search_knn(index: VectorIndex, queries: DataFrame, *, top_k: int = 10, query_rows: int = 4096) -> DataFrame:
+def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest scores of each row; of equal ones the first columns."""
+    if scores.shape[1] <= k:
+        return np.divmod(np.arange(scores.size), max(scores.shape[1], 1))
+    last = np.partition(scores, -k, axis=1)[:, -k][:, None]
+    above, equal = scores > last, scores == last
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
+
+
+def _nearest(asked: pa.Table, stored: pa.Table, dims: int, top_k: int) -> pa.Table:
+    """(query_id, job_id, score): for each query of a cell the best of the cell's vectors, ties to the smaller id."""
+    stored = stored.sort_by("job_id")
+    queries, with_direction = _units(asked["embedding"], dims)
+    units, used = _units(stored["embedding"], dims)
+    query_ids, job_ids = asked["query_id"].filter(pa.array(with_direction)), stored["job_id"].filter(pa.array(used))
+    rows, columns, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    step = max(1, SIMILARITIES // max(len(units), 1))
+    for at in range(0, len(queries), step) if len(units) else ():
+        # Rounded before they are ranked, so that the order of summing decides no rank.
+        sims = np.round(queries[at:at + step] @ units.T, DIGITS)
+        r, c = best_columns(sims, top_k)
+        rows.append(r + at)
+        columns.append(c)
+        scores.append(sims[r, c])
+    r, c = np.concatenate(rows), np.concatenate(columns)
+    return pa.table({"query_id": query_ids.take(pa.array(r)), "job_id": job_ids.take(pa.array(c)), "score": np.concatenate(scores)})
+
+
+def _schema(asked: DataFrame, index: VectorIndex) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", asked.schema["query_id"].dataType),
+        T.StructField("job_id", index.vectors.schema[index.key].dataType), T.StructField("score", T.DoubleType())])
+
+
+def _stored(index: VectorIndex) -> DataFrame:
+    return index.vectors.select(F.col(index.key).alias("job_id"), F.col(index.column).alias("embedding"))
+
+
+def _ranked(found: DataFrame, top_k: int) -> DataFrame:
+    return top_k_per_query(found, top_k).withColumn("score", F.round((1 + F.col("score")) / 2, DIGITS))
+
+
+def search_knn(index: VectorIndex, queries: DataFrame, *, top_k: int = 10) -> DataFrame:
     """(query_id, rank, job_id, score) with score = (1 + cosine) / 2, exact.
 
-    ``queries``: query_id, embedding of the index's length.
+    ``queries``: query_id, embedding of the index's length; ``VectorIndex.split_queries`` names the others.
+    """
+    asked, stored = index.split_queries(queries)[0].select("query_id", "embedding"), _stored(index)
+    dims = index.dims
+    grid = grid_of(asked, stored, max(256, BLOCK_NUMBERS // max(dims, 1)))
+    found = meet_blocks(
+        asked, stored, (F.xxhash64("query_id", "embedding"), F.xxhash64("job_id", "embedding")), grid,
+        lambda a, b: _nearest(a, b, dims, top_k), _schema(asked, index))
+    return _ranked(found, top_k)
+
+
+# --- hyperplanes -----------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Hyperplanes:
+    """``tables`` times ``bits`` random hyperplanes: vectors on the same side of all planes of a table share
+    its bucket.  A query also looks into the buckets that differ in one plane."""
+
+    tables: int = 20
+    bits: int = 8
+    seed: int = 7
+
+    def buckets(self, units: np.ndarray) -> np.ndarray:
+        """Bucket of each row in each table."""
+        planes = np.random.default_rng(self.seed).normal(size=(units.shape[1], self.tables * self.bits))
+        sides = (units @ planes > 0).reshape(len(units), self.tables, self.bits)
+        return sides @ (1 << np.arange(self.bits))
+
+
+def _in_buckets(rows: DataFrame, dims: int, planes: Hyperplanes, probes: bool) -> DataFrame:
+    """``rows`` once for each table, and with ``probes`` for each neighbouring bucket too; those without a direction go."""
+    def run(batches):
+        flips = np.concatenate([[0], 1 << np.arange(planes.bits)]) if probes else np.zeros(1, np.int64)
+        for batch in batches:
+            units, has = _units(batch["embedding"], dims)
+            kept = batch.filter(pa.array(has))
+            for at in range(0, len(units), 1_000):
+                own = planes.buckets(units[at:at + 1_000])
+                all_buckets = own[:, :, None] ^ flips
+                n, per = len(own), planes.tables * len(flips)
+                out = kept.take(pa.array(np.repeat(np.arange(at, at + n), per)))
+                table = np.tile(np.repeat(np.arange(planes.tables), len(flips)), n)
+                yield pa.RecordBatch.from_arrays(
+                    [*out.columns, pa.array(table, pa.int32()), pa.array(all_buckets.reshape(-1), pa.int64())], names=[*out.schema.names, "_table", "_bucket"])
+
+    fields = [*rows.schema.fields, T.StructField("_table", T.IntegerType()), T.StructField("_bucket", T.LongType())]
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def search_hyperplanes(index: VectorIndex, queries: DataFrame, *, top_k: int = 10, planes: Hyperplanes = Hyperplanes()) -> DataFrame:
+    """As ``search_knn``, among the vectors that share a bucket with the query, by exact scores.
+
+    Every vector is in ``tables`` buckets.  A crowded bucket is split into blocks of bounded size, each of
+    which its queries visit.  More tables raise the recall, more bits lower the number of vectors
+    looked at; ``recall_against`` measures what a setting gives.
     """
-    asked = queries.where(F.size("embedding") == index.dims).select("query_id", "embedding")
-    blocks = max(1, -(-asked.count() // query_rows))
-    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = []
-    for block in range(blocks):
-        some = numbered.where(F.col("_block") == block).drop("_block").toPandas()
-        if len(some):
-            parts.append(_scan(index, some, asked.schema["query_id"].dataType, top_k))
-    if not parts:
-        parts.append(index.vectors.limit(0).select(
-            F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), F.col(index.key).alias("job_id"), F.lit(0.0).alias("score")))
-    found = top_k_per_query(reduce(DataFrame.unionByName, parts), top_k)
-    return found.withColumn("score", F.round((1 + F.col("score")) / 2, DIGITS))
+    asked, dims = index.split_queries(queries)[0].select("query_id", "embedding"), index.dims
+    stored = _in_buckets(_stored(index), dims, planes, probes=False)
+    # One row for each bucket: tables x 2^bits at most, whatever the number of vectors.
+    block = max(256, BLOCK_NUMBERS // max(dims, 1))
+    sizes = cut_lineage(stored.groupBy("_table", "_bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")))
+    sizes = F.broadcast(sizes)
+    stored = stored.join(sizes, ["_table", "_bucket"]).withColumn("_block", F.pmod(F.xxhash64("job_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    visits = _in_buckets(asked, dims, planes, probes=True).join(sizes, ["_table", "_bucket"])
+    visits = visits.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    found = cogroup_cells(
+        visits, stored, ["_table", "_bucket", "_block"], 4 * task_count(stored),
+        lambda a, b: _nearest(a, b, dims, top_k), _schema(asked, index))
+    return _ranked(found.distinct(), top_k)
+
+
+def recall_against(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """(queries, wanted, found, recall): the share of the exact hits that were found."""
+    both = exact.select("query_id", "job_id").join(found.select("query_id", "job_id", F.lit(1).alias("_hit")), ["query_id", "job_id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("found"),
+        (F.count("_hit") / F.count(F.lit(1))).alias("recall"))

@@ -18,7 +18,9 @@ def brute_knn(base, asked, k):
 
 
 @pytest.mark.parametrize("shape", ["random", "clustered", "copies", "near copies"])
-def test_knn_is_exact(spark, shape):
+def test_knn_is_exact(spark, shape, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 8)  # blocks of 256 rows
+    monkeypatch.setattr(vectors, "SIMILARITIES", 500)
     rng = np.random.default_rng(4)
     if shape == "random":
         base = rng.normal(size=(700, 8))
@@ -32,10 +34,39 @@ def test_knn_is_exact(spark, shape):
         asked = base[rng.integers(0, 600, 40)] + rng.normal(scale=1e-8, size=(40, 8))
     frame = lambda m, name: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{name} long, embedding array<double>")
     index = vectors.build_vector_index(frame(base, "job_id"))
-    hits = vectors.search_knn(index, frame(asked, "query_id"), top_k=7, query_rows=15).collect()
+    hits = vectors.search_knn(index, frame(asked, "query_id"), top_k=7).collect()
     want = brute_knn(base, asked, 7)
     got = {q: [h.job_id for h in sorted((h for h in hits if h.query_id == q), key=lambda h: h.rank)] for q in want}
     assert got == want
+    # One plane: both sides of it are looked at, so nothing can be missed.
+    some = vectors.search_hyperplanes(index, frame(asked, "query_id"), top_k=7, planes=vectors.Hyperplanes(tables=3, bits=1)).collect()
+    assert sorted(some) == sorted(hits)
+
+
+def test_blocks_meet_once(spark):
+    """Every row of one side meets every row of the other in one cell, however many blocks there are."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from jobweave.operators.blocks import Grid, meet_blocks
+
+    a, b = spark.range(50).withColumnRenamed("id", "a"), spark.range(70).withColumnRenamed("id", "b")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def work(x, y):
+        pairs = [(i, j) for i in x["a"].to_pylist() for j in y["b"].to_pylist()]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    got = meet_blocks(a, b, (F.xxhash64("a"), F.xxhash64("b")), Grid(4, 7, 5), work, schema).collect()
+    assert len(got) == len(set(got)) == 50 * 70
+
+
+def test_vectors_of_other_lengths_are_named(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None)], "job_id long, embedding array<double>")
+    index = vectors.build_vector_index(df)
+    assert sorted(r.job_id for r in index.rejected.collect()) == [3, 4]
+    usable, other = index.split_queries(df.withColumnRenamed("job_id", "query_id"))
+    assert usable.count() == 2 and sorted(r.query_id for r in other.collect()) == [3, 4]
 
 
 def test_knn_with_few_vectors_and_zero_vectors(spark):
