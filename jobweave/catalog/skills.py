@@ -218,7 +218,7 @@ _OVERLAP_ROWS = " SELECT resume_id, rank, job_id, CAST(c AS BIGINT) AS match_cou
 
 @query("matched_postings", _OVERLAP + _OVERLAP_ROWS.format(", shown AS matched_skills", 100))
 def matched_postings(spark, sf):
-    m = skills.match_postings(derived.postings(spark, sf, skills=True), derived.resumes(spark, sf))
+    m = skills.match_postings(derived.postings(spark, sf, skills=True), derived.resumes(spark, sf), 100)
     return m.withColumns({"match_ratio": F.round("match_ratio", 6), "matched_skills": F.array_join("matched_skills", "|")})
 
 

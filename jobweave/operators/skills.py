@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobweave import fixed_values as fv
 from jobweave.functions.numbers import percent
 from jobweave.functions.text import all_skills, norm_skill, present, strip, strings_or_empty
-from jobweave.operators.skew import attach_by_key, broadcast_if_small, task_count, with_every
+from jobweave.operators.skew import attach_by_key, broadcast_if_small, with_every
 from jobweave.session import cut_lineage
 
 
@@ -224,31 +224,79 @@ def _resume_sets(people: DataFrame, column: str) -> DataFrame:
     return people.groupBy(column).agg(F.min("resume_id").alias("wanted_id"), F.count(F.lit(1)).alias("_resumes"))
 
 
-def _posting_sets(postings: DataFrame, names: Column, limit: int) -> DataFrame:
+def _posting_sets(postings: DataFrame, names: Column, limit: int | None) -> DataFrame:
     """(set_id, job_id, nth, names, raw): the first ``limit`` postings of each distinct skill
     set, which is called by its smallest posting id."""
     raw = all_skills()
     order = Window.partitionBy("names").orderBy("job_id")
-    return (
+    ranked = (
         postings.select(F.col("id").alias("job_id"), names.alias("names"), raw.alias("raw")).where(F.size("names") > 0)
-        .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
-        .withColumn("set_id", F.first("job_id").over(order))
+        .withColumn("nth", F.row_number().over(order))
     )
+    return _up_to(ranked, "nth", limit).withColumn("set_id", F.first("job_id").over(order))
+
+
+def _up_to(ranked: DataFrame, rank: str, limit: int | None) -> DataFrame:
+    return ranked if limit is None else ranked.where(F.col(rank) <= limit)
+
+
+FIRST_LOOK = 4  # so many times the limit of sets are looked at for each skill, to find a bound
+
 
+def best_overlaps(sets: DataFrame, wanted: DataFrame, limit: int | None, fits: Column | None = None) -> DataFrame:
+    """(wanted_id, set_id, match_count) of at least the ``limit`` sets with the largest overlap, for each wanted set.
 
-def _best_jobs(overlaps: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    ``sets`` has set_id and ``names``, ``wanted`` has wanted_id and ``wanted``, both lists without repeats; ``fits`` is a
+    further condition on a pair.  Equal overlaps are ordered by set_id.
+
+    A first look at the first few sets of every skill gives each wanted set a bound: at the limit it
+    has an overlap of t, or t and a set_id up to some last one.  A set with an overlap of t
+    holds one of the n - t + 1 rarest of n wanted skills, and one with more than t one of the n - t rarest; so
+    only the postings of those skills are looked at, for the last of them up to the last set_id,
+    and no other pair is ever made.  Without a limit all overlapping pairs are wanted, and made.
+    """
+    listed = cut_lineage(sets.select("*", F.explode("names").alias("skill_n")))
+    often = listed.groupBy("skill_n").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = Window.partitionBy("wanted_id").orderBy("_df", "skill_n")
+    asked = wanted.select("*", F.explode("wanted").alias("skill_n")).join(often, "skill_n").withColumns({
+        "_at": F.row_number().over(rarest),
+        "_n": F.count(F.lit(1)).over(Window.partitionBy("wanted_id")),
+        "_rarer": F.collect_list("skill_n").over(rarest.rowsBetween(Window.unboundedPreceding, -1)),
+    }).drop("_df")
+    common = F.size(F.array_intersect("names", "wanted")).cast("bigint")
+    fits = F.lit(True) if fits is None else fits
+    if limit is None:
+        asked = asked.withColumns({"_t": F.lit(1).cast("bigint"), "_last": F.lit(None).cast(sets.schema["set_id"].dataType)})
+    else:
+        asked = cut_lineage(asked)
+        by_id = Window.partitionBy("skill_n").orderBy("set_id")
+        first = listed.withColumn("_nth", F.row_number().over(by_id)).where(F.col("_nth") <= FIRST_LOOK * limit).drop("_nth")
+        seen = first.join(broadcast_if_small(asked), "skill_n").where(fits).select("wanted_id", "set_id", common.alias("_t")).distinct()
+        order = Window.partitionBy("wanted_id").orderBy(F.desc("_t"), "set_id")
+        bound = cut_lineage(seen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)).where(F.col("_rank") == limit)
+        bound = broadcast_if_small(bound.select("wanted_id", "_t", F.col("set_id").alias("_last")))
+        asked = asked.join(bound, "wanted_id", "left").withColumn("_t", F.coalesce("_t", F.lit(1).cast("bigint")))
+    asked = asked.where(F.col("_at") <= F.col("_n") - F.col("_t") + 1)
+    in_time = F.col("_last").isNull() | (F.col("set_id") <= F.col("_last"))
+    # A pair is made at the rarest skill that both hold, so it is made once.
+    met = listed.join(broadcast_if_small(cut_lineage(asked)), "skill_n").where(
+        ((F.col("_at") <= F.col("_n") - F.col("_t")) | in_time) & ~F.arrays_overlap("names", "_rarer") & fits)
+    met = met.select("wanted_id", "set_id", common.alias("match_count"), "_t", in_time.alias("_in_time"))
+    return met.where((F.col("match_count") > F.col("_t")) | ((F.col("match_count") == F.col("_t")) & F.col("_in_time"))).select(
+        "wanted_id", "set_id", "match_count")
+
+
+def _best_jobs(overlaps: DataFrame, sets: DataFrame, limit: int | None) -> DataFrame:
     """(wanted_id, rank, job_id, match_count, raw) from (wanted_id, set_id, match_count).
 
     A set behind ``limit`` others by (count, first id) has all its ids behind theirs, so the
     first cut is by set; it happens per partition before any pair moves.
     """
     by_set = Window.partitionBy("wanted_id").orderBy(F.desc("match_count"), F.asc("set_id"))
-    kept = overlaps.withColumn("_rn", F.row_number().over(by_set)).where(F.col("_rn") <= limit).drop("_rn")
+    kept = overlaps if limit is None else overlaps.withColumn("_rn", F.row_number().over(by_set)).where(F.col("_rn") <= limit).drop("_rn")
     by_job = Window.partitionBy("wanted_id").orderBy(F.desc("match_count"), F.asc("job_id"))
-    return (
-        sets.select("set_id", "job_id", "raw").join(kept, "set_id")
-        .withColumn("rank", F.row_number().over(by_job).cast("bigint")).where(F.col("rank") <= limit)
-    )
+    joined = sets.select("set_id", "job_id", "raw").join(kept, "set_id")
+    return _up_to(joined.withColumn("rank", F.row_number().over(by_job).cast("bigint")), "rank", limit)
 
 
 def _per_resume(people: DataFrame, column: str, resume_sets: DataFrame, hits: DataFrame, size: Column, *extra: str) -> DataFrame:
@@ -267,49 +315,36 @@ def _per_resume(people: DataFrame, column: str, resume_sets: DataFrame, hits: Da
     )
 
 
-def match_postings(
-    postings: DataFrame, resume_skills: DataFrame, *, limit: int = fv.MATCH_LIMIT, trim: bool = True
-) -> DataFrame:
-    """(resume_id, rank, job_id, match_count, match_ratio, matched_skills), top ``limit`` each.
+def match_postings(postings: DataFrame, resume_skills: DataFrame, limit: int | None, *, trim: bool = True) -> DataFrame:
+    """(resume_id, rank, job_id, match_count, match_ratio, matched_skills), the best ``limit`` each, or all that share a skill.
 
     Postings with the same skill set score alike, and resumes with the same skill set get
     the same list, so both sides are reduced to distinct sets; of a posting set only its
-    first ``limit`` ids can be in anyone's list.  While the resume sets are small enough to
-    broadcast, overlaps are counted where the posting set lives and only each partition's
-    top-k moves.  ``trim=False`` only lower-cases the posting's skills.
+    first ``limit`` ids can be in anyone's list.  ``trim=False`` only lower-cases the posting's skills.
     """
-    people = _wanted_sets(resume_skills)
-    wanted = _resume_sets(people, "wanted")
-    sets = _posting_sets(postings, _normalized_names(trim), limit)
-    asked = wanted.select("wanted_id", F.explode("wanted").alias("skill_n"))
-    overlaps = (
-        sets.where("nth = 1").select("set_id", "names").repartition(task_count(postings), "set_id")
-        .select("set_id", F.explode("names").alias("skill_n")).join(broadcast_if_small(asked), "skill_n")
-        .groupBy("set_id", "wanted_id").agg(F.count(F.lit(1)).alias("match_count"))
-    )
+    people = cut_lineage(_wanted_sets(resume_skills))
+    wanted = cut_lineage(_resume_sets(people, "wanted"))
+    sets = cut_lineage(_posting_sets(postings, _normalized_names(trim), limit))
+    overlaps = best_overlaps(sets.where("nth = 1").select("set_id", "names"), wanted.select("wanted_id", "wanted"), limit)
     hits = _best_jobs(overlaps, sets, limit).join(wanted.select("wanted_id", "wanted"), "wanted_id")
     spelled = hits.select("wanted_id", "rank", "job_id", "match_count", _shown(trim).alias("matched_skills"))
     return _per_resume(people, "wanted", wanted, spelled, F.size("wanted"), "matched_skills")
 
 
-def match_postings_exact_case(postings: DataFrame, resume_skills: DataFrame, limit: int = fv.MATCH_LIMIT) -> DataFrame:
+def match_postings_exact_case(postings: DataFrame, resume_skills: DataFrame, limit: int | None) -> DataFrame:
     """As ``match_postings``, but a posting must hold one resume skill in its exact case.
 
     Sets are kept apart by their raw spelling here.
     """
-    normal = lambda arr: F.array_distinct(F.transform(arr, lambda s: norm_skill(s)))
+    normal = lambda arr: F.array_distinct(F.transform(arr, lambda s: norm_skill(s)))
     typed = resume_skills.select("resume_id", F.trim("skill").alias("skill")).where("skill <> ''")
-    people = typed.groupBy("resume_id").agg(F.array_sort(F.collect_set("skill")).alias("exact"))
-    wanted = _resume_sets(people, "exact")
+    people = cut_lineage(typed.groupBy("resume_id").agg(F.array_sort(F.collect_set("skill")).alias("exact")))
+    wanted = cut_lineage(_resume_sets(people, "exact"))
     spelled = F.array_sort(F.array_distinct(F.filter(all_skills(), lambda s: s.isNotNull() & (s != ""))))
-    sets = _posting_sets(postings, spelled, limit)
-    asked = wanted.select("wanted_id", normal(F.col("exact")).alias("wanted"), F.explode("exact").alias("_s"))
-    overlaps = (
-        sets.where("nth = 1").select("set_id", "names").repartition(task_count(postings), "set_id")
-        .select("set_id", normal(F.col("names")).alias("listed"), F.explode("names").alias("_s"))
-        .join(broadcast_if_small(asked), "_s")
-        .groupBy("set_id", "wanted_id").agg(F.first(F.size(F.array_intersect("listed", "wanted"))).cast("bigint").alias("match_count"))
-    )
+    sets = cut_lineage(_posting_sets(postings, spelled, limit))
+    listed = sets.where("nth = 1").select("set_id", normal(F.col("names")).alias("names"), F.col("names").alias("_spelled"))
+    asked = wanted.select("wanted_id", normal(F.col("exact")).alias("wanted"), F.col("exact").alias("_exact"))
+    overlaps = best_overlaps(listed, asked, limit, F.arrays_overlap("_spelled", "_exact"))
     return _per_resume(people, "exact", wanted, _best_jobs(overlaps, sets, limit), F.size(normal(F.col("exact"))))
 
 

@@ -131,7 +131,7 @@ class Hyperplanes:
     """``tables`` times ``bits`` random hyperplanes: vectors on the same side of all planes of a table share
     its bucket.  A query also looks into the buckets that differ in one plane."""
 
-    tables: int = 20
+    tables: int = 40
     bits: int = 8
     seed: int = 7
 
