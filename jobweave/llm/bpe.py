@@ -226,13 +226,14 @@ class Lexicon:
                 passed += counts[t]
         lengths = np.fromiter((len(i) // 4 for i in ids), np.uint32, len(ids))
         return cls({
-            "arcs": np.array([*arcs, 0xFFFFFFFF], "<u4"), "target": np.array([*target, 0], "<u4"), "output": np.array([*output, 0], "<u4"),
+            "arcs": np.array([*arcs, 0xFFFFFFFFFFFFFFFF], "<u8"), "target": np.array([*target, 0], "<u4"), "output": np.array([*output, 0], "<u4"),
             "final": np.array([f for f, _ in states], "<u4"), "offsets": np.append(np.uint32(0), np.cumsum(lengths)).astype("<u4"),
             "ids": np.frombuffer(b"".join(ids), "<u4"),
         }, start, max(map(len, words), default=0))
 
     def to_bytes(self) -> bytes:
         arrays = [getattr(self, f) for f in self.FIELDS]
+        # Eight numbers come first, so that the arcs, which take two each, lie where 64-bit numbers may.
         head = np.array([self.start, self.longest, *map(len, arrays)], "<u4")
         return head.tobytes() + b"".join(a.tobytes() for a in arrays)
 
@@ -242,8 +243,9 @@ class Lexicon:
         data = np.memmap(path, "<u4", "r")
         at, arrays = 2 + len(cls.FIELDS), {}
         for name, n in zip(cls.FIELDS, data[2:at].tolist()):
-            arrays[name] = data[at:at + n]
-            at += n
+            width = 2 if name == "arcs" else 1
+            arrays[name] = data[at:at + width * n].view("<u8" if width == 2 else "<u4")
+            at += width * n
         return cls(arrays, int(data[0]), int(data[1]))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -265,7 +267,7 @@ class Lexicon:
             done = ended[self.final[state[ended]] == 1]
             found[names[done]] = total[done]
             live = live[lengths[live] > step]
-            key = (state[live] << 8 | flat[starts[live] + step]).astype(np.uint32)
+            key = (state[live] << 8 | flat[starts[live] + step]).astype(np.uint64)
             at = np.searchsorted(self.arcs, key)
             hit = self.arcs[at] == key
             live, at = live[hit], at[hit]
@@ -336,12 +338,13 @@ def _count_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words of all texts, by count over the whole corpus.
+    """The most frequent words of all texts, by count over the whole corpus; none longer than LONG_WORD bytes.
 
     All words that occur as often as the last one are in, as long as there are ``most`` at most.
     """
     counts = docs.select(F.col(text).alias("text")).mapInArrow(lambda b: _count_words(b, tokenizer_path), "word binary, n long")
-    counts = stash(counts.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+    counts = counts.where(F.octet_length("word") <= LONG_WORD).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stash(counts, "word_counts")
     # The smallest count that no more than ``most`` words reach; one row per count is ordered here.
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_words"))
     reach = sizes.select("n", F.sum("_words").over(W.orderBy(F.desc("n"))).alias("_reach"))

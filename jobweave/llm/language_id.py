@@ -45,7 +45,7 @@ def _letters(text: str) -> np.ndarray:
 
 
 def _letter_table() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 _TABLE: list[np.ndarray] = []
@@ -54,7 +54,7 @@ _TABLE: list[np.ndarray] = []
 def _is_letter(codes: np.ndarray) -> np.ndarray:
     if not _TABLE:
         _TABLE.append(_letter_table())
-    return (codes < 0x30000) & _TABLE[0][np.minimum(codes, 0x2FFFF)]
+    return _TABLE[0][codes]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(lang: str, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["lang", "bucket", "n"])
 
 
 class Model:
@@ -117,7 +117,10 @@ class Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> Model:
     """Count the n-grams of every labelled text and turn them into log probabilities.
 
-    Rows with a null text or language are left out.  What comes to the driver has at most BUCKETS
+    Rows with a null text or language are left out; an empty text counts as a document without
+    grams, a very long one is counted whole, repeated rows count each time.  An empty table gives a model
+    that knows no language.  Only the two named columns are read, whatever the others are called.
+    What comes to the driver has at most BUCKETS
     numbers for each language; that, and nothing else, is broadcast with the scoring function.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")

@@ -23,6 +23,29 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
+def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts one after another, as they lie in the array's buffer; number of bytes of each)."""
+    lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
+    _, offsets, data = texts.buffers()
+    if data is None or not len(texts):
+        return np.empty(0, np.uint8), lengths
+    edges = np.frombuffer(offsets, np.int64 if texts.type == pa.large_string() else np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8)[edges[0]:edges[-1]], lengths
+
+
+def cut_at(buffer: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, number of words of each): the buffer cut where ``starts`` is true, without copying it.
+
+    ``edges`` says where texts begin and end in the buffer.
+    """
+    starts[edges] = True
+    at = np.flatnonzero(starts)
+    large = len(buffer) >= 1 << 31
+    offsets = pa.py_buffer(at.astype(np.int64 if large else np.int32))
+    words = pa.Array.from_buffers(pa.large_string() if large else pa.string(), max(len(at) - 1, 0), [None, offsets, pa.py_buffer(buffer)])
+    return words, np.diff(np.searchsorted(at, edges))
+
+
 class WordMemory:
     """Ids of words that were met before.
 

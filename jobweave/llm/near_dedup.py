@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +18,9 @@ from jobweave.llm.shared import fingerprint, small_side, stash
 
 @dataclass(frozen=True)
 class Forest:
-    """``trees`` orders; two texts are neighbours in one where they share ``depth`` hashes or
-    more; where more than ``crowd`` texts do, the order goes ``deepest`` hashes deep.
+    """``trees`` orders of signatures, ``deepest`` hashes long; two texts can be neighbours in one where
+    they share the first ``depth`` hashes, which makes a region of it.  A text meets the ``reach`` next ones
+    in its region: those with the longest common prefix, so the depth that counts adapts to the region.
 
     A pair at similarity s shares the first ``depth`` hashes of some order with probability
     1 - (1 - s^depth)^trees: all but 3 in a million at 0.8.
@@ -27,17 +31,10 @@ class Forest:
     trees: int = 24
     depth: int = 4
     deepest: int = 12
-    crowd: int = 24
-    reach: int = 3  # next neighbours of a text in a crowded order
+    reach: int = 12
 
 
-# Bytes as words see them: A-Z in lower case, the six white-space characters as separators.
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_LOW32 = np.uint64(0xFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -47,29 +44,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_HASH = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX)
-_STEP = 0x5851F42D4C957F2D  # odd, so powers have inverses
-_STEP_INVERSE = pow(_STEP, -1, 1 << 64)
+class _Words(dict):
+    """64-bit hash of each word met; forgets them when they are too many."""
 
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
 
-def _powers(base: int, n: int, cache: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    have = cache.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = cache[base] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
-    return have[:n]
+
+_KNOWN_WORDS = 300_000
+_words = _Words()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, from sums over its bytes: no loop over words."""
-    data = _LOWER[np.frombuffer(text.encode(), np.uint8)]
-    inside = np.concatenate([[False], ~_SPACE[data], [False]])
-    starts, ends = np.flatnonzero(~inside[:-1] & inside[1:]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_HASH[data] * _powers(_STEP, len(data)))])
-    at_zero = (sums[ends] - sums[starts]) * _powers(_STEP_INVERSE, len(data))[starts]
-    return _mixed(at_zero + (ends - starts).astype(np.uint64) * _MIX)
+    """A 64-bit hash of each word's bytes, A-Z in lower case; words part at the six white-space characters."""
+    words = text.encode().lower().split()
+    if len(_words) > _KNOWN_WORDS:
+        _words.clear()
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -127,9 +119,8 @@ def _describe(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.
 
 
 def fingerprint_of(s: np.ndarray) -> bytes:
-    """128 bits that stand for a whole set; its members are well mixed already."""
-    other = _mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return np.array([s.sum(dtype=np.uint64), other.sum(dtype=np.uint64)], "<u8").tobytes()
+    """A 128-bit digest over all members of a sorted set; sets with the same one are the same set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _forest_rows(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
@@ -160,33 +151,40 @@ def _fixed_binary(values: np.ndarray, width: int) -> pa.Array:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
-    """Pairs of each row with its next neighbours in a sorted order, of the same region."""
-    last: list[tuple] = []
+    """Pairs of each row with the ``reach`` next ones of its region in the sorted order."""
+    tail: pa.RecordBatch | None = None
     for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            region, _, name, n = row
-            for other in last:
-                if other[0] == region and other[2] != name and 100 * min(n, other[3]) >= forest.percent * max(n, other[3]):
-                    out.append((min(name, other[2]), max(name, other[2])))
-            last = [*last[1 - forest.reach:], row] if forest.reach > 1 else [row]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
+        fresh = 0 if tail is None else tail.num_rows
+        rows = batch if tail is None else pa.concat_batches([tail, batch])
+        region, size = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+        left, right = [], []
+        for step in range(1, min(forest.reach, rows.num_rows - 1) + 1):
+            at = np.arange(max(fresh - step, 0), rows.num_rows - step)  # pairs whose later row is new
+            n, m = size[at], size[at + step]
+            at = at[(region[at] == region[at + step]) & (100 * np.minimum(n, m) >= forest.percent * np.maximum(n, m))]
+            left.append(at)
+            right.append(at + step)
+        pick = lambda x: rows.column(1).take(pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()))
+        a, b = pick(left), pick(right)
+        first = pc.less(a, b)
+        yield pa.RecordBatch.from_arrays([pc.if_else(first, a, b), pc.if_else(first, b, a)], names=["a", "b"])
+        tail = rows.slice(max(rows.num_rows - forest.reach, 0))
 
 
 def _candidates(rows: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowded rows).  Regions of up to ``crowd`` sets give all pairs of like size; in
-    crowded ones each set meets those next to it in the order, which share the longest prefix."""
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_in")).where("_in > 1")
+    """(pairs, crowded rows): every region's sets in their order, each with its next ones.
+
+    In a region of no more than ``reach`` + 1 sets all meet; of larger ones, the crowded, the sets are
+    returned too, for pairs that the orders may miss.  Small regions stay in one task; a
+    crowded one is spread over as many as its order takes.
+    """
+    sizes = stash(rows.groupBy("region").agg(F.count(F.lit(1)).alias("_in")).where("_in > 1"), "forest_regions")
     rows = stash(rows.join(sizes, "region"), "forest_shared")
-    like = F.col("a.n") * 100 >= forest.percent * F.col("b.n")
-    few = rows.where(F.col("_in") <= forest.crowd).groupBy("region").agg(F.collect_list(F.struct("n", "node")).alias("_all"))
-    few = few.select(F.explode("_all").alias("a"), "_all").select("a", F.explode(F.filter("_all", lambda b: (
-        (F.col("a.node") < b["node"]) & (F.least(F.col("a.n"), b["n"]) * 100 >= forest.percent * F.greatest(F.col("a.n"), b["n"]))
-    ))).alias("b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    crowded = rows.where(F.col("_in") > forest.crowd)
-    ordered = crowded.select("region", "order_key", "node", "n").repartitionByRange("region", "order_key", "node")
-    near = ordered.sortWithinPartitions("region", "order_key", "node").mapInArrow(lambda b: _neighbours(b, forest), "a binary, b binary")
-    return few.unionByName(near).distinct(), crowded.select("region", "node")
+    crowd = F.col("_in") > forest.reach + 1
+    along = [F.when(crowd, F.col(c)) for c in ("order_key", "node")]
+    ordered = rows.repartitionByRange("region", *along).sortWithinPartitions("region", "order_key", "node")
+    near = ordered.select("region", "node", "n").mapInArrow(lambda b: _neighbours(b, forest), "a binary, b binary")
+    return near.where("a <> b").distinct(), rows.where(crowd).select("region", "node")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -223,10 +221,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Large star: over both directions, strictly larger neighbours go to the minimum.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Written first, so that the rows of a node with very many neighbours can be split when they meet it.
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_n"), F.least("u", "_m").alias("_m"))
+        least = stash(least, "least")
         large = both.join(least, F.col("u") == F.col("_n")).where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        large = stash(large, "large_stars")
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("_m")).withColumnRenamed("u", "_n")
+        low = stash(large.groupBy("u").agg(F.min("v").alias("_m")).withColumnRenamed("u", "_n"), "least")
         joined = large.join(low, F.col("u") == F.col("_n"))
         small = joined.where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(low.select(F.col("_n").alias("u"), F.col("_m").alias("v")))
         edges = stash(small.distinct(), "stars")

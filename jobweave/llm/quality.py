@@ -19,21 +19,16 @@ SYMBOL = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class LineRules:
-    """A line is frequent on a host when at least ``min_docs`` different texts and more than
-    ``max_share`` of the host's different texts hold it.  A document is depleted when less than
+    """A line is frequent on a host when at least ``min_docs`` different texts of that host hold it,
+    however many texts the host has.  A document is depleted when less than
     ``min_left`` of its words, or fewer than ``min_words`` words, stay without such lines."""
 
-    max_share: float = 0.2
     min_docs: int = 20
     min_left: float = 0.3
     min_words: int = 10
     max_repeat_percent: int = 20
 
 
-# With a share, the number a line needs grows with its host, and lines of many texts stay on large hosts.
-BY_COUNT = LineRules(max_share=0.0)
-
-
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
@@ -102,7 +97,7 @@ def _line_rows(docs: DataFrame, text: str, host: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, text: str, host: str, rules: LineRules) -> DataFrame:
-    """(host key, line hash) of the lines above the limits.
+    """(host key, line hash) of the lines above the limit.
 
     Documents are told apart by text, so copies of one document count once.  Distinct
     (host, line, document) rows are spread by all three before they are counted, so a line that
@@ -110,12 +105,7 @@ def frequent_lines(docs: DataFrame, text: str, host: str, rules: LineRules) -> D
     """
     lines = _line_rows(docs, text, host).select("_host", "_lh", "_h1").distinct()
     counts = lines.groupBy("_host", "_lh").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= rules.min_docs)
-    counts = stash(counts, "line_counts")
-    host_key = F.xxhash64(F.col(host).isNull(), F.col(host)).alias("_host")
-    hosts = docs.select(host_key, fingerprint(host, text)[0]).distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_of"))
-    hosts = stash(hosts, "hosts")
-    found = counts.join(small_side(hosts), "_host").where(F.col("_docs") > rules.max_share * F.col("_of"))
-    return stash(found.select("_host", "_lh"), "frequent_lines")
+    return stash(counts.select("_host", "_lh"), "frequent_lines")
 
 
 def line_hits(docs: DataFrame, text: str, host: str, rules: LineRules) -> DataFrame:

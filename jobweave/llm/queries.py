@@ -60,11 +60,6 @@ def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(*preference.reply_pairs(table(spark, sf_dir, "conversations")))
 
 
-def op6_preference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the turns after the last reply, on both sides and outside the loss."""
-    return preference.format_preferences(*preference.reply_pairs(table(spark, sf_dir, "conversations"), closing_turns=True))
-
-
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), out, WORD_TOKENIZER, END_ID)
@@ -85,11 +80,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(*QUALITY_COLUMNS)
 
 
-def op10_quality_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the number of texts as the only limit of a line, however large its host is."""
-    return quality.judge(table(spark, sf_dir, "documents"), rules=quality.BY_COUNT).select(*QUALITY_COLUMNS)
-
-
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = spelling.word_counts(docs, drop_one_in=97)
@@ -108,13 +98,12 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_toxicity, op2_exact_dedup, op3_bpe, op4_near_dedup, op5_language_id, op6_preference, op6_preference_whole, op7_token_files, op8_mixing,
-        op9_url_filter, op10_quality, op10_quality_by_count, op11_spelling, op12_hard_negatives, op13_sentence_pieces,
+        op1_toxicity, op2_exact_dedup, op3_bpe, op4_near_dedup, op5_language_id, op6_preference, op7_token_files, op8_mixing,
+        op9_url_filter, op10_quality, op11_spelling, op12_hard_negatives, op13_sentence_pieces,
     )
 }
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": sql.OP2, "op6_preference": sql.OP6, "op8_mixing": sql.OP8, "op9_url_filter": sql.OP9, "op10_quality": sql.OP10,
-    "op6_preference_whole": sql.OP6_WHOLE, "op10_quality_by_count": sql.OP10_BY_COUNT,
     "op11_spelling": sql.OP11, "op12_hard_negatives": sql.OP12,
 }

@@ -14,13 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobweave.llm.chunks import slices
-from jobweave.llm.memory import WordMemory, gather, offsets_of
+from jobweave.llm.memory import WordMemory, cut_at, gather, joined_bytes, offsets_of
 
 SLICE_BYTES = 8_000_000  # texts encoded at once in a task
 MEMORY_WORDS = 200_000  # words whose ids a worker remembers
@@ -259,30 +258,21 @@ class PieceModel:
 
         A word takes the spaces before it along.  The words share one buffer with the texts.
         """
-        lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
-        data = _joined_bytes(texts)
-        sizes = lengths + (lengths > 0) * int(self.prefix)
-        edges = offsets_of(sizes)
+        data, lengths = joined_bytes(texts)
+        edges = offsets_of(lengths + (lengths > 0) * int(self.prefix))
         buffer = np.full(int(edges[-1]), ord(" "), np.uint8)
         body = np.ones(len(buffer), bool)
         if self.prefix:
             body[edges[:-1][lengths > 0]] = False
         buffer[body] = data
         starts = np.zeros(len(buffer) + 1, bool)
-        starts[edges] = True
         if self.space_begins and len(buffer):
             blank = buffer == ord(" ")
             starts[1:-1] |= blank[1:] & ~blank[:-1] & (buffer[:-1] != 0x81)  # the last byte of a written-out space sign
             lonely = np.isin(buffer, self.alone)
             starts[:-1] |= lonely
             starts[1:] |= lonely
-        at = np.flatnonzero(starts).astype(np.int64)
-        kind = pa.large_string() if len(buffer) >= 1 << 31 else pa.string()
-        width = np.int64 if kind == pa.large_string() else np.int32
-        n = max(len(at) - 1, 0)
-        words = pa.Array.from_buffers(kind, n, [None, pa.py_buffer(at.astype(width)), pa.py_buffer(buffer)])
-        counts = np.diff(np.searchsorted(at, edges))
-        return words, counts
+        return cut_at(buffer, starts, edges)
 
     def decode_flat(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
         """The text of each list of ids: pieces joined, without the space put before the first."""
@@ -322,16 +312,6 @@ def _one_by_one(error: UnicodeError) -> tuple[str, int]:
 codecs.register_error("one-by-one", _one_by_one)
 
 
-def _joined_bytes(texts: pa.Array) -> np.ndarray:
-    """The bytes of all texts, one after another, as they lie in the array's buffer."""
-    width = np.int64 if texts.type == pa.large_string() else np.int32
-    _, offsets, data = texts.buffers()
-    if data is None or not len(texts):
-        return np.empty(0, np.uint8)
-    edges = np.frombuffer(offsets, width)[texts.offset:texts.offset + len(texts) + 1]
-    return np.frombuffer(data, np.uint8)[edges[0]:edges[-1]]
-
-
 class PieceEncoder:
     """Texts to ids; remembers the ids of words."""
 

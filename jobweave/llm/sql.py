@@ -10,34 +10,28 @@ FROM d
 """
 
 OP6 = """
-WITH last AS (SELECT conv_id, max({'turn': turn, 'text': text}) AS l FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+WITH replies AS (
+ SELECT conv_id, CASE WHEN conv_id & 2 <> 0 THEN min(turn) ELSE max(turn) END AS at
+ FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+said AS (SELECT r.conv_id, r.at, max(c.text) AS reply FROM replies r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.at AND c.role = 'assistant' GROUP BY ALL),
 t AS (
- SELECT c.conv_id AS pair_id, c.turn, c.role, c.text, coalesce(c.turn = o.l.turn AND c.role = 'assistant', FALSE) AS is_reply,
-        p.conv_id IS NOT NULL AS has_reply, p.l.text AS reply
- FROM conversations c LEFT JOIN last o ON c.conv_id = o.conv_id LEFT JOIN last p ON p.conv_id = xor(c.conv_id, 1)
- WHERE o.conv_id IS NULL OR c.turn IS NULL OR c.turn <= o.l.turn),
-chosen AS (SELECT pair_id, turn, list_sort(list({'role': role, 'text': text})) AS parts FROM t GROUP BY ALL),
-rejected AS (
- SELECT pair_id, turn, list_sort(list({'role': role, 'text': CASE WHEN is_reply THEN reply ELSE text END})) AS parts
- FROM t WHERE NOT is_reply OR has_reply GROUP BY ALL),
-both_sides AS (
- SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.parts AS c, r.parts AS r
- FROM chosen c FULL JOIN rejected r ON c.pair_id IS NOT DISTINCT FROM r.pair_id AND c.turn IS NOT DISTINCT FROM r.turn),
-firsts AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS f FROM both_sides GROUP BY pair_id),
-marked AS (SELECT b.*, f.f, f.f IS NULL OR b.turn < f.f AS in_prompt FROM both_sides b JOIN firsts f ON b.pair_id IS NOT DISTINCT FROM f.pair_id),
-sided AS (
- SELECT pair_id, turn, f IS NULL AS tie, 'prompt' AS side, c AS parts FROM marked WHERE in_prompt
- UNION ALL SELECT pair_id, turn, FALSE, 'chosen', c FROM marked WHERE NOT in_prompt
- UNION ALL SELECT pair_id, turn, FALSE, 'rejected', r FROM marked WHERE NOT in_prompt),
-each AS (SELECT pair_id, turn, tie, side, unnest(parts) AS p, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part FROM sided)
-SELECT pair_id, side, turn, part, p.role AS role, '<|' || coalesce(p.role, '') || '|>' || chr(10) || coalesce(p.text, '') || chr(10) AS rendered,
-       side <> 'prompt' AND coalesce(p.role = 'assistant', FALSE) AS in_loss, tie
-FROM each
+ SELECT c.conv_id AS pair_id, c.turn, c.role, c.text, coalesce(c.turn = o.at AND c.role = 'assistant', FALSE) AS is_reply,
+        p.conv_id IS NOT NULL AS has_reply, p.reply
+ FROM conversations c LEFT JOIN said o ON c.conv_id = o.conv_id LEFT JOIN said p ON p.conv_id = xor(c.conv_id, 1)),
+sides AS (
+ SELECT pair_id, turn, role, text, 'chosen' AS side FROM t
+ UNION ALL SELECT pair_id, turn, role, CASE WHEN is_reply THEN reply ELSE text END, 'rejected' FROM t WHERE NOT is_reply OR has_reply),
+per AS (
+ SELECT pair_id, turn, list_sort(list({'role': role, 'text': text}) FILTER (side = 'chosen')) AS c, list_sort(list({'role': role, 'text': text}) FILTER (side = 'rejected')) AS r
+ FROM sides GROUP BY ALL),
+firsts AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS f FROM per GROUP BY pair_id)
+SELECT s.pair_id, CASE WHEN f IS NULL OR turn < f THEN 'prompt' ELSE side END AS side, turn, role,
+       '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS rendered,
+       f IS NOT NULL AND turn >= f AND coalesce(role = 'assistant', FALSE) AS in_loss, f IS NULL AS tie
+FROM sides s JOIN firsts ON s.pair_id IS NOT DISTINCT FROM firsts.pair_id
+WHERE side = 'chosen' OR (f IS NOT NULL AND turn >= f)
 """
 
-# With the turns after the last reply.
-OP6_WHOLE = OP6.replace("WHERE o.conv_id IS NULL OR c.turn IS NULL OR c.turn <= o.l.turn)", ")")
-
 OP8 = rf"""
 WITH d AS (
  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(text, '')) AS h FROM documents),
@@ -92,11 +86,7 @@ dups AS (SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines FROM plain GRO
 texts AS (SELECT DISTINCT source, text, t FROM d),
 lines AS (
  SELECT source, text, trim(unnest(string_split(regexp_replace(lower(t), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))), ' ') AS line FROM texts),
-frequent AS (
- SELECT l.source, l.line
- FROM (SELECT source, line, count(*) AS docs FROM (SELECT DISTINCT * FROM lines WHERE line <> '') GROUP BY ALL) l
- JOIN (SELECT source, count(*) AS of FROM texts GROUP BY source) h ON l.source IS NOT DISTINCT FROM h.source
- WHERE docs >= 20 AND docs > 0.2::DOUBLE * of),
+frequent AS (SELECT source, line FROM (SELECT DISTINCT * FROM lines WHERE line <> '') GROUP BY ALL HAVING count(*) >= 20),
 lost AS (
  SELECT l.source, l.text, sum(len(string_split(l.line, ' '))) AS n_lost
  FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY ALL),
@@ -114,9 +104,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM base
 """
 
-# A line's number of texts alone decides.
-OP10_BY_COUNT = OP10.replace("WHERE docs >= 20 AND docs > 0.2::DOUBLE * of)", "WHERE docs >= 20)")
-
 # The CRC table is built by its rule; a text's CRC folds its bytes.
 OP11 = """
 WITH steps AS (

@@ -6,53 +6,98 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobweave.llm.chunks import ChunkEncoder, slices
+from jobweave.llm.chunks import slices
+from jobweave.llm.memory import WordMemory, cut_at, gather, joined_bytes, offsets_of
 from jobweave.llm.shared import small_side
 
 SLICE_BYTES = 8_000_000  # texts encoded at once in a task
+MEMORY_WORDS = 200_000  # pieces, and words, whose ids a worker remembers
+WORDS_A_CALL = 500
+# Letters that are one character in lower case and composed already.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_SPACE, _MARK, _LETTER = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[[ord(c) for c in ".,;:!?"]] = _MARK
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
 ROWS = "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>"
 
 
+class LibraryEncoder:
+    """The tokenizers library over the different pieces of many texts.
+
+    Texts are cut before white space and between a letter and a mark, where no token reaches across.
+    Pieces of letters are looked up in lower case; only words that were not met lately go to the library.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and piece.endswith(suffix)
+        self.pieces = WordMemory(self._new_pieces, MEMORY_WORDS)
+        self.words = WordMemory(self._new_words, MEMORY_WORDS)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Many words a call: where the ids of one end shows in their pieces."""
+        words = words.to_pylist()
+        groups = [words[at:at + WORDS_A_CALL] for at in range(0, len(words), WORDS_A_CALL)]
+        ids, lengths = self._encode([" ".join(g) for g in groups])
+        flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for group, part in zip(groups, np.split(ids, np.cumsum(lengths)[:-1])):
+            cuts = np.flatnonzero(self.ends[part]) + 1
+            part, size = (part, np.diff(cuts, prepend=0)) if len(cuts) == len(group) else self._encode(group)
+            flat.append(part)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _new_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        core = pc.ascii_trim_whitespace(pieces)
+        plain = pc.match_substring_regex(core, PLAIN).to_numpy(zero_copy_only=False)
+        known, sizes = self.words.ids_of(pc.utf8_lower(core.filter(pa.array(plain))))
+        odd, odd_sizes = self._encode(core.filter(pa.array(~plain)).to_pylist())
+        lengths = np.empty(len(pieces), np.int64)
+        lengths[plain], lengths[~plain] = sizes, odd_sizes
+        starts = np.empty(len(pieces), np.int64)
+        starts[plain], starts[~plain] = np.cumsum(sizes) - sizes, len(known) + np.cumsum(odd_sizes) - odd_sizes
+        return gather(np.concatenate([known, odd]), starts, lengths), lengths
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        buffer, lengths = joined_bytes(texts)
+        starts = np.zeros(len(buffer) + 1, bool)
+        if len(buffer):
+            kind = _KINDS[buffer]
+            starts[1:-1] = ((kind[1:] == _SPACE) & (kind[:-1] != _SPACE)) | ((kind[1:] == _MARK) & (kind[:-1] == _LETTER))
+        pieces, counts = cut_at(buffer, starts, offsets_of(lengths))
+        ids, sizes = self.pieces.ids_of(pieces)
+        return ids, np.diff(offsets_of(sizes)[offsets_of(counts)])
+
+
 @lru_cache(maxsize=4)
-def _encoder(path: str) -> ChunkEncoder:
-    """The library's tokenizer over chunks; one for each Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    suffix = tokenizer.model.end_of_word_suffix
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    for piece, i in tokenizer.get_vocab().items():
-        ends[i] = bool(suffix) and piece.endswith(suffix)
-
-    def encode_chunks(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode_words(words: list[str]) -> list[bytes]:
-        """A few hundred words a call: where the ids of one end shows in their pieces."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 200):
-            some = words[at:at + 200]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<i4")
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) == len(some):
-                data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
-            else:
-                out += encode_chunks(some)
-        return out
-
-    return ChunkEncoder(encode_words, encode_chunks, most=300_000)
+def _encoder(path: str) -> LibraryEncoder:
+    """One for each Python worker."""
+    return LibraryEncoder(path)
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +111,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     for batch in batches:
         for first, texts in slices(batch.column(1), SLICE_BYTES):
             ids, lengths = encode_texts(texts, path, end_id)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            offsets = offsets_of(lengths)
             tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, len(texts)), pa.array(np.full(len(texts), shard), pa.int32()),
@@ -81,16 +126,17 @@ def write_tokens(
 ) -> None:
     """Encode every text, append ``end_id``, and write files in rising order of the key.
 
-    Files follow each other by name, and rows within a file, by (key, text); a null key comes
-    first.  Next to the token list stand doc_id, the file's number (shard), the ids before the row
+    Files follow each other by name, and rows within a file, by the key, and rows of one key by a hash
+    of their text and the text; a null key comes first.  So no key, however many rows hold it, is one task.  Next to the token list stand doc_id, the file's number (shard), the ids before the row
     in its file (local_start) and n_tokens, delta encoded.  Tokens are dictionary encoded, or with
     ``delta`` delta encoded too.  Row groups hold ``row_group_bytes`` and pages ``page_rows`` rows at
     most; column and offset indexes let a reader take the pages of some documents, or no tokens
-    at all.  A null text is empty; an empty table gives no rows.
+    at all.  A null text is empty, one of any length is a single list, and equal rows are all written;
+    an empty table gives no rows.  Other columns are left behind, whatever their names.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = rows.mapInArrow(lambda batches: _encode(batches, tokenizer_path, end_id), ROWS)
+    rows = rows.withColumn("_hash", F.xxhash64("text")).repartitionByRange("doc_id", "_hash")
+    encoded = rows.sortWithinPartitions("doc_id", "_hash", "text").drop("_hash").mapInArrow(lambda batches: _encode(batches, tokenizer_path, end_id), ROWS)
     options = {
         "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": row_group_bytes,
         "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": not delta,

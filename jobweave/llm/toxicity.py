@@ -29,10 +29,13 @@ class ChainSettings:
 
 @dataclass(frozen=True)
 class Chain:
+    """``rates`` stand in for the models where no word was frequent enough to learn from."""
+
     categories: tuple[str, ...]
     words: CountVectorizerModel | None
     models: tuple[LogisticRegressionModel, ...]
     threshold: float
+    rates: tuple[float, ...] = ()
 
 
 STEM = 5
@@ -67,6 +70,11 @@ def train_chain(
     of several rows for a key the largest labels count.  Each model but the last also predicts its
     category for rows outside its folds: these out-of-fold probabilities, not those a model gives to
     its own training rows, are what later models learn from.
+
+    A null text or key is left out, an empty text has no words, a very long one all its words;
+    repeated documents count each time.  Where no word is in ``min_documents`` labelled texts, each
+    category gets its share among them; without any labelled text the chain scores 0.  Other
+    columns of both tables are left behind, whatever their names.
     """
     settings = settings or ChainSettings()
     named = labels.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in categories]).dropna()
@@ -77,6 +85,10 @@ def train_chain(
     rows = stash(rows.select("_fold", *categories, words_of(F.col("_text")).alias("_tokens")), "labelled_words")
     if rows.isEmpty():
         return Chain(categories, None, (), settings.threshold)
+    shared = rows.select(F.explode("_tokens").alias("_w")).groupBy("_w").count().where(F.col("count") >= settings.min_documents)
+    if shared.isEmpty():
+        rates = rows.agg(*[F.avg(c).alias(c) for c in categories]).first()
+        return Chain(categories, None, (), settings.threshold, tuple(rates))
     vectorizer = CountVectorizer(inputCol="_tokens", outputCol="_words", vocabSize=settings.vocabulary, minDF=settings.min_documents, binary=True)
     words = vectorizer.fit(rows)
     train = stash(words.transform(rows).drop("_tokens"), "labelled_features")
@@ -88,7 +100,11 @@ def train_chain(
         rows = _with_features(train, categories[:at])
         models.append(learner.fit(rows))
         if at + 1 < len(categories):
-            parts = [_apply(rows.where(F.col("_fold") == k), learner.fit(rows.where(F.col("_fold") != k)), category) for k in range(settings.folds)]
+            held = [r._fold for r in rows.select("_fold").distinct().orderBy("_fold").collect()]  # at most ``folds``
+            if len(held) == 1:  # nothing lies outside the only fold
+                parts = [rows.withColumn(f"p_{category}", F.lit(rows.agg(F.avg(category)).first()[0])).drop("_x")]
+            else:
+                parts = [_apply(rows.where(F.col("_fold") == k), learner.fit(rows.where(F.col("_fold") != k)), category) for k in held]
             out = parts[0]
             for part in parts[1:]:
                 out = out.unionByName(part)
@@ -99,13 +115,15 @@ def train_chain(
 def score_chain(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, p_<category> ..., flagged) of every document; flagged by the last category.
 
-    All words of the text count.  A null text scores like one without words.  Without any labelled
-    document all probabilities are 0.  Repeated rows get the same scores.
+    All words of the text count, however long it is.  A null or empty text scores like one without words.
+    Without any labelled document all probabilities are 0.  Repeated rows get the same scores; an
+    empty table gives none, and other columns are left behind.
     """
     probabilities = [f"p_{c}" for c in chain.categories]
     rows = docs.select(F.col(key).alias("_key"), words_of(F.col(text)).alias("_tokens"))
     if chain.words is None:
-        rows = rows.withColumns({p: F.lit(0.0) for p in probabilities})
+        rates = chain.rates or (0.0,) * len(probabilities)
+        rows = rows.withColumns({p: F.lit(float(r)) for p, r in zip(probabilities, rates)})
     else:
         rows = chain.words.transform(rows)
         for at, (category, model) in enumerate(zip(chain.categories, chain.models)):

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -50,7 +51,7 @@ def components(docs, n, percent=80):
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
-def quality(docs, max_share=0.2, min_docs=20, min_left=0.3):
+def quality(docs, min_docs=20, min_left=0.3):
     """Kept documents, with frequent lines taken out."""
     def lines(text):
         flat = re.sub("[\x20\x09\x0b-\x0d]+", " ", (text or "").lower())
@@ -62,7 +63,7 @@ def quality(docs, max_share=0.2, min_docs=20, min_left=0.3):
     for source, ts in texts.items():
         for t in ts:
             holders.update((source, x) for x in set(lines(t)) if x)
-    frequent = {k for k, n in holders.items() if n >= min_docs and n > max_share * len(texts[k[0]])}
+    frequent = {k for k, n in holders.items() if n >= min_docs}
     out = []
     for doc_id, text, lang, source, n_chars in docs:
         w = WORD.findall(text or "")
@@ -119,6 +120,48 @@ def mixed(docs):
     return out
 
 
+def logistic(x, y, ridge):
+    """Probabilities by the logistic model with the least mean loss and ridge penalty, by Newton's method."""
+    x1, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    penalty = np.append(np.full(x.shape[1], ridge), 0.0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x1 @ w))
+        slope = x1.T @ (p - y) / len(y) + penalty * w
+        bend = (x1 * (p * (1 - p))[:, None]).T @ x1 / len(y) + np.diag(penalty)
+        w = w - np.linalg.solve(bend + 1e-12 * np.eye(len(w)), slope)
+    return lambda z: 1 / (1 + np.exp(-(np.column_stack([z, np.ones(len(z))]) @ w)))
+
+
+def languages(rows, buckets=1 << 15, smoothing=0.5):
+    """{id: (language, probability)} by a multinomial naive Bayes over buckets of 1- to 3-grams."""
+    def grams(text):
+        spaced = " ".join(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        spaced = f" {spaced} " if spaced and not (text or "")[-1:].isalpha() else f" {spaced}" if spaced else ""
+        out = []
+        for n in (1, 2, 3):
+            for i in range(len(spaced) - n + 1):
+                h = n
+                for c in spaced[i:i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % (1 << 64)
+                    h ^= h >> 29
+                out.append(h % buckets)
+        return out
+
+    counts, docs = defaultdict(Counter), Counter()
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            counts[lang].update(grams(text))
+            docs[lang] += 1
+    total = {k: sum(c.values()) + smoothing * buckets for k, c in counts.items()}
+    out = {}
+    for key, text, _ in rows:
+        found = grams(text)
+        score = {k: math.log(docs[k] / sum(docs.values())) + sum(math.log((counts[k][g] + smoothing) / total[k]) for g in found) for k in sorted(docs)}
+        best = max(score, key=score.get)
+        out[key] = (best, 1 / sum(math.exp(s - score[best]) for s in score.values())) if found else ("und", 0.0)
+    return out
+
+
 def decisions(docs):
     """What the pipeline returns."""
     docs = quality(docs)

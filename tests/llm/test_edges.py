@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from brute import components, word_library
@@ -75,9 +77,9 @@ def test_near(docs, none):
     assert near_dedup.near_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2, 24])
-def test_near_families(spark, crowd):
-    """Large families of edited copies, with crowded orders on and off: no link is lost."""
+@pytest.mark.parametrize("reach", [1, 12])
+def test_near_families(spark, reach):
+    """Large families of edited copies, whose regions hold more than their orders let meet: no link is lost."""
     out, r = [], random.Random(5)
     for family in range(3):
         base = words(100 + family, 120, 5_000).split()
@@ -86,10 +88,29 @@ def test_near_families(spark, crowd):
             for at in r.sample(range(len(base)), r.randrange(0, 14)):
                 copy[at] = f"x{r.randrange(10**6)}"
             out.append((len(out), " ".join(copy)))
-    found = near_dedup.near_groups(spark.createDataFrame(out, "doc_id long, text string"), forest=near_dedup.Forest(words=2, crowd=crowd))
+    found = near_dedup.near_groups(spark.createDataFrame(out, "doc_id long, text string"), forest=near_dedup.Forest(words=2, reach=reach))
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()} == components(out, 2)
 
 
+def test_different_words_stay_apart(spark):
+    """Words of two letters whose sums over powers agree modulo 2^64 are different words."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 10)]
+    words_ = ["".join("ab"[b ^ k] for b in bits) for k in (0, 1)]
+    got = near_dedup.near_groups(spark.createDataFrame([(1, words_[0]), (2, words_[1]), (3, words_[1].upper())], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 2}
+
+
+def test_pairs_come_from_the_orders(spark, sf_dir):
+    """On the given table: regions hold sets, the orders make them meet, and those pairs hold the links."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spark.createDataFrame([("r", b"k1", b"a", 10), ("r", b"k2", b"b", 10), ("r", b"k3", b"c", 10), ("r", b"k4", b"d", 10), ("s", b"k1", b"e", 10), ("s", b"k9", b"f", 5)],
+                                 "region string, order_key binary, node binary, n long").withColumn("region", F.xxhash64("region"))
+    pairs, crowded = near_dedup._candidates(rows, near_dedup.Forest(reach=2))
+    assert {(bytes(p.a), bytes(p.b)) for p in pairs.collect()} == {(b"a", b"b"), (b"a", b"c"), (b"b", b"c"), (b"b", b"d"), (b"c", b"d")}
+    assert {bytes(r.node) for r in crowded.collect()} == {b"a", b"b", b"c", b"d"}
+    assert near_dedup.near_groups(docs).where("not kept").count() > 0
+
+
 def test_components(spark):
     chain = [(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(300)] + [(b"9000", b"9001"), (b"9002", b"9001"), (b"9001", b"9000")]
     got = {bytes(r.node): bytes(r.root) for r in near_dedup.components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
@@ -118,17 +139,16 @@ def test_frequent_lines(spark):
     assert all(got[k].cleaned_text == got[k].text and got[k].kept for k in (*range(100, 140), 201, 202))
 
 
-def test_frequent_lines_by_count(spark):
-    """On a large host a line of 25 different texts goes by its count, and by its share it stays."""
+def test_frequent_lines_on_a_large_host(spark):
+    """The number of texts decides, however many the host has: a line of 25 of 500 goes."""
     line = "Read more on our site"
     out = [(i, f"{words(i, 30, 9999)}\n{line}" if i % 20 == 0 else words(i, 30, 9999), "a") for i in range(500)]
     out += [(1000 + i, f"{line}\n" * 12 + words(2000 + i, 12, 9999), "a") for i in range(3)] + [(2000, f"{words(9, 30, 9999)}\n{line}", "b")]
     df = spark.createDataFrame(out, "doc_id long, text string, source string")
-    share, count = ({r.doc_id: r for r in quality.judge(df, rules=r).collect()} for r in (quality.LineRules(max_repeat_percent=100), quality.LineRules(max_share=0.0, max_repeat_percent=100)))
-    assert all(r.cleaned_text == r.text for r in share.values())
-    assert all(count[i].n_words_left == 30 and line not in count[i].cleaned_text and count[i].kept for i in range(0, 500, 20))
-    assert all(count[1000 + i].n_words_left == 12 and not count[1000 + i].kept and share[1000 + i].kept for i in range(3))
-    assert count[2000].cleaned_text == count[2000].text and quality.BY_COUNT == quality.LineRules(max_share=0.0)
+    got = {r.doc_id: r for r in quality.judge(df, rules=quality.LineRules(max_repeat_percent=100)).collect()}
+    assert all(got[i].n_words_left == 30 and line not in got[i].cleaned_text and got[i].kept for i in range(0, 500, 20))
+    assert all(got[1000 + i].n_words_left == 12 and not got[1000 + i].kept for i in range(3))
+    assert got[2000].cleaned_text == got[2000].text
 
 
 def test_repeat_words(spark):
@@ -271,30 +291,90 @@ def test_toxicity_held_out(spark, docs, none):
     assert toxicity.score_chain(docs, toxicity.train_chain(none, marked, ("poor", "toxic"))).where("flagged or p_toxic > 0").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6])
+def test_toxicity_of_few_labels(spark, n):
+    """Too few texts to share a word give the rates, and nothing crashes, with one class or two."""
+    docs = spark.createDataFrame([(i, words(i, 8, 30)) for i in range(6)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(n)], "doc_id long, poor int, toxic int")
+    got = toxicity.score_chain(docs, toxicity.train_chain(docs, labels, ("poor", "toxic"))).collect()
+    assert len(got) == 7 and all(0 <= p <= 1 for r in got for p in (r.p_poor, r.p_toxic))
+    if n < 5:
+        assert {round(r.p_poor, 9) for r in got} == {round((n // 2) / n, 9)} and all(r.p_toxic == 1 and r.flagged for r in got)
+    one = toxicity.ChainSettings(folds=1, min_documents=1)
+    assert toxicity.score_chain(docs, toxicity.train_chain(docs, labels, ("poor", "toxic"), settings=one)).count() == 7
+
+
+def test_chain_is_brute_force(spark):
+    """The same chain in plain numpy: every model at its optimum, out-of-fold probabilities passed on."""
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["calm", "rude", "spam", "news", "vile", "tree"], k=4)) for _ in range(150)]
+    out = [(i, t, int(("spam" in t) != (r.random() < 0.2)), int(("vile" in t and "spam" in t) != (r.random() < 0.15))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(out, "doc_id long, text string, poor int, toxic int")
+    settings = toxicity.ChainSettings(ridge=0.01, iterations=200)
+    chain = toxicity.train_chain(df, df, ("poor", "toxic"), settings=settings)
+    got = {x.doc_id: (x.p_poor, x.p_toxic) for x in toxicity.score_chain(df, chain).collect()}
+    fold = {x.doc_id: x.f for x in df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("f")).collect()}
+    x, poor, toxic = np.array([[float(w in t.split()) for w in chain.words.vocabulary] for t in texts]), *np.array([o[2:] for o in out], float).T
+    folds = np.array([fold[i] for i in range(150)])
+    first = brute.logistic(x, poor, 0.01)
+    passed = np.empty(150)
+    for k in range(3):
+        passed[folds == k] = brute.logistic(x[folds != k], poor[folds != k], 0.01)(x[folds == k])
+    second = brute.logistic(np.column_stack([x, passed]), toxic, 0.01)
+    want = np.column_stack([first(x), second(np.column_stack([x, first(x)]))])
+    assert np.abs(np.array([got[i] for i in range(150)]) - want).max() < 2e-3
+
+
+def test_language_is_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 400).alias("text"), "lang").limit(80)
+    extra = spark.createDataFrame([(10**6, chr(0x30000) * 5, "zz"), (10**6 + 1, "1 2 !", "en"), (10**6 + 2, None, "en")], docs.schema)
+    docs = docs.unionByName(extra)
+    rows = docs.collect()
+    want = brute.languages([(r.doc_id, r.text, r.lang) for r in rows])
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    for k, (lang, p) in want.items():
+        assert got[k].lang_pred == lang and abs(got[k].score - p) < 1e-3
+    assert got[10**6].lang_pred == "zz" and got[10**6 + 1].lang_pred == "und"
+
+
 def test_preferences(spark):
-    turns = "pair_id long, turn long, role string, text string"
+    turns = "pair_id long, turn long, role string, text string, side string"
+    long_text = words(1, 50_000)
     chosen = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "good"), (2, 0, "user", "a"), (3, 0, "user", None), (None, 0, "user", "n"),
-              (4, 0, "user", "x"), (4, 1, "assistant", "y"), (4, 1, "assistant", "y")]
+              (4, 0, "user", "x"), (4, 1, "assistant", "y"), (4, 1, "assistant", "y"), (5, None, "user", "first"), (5, 0, "assistant", long_text)]
     rejected = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "bad"), (1, 3, "user", "more"), (2, 0, "user", "a"), (3, 0, "user", ""),
-                (4, 0, "user", "x")]
-    got = preference.format_preferences(spark.createDataFrame(chosen, turns), spark.createDataFrame(rejected, turns)).collect()
-    at = {(r.pair_id, r.side, r.turn, r.part): r for r in got}
-    assert at[1, "prompt", 0, 0].rendered == "<|system|>\ns\n" and not at[1, "prompt", 1, 0].in_loss
-    assert at[1, "chosen", 2, 0].in_loss and at[1, "rejected", 2, 0].in_loss and not at[1, "rejected", 3, 0].in_loss
-    assert at[2, "prompt", 0, 0].tie and not at[1, "prompt", 0, 0].tie
-    assert (3, "chosen", 0, 0) in at and (3, "rejected", 0, 0) in at and (None, "chosen", 0, 0) in at
-    assert (4, "chosen", 1, 1) in at and (4, "rejected", 1, 0) not in at
+                (4, 0, "user", "x"), (5, None, "user", "first"), (5, 0, "assistant", long_text + " more")]
+    got = preference.format_preferences(*(spark.createDataFrame([(*r, "clash") for r in side], turns) for side in (chosen, rejected))).collect()
+    at = {(r.pair_id, r.side, r.turn): r for r in got}
+    assert at[1, "prompt", 0].rendered == "<|system|>\ns\n" and not at[1, "prompt", 1].in_loss
+    assert at[1, "chosen", 2].in_loss and at[1, "rejected", 2].in_loss and not at[1, "rejected", 3].in_loss
+    assert at[2, "prompt", 0].tie and not at[1, "prompt", 0].tie
+    assert (3, "chosen", 0) in at and (3, "rejected", 0) in at and (None, "chosen", 0) in at
+    assert sum((r.pair_id, r.side, r.turn) == (4, "chosen", 1) for r in got) == 2 and (4, "rejected", 1) not in at
+    assert at[5, "prompt", None].rendered == "<|user|>\nfirst\n" and len(at[5, "rejected", 0].rendered) == len(at[5, "chosen", 0].rendered) + 5
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, extra int")
     assert preference.format_preferences(*preference.reply_pairs(empty)).count() == 0
 
 
-def test_closing_turns(spark):
-    """Every row of the table comes out on the chosen side; closing turns are on both sides, outside the loss."""
-    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "thanks"), (3, 0, "user", "q"), (3, 1, "assistant", "b"), (5, 0, "user", "alone")]
+def test_parts_in_any_order(spark):
+    """Rows of one turn are compared as a whole; one row more on a side is a difference."""
+    turns = "pair_id long, turn long, role string, text string"
+    one, two = [(1, 0, "user", "a"), (1, 0, "user", "b"), (2, 0, "user", "a")], [(1, 0, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 0, "user", "a")]
+    got = preference.format_preferences(spark.createDataFrame(one, turns), spark.createDataFrame(two, turns)).collect()
+    assert sorted((r.pair_id, r.side) for r in got) == [(1, "prompt"), (1, "prompt"), (2, "chosen"), (2, "rejected"), (2, "rejected")]
+
+
+def test_every_turn_comes_out(spark):
+    """Every row is on the chosen side; turns after the reply that differs are on both sides."""
+    rows = [(4, 0, "user", "q"), (4, 1, "assistant", "a"), (4, 2, "user", "thanks"), (5, 0, "user", "q"), (5, 1, "assistant", "b"), (8, 0, "user", "alone")]
+    rows += [(c, t, role, f"{role} {t} {c if t == 1 else ''}") for c in (2, 3) for t, role in enumerate(["user", "assistant"] * 3)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = preference.format_preferences(*preference.reply_pairs(df, closing_turns=True)).collect()
+    got = preference.format_preferences(*preference.reply_pairs(df)).collect()
     assert sorted((r.pair_id, r.turn) for r in got if r.side != "rejected") == sorted((c, t) for c, t, _, _ in rows)
-    assert {(r.side, r.rendered, r.in_loss) for r in got if r.pair_id == 2 and r.turn == 2} == {(s, "<|user|>\nthanks\n", False) for s in ("chosen", "rejected")}
+    assert {(r.side, r.rendered, r.in_loss) for r in got if r.pair_id == 4 and r.turn == 2} == {(s, "<|user|>\nthanks\n", False) for s in ("chosen", "rejected")}
+    # Of numbers with the second bit the first reply differs, and so the prompt ends before it.
+    assert {r.turn for r in got if r.pair_id == 2 and r.side == "prompt"} == {0}
+    assert sorted((r.side, r.turn) for r in got if r.pair_id == 2 and r.in_loss) == [(s, t) for s in ("chosen", "rejected") for t in (1, 3, 5)]
 
 
 def test_urls(spark):

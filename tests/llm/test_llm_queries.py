@@ -8,7 +8,8 @@ from brute import components, decisions, quality, word_library
 from comparing import compare, duck
 
 import __spark_entry__ as entry_points
-from jobweave.llm import queries
+import corpus_pipeline
+from jobweave.llm import queries, shared
 
 NAMES = sorted(queries.QUERIES)
 
@@ -25,7 +26,7 @@ def documents(con):
 
 def test_registered():
     assert set(NAMES) | {"pipeline"} <= set(entry_points.queries())
-    assert {n.split("_")[0] for n in NAMES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in NAMES} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -33,13 +34,27 @@ def test_against_sql(spark, sf_dir, con, name):
     assert compare(queries.QUERIES[name](spark, sf_dir), con, queries.SQL[name]) is None
 
 
-def test_op10_by_count_takes_lines_out(spark):
+def test_op10_takes_lines_out(spark):
     """On the given table of 10,000 documents lines go, and documents that are depleted without them."""
     sf_dir = "/root/testdata/sf0.1"
     docs = duck(sf_dir).execute("SELECT doc_id, text, lang, source, n_chars FROM documents").fetchall()
-    rows = queries.op10_quality_by_count(spark, sf_dir).collect()
-    assert {r.doc_id for r in rows if r.kept} == {d[0] for d in quality(docs, max_share=0.0)}
+    rows = queries.op10_quality(spark, sf_dir).collect()
+    want = quality(docs)
+    assert {r.doc_id for r in rows if r.kept} == {d[0] for d in want}
     assert any(r.n_words_left < r.n_words for r in rows) and any(not r.kept and not r.base_failed for r in rows)
+    # The same holds for the pipeline's stage: its texts are those without the lines.
+    texts = {d[0]: d[1] for d in docs}
+    stage = corpus_pipeline.quality_rules(spark, shared.table(spark, sf_dir, "documents"), sf_dir).select("doc_id", "text", "n_chars").collect()
+    assert sorted(map(tuple, stage)) == sorted((d[0], d[1], d[4]) for d in want) and any(r.text != texts[r.doc_id] for r in stage)
+
+
+def test_op6_prefix_search_decides(spark, sf_dir):
+    """Some prompts end before the last reply, and both sides come whole."""
+    rows = queries.op6_preference(spark, sf_dir).collect()
+    given = shared.table(spark, sf_dir, "conversations").collect()
+    assert sorted((r.pair_id, r.turn) for r in rows if r.side != "rejected") == sorted((r.conv_id, r.turn) for r in given)
+    chosen = [r for r in rows if r.side == "chosen" and r.in_loss]
+    assert max(sum(c.pair_id == p for c in chosen) for p in {c.pair_id for c in chosen}) > 1
 
 
 def test_op3_is_the_library(spark, sf_dir, documents):
