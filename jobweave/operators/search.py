@@ -1,8 +1,9 @@
 """Keyword search over a term table: BM25 per field, best field wins, top-k per query.
 
-Texts are cut into tokens as they are read and meet the asked terms there; only counts of asked
-terms are shuffled, by document, so a frequent term never gathers its postings in one task, and of
-the scores only each partition's top-k moves.
+Texts are cut into tokens once, as they are read, and meet the asked terms there; only counts of asked
+terms are shuffled, by document, so a frequent term never gathers its postings in one task.  A
+bound on each query's last place, and the most that any document can owe to a term, tell which
+terms can bring a document into the list at all; documents that hold only others are not scored.
 """
 
 from __future__ import annotations
@@ -38,15 +39,23 @@ def analyze(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+WHOLE = ""  # stands for a document's field itself among its terms; no token is empty
+
+
 @dataclass(frozen=True)
 class TermIndex:
     """``tokens`` (job_id, field, tokens, dl) of texts cut up as they are read, or, for a stored index,
-    ``stored``: (job_id, field, term, tf, dl) bucketed or at least clustered by term."""
+    ``stored``: (job_id, field, term, tf, dl) bucketed or at least clustered by term, and ``stored_fields``."""
 
-    fields: DataFrame       # field, docs, avg_dl
     boosts: dict[str, float]
     tokens: DataFrame | None = None
     stored: DataFrame | None = None
+    stored_fields: DataFrame | None = None
+
+    @property
+    def fields(self) -> DataFrame:
+        """field, docs, avg_dl."""
+        return self.stored_fields if self.tokens is None else _field_statistics(self.tokens)
 
     @property
     def terms(self) -> DataFrame:
@@ -58,29 +67,35 @@ class TermIndex:
         """field, term, df of every term."""
         return _frequencies(self.terms)
 
-    def of(self, asked: DataFrame) -> DataFrame:
-        """The rows of the terms in ``asked`` (field, term).
+    def look_up(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows of the terms in ``asked`` (field, term); field, docs, avg_dl), from one reading of the texts.
 
         Tokens meet the asked terms right after they are cut, before anything is shuffled: only
-        counts of asked terms move, never a text and never the other terms.
+        counts of asked terms, and one row for each field of a document, move.
         """
-        wanted = broadcast_if_small(asked.select("field", "term").distinct())
+        wanted = asked.select("field", "term").distinct()
         if self.tokens is None:
-            return self.stored.join(wanted, ["field", "term"], "left_semi")
-        each = self.tokens.select("job_id", "field", "dl", F.explode("tokens").alias("term"))
-        return _counted(each.join(wanted, ["field", "term"], "left_semi"))
+            return cut_lineage(self.stored.join(broadcast_if_small(wanted), ["field", "term"], "left_semi")), self.stored_fields
+        marks = asked.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in self.boosts])).alias("field"), F.lit(WHOLE).alias("term"))
+        each = self.tokens.select("job_id", "field", "dl", F.explode(F.array_append("tokens", F.lit(WHOLE))).alias("term"))
+        rows = cut_lineage(_counted(each.join(broadcast_if_small(wanted.unionByName(marks)), ["field", "term"], "left_semi")))
+        return rows.where(F.col("term") != WHOLE), cut_lineage(_field_statistics(rows.where(F.col("term") == WHOLE)))
 
 
 def _counted(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("job_id", "field", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("job_id", "field", "term", "tf", "dl")
 
 
+def _field_statistics(per_field: DataFrame) -> DataFrame:
+    return per_field.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avg_dl"))
+
+
 def _frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def build_index(docs: DataFrame, boosts: dict[str, float] | None = None, key: str = "job_id") -> TermIndex:
-    """Tokens of every field of ``docs``, cut as the texts are read, and the fields' statistics."""
+    """Tokens of every field of ``docs``, cut as the texts are read."""
     boosts = boosts or fv.SEARCH_FIELD_BOOSTS
     def tokens(name: str) -> Column:
         if name in WHOLE_VALUE_FIELDS:
@@ -93,8 +108,7 @@ def build_index(docs: DataFrame, boosts: dict[str, float] | None = None, key: st
     cut = docs.select(F.col(key).alias("job_id"), F.explode(per_field).alias("_f")).select(
         "job_id", "_f.field", "_f.tokens", F.size("_f.tokens").cast("bigint").alias("dl")
     )
-    stats = cut.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avg_dl"))
-    return TermIndex(stats, dict(boosts), tokens=cut)
+    return TermIndex(dict(boosts), tokens=cut)
 
 
 def write_index(index: TermIndex, root: str) -> None:
@@ -104,7 +118,8 @@ def write_index(index: TermIndex, root: str) -> None:
 
 
 def read_index(spark: SparkSession, root: str, boosts: dict[str, float] | None = None) -> TermIndex:
-    return TermIndex(spark.read.parquet(f"{root}/fields"), dict(boosts or fv.SEARCH_FIELD_BOOSTS), stored=spark.read.parquet(f"{root}/terms"))
+    return TermIndex(
+        dict(boosts or fv.SEARCH_FIELD_BOOSTS), stored=spark.read.parquet(f"{root}/terms"), stored_fields=spark.read.parquet(f"{root}/fields"))
 
 
 def _query_terms(queries: DataFrame, index: TermIndex, query: str, text: str) -> DataFrame:
@@ -167,6 +182,10 @@ def expand_fuzzy(query_terms: DataFrame, index: TermIndex) -> DataFrame:
     return fuzzy.where("n > 0").unionByName(whole).groupBy("query_id", "field", "term").agg(F.sum("n").alias("n"))
 
 
+FIRST_LOOK = 4  # so many times top_k documents are looked at for each term, to find a bound
+MARGIN = 1e-6  # sums of doubles differ by less
+
+
 def search_keyword(
     index: TermIndex, queries: DataFrame, *, top_k: int = 10, query: str = "query_id", text: str = "query_text",
     fuzzy: bool = False, digits: int = 9,
@@ -179,23 +198,62 @@ def search_keyword(
     terms = _query_terms(queries, index, query, text)
     if fuzzy:
         terms = expand_fuzzy(terms, index)
-    # Read for document frequencies and for scores; a few short rows per document at most.
-    rows = cut_lineage(index.of(terms))
+    terms = cut_lineage(terms)
+    rows, weighted = weigh(index, terms)
+    return top_k_per_query(score_candidates(rows, weighted, candidates(rows, weighted, top_k), digits), top_k)
+
+
+def weigh(index: TermIndex, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(job_id, field, term, part) of the asked terms, and (query_id, field, term, w, most).
+
+    A document's score in a field is the sum of w * part over the query's terms; ``most`` is the
+    largest that any document gets from the term.
+    """
+    found, fields = index.look_up(terms)
+    tf = F.col("tf")
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    fields = F.broadcast(fields)  # one row for each searched field
+    rows = found.join(fields, "field").select("job_id", "field", "term", part.alias("part"))
+    known = rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("_part"))
     boost = F.element_at(F.create_map(*[F.lit(x) for kv in index.boosts.items() for x in kv]), F.col("field"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = (
-        terms.join(broadcast_if_small(_frequencies(rows)), ["field", "term"]).join(F.broadcast(index.fields), "field")
-        .select("query_id", "field", "term", (idf * boost * F.col("n")).alias("w"), "avg_dl")
-    )
-    tf = F.col("tf")
-    part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    # Sums are combined before their shuffle, which is by document: a frequent term is spread.
-    scored = (
-        rows.join(broadcast_if_small(weighted), ["field", "term"])
-        .groupBy("job_id", "query_id", "field").agg(F.sum(part).alias("s"))
-        .groupBy("job_id", "query_id").agg(F.round(F.max("s"), digits).alias("score"))
-    )
-    return top_k_per_query(scored, top_k)
+    weighted = terms.join(broadcast_if_small(cut_lineage(known)), ["field", "term"]).join(fields, "field").select(
+        "query_id", "field", "term", (idf * boost * F.col("n")).alias("w"), "_part")
+    return rows, cut_lineage(weighted.select("query_id", "field", "term", "w", (F.col("w") * F.col("_part")).alias("most")))
+
+
+def candidates(rows: DataFrame, weighted: DataFrame, top_k: int) -> DataFrame:
+    """(job_id, query_id, field) of all documents that can be among the best ``top_k`` of a query by that field.
+
+    The documents that owe most to each term give a first list, whose last score bounds the
+    final one from below.  Of a query's terms in a field, those that together cannot reach it bring no
+    document in: only the postings of the others are met.
+    """
+    by_part = Window.partitionBy("field", "term").orderBy(F.desc("part"), "job_id")
+    first = rows.withColumn("_nth", F.row_number().over(by_part)).where(F.col("_nth") <= FIRST_LOOK * top_k).drop("_nth")
+    seen = first.join(broadcast_if_small(weighted), ["field", "term"]).groupBy("query_id", "job_id", "field").agg(
+        F.sum(F.col("w") * F.col("part")).alias("s")).groupBy("query_id", "job_id").agg(F.max("s").alias("s"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "job_id")
+    bound = seen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_k).where(F.col("_rank") == top_k)
+    bound = broadcast_if_small(cut_lineage(bound.select("query_id", (F.col("s") - MARGIN).alias("_least"))))
+    rising = Window.partitionBy("query_id", "field").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    needed = weighted.join(bound, "query_id", "left").withColumn("_together", F.sum("most").over(rising)).where(
+        F.col("_least").isNull() | (F.col("_together") >= F.col("_least")))
+    needed = broadcast_if_small(cut_lineage(needed.select("query_id", "field", "term")))
+    return rows.join(needed, ["field", "term"]).select("job_id", "query_id", "field").distinct()
+
+
+def score_candidates(rows: DataFrame, weighted: DataFrame, wanted: DataFrame, digits: int = 9) -> DataFrame:
+    """(query_id, job_id, score) of the candidates: the best field's sum over the query's terms.
+
+    A document brings the parts of its asked terms along, a query its weights; neither list is
+    longer than a text or a query.
+    """
+    parts = rows.groupBy("job_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "part"))).alias("_parts"))
+    weights = weighted.groupBy("query_id", "field").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("_weights"))
+    total = F.aggregate("_weights", F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at("_parts", e["term"]), F.lit(0.0)))
+    scored = wanted.join(parts, ["job_id", "field"]).join(broadcast_if_small(weights), ["query_id", "field"]).select("query_id", "job_id", total.alias("s"))
+    return scored.groupBy("job_id", "query_id").agg(F.round(F.max("s"), digits).alias("score"))
 
 
 def top_k_per_query(scored: DataFrame, top_k: int) -> DataFrame:

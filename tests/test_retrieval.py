@@ -117,6 +117,27 @@ def test_company_matches_only_as_a_whole(spark):
     assert [(h.query_id, h.job_id) for h in hits] == [(1, 2)]
 
 
+def test_documents_of_frequent_terms_only_are_not_scored(spark):
+    """The hits are those of scoring every pair, while the documents that share only common words are never met."""
+    import random
+
+    r = random.Random(3)
+    common = ["the", "and", "with"]
+    docs = [(i, " ".join(r.choices(common, k=6) + ([f"rare{i % 40}"] * r.randrange(1, 4) if i % 5 == 0 else ["plain"])), "", "", "") for i in range(600)]
+    frame = spark.createDataFrame(docs, "job_id long, title string, company string, skills_combined string, description string")
+    queries = spark.createDataFrame([(q, f"the rare{5 * q} and with the rare{5 * q + 5}") for q in range(5)], "query_id long, query_text string")
+    index = search.build_index(frame, {"title": 1.0, "description": 2.0})
+    terms = search._query_terms(queries, index, "query_id", "query_text")
+    rows, weighted = search.weigh(index, terms)
+    some = search.candidates(rows, weighted, 5)
+    every = rows.join(weighted, ["field", "term"]).select("job_id", "query_id", "field").distinct()
+    want = search.top_k_per_query(search.score_candidates(rows, weighted, every), 5).collect()
+    assert sorted(search.search_keyword(index, queries, top_k=5).collect()) == sorted(want) and len(want) == 25
+    assert every.count() == 5 * 600 and some.count() <= 5 * 40
+    # Without enough hits for a bound every document that shares a term is a candidate.
+    assert search.candidates(rows, weighted, 1_000).count() == every.count()
+
+
 def test_stored_index_gives_the_same_hits(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"dev {'python' if i % 2 else 'go'}", "", "sql", "text " * i) for i in range(20)], "job_id long, title string, company string, skills_combined string, description string")
     queries = spark.createDataFrame([(1, "python sql"), (2, "text go")], "query_id long, query_text string")
