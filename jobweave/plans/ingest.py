@@ -6,16 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobweave import schema
 from jobweave.functions.salary import normalize_salary
-from jobweave.functions.text import present
+from jobweave.functions.text import all_skills, present, strip
 from jobweave.operators.dedup import tag_reposts
-from jobweave.operators.detect import detect_skills, upsert_detected
+from jobweave.operators.detect import detect_skills
 from jobweave.operators.skew import rows_with_keys
-from jobweave.operators.skills import known_skills
 from jobweave.session import cut_lineage
-from jobweave.sources.tables import VersionedTable
+from jobweave.sources.tables import BatchTable
 
 
 def first_per_url(feed: DataFrame, position: str = "position") -> DataFrame:
@@ -24,13 +24,13 @@ def first_per_url(feed: DataFrame, position: str = "position") -> DataFrame:
     return feed.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
-def valid_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable rows, rejects with error): a row needs a URL, a title and a company."""
+def valid_rows(parsed: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, rejects with error and the columns ``keep``): a row needs a URL, a title and a company."""
     error = F.concat_ws(
         "; ", *[F.when(~F.coalesce(present(F.col(c)), F.lit(False)), F.lit(f"missing {c}")) for c in ("url", "title", "company")]
     )
     marked = parsed.withColumn("error", error)
-    return marked.where("error = ''").drop("error"), marked.where("error <> ''").select("url", "source", "error")
+    return marked.where("error = ''").drop("error"), marked.where("error <> ''").select("url", "source", "error", *keep)
 
 
 def unseen(feed: DataFrame, postings: DataFrame) -> DataFrame:
@@ -48,7 +48,11 @@ def new_postings(feed: DataFrame, postings: DataFrame, *, now: str, rates: DataF
     fresh = cut_lineage(
         unseen(feed, postings).withColumn("created_at", F.lit(now).cast("timestamp")).withColumn("id", posting_id())
     )
-    tagged = tag_reposts(fresh, postings)
+    return as_stored(tag_reposts(fresh, postings), now, rates)
+
+
+def as_stored(tagged: DataFrame, now: str, rates: DataFrame | None = None) -> DataFrame:
+    """Tagged new rows with monthly salary, status and stamps, in the table's schema."""
     paid = normalize_salary(tagged, rates, "explicit_period" if "explicit_period" in tagged.columns else None)
     return schema.conform(
         paid.withColumns({
@@ -85,28 +89,38 @@ def last_errors(rejects: DataFrame, order: str, keep: int | None = None) -> Data
     return rejects.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
 
 
+DICTIONARY = T.StructType([T.StructField("skill", T.StringType()), T.StructField("n", T.LongType())])
+REJECT = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "source", "error")])
+AUDIT = T.StructType([
+    T.StructField("source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("imported", "skipped", "errors", "processed", "batch")]])
+PROCESSED = T.StructType([T.StructField("job_id", T.StringType())])
+
+
 @dataclass
 class PostingStore:
     """The tables an ingest run reads and appends to."""
 
-    postings: VersionedTable
-    detected: VersionedTable
-    processed: VersionedTable   # ids whose text was searched, with or without a hit
-    audit: VersionedTable
+    postings: BatchTable
+    detected: BatchTable
+    processed: BatchTable   # ids whose text was searched, with or without a hit
+    audit: BatchTable
+    rejects: BatchTable
+    dictionary: BatchTable  # skill, n: how many more mentions a batch brought
 
     @classmethod
     def at(cls, spark, root: str) -> "PostingStore":
-        from pyspark.sql import types as T
+        kinds = {"postings": schema.POSTING, "detected": schema.DETECTED, "processed": PROCESSED, "audit": AUDIT, "rejects": REJECT, "dictionary": DICTIONARY}
+        return cls(**{name: BatchTable(spark, f"{root}/{name}", kind) for name, kind in kinds.items()})
+
+    def known_skills(self) -> DataFrame:
+        """The skills that stored postings mention, from the batches' counts and not from the postings."""
+        return self.dictionary.read().groupBy("skill").agg(F.sum("n").alias("n")).where("n > 0").select("skill")
+
 
-        ids = T.StructType([T.StructField("job_id", T.StringType())])
-        audit = T.StructType([
-            T.StructField("source", T.StringType()), T.StructField("imported", T.LongType()), T.StructField("skipped", T.LongType()),
-            T.StructField("errors", T.LongType()), T.StructField("processed", T.LongType()), T.StructField("batch", T.LongType()),
-        ])
-        return cls(
-            VersionedTable(spark, f"{root}/postings", schema.POSTING), VersionedTable(spark, f"{root}/detected", schema.DETECTED),
-            VersionedTable(spark, f"{root}/processed", ids), VersionedTable(spark, f"{root}/audit", audit),
-        )
+def skill_mentions(postings: DataFrame) -> DataFrame:
+    """(skill, n): mentions of each skill, as the dictionary counts them; the negative of it takes postings out."""
+    each = postings.select(F.explode(all_skills()).alias("_s")).select(strip(F.col("_s")).alias("skill"))
+    return each.where(present(F.col("skill"))).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ingest_batch(
@@ -115,25 +129,38 @@ def ingest_batch(
 ) -> None:
     """Append one batch.  Safe to repeat: every table skips a batch of the feed that it already has.
 
-    ``feed_name`` tells feeds with batch numbers of their own apart.  Each write is its own version, so a lost executor or a failed run leaves no half batch
-    visible; the next run picks up where the manifests stand.
+    ``parsed`` has a column ``position``, the same in every run, by which the first of several rows
+    of a URL is taken.  ``feed_name`` tells feeds with batch numbers of their own apart.
     """
     if "position" not in parsed.columns:
-        parsed = parsed.withColumn("position", F.monotonically_increasing_id())
+        raise ValueError("a feed needs a column position that does not change when it is read again")
     usable, rejects = valid_rows(parsed)
     rejects = rejects if rejected is None else rejects.unionByName(rejected)
     feed = cut_lineage(first_per_url(usable).withColumn("batch_no", F.lit(batch).cast("bigint")))
     if not store.postings.has_batch(feed_name, batch):
         before = store.postings.read()
-        if not store.audit.has_batch(feed_name, batch):
-            store.audit.append(
-                ingest_counts(feed, before, rejects).withColumn("batch", F.lit(batch).cast("bigint")), batch, feed_name
-            )
-        store.postings.append(new_postings(feed, before, now=now, rates=rates), batch, feed_name)
-    if not store.processed.has_batch(feed_name, batch):
-        # Only what this batch added is searched; the dictionary is that of the whole table.
-        todo = store.postings.read_batch(feed_name, batch)
-        if not store.detected.has_batch(feed_name, batch):
-            found = detect_skills(todo, known_skills(store.postings.read()))
-            store.detected.append(upsert_detected(store.detected.read(), found), batch, feed_name)
-        store.processed.append(todo.select(F.col("id").alias("job_id")), batch, feed_name)
+        counts = ingest_counts(feed, before, rejects)
+        commit_batch(store, new_postings(feed, before, now=now, rates=rates), counts, rejects, batch, feed_name)
+    else:
+        commit_batch(store, None, None, None, batch, feed_name)
+
+
+def commit_batch(
+    store: PostingStore, new: DataFrame | None, counts: DataFrame | None, rejects: DataFrame | None, batch: int, feed_name: str,
+) -> None:
+    """Write what a batch brings: rejects, audit, postings, mentions, detected skills, searched ids.
+
+    The postings come after what is counted against the earlier ones; what follows them is made from the
+    batch's own stored rows, so a run that was cut short goes on where it stopped.
+    """
+    if new is not None:
+        store.rejects.append(rejects, batch, feed_name)
+        store.audit.append(counts.withColumn("batch", F.lit(batch).cast("bigint")), batch, feed_name)
+        store.postings.append(new, batch, feed_name)
+    todo = store.postings.read_batch(feed_name, batch)
+    store.dictionary.append(skill_mentions(todo), batch, feed_name)
+    if not store.detected.has_batch(feed_name, batch):
+        # The ids are new, so no stored pair can be among those found.
+        found = detect_skills(todo, cut_lineage(store.known_skills()))
+        store.detected.append(found.dropDuplicates(["job_id", "skill_name"]), batch, feed_name)
+    store.processed.append(todo.select(F.col("id").alias("job_id")), batch, feed_name)

@@ -14,7 +14,7 @@ from jobweave.plans.ingest import PostingStore, ingest_batch
 from jobweave.plans.resume import analyze_resumes
 from jobweave.plans.search_index import IndexNotUsable, IndexStore, active_run
 from jobweave.sources.board_feed import parse_feed
-from jobweave.sources.tables import VersionedTable
+from jobweave.sources.tables import BatchTable, BucketTable
 from jobweave.streaming.ingest_stream import read_feed_stream, stream_ingest
 from jobweave.streaming.metrics_stream import append_log, stream_log
 
@@ -55,7 +55,7 @@ def test_ingest_batches_and_stream_agree(spark, tmp_path):
     inbox.mkdir()
     streamed = PostingStore.at(spark, str(tmp_path / "stream"))
     for b, lines in enumerate(BATCHES):
-        good, bad = parse_feed(spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1))
+        good, bad = parse_feed(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "line string, position int"))
         rejected = bad.select(F.lit(None).cast("string").alias("url"), F.lit("nofluffjobs.com").alias("source"), "error")
         for _ in range(2 if b == 1 else 1):  # a repeated batch adds nothing
             ingest_batch(by_hand, good, b, now(b), None, rejected)
@@ -70,27 +70,40 @@ def test_ingest_batches_and_stream_agree(spark, tmp_path):
     assert all(s == "Python" and f == "description" for _, s, f in d)
 
 
-def test_versioned_table(spark, tmp_path):
-    t = VersionedTable(spark, str(tmp_path / "t"), schema.DETECTED)
-    assert t.read().count() == 0
-    one = spark.createDataFrame([("1", "a", "title")], schema.DETECTED)
-    assert t.append(one, 4) == 1 and t.append(one, 4) == 0 and t.read().count() == 1
-    t.append(spark.createDataFrame([("2", "b", "title")], schema.DETECTED))
-    assert t.read().count() == 2
-    t.replace(t.read().where("job_id = '2'"))
-    assert [r.job_id for r in t.read().collect()] == ["2"]
-    t.append(one)
-    assert t.read().count() == 2
-
-
-def test_batches_after_a_replacement_and_of_other_feeds(spark, tmp_path):
-    t = VersionedTable(spark, str(tmp_path / "t"), schema.DETECTED)
+def test_batch_table(spark, tmp_path):
+    t = BatchTable(spark, str(tmp_path / "t"), schema.DETECTED)
     rows = [spark.createDataFrame([(str(i), "a", "title")], schema.DETECTED) for i in range(4)]
-    assert t.append(rows[0], 0, "x") == 1
-    t.replace(rows[1])
-    assert t.append(rows[2], 1, "x") == 1 and t.append(rows[3], 1, "y") == 1 and t.append(rows[3], 1, "y") == 0
-    assert sorted(r.job_id for r in t.read().collect()) == ["1", "2", "3"]
-    assert [r.job_id for r in t.read_batch("y", 1).collect()] == ["3"]
+    assert t.read().count() == 0 and not t.has_batch("x", 0)
+    t.append(rows[0], 0, "x")
+    t.append(rows[1], 0, "x")  # a repeated batch adds nothing
+    t.append(rows[2], 1, "x")
+    t.append(rows[3], 1, "y/z w")
+    assert sorted(r.job_id for r in t.read().collect()) == ["0", "2", "3"]
+    assert [r.job_id for r in t.read_batch("y/z w", 1).collect()] == ["3"]
+    (tmp_path / "t" / "feed=f-x" / "batch=1" / "_SUCCESS").unlink()  # as if the write had been cut short
+    t.append(rows[1], 1, "x")
+    assert sorted(r.job_id for r in t.read().collect()) == ["0", "1", "3"]
+
+
+def test_edits_rewrite_touched_buckets_only(spark, tmp_path):
+    """Files of buckets without an edit stay, by name and time."""
+    def files():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+
+    t = BucketTable(spark, str(tmp_path / "t"), "id", buckets=16)
+    t.create(rows_for_index(spark, 200).withColumns({"salary_min": F.lit(9000.0), "salary_currency": F.lit("PLN")}))
+    before = files()
+    edits = spark.createDataFrame([("3", "applied"), ("17", "seen")], "id string, status string")
+    touched = t.edit(edits, lambda rows, some: changes.apply_changes(rows, some, "2024-07-01"))
+    after = files()
+    of = lambda names, k: {n for n in names if f"_bucket={k}/" in n}
+    assert 1 <= len(touched) <= 2 and len({n.split("_bucket=")[1].split("/")[0] for n in before}) > 10
+    assert {n: s for n, s in before.items() if not any(n in of(before, k) for k in touched)} == {n: s for n, s in after.items() if not any(n in of(after, k) for k in touched)}
+    got = {r.id: (r.status, r.applied_date) for r in t.read().collect()}
+    assert len(got) == 200 and got["3"] == ("applied", "2024-07-01") and got["17"][0] == "seen" and got["4"][0] is None
+    paid = t.edit(edits, lambda rows, _: changes.backfill_salaries(rows).drop("updated"))
+    assert paid == touched and t.read().where("salary_min_pln is not null").count() == t.read().where(t.bucket_of(F.col("id")).isin(touched)).count()
+    assert t.edit(edits.limit(0), lambda rows, some: rows) == []
 
 
 def test_edits_and_crawls_repeat(spark):
