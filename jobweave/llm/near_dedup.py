@@ -31,7 +31,7 @@ class Forest:
     trees: int = 24
     depth: int = 4
     deepest: int = 12
-    reach: int = 12
+    reach: int = 2
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
