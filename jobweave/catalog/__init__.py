@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from jobweave.catalog import analytics, ingest, listing, pages, retrieval, salaries, skills, text  # noqa: F401
+    from jobweave.catalog import analytics, ingest, listing, pages, retrieval, runs, salaries, skills, text  # noqa: F401
 
     return QUERIES, SQL
