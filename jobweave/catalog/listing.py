@@ -92,6 +92,17 @@ def find_by_url(spark, sf):
     return filters.find_by_url(p, wanted)
 
 
+_PARTS = """, asked AS (SELECT unnest(['job/1', '7', '/', 'src1', 'SRC2.example/JOB/3', 'src_.example/job/1', 'job/%9', 'h%s://src0', '%', '', '____', 'a_b%c', 'nowhere', 'xyz', '.example/job/', 'b/12']) AS wanted_url)"""
+
+
+@query("find_by_part_of_url", PLAIN + _PARTS + """ SELECT wanted_url, min(id) AS id, false AS exact FROM asked JOIN postings ON url ILIKE '%' || rtrim(wanted_url, '/') || '%' GROUP BY wanted_url""")
+def find_by_part_of_url(spark, sf):
+    """Short parts, wildcards, and parts that no URL has."""
+    parts = ["job/1", "7", "/", "src1", "SRC2.example/JOB/3", "src_.example/job/1", "job/%9", "h%s://src0", "%", "", "____", "a_b%c", "nowhere", "xyz", ".example/job/", "b/12"]
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in parts])).alias("wanted_url"))
+    return filters.find_by_url(derived.postings(spark, sf), asked)
+
+
 # --- duplicates -------------------------------------------------------------------
 
 @query("newest_per_key", PLAIN + """ SELECT id, company, title FROM (SELECT *, row_number() OVER (PARTITION BY company, lower(title)
@@ -186,6 +197,13 @@ def page_by_salary_ascending(spark, sf):
     return listing.page_postings(derived.salaried(spark, sf), per_page=200, sort_by="salary_asc").select("id", "salary_min_pln")
 
 
+@query("deep_page", PAID + """ SELECT id, salary_min_pln FROM paid
+ ORDER BY salary_min_pln ASC NULLS LAST, created_at DESC NULLS FIRST, id LIMIT 200 OFFSET 11800""")
+def deep_page(spark, sf):
+    """Page 60, which a directory of ranges finds."""
+    return listing.page_postings(derived.salaried(spark, sf), page=60, per_page=200, sort_by="salary_asc").select("id", "salary_min_pln")
+
+
 @query("page_totals", PLAIN + """ SELECT CAST(count(*) AS BIGINT) AS total, CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM postings WHERE status = 'F'""")
 def page_totals(spark, sf):
     return listing.page_summary(derived.postings(spark, sf), PostingFilter(status="F"))

@@ -157,7 +157,7 @@ def resume_skills_canonical(spark, sf):
 # --- profiles and matching ----------------------------------------------------------------
 
 _PROFILE = SKILLED + ", " + RESUMES + """,
-jobs AS (SELECT category, count(*) AS job_count FROM postings GROUP BY category HAVING count(*) >= 5),
+jobs AS (SELECT category, count(*) AS job_count FROM postings GROUP BY category),
 weights AS (SELECT category, lower(trim(skill)) AS skill_n, min(skill) AS display, count(*) AS weight, max(req) = 1 AS required FROM (
  SELECT category, unnest(skills_required) AS skill, 1 AS req FROM postings UNION ALL SELECT category, unnest(skills_nice_to_have), 0 FROM postings) GROUP BY 1, 2),
 totals AS (SELECT category, sum(weight) AS total_weight FROM weights GROUP BY category),
@@ -172,8 +172,8 @@ def category_skill_profile(spark, sf):
 
 _SCORES = _PROFILE + """,
 matched AS (SELECT resume_id, category, sum(weight) AS mw, array_to_string(list(display || ':' || weight ORDER BY weight DESC, display), '|') AS matching FROM mine JOIN weights USING (skill_n) GROUP BY 1, 2),
-scores AS (SELECT r.resume_id, j.category, j.job_count, CAST(round_even(coalesce(mw, 0) / total_weight * 100, 0) AS BIGINT) AS match_score, coalesce(matching, '') AS matching_skills
- FROM (SELECT DISTINCT resume_id FROM mine) r CROSS JOIN jobs j JOIN totals t ON t.category = j.category LEFT JOIN matched m ON m.resume_id = r.resume_id AND m.category = j.category)"""
+scores AS (SELECT m.resume_id, j.category, j.job_count, CAST(round_even(mw / total_weight * 100, 0) AS BIGINT) AS match_score, matching AS matching_skills
+ FROM matched m JOIN jobs j USING (category) JOIN totals t USING (category))"""
 
 
 def _scores(spark, sf):
@@ -192,11 +192,29 @@ def top_matching_categories(spark, sf):
     return skills.top_categories(_scores(spark, sf), 3).select("resume_id", "category", "match_score", "position")
 
 
-@query("skills_to_add", _PROFILE + """ SELECT resume_id, category, position, skill, CAST(weight AS BIGINT) AS weight FROM (SELECT resume_id, w.category, display AS skill, weight,
- row_number() OVER (PARTITION BY resume_id, w.category ORDER BY weight DESC, display, w.skill_n) AS position FROM (SELECT DISTINCT resume_id FROM mine) r CROSS JOIN weights w
- JOIN jobs USING (category) WHERE weight >= 5 AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.resume_id = r.resume_id AND m.skill_n = w.skill_n)) WHERE position <= 6""")
+_TO_ADD = _PROFILE + """ SELECT resume_id, category, position, skill, CAST(weight AS BIGINT) AS weight FROM (SELECT resume_id, w.category, display AS skill, weight,
+ row_number() OVER (PARTITION BY resume_id, w.category ORDER BY weight DESC, display, w.skill_n) AS position FROM (SELECT DISTINCT resume_id, category FROM mine JOIN weights USING (skill_n)) r
+ JOIN weights w USING (category) WHERE {} NOT EXISTS (SELECT 1 FROM mine m WHERE m.resume_id = r.resume_id AND m.skill_n = w.skill_n)) {}"""
+
+
+@query("skills_to_add", _TO_ADD.format("weight >= 5 AND", "WHERE position <= 6"))
 def skills_to_add(spark, sf):
-    return skills.skills_to_add(derived.postings(spark, sf, skills=True), derived.resumes(spark, sf), limit=6)
+    return skills.skills_to_add(derived.postings(spark, sf, skills=True), derived.resumes(spark, sf), limit=6, min_weight=5)
+
+
+@query("all_skills_to_add", _TO_ADD.format("", ""))
+def all_skills_to_add(spark, sf):
+    return skills.skills_to_add(derived.postings(spark, sf, skills=True), derived.resumes(spark, sf))
+
+
+@query("category_scores_of_pairs", _SCORES + """ SELECT c.c_custkey AS resume_id, c.c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' elsewhere' END AS category, coalesce(match_score, 0) AS match_score
+ FROM customer c LEFT JOIN scores s ON s.resume_id = c_custkey AND s.category = c.c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' elsewhere' END""")
+def category_scores_of_pairs(spark, sf):
+    """The score of every customer's resume in the customer's own segment, which for half of them is none of the postings'."""
+    k = F.col("c_custkey")
+    asked = derived.table(spark, sf, "customer").select(
+        k.alias("resume_id"), F.concat("c_mktsegment", F.when(k % 2 == 0, "").otherwise(" elsewhere")).alias("category"))
+    return skills.scores_of(asked, _scores(spark, sf))
 
 
 @query("match_score_from_lists", SKILLED + """ SELECT id, CAST(CASE WHEN len(skills_required) + len(skills_nice_to_have) > 0 THEN floor(len(skills_required) * 3 / (len(skills_required) * 3 + len(skills_nice_to_have)) * 100 + 0.5)

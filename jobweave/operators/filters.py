@@ -115,15 +115,23 @@ def within_days(events: DataFrame, stamp: str, as_of: Column | str, days: int =
     return events.where(F.col(stamp) >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
-URL_GRAM = 16
+GRAM_LENGTHS = (16, 8, 4, 3, 2, 1)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The different stretches of ``n`` characters; none where the text is shorter."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
 
 
 def find_by_url(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted URL: the exact posting, else the first one whose URL contains it.
 
-    Exact hits are an equi join.  A contained URL shares its last URL_GRAM characters with
-    the stored one, so the rest is an equi join on those, checked afterwards.  Only URLs too
-    short for that, or with LIKE wildcards, are compared one by one.
+    In a contained URL ``%`` and ``_`` are wildcards.  All steps are equi joins.  A wanted URL and those
+    that contain it share a gram of its longest stretch without wildcards, of the longest of
+    GRAM_LENGTHS that fits; the rest of it is checked on those that share it.  A stretch that is a gram
+    whole needs no check, and one without any asks for a number of characters only: for these
+    the smallest id of each gram, or length, is all that is joined.
     """
     from jobweave.operators.skew import broadcast_if_small
 
@@ -131,22 +139,34 @@ def find_by_url(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     exact = urls.join(
         broadcast_if_small(wanted.select("wanted_url")), F.col("url") == F.col("wanted_url")
     ).groupBy("wanted_url").agg(F.min("id").alias("id"))
-    rest = wanted.join(exact, "wanted_url", "left_anti").withColumn(
-        "_clean", F.lower(F.regexp_replace("wanted_url", "/+$", ""))
-    )
-    plain = (F.length("_clean") >= URL_GRAM) & ~F.col("_clean").rlike(r"[%_\\\\]")
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("url") - URL_GRAM + 1)),
-        lambda i: F.substring(F.lower("url"), i, URL_GRAM),
-    ))
-    tails = rest.where(plain).withColumn("_gram", F.lower(F.expr(f"right(_clean, {URL_GRAM})")))
-    partial = (
-        urls.withColumn("_gram", F.explode(grams)).join(broadcast_if_small(tails), "_gram")
-        .where(F.contains(F.lower("url"), F.col("_clean"))).select("wanted_url", "id")
-    )
-    odd = rest.where(~plain)
-    if not odd.isEmpty():
-        like = F.broadcast(odd.withColumn("_like", F.concat(F.lit("%"), "_clean", F.lit("%"))))
-        partial = partial.unionByName(urls.join(like, F.expr("url ILIKE _like")).select("wanted_url", "id"))
-    partial = partial.groupBy("wanted_url").agg(F.min("id").alias("id"))
-    return exact.withColumn("exact", F.lit(True)).unionByName(partial.withColumn("exact", F.lit(False)))
+    clean = F.lower(F.regexp_replace("wanted_url", "/+$", ""))
+    # A backslash that escapes nothing stands for itself.
+    clean = F.regexp_replace(clean, r"\\(?![%_\\])", r"\\\\")
+    literal = F.reverse(F.array_sort(F.transform(
+        F.split(F.col("_clean"), r"[%_\\]"), lambda piece: F.struct(F.length(piece).alias("n"), piece.alias("piece")))))[0]
+    sizes = F.array(*[F.lit(n) for n in GRAM_LENGTHS])
+    rest = wanted.join(exact, "wanted_url", "left_anti").where("wanted_url IS NOT NULL").withColumn("_clean", clean).withColumn("_literal", literal)
+    rest = rest.withColumn("_size", F.coalesce(F.get(F.filter(sizes, lambda n: n <= F.col("_literal.n")), 0), F.lit(0)))
+    rest = rest.withColumn("_gram", F.expr("right(_literal.piece, _size)"))
+    whole = F.length("_clean") == F.col("_size")  # the gram is all there is
+    known = {r[0] for r in rest.select("_size").distinct().collect()}  # of the few lengths
+    lower, parts = F.lower("url"), []
+    for n in sorted(known - {0}):
+        asked = rest.where(F.col("_size") == n)
+        grams = urls.select("id", "url", F.explode(_grams(lower, n)).alias("_gram"))
+        least = grams.join(broadcast_if_small(asked.where(whole).select("_gram").distinct()), "_gram").groupBy("_gram").agg(F.min("id").alias("id"))
+        parts.append(asked.where(whole).join(broadcast_if_small(least), "_gram").select("wanted_url", "id"))
+        checked = grams.join(broadcast_if_small(asked.where(~whole)), "_gram")
+        parts.append(checked.where(F.expr("url ILIKE concat('%', _clean, '%')")).select("wanted_url", "id"))
+    if 0 in known:  # wildcards alone: as many characters as there are underscores, or more
+        by_length = urls.where("url IS NOT NULL").groupBy(F.length("url").alias("n")).agg(F.min("id").alias("id"))
+        least = by_length.select("id", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("_count")).groupBy("_count").agg(F.min("id").alias("id"))
+        asked = rest.where("_size = 0").withColumn("_count", F.length(F.regexp_replace("_clean", "[^_]", "")))
+        parts.append(asked.join(broadcast_if_small(least), "_count").select("wanted_url", "id"))
+    found = exact.withColumn("exact", F.lit(True))
+    if not parts:
+        return found
+    partial = parts[0]
+    for part in parts[1:]:
+        partial = partial.unionByName(part)
+    return found.unionByName(partial.groupBy("wanted_url").agg(F.min("id").alias("id")).withColumn("exact", F.lit(False)))

@@ -9,16 +9,17 @@ from jobweave import fixed_values as fv
 from jobweave.functions.text import strings_or_empty
 from jobweave.operators.dedup import KEY, attach_dup_count_to_page, newest_per_key, with_key
 from jobweave.operators.filters import PostingFilter, apply_filters, facet_present
+from jobweave.operators.paging import Order, page_of
 
 
-def listing_order(sort_by: str | None = None) -> list[Column]:
+def listing_order(sort_by: str | None = None) -> Order:
     """Sort columns of a listing, ending in id so that the order is total."""
-    newest = F.desc_nulls_first("created_at")
+    newest, last = ("created_at", "desc_nulls_first"), ("id", "asc")
     if sort_by == "salary_desc":
-        return [F.desc_nulls_last("salary_max_pln"), newest, F.asc("id")]
+        return [("salary_max_pln", "desc_nulls_last"), newest, last]
     if sort_by == "salary_asc":
-        return [F.asc_nulls_last("salary_min_pln"), newest, F.asc("id")]
-    return [F.desc_nulls_first("date_added"), newest, F.asc("id")]
+        return [("salary_min_pln", "asc_nulls_last"), newest, last]
+    return [("date_added", "desc_nulls_first"), newest, last]
 
 
 def select_postings(postings: DataFrame, f: PostingFilter | None = None, group_duplicates: bool = False) -> DataFrame:
@@ -35,11 +36,11 @@ def page_postings(
     sort_by: str | None = None,
     group_duplicates: bool = False,
 ) -> DataFrame:
-    """One page with duplicate counts.  Offset and limit become one top-k, not a full sort."""
+    """One page with duplicate counts.  An early page is one top-k and a deep one reads its range of the order only."""
     if not 1 <= per_page <= fv.MAX_PAGE_SIZE or page < 1:
         raise ValueError(f"page starts at 1 and per_page is 1 to {fv.MAX_PAGE_SIZE}")
     chosen = select_postings(postings, f, group_duplicates)
-    rows = chosen.orderBy(*listing_order(sort_by)).offset((page - 1) * per_page).limit(per_page)
+    rows = page_of(chosen, listing_order(sort_by), page, per_page)
     return attach_dup_count_to_page(rows, postings)
 
 

@@ -73,18 +73,6 @@ def rows_with_keys(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return big.join(broadcast_if_small(keys.select(*on).distinct()), on, "left_semi")
 
 
-def with_every(rows: DataFrame, few: DataFrame, spread_on: str) -> DataFrame:
-    """Each row with each row of ``few``, for results that hold every combination.
-
-    ``few`` is broadcast where it was measured small; otherwise it is repeated once per
-    salt and joined on the salt, so that the work spreads evenly.
-    """
-    if fits_broadcast(few):
-        return rows.withColumn("_k", F.lit(0)).join(F.broadcast(few.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    salted = rows.withColumn("_k", F.pmod(F.xxhash64(spread_on), F.lit(SPREAD)).cast("int"))
-    return salted.join(few.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), "_k").drop("_k")
-
-
 def task_count(df: DataFrame) -> int:
     """Partitions for work whose cost is out of proportion to its input size, where run-time
     coalescing by bytes would leave too few tasks."""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from jobweave import fixed_values as fv
 from jobweave.functions.numbers import percent
 from jobweave.functions.text import all_skills, norm_skill, present, strip, strings_or_empty
-from jobweave.operators.skew import attach_by_key, broadcast_if_small, with_every
+from jobweave.operators.paging import page_of
+from jobweave.operators.skew import attach_by_key, broadcast_if_small
 from jobweave.session import cut_lineage
 
 
@@ -50,7 +51,7 @@ def skills_page(
     """One page of skills by falling count, with global rank and shares of the top count."""
     counted = skill_counts(postings, category, search)
     order = [F.desc("count"), F.asc("skill")]
-    rows = counted.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    rows = page_of(counted, [("count", "desc"), ("skill", "asc")], page, per_page)
     # At most per_page rows are left, so one unpartitioned window is bounded.
     everything = Window.partitionBy(F.lit(1))
     return rows.select(
@@ -87,11 +88,11 @@ def top_listed_skills(postings: DataFrame, column: str, top: int = 30, category:
 
 # --- category profiles and resume scores ------------------------------------------
 
-def category_skills(postings: DataFrame, min_jobs: int = fv.CATEGORY_MIN_JOBS) -> DataFrame:
+def category_skills(postings: DataFrame, min_jobs: int = 1) -> DataFrame:
     """(category, skill_n, display, weight, required, job_count, total_weight).
 
     ``display`` is the smallest raw form, since first-seen has no meaning in a distributed
-    table.  Categories below ``min_jobs`` postings are left out; a category without any
+    table.  A caller may leave out categories below ``min_jobs`` postings; a category without any
     skill yields one row with a NULL skill and total 0.
     """
     base = postings.withColumn("category", strip(F.coalesce("category", F.lit("")))).where("category <> ''")
@@ -113,12 +114,13 @@ def resume_skills_n(resume_skills: DataFrame) -> DataFrame:
     return resume_skills.select("resume_id", norm_skill(F.col("skill")).alias("skill_n")).where("skill_n <> ''").distinct()
 
 
-def category_scores(postings: DataFrame, resume_skills: DataFrame, min_jobs: int = fv.CATEGORY_MIN_JOBS) -> DataFrame:
-    """(resume_id, category, job_count, match_score, matching_skills): one row for every
-    resume and category; lists by falling weight.
+def category_scores(postings: DataFrame, resume_skills: DataFrame, min_jobs: int = 1) -> DataFrame:
+    """(resume_id, category, job_count, match_score, matching_skills): one row for every resume and
+    category that share a skill; lists by falling weight.
 
     The profile (categories x vocabulary) is computed once and kept; it is measured before
-    it is broadcast.
+    it is broadcast.  Categories without a shared skill have score 0 and no row; ``scores_of``
+    gives one for pairs that are asked for.
     """
     profile = cut_lineage(category_skills(postings, min_jobs))
     mine = resume_skills_n(resume_skills)
@@ -131,41 +133,42 @@ def category_scores(postings: DataFrame, resume_skills: DataFrame, min_jobs: int
         )
     )
     heads = profile.select("category", "job_count", "total_weight").distinct()
-    grid = with_every(mine.select("resume_id").distinct(), heads, "resume_id")
     share = F.rint(F.col("matched_weight") / F.col("total_weight") * 100)
-    return grid.join(matched, ["resume_id", "category"], "left").select(
-        "resume_id", "category", "job_count",
-        F.when(F.col("total_weight") > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(share, F.lit(0)))))
-        .otherwise(0).cast("bigint").alias("match_score"),
-        F.transform(
-            F.coalesce("_m", F.array().cast("array<struct<w:bigint,display:string>>")),
-            lambda e: F.struct(e["display"].alias("skill"), (-e["w"]).alias("weight")),
-        ).alias("matching_skills"),
+    return matched.join(broadcast_if_small(heads), "category").select(
+        "resume_id", "category", "job_count", F.least(F.lit(100), share).cast("bigint").alias("match_score"),
+        F.transform("_m", lambda e: F.struct(e["display"].alias("skill"), (-e["w"]).alias("weight"))).alias("matching_skills"),
     )
 
 
+def scores_of(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """(resume_id, category, match_score) of the asked pairs, 0 where they share no skill."""
+    found = scores.select("resume_id", "category", "match_score")
+    return pairs.select("resume_id", "category").join(found, ["resume_id", "category"], "left").withColumn(
+        "match_score", F.coalesce("match_score", F.lit(0).cast("bigint")))
+
+
 def skills_to_add(
-    postings: DataFrame, resume_skills: DataFrame, *,
-    limit: int | None = fv.ADVICE_LIMIT, min_weight: int = fv.ADVICE_MIN_WEIGHT, min_jobs: int = fv.CATEGORY_MIN_JOBS,
+    postings: DataFrame, resume_skills: DataFrame, *, limit: int | None = None, min_weight: int = 1, min_jobs: int = 1,
 ) -> DataFrame:
-    """(resume_id, category, position, skill, weight): the heaviest skills a resume lacks.
+    """(resume_id, category, position, skill, weight): the heaviest skills that a resume lacks in each
+    category it shares a skill with.
 
-    With a limit, a resume with m matched skills in a category finds its top ``limit``
-    missing ones among the category's first ``limit + m`` skills, so only those are joined:
-    exact, and bounded per resume and category.  ``limit=None`` lists every missing skill.
+    With a limit, a pair with m shared skills finds its top ``limit`` missing ones among the
+    category's first ``limit + m``, so the pair meets no more than those; rows are made for pairs that share a
+    skill only.  Without a limit every missing skill is a row of the result.
     """
-    profile = cut_lineage(category_skills(postings, min_jobs)).where("skill_n IS NOT NULL").where(F.col("weight") >= min_weight)
+    profile = cut_lineage(category_skills(postings, min_jobs).where("skill_n IS NOT NULL"))
     order = [F.desc("weight"), F.asc("display"), F.asc("skill_n")]
-    mine = resume_skills_n(resume_skills)
-    people = mine.groupBy("resume_id").agg(F.collect_set("skill_n").alias("_mine"))
-    ranked = profile.select("category", "skill_n", "display", "weight")
+    shared = resume_skills_n(resume_skills).join(broadcast_if_small(profile.select("category", "skill_n")), "skill_n")
+    pairs = cut_lineage(shared.groupBy("resume_id", "category").agg(F.collect_set("skill_n").alias("_has")))
+    by_weight = Window.partitionBy("category").orderBy(*order)
+    ranked = profile.where(F.col("weight") >= min_weight).select("category", "skill_n", "display", "weight")
     if limit is not None:
-        longest = mine.groupBy("resume_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        by_weight = Window.partitionBy("category").orderBy(*order)
-        ranked = ranked.withColumn("_rn", F.row_number().over(by_weight)).where(F.col("_rn") <= limit + longest)
-        ranked = ranked.drop("_rn")
-    offered = with_every(people, ranked, "resume_id")
-    lacking = offered.where(~F.array_contains("_mine", F.col("skill_n")))
+        most = pairs.agg(F.max(F.size("_has"))).first()[0] or 0
+        ranked = ranked.withColumn("_rn", F.row_number().over(by_weight)).where(F.col("_rn") <= limit + most)
+    ranked = cut_lineage(ranked)
+    near = F.lit(True) if limit is None else F.col("_rn") <= limit + F.size("_has")
+    lacking = pairs.join(broadcast_if_small(ranked), "category").where(near & ~F.array_contains("_has", F.col("skill_n")))
     per_pair = Window.partitionBy("resume_id", "category").orderBy(*order)
     out = lacking.withColumn("position", F.row_number().over(per_pair).cast("bigint"))
     if limit is not None:

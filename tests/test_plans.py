@@ -184,5 +184,5 @@ def test_resume_analysis(spark):
     assert {(r.resume_id, r.skill) for r in out.skills.collect()} == {(1, "Python"), (1, "Docker"), (2, "gardener"), (2, "cook")}
     best = out.matches.where("resume_id = 1 AND rank = 1").first()
     assert (best.job_id, best.match_count, best.match_ratio) == (1, 2, 1.0)
-    assert {r.resume_id: r.match_score for r in out.categories.collect()} == {1: 54, 2: 0}
-    assert out.to_add.count() == 0
+    assert {r.resume_id: r.match_score for r in out.categories.collect()} == {1: 54}
+    assert {(r.resume_id, r.category, r.skill) for r in out.to_add.collect()} == {(1, "Backend", "SQL"), (1, "Backend", "Go")}

@@ -233,11 +233,29 @@ def test_explanation(spark):
     assert r.summary == "Matched 2 resume skills"
 
 
-def test_small_categories_are_left_out(spark):
+def test_small_categories_stay_unless_asked(spark):
     p = postings_of(spark, [(i, "Dev", "Acme", "u", " QA ", [], None) for i in range(5)] + [(9, "Dev", "Acme", "u", "Rare", ["Python"], [])])
     mine = spark.createDataFrame([(7, "Python")], "resume_id long, skill string")
     rows = skills.category_scores(p, mine).collect()
-    assert [(r.category, r.match_score, r.matching_skills) for r in rows] == [("QA", 0, [])]
+    assert [(r.category, r.match_score, [s.skill for s in r.matching_skills]) for r in rows] == [("Rare", 100, ["Python"])]
+    assert skills.category_scores(p, mine, min_jobs=5).count() == 0
+    asked = spark.createDataFrame([(7, "QA"), (7, "Rare"), (8, "Rare")], "resume_id long, category string")
+    assert {tuple(r) for r in skills.scores_of(asked, skills.category_scores(p, mine)).collect()} == {(7, "QA", 0), (7, "Rare", 100), (8, "Rare", 0)}
+
+
+def test_missing_skills_of_shared_categories(spark):
+    jobs = [(i, "t", "c", "u", "A", [w for k, w in enumerate("abcdefgh") if i % (k + 1) == 0], []) for i in range(40)]
+    jobs += [(100, "t", "c", "u", "B", ["z", "a"], []), (101, "t", "c", "u", "C", ["y"], [])]
+    mine = spark.createDataFrame([(1, "a"), (1, "C"), (2, "h"), (3, "z"), (3, "nothing")], "resume_id long, skill string")
+    p = postings_of(spark, jobs)
+    got = {}
+    for r in skills.skills_to_add(p, mine).orderBy("position").collect():
+        got.setdefault((r.resume_id, r.category), []).append(r.skill)
+    assert got == {(1, "A"): list("bdefgh"), (1, "B"): ["z"], (2, "A"): list("abcdefg"), (3, "B"): ["a"]}
+    cut = {}
+    for r in skills.skills_to_add(p, mine, limit=2).orderBy("position").collect():
+        cut.setdefault((r.resume_id, r.category), []).append(r.skill)
+    assert cut == {k: v[:2] for k, v in got.items()}
 
 
 @pytest.mark.parametrize("limit", [1, 3, 50])
