@@ -92,6 +92,12 @@ def rejected_feed_lines(spark, sf):
     return bad.groupBy("error").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query("dropped_feed_skills", SKILLED + " SELECT 'https://nofluffjobs.com/pl/job/offer-' || id AS url, repeat('x', 60) AS skill FROM postings WHERE id%50 <> 49")
+def dropped_feed_skills(spark, sf):
+    good, _ = board_feed.parse_feed(feed_lines(spark, sf))
+    return good.select("url", F.explode("dropped_skills").alias("skill"))
+
+
 # --- offer pages ----------------------------------------------------------------------------
 
 def _json_ld(k):

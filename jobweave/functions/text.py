@@ -294,3 +294,13 @@ def salary_range_text(text: Column) -> Column:
             value(2).alias("min"), value(3).alias("max"), part(4).alias("currency"), kind.alias("type")))
 
     return F.coalesce(read(r"\s", "[.,]"), read(",", r"\."))
+
+
+def short_skills(skills: Column) -> Column:
+    """Skills that are short enough to be names."""
+    return F.filter(skills, lambda s: F.length(s) < fv.MAX_SKILL_LENGTH)
+
+
+def long_skills(skills: Column) -> Column:
+    """The others, which are reported and not listed."""
+    return F.filter(skills, lambda s: F.length(s) >= fv.MAX_SKILL_LENGTH)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
 from jobweave.functions.text import all_skills, no_strings, present, tokenize
-from jobweave.operators.skew import broadcast_if_small, rows_with_keys
+from jobweave.operators.skew import broadcast_if_small, rows_with_keys, spread_if_few
 
 _DELIMITER = "(?U)" + fv.TERM_DELIMITERS
 
@@ -63,7 +63,7 @@ def detect_terms(texts: DataFrame, dictionary: DataFrame, *, key: str = "id", te
     small enough to broadcast; otherwise both sides shuffle on the span.
     """
     counts = piece_counts(dictionary, term)
-    stretches = texts.select(key, text).select(key, F.explode(spans(F.col(text), counts)).alias("span"))
+    stretches = spread_if_few(texts.select(key, text)).select(key, F.explode(spans(F.col(text), counts)).alias("span"))
     return stretches.join(broadcast_if_small(lookup_table(dictionary, term)), "span").select(key, "term")
 
 
@@ -74,7 +74,7 @@ def detect_skills(postings: DataFrame, dictionary: DataFrame) -> DataFrame:
     too is one map-side join.
     """
     counts = piece_counts(dictionary)
-    needed = postings.select("id", "title", "description", "skills_required", "skills_nice_to_have")
+    needed = spread_if_few(postings.select("id", "title", "description", "skills_required", "skills_nice_to_have"))
     rows = needed.select(
         F.col("id").alias("job_id"),
         F.transform(all_skills(), lambda s: F.lower(s)).alias("_listed"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobweave import fixed_values as fv
 from jobweave.functions.text import no_strings, skills_combined, strip
-from jobweave.operators.skew import broadcast_if_small
+from jobweave.operators.skew import broadcast_if_small, spread_if_few
 from jobweave.session import cut_lineage
 
 K1 = 1.2
@@ -105,7 +105,7 @@ def build_index(docs: DataFrame, boosts: dict[str, float] | None = None, key: st
         F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("tokens")) for f in boosts]),
         lambda e: F.size(e["tokens"]) > 0,
     )
-    cut = docs.select(F.col(key).alias("job_id"), F.explode(per_field).alias("_f")).select(
+    cut = spread_if_few(docs.select(key, *boosts)).select(F.col(key).alias("job_id"), F.explode(per_field).alias("_f")).select(
         "job_id", "_f.field", "_f.tokens", F.size("_f.tokens").cast("bigint").alias("dl")
     )
     return TermIndex(dict(boosts), tokens=cut)

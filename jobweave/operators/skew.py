@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key outside the HOT_KEYS most frequent ones holds at most 1/(HOT_KEYS+1) of the rows.
-HOT_KEYS = 200
+# A hot key holds more than one in HOT_SHARE of all rows, and LEAST_HOT at least; so there are fewer than HOT_SHARE of them.
+HOT_SHARE = 5_000
+LEAST_HOT = 1_000
 SPREAD = 256
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -35,8 +36,8 @@ def attach_by_key(
 ) -> DataFrame:
     """Join the one-row-per-key table ``per_key`` to ``rows`` without a hot partition.
 
-    The HOT_KEYS most frequent keys (a fixed number of rows, so a safe broadcast) are
-    marked on both sides: their rows get one of SPREAD salts, their entry of ``per_key`` is
+    Keys with more than one in HOT_SHARE of all rows (fewer than HOT_SHARE, so a safe broadcast)
+    are marked on both sides: their rows get one of SPREAD salts, their entry of ``per_key`` is
     repeated once per salt.  All other keys join as they are.  A plain join would not be
     split at run time here, because the aggregated side is not a bare shuffle.
 
@@ -45,8 +46,10 @@ def attach_by_key(
     """
     values = [c for c in per_key.columns if c not in keys]
     counted = per_key if frequencies is None else frequencies
+    total = counted.agg((F.sum(frequency) / HOT_SHARE).alias("_share")).withColumn("_one", F.lit(1))  # one row
+    often = counted.where(F.col(frequency) >= LEAST_HOT).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
     hot = F.broadcast(
-        counted.select(*keys, frequency).orderBy(F.desc(frequency), *keys).limit(HOT_KEYS)
+        often.where(F.col(frequency) > F.col("_share"))
         .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
     )
 
@@ -78,3 +81,14 @@ def task_count(df: DataFrame) -> int:
     coalescing by bytes would leave too few tasks."""
     spark = df.sparkSession
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_if_few(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it was read in fewer tasks than there are cores.
+
+    For work per row that costs far more than reading it.  Row ids of partitions are counted, which reads no
+    column; a large table has many partitions and is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
+    return df if tasks >= cores else df.repartition(task_count(df))

@@ -11,6 +11,7 @@ from jobweave.operators.detect import detect_skills
 from jobweave.operators.skew import rows_with_keys
 from jobweave.operators.skills import known_skills
 from jobweave.plans.changes import enrichment_backlog, merge_enrichment
+from jobweave.plans.ingest import too_long
 from jobweave.session import cut_lineage
 from jobweave.sources.pages import parse_pages, source_of
 
@@ -30,4 +31,4 @@ def enrich_backfill(postings: DataFrame, pages: DataFrame, limit: int | None = N
     merged = merge_enrichment(postings, parsed)
     absent = backlog.join(parsed.select("url"), "url", "left_anti").select("url", F.lit("no page").alias("error"))
     found = detect_skills(merged.where("enriched"), known_skills(merged))
-    return Enrichment(merged, found, rejected.unionByName(absent))
+    return Enrichment(merged, found, rejected.unionByName(absent).unionByName(too_long(parsed).drop("source")))

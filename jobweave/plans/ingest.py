@@ -33,6 +33,12 @@ def valid_rows(parsed: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     return marked.where("error = ''").drop("error"), marked.where("error <> ''").select("url", "source", "error", *keep)
 
 
+def too_long(parsed: DataFrame) -> DataFrame:
+    """(url, source, error) of the skills that were too long to be listed; the postings themselves stay."""
+    return parsed.select("url", "source", F.explode("dropped_skills").alias("_s")).select(
+        "url", "source", F.concat(F.lit("skill too long: "), "_s").alias("error"))
+
+
 def unseen(feed: DataFrame, postings: DataFrame) -> DataFrame:
     """Feed rows whose URL is not stored yet."""
     return feed.join(rows_with_keys(postings.select("url"), feed, ["url"]), "url", "left_anti")
@@ -140,7 +146,8 @@ def ingest_batch(
     if not store.postings.has_batch(feed_name, batch):
         before = store.postings.read()
         counts = ingest_counts(feed, before, rejects)
-        commit_batch(store, new_postings(feed, before, now=now, rates=rates), counts, rejects, batch, feed_name)
+        dropped = too_long(feed) if "dropped_skills" in feed.columns else rejects.limit(0)
+        commit_batch(store, new_postings(feed, before, now=now, rates=rates), counts, rejects.unionByName(dropped), batch, feed_name)
     else:
         commit_batch(store, None, None, None, batch, feed_name)
 

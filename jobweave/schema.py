@@ -62,6 +62,7 @@ PARSED = T.StructType([
     T.StructField("category", T.StringType()),
     T.StructField("date_published", T.StringType()),
     T.StructField("date_expires", T.StringType()),
+    T.StructField("dropped_skills", _STRINGS),
 ])
 
 # One posting of the JSON board.  ``category`` is a string or an object, so it is read raw.
