@@ -120,6 +120,46 @@ def dimension_counts_grouped(spark, sf):
     return analytics.dimension_counts(derived.postings(spark, sf), True)
 
 
+def _panel(panel: str, value: str, rows: str, n: str = "count(*)", lo: str = "NULL", hi: str = "NULL") -> str:
+    group = "" if value == "NULL" else " GROUP BY 2"
+    return f"SELECT '{panel}' AS panel, CAST({value} AS VARCHAR) AS value, CAST({n} AS BIGINT) AS count, CAST({lo} AS DOUBLE) AS avg_min, CAST({hi} AS DOUBLE) AS avg_max FROM {rows}{group}"
+
+
+def _panels(keyed: bool) -> str:
+    """Every panel by a query of its own."""
+    n = _KEYS if keyed else "count(*)"
+    salary = "per_key" if keyed else "paid"
+    stats = "round_even(nullif(avg({0}), 0), 0)"
+    lo, hi = ("am", "ax") if keyed else ("salary_min_pln", "salary_max_pln")
+    rich = "per_key" if keyed else "(SELECT * FROM paid WHERE salary_min_pln IS NOT NULL)"
+    return " UNION ALL ".join([
+        _panel("total_jobs", "NULL", "paid", n),
+        _panel("status", "status", "(SELECT max(status) AS status FROM paid GROUP BY company, lower(title))" if keyed else "paid"),
+        _panel("saved_count", "NULL", "(SELECT * FROM paid WHERE saved)", n), _panel("reposted_count", "NULL", "(SELECT * FROM paid WHERE is_reposted)", n),
+        *[_panel(c, c, f"(SELECT * FROM paid WHERE {w})", n) for c, w in (
+            ("source", "true"), ("category", "category <> ''"), ("seniority", "seniority <> '' AND seniority <> 'C-level'"), ("work_type", "work_type <> ''"), ("company", "true"))],
+        _panel("salary_stats", "NULL", salary, f"count({lo})", stats.format(lo), stats.format(hi)),
+        _panel("salary_by_category", "category", f"(SELECT * FROM {rich} WHERE category <> '')", "count(*)", f"round(avg({lo}), 0)", f"round(avg({hi}), 0)"),
+        _panel("added", "date", "(SELECT min(date_added) AS date FROM paid GROUP BY company, lower(title))" if keyed else "(SELECT date_added AS date FROM paid)"),
+        _panel("location", "place", """(SELECT unnest(location) AS place FROM (SELECT location, row_number() OVER (
+ PARTITION BY company, lower(title) ORDER BY created_at DESC NULLS FIRST, id) AS rn FROM paid) WHERE rn = 1)""" if keyed else "(SELECT unnest(location) AS place FROM paid)"),
+    ])
+
+
+_PER_KEY = """, per_key AS (SELECT avg(salary_min_pln) AS am, avg(salary_max_pln) AS ax, max(category) AS category FROM paid
+ WHERE salary_min_pln IS NOT NULL GROUP BY company, lower(title)) """
+
+
+@query("dashboard", PAID + _PER_KEY + _panels(False))
+def dashboard(spark, sf):
+    return analytics.dashboard(derived.salaried(spark, sf))
+
+
+@query("dashboard_grouped", PAID + _PER_KEY + _panels(True))
+def dashboard_grouped(spark, sf):
+    return analytics.dashboard(derived.salaried(spark, sf), True)
+
+
 @query("filtered_category_counts_grouped", PLAIN + f""" SELECT category, CAST({_KEYS} AS BIGINT) AS count FROM postings
  WHERE source ILIKE '%src1%' AND saved = false GROUP BY category ORDER BY count DESC, category LIMIT 20""")
 def filtered_category_counts_grouped(spark, sf):

@@ -7,9 +7,11 @@ hot key's rows to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave import fixed_values as fv
+from jobweave.functions.text import present
 from jobweave.operators.dedup import KEY, newest_per_key, with_key
 from jobweave.operators.filters import contains_ci, facet_present
 
@@ -155,6 +157,66 @@ def dimension_counts(base: DataFrame, grouped: bool = False) -> DataFrame:
     return long.groupBy("dimension", "value").agg(F.sum("_n").alias("count"))
 
 
+# --- the whole dashboard ---------------------------------------------------------------
+
+SETS = ["source", "category", "seniority", "work_type"]
+
+
+def _one_per_key(base: DataFrame) -> DataFrame:
+    """One row per key with all that the panels need of it; everything is combined before the shuffle."""
+    rich = F.col("salary_min_pln").isNotNull()
+    newest = F.struct(F.col("created_at").isNotNull(), -F.unix_micros(F.col("created_at").cast("timestamp")), F.col("id"))  # the first in this order
+    return with_key(base).groupBy(*KEY).agg(
+        F.max("status").alias("status"), F.coalesce(F.max("saved"), F.lit(False)).alias("saved"), F.coalesce(F.max("is_reposted"), F.lit(False)).alias("is_reposted"),
+        *[F.collect_set(c).alias(c) for c in SETS], F.max(F.when(rich, F.col("category"))).alias("_rich_category"), F.max(rich).alias("_rich"),
+        F.max(F.col("source").isNull()).alias("_no_source"),
+        F.avg(F.when(rich, F.col("salary_min_pln"))).alias("_lo"), F.avg(F.when(rich, F.col("salary_max_pln"))).alias("_hi"),
+        F.min("date_added").alias("date_added"), F.min_by("location", newest).alias("location"))
+
+
+def _one_per_row(base: DataFrame) -> DataFrame:
+    rich = F.col("salary_min_pln").isNotNull()
+    return base.select(
+        "company", "status", "date_added", "location", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("saved", "is_reposted")],
+        *[F.array_compact(F.array(c)).alias(c) for c in SETS], F.when(rich, F.col("category")).alias("_rich_category"), F.lit(True).alias("_rich"),
+        F.col("source").isNull().alias("_no_source"), F.col("salary_min_pln").alias("_lo"), F.col("salary_max_pln").alias("_hi"))
+
+
+def dashboard(base: DataFrame, grouped: bool = False) -> DataFrame:
+    """(panel, value, count, avg_min, avg_max): all panels over the base at once.
+
+    ``base`` carries the monthly range.  Grouped, a first shuffle by key makes one row of each key; a second
+    one, or the only one, adds up what each row says to each panel.  Lists are whole: the caller orders
+    and cuts them.  A salary panel counts the rows, or keys, with a minimum.
+    """
+    rows = _one_per_key(base) if grouped else _one_per_row(base)
+    nothing, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def entry(panel: str, value: Column = nothing, n: Column | None = None, lo: Column = number, hi: Column = number) -> Column:
+        n = F.lit(1) if n is None else n.cast("int")
+        return F.struct(F.lit(panel).alias("panel"), value.alias("value"), n.alias("n"), lo.alias("lo"), hi.alias("hi"))
+
+    def each(panel: str, values: Column) -> Column:
+        return F.transform(values, lambda v: entry(panel, v))
+
+    facet = lambda c: F.filter(F.col(c), lambda v: present(v) & (~v.isin(fv.SENIORITY_BLACKLIST) if c == "seniority" else F.lit(True)))
+    rich = F.col("_rich") & F.col("_lo").isNotNull()
+    with_category = F.coalesce(present(F.col("_rich_category")), F.lit(False))
+    entries = F.concat(
+        F.array(entry("total_jobs"), entry("status", F.col("status")), entry("saved_count", n=F.col("saved")), entry("reposted_count", n=F.col("is_reposted")),
+                entry("company", F.col("company")), entry("salary_stats", n=rich, lo=F.col("_lo"), hi=F.col("_hi"))),
+        each("source", F.when(F.col("_no_source"), F.array_append("source", nothing)).otherwise(F.col("source"))),
+        *[each(c, facet(c)) for c in ("category", "seniority", "work_type")], each("location", F.coalesce("location", F.array().cast("array<string>"))),
+        F.when(with_category, F.array(entry("salary_by_category", F.col("_rich_category"), lo=F.col("_lo"), hi=F.col("_hi")))).otherwise(F.array().cast(_ENTRIES)),
+        F.when(F.col("date_added").isNotNull(), F.array(entry("added", F.col("date_added")))).otherwise(F.array().cast(_ENTRIES)))
+    added = rows.select(F.inline(entries)).groupBy("panel", "value").agg(F.sum("n").alias("count"), F.avg("lo").alias("lo"), F.avg("hi").alias("hi"))
+    shown = lambda c: F.when(F.col("panel") == "salary_stats", F.rint(F.nullif(F.col(c), F.lit(0.0)))).otherwise(F.round(c, 0))
+    return added.select("panel", "value", "count", shown("lo").alias("avg_min"), shown("hi").alias("avg_max"))
+
+
+_ENTRIES = "array<struct<panel:string,value:string,n:int,lo:double,hi:double>>"
+
+
 def inference_by_model(log: DataFrame) -> DataFrame:
     """Calls, mean latency and token sums per model."""
     return log.groupBy("model").agg(
