@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from jobweave import schema
 from jobweave.catalog import query
 from jobweave.catalog.views import LOG, PAID, PLAIN
 from jobweave.operators import analytics, filters
 from jobweave.operators.filters import PostingFilter
+from jobweave.session import ensure_checkpoint_dir
 from jobweave.sources import derived
-from jobweave.streaming.metrics_stream import daily_metrics
+from jobweave.streaming.metrics_stream import append_log, daily_metrics
 
 _KEYS = "count(DISTINCT (company, lower(title)))"
 
@@ -172,6 +176,16 @@ def status_tab_total(spark, sf):
     return analytics.by_status(derived.postings(spark, sf)).agg(F.sum("count").alias("total"))
 
 
+@query("appended_inference_log", LOG + " SELECT model, CAST(2 * count(*) AS BIGINT) AS calls, CAST(2 * count(latency_ms) AS BIGINT) AS timed FROM log GROUP BY model")
+def appended_inference_log(spark, sf):
+    """The log, appended twice to a folder and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    log = schema.conform(derived.inference_log(spark, sf), schema.INFERENCE_LOG)
+    for _ in range(2):
+        append_log(log, path)
+    return spark.read.schema(schema.INFERENCE_LOG).parquet(path).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.count("latency_ms").alias("timed"))
+
+
 # --- model-call log ---------------------------------------------------------------------
 
 _RECENT = LOG + ", recent AS (SELECT * FROM log WHERE created_at >= (SELECT max(created_at) FROM log) - INTERVAL 7 DAYS)"
@@ -179,8 +193,9 @@ _RECENT = LOG + ", recent AS (SELECT * FROM log WHERE created_at >= (SELECT max(
 
 def _recent(spark, sf):
     log = derived.inference_log(spark, sf)
-    as_of = log.agg(F.max("created_at")).first()[0]
-    return filters.within_days(log, "created_at", F.lit(as_of).cast("timestamp_ntz"), 7)
+    newest = log.agg(F.max("created_at").alias("_as_of")).withColumn("_one", F.lit(1))  # one row
+    dated = log.withColumn("_one", F.lit(1)).join(F.broadcast(newest), "_one")
+    return filters.within_days(dated, "created_at", F.col("_as_of"), 7).select(*log.columns)
 
 
 @query("recent_events", _RECENT + " SELECT CAST(count(*) AS BIGINT) AS calls, CAST(count(latency_ms) AS BIGINT) AS timed FROM recent")

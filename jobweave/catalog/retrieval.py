@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from jobweave.catalog import query
 from jobweave.catalog.views import TEXT_POSTINGS
 from jobweave.operators import embed, evaluate, fusion, recommend, search, vectors
+from jobweave.operators.skew import broadcast_if_small
 from jobweave.sources import derived
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -313,7 +314,7 @@ def _label_recall(spark, sf):
         .where("a = b AND query_id <> job_id")
     )
     found = good.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"_{k}") for k in (5, 10, 20)])
-    return label.join(F.broadcast(sizes), "label").join(found, F.col("vec_id") == F.col("query_id"), "left").select(
+    return label.join(broadcast_if_small(sizes), "label").join(found, F.col("vec_id") == F.col("query_id"), "left").select(
         F.col("vec_id").alias("query_id"), "gold_count",
         *[F.round(F.coalesce(F.col(f"_{k}") / F.col("gold_count"), F.lit(0.0)), 6).alias(f"recall_at_{k}") for k in (5, 10, 20)],
     )
