@@ -14,9 +14,27 @@ from jobweave.session import ensure_checkpoint_dir
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_MADE: dict[str, list[str]] = {}  # folders made so far, by application
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the intermediate tables that operators of this application have written; how many folders that were.
+
+    To be called once their results are written elsewhere: a result that is still to be computed reads them.
+    """
+    folders = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+    return len(folders)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -24,7 +42,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
     The rows no longer depend on any executor, later jobs read them instead of computing them
     again, and a join of two stashed tables has bare shuffles on both sides, which adaptive
-    execution can split where a key is hot.  The files live as long as checkpoints do.
+    execution can split where a key is hot.  The files live until ``clear_work``, or as long as checkpoints do.
     """
     path = work_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)

@@ -415,6 +415,22 @@ def test_apply_times(spark, docs):
     assert got.columns == docs.columns and count[3] == 2 and count[5] == 4 and 4 not in count and count[6] == 2 and count[None] == 2
 
 
+def test_work_is_cleared(spark, docs, tmp_path):
+    """Intermediate tables go when asked; what was written elsewhere stays."""
+    from pathlib import Path
+
+    shared.clear_work(spark)
+    exact_dedup.exact_groups(docs).write.parquet(str(tmp_path / "kept"))
+    made = [Path(f.removeprefix("file:")) for f in shared._MADE[spark.sparkContext.applicationId]]
+    assert made and all(f.exists() for f in made)
+    assert shared.clear_work(spark) == len(made) and not any(f.exists() for f in made)
+    assert shared.clear_work(spark) == 0 and spark.read.parquet(str(tmp_path / "kept")).count() == len(rows())
+
+
+def test_quality_stage_without_a_length(spark, docs):
+    assert corpus_pipeline.quality_rules(spark, docs.drop("n_chars"), "").columns == [c for c in docs.columns if c != "n_chars"]
+
+
 def test_stages_keep_columns(spark, docs, tmp_path):
     current = docs.where("doc_id is not null")
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
