@@ -246,14 +246,11 @@ def candidates(rows: DataFrame, weighted: DataFrame, top_k: int) -> DataFrame:
 def score_candidates(rows: DataFrame, weighted: DataFrame, wanted: DataFrame, digits: int = 9) -> DataFrame:
     """(query_id, job_id, score) of the candidates: the best field's sum over the query's terms.
 
-    A document brings the parts of its asked terms along, a query its weights; neither list is
-    longer than a text or a query.
+    A candidate meets the asked terms of its own text only, and of those the query's weights.
     """
-    parts = rows.groupBy("job_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "part"))).alias("_parts"))
-    weights = weighted.groupBy("query_id", "field").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("_weights"))
-    total = F.aggregate("_weights", F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at("_parts", e["term"]), F.lit(0.0)))
-    scored = wanted.join(parts, ["job_id", "field"]).join(broadcast_if_small(weights), ["query_id", "field"]).select("query_id", "job_id", total.alias("s"))
-    return scored.groupBy("job_id", "query_id").agg(F.round(F.max("s"), digits).alias("score"))
+    theirs = wanted.join(rows, ["job_id", "field"]).join(broadcast_if_small(weighted), ["query_id", "field", "term"])
+    sums = theirs.groupBy("job_id", "query_id", "field").agg(F.sum(F.col("w") * F.col("part")).alias("s"))
+    return sums.groupBy("job_id", "query_id").agg(F.round(F.max("s"), digits).alias("score"))
 
 
 def top_k_per_query(scored: DataFrame, top_k: int) -> DataFrame:
