@@ -183,6 +183,7 @@ def expand_fuzzy(query_terms: DataFrame, index: TermIndex) -> DataFrame:
 
 
 FIRST_LOOK = 4  # so many times top_k documents are looked at for each term, to find a bound
+FEW = 4  # documents are found first where less than a fourth of the postings does it
 MARGIN = 1e-6  # sums of doubles differ by less
 
 
@@ -200,11 +201,16 @@ def search_keyword(
         terms = expand_fuzzy(terms, index)
     terms = cut_lineage(terms)
     rows, weighted = weigh(index, terms)
-    return top_k_per_query(score_candidates(rows, weighted, candidates(rows, weighted, top_k), digits), top_k)
+    needed = needed_terms(rows, weighted, top_k)
+    postings = lambda some: some.agg(F.sum("df")).first()[0] or 0
+    # Where most postings bring documents in, finding them first saves nothing.
+    if FEW * postings(needed) > postings(weighted):
+        return top_k_per_query(_best_field(rows.join(broadcast_if_small(weighted), ["field", "term"]), digits), top_k)
+    return top_k_per_query(score_candidates(rows, weighted, candidates(rows, needed), digits), top_k)
 
 
 def weigh(index: TermIndex, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(job_id, field, term, part) of the asked terms, and (query_id, field, term, w, most).
+    """(job_id, field, term, part) of the asked terms, and (query_id, field, term, w, most, df).
 
     A document's score in a field is the sum of w * part over the query's terms; ``most`` is the
     largest that any document gets from the term.
@@ -218,16 +224,16 @@ def weigh(index: TermIndex, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     boost = F.element_at(F.create_map(*[F.lit(x) for kv in index.boosts.items() for x in kv]), F.col("field"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(broadcast_if_small(cut_lineage(known)), ["field", "term"]).join(fields, "field").select(
-        "query_id", "field", "term", (idf * boost * F.col("n")).alias("w"), "_part")
-    return rows, cut_lineage(weighted.select("query_id", "field", "term", "w", (F.col("w") * F.col("_part")).alias("most")))
+        "query_id", "field", "term", (idf * boost * F.col("n")).alias("w"), "_part", "df")
+    return rows, cut_lineage(weighted.select("query_id", "field", "term", "w", (F.col("w") * F.col("_part")).alias("most"), "df"))
 
 
-def candidates(rows: DataFrame, weighted: DataFrame, top_k: int) -> DataFrame:
-    """(job_id, query_id, field) of all documents that can be among the best ``top_k`` of a query by that field.
+def needed_terms(rows: DataFrame, weighted: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, field, term, df) of the terms that bring in every document that can be among a query's best ``top_k``.
 
     The documents that owe most to each term give a first list, whose last score bounds the
     final one from below.  Of a query's terms in a field, those that together cannot reach it bring no
-    document in: only the postings of the others are met.
+    document in: only the others are needed.
     """
     by_part = Window.partitionBy("field", "term").orderBy(F.desc("part"), "job_id")
     first = rows.withColumn("_nth", F.row_number().over(by_part)).where(F.col("_nth") <= FIRST_LOOK * top_k).drop("_nth")
@@ -239,8 +245,13 @@ def candidates(rows: DataFrame, weighted: DataFrame, top_k: int) -> DataFrame:
     rising = Window.partitionBy("query_id", "field").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     needed = weighted.join(bound, "query_id", "left").withColumn("_together", F.sum("most").over(rising)).where(
         F.col("_least").isNull() | (F.col("_together") >= F.col("_least")))
-    needed = broadcast_if_small(cut_lineage(needed.select("query_id", "field", "term")))
-    return rows.join(needed, ["field", "term"]).select("job_id", "query_id", "field").distinct()
+    return cut_lineage(needed.select("query_id", "field", "term", "df"))
+
+
+def candidates(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(job_id, query_id, field) of the documents that hold a needed term of the query."""
+    asked = broadcast_if_small(needed.select("query_id", "field", "term"))
+    return rows.join(asked, ["field", "term"]).select("job_id", "query_id", "field").distinct()
 
 
 def score_candidates(rows: DataFrame, weighted: DataFrame, wanted: DataFrame, digits: int = 9) -> DataFrame:
@@ -249,7 +260,12 @@ def score_candidates(rows: DataFrame, weighted: DataFrame, wanted: DataFrame, di
     A candidate meets the asked terms of its own text only, and of those the query's weights.
     """
     theirs = wanted.join(rows, ["job_id", "field"]).join(broadcast_if_small(weighted), ["query_id", "field", "term"])
-    sums = theirs.groupBy("job_id", "query_id", "field").agg(F.sum(F.col("w") * F.col("part")).alias("s"))
+    return _best_field(theirs, digits)
+
+
+def _best_field(postings: DataFrame, digits: int) -> DataFrame:
+    """(query_id, job_id, score) from (job_id, query_id, field, w, part); sums are combined before their shuffle."""
+    sums = postings.groupBy("job_id", "query_id", "field").agg(F.sum(F.col("w") * F.col("part")).alias("s"))
     return sums.groupBy("job_id", "query_id").agg(F.round(F.max("s"), digits).alias("score"))
 
 

@@ -129,13 +129,14 @@ def test_documents_of_frequent_terms_only_are_not_scored(spark):
     index = search.build_index(frame, {"title": 1.0, "description": 2.0})
     terms = search._query_terms(queries, index, "query_id", "query_text")
     rows, weighted = search.weigh(index, terms)
-    some = search.candidates(rows, weighted, 5)
+    some = search.candidates(rows, search.needed_terms(rows, weighted, 5))
     every = rows.join(weighted, ["field", "term"]).select("job_id", "query_id", "field").distinct()
     want = search.top_k_per_query(search.score_candidates(rows, weighted, every), 5).collect()
     assert sorted(search.search_keyword(index, queries, top_k=5).collect()) == sorted(want) and len(want) == 25
     assert every.count() == 5 * 600 and some.count() <= 5 * 40
     # Without enough hits for a bound every document that shares a term is a candidate.
-    assert search.candidates(rows, weighted, 1_000).count() == every.count()
+    assert search.candidates(rows, search.needed_terms(rows, weighted, 1_000)).count() == every.count()
+    assert len(search.search_keyword(index, queries, top_k=1_000).collect()) == 5 * 600
 
 
 def test_stored_index_gives_the_same_hits(spark, tmp_path):
