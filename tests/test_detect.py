@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from jobweave.operators import detect
+from jobweave.operators.skew import TASK_ROWS, spread_if_few
 
 TERMS = ["c", "c++", ".net", "ci/cd", "spring boot", "node.js", "a b c", "[x]", "ś", "r", "net", "|", "go lang", "c,", "boot/"]
 ALPHABET = list("abcr.+/ ,;()[]|\n\té") + ["c++", ".net", "ci/cd", "spring boot", "node.js", "ś", "go", " "]
@@ -54,3 +55,37 @@ def test_detection_needs_no_shuffle_of_texts(spark):
     rows = postings.selectExpr("id", "title", "description", "array() as skills_required", "array() as skills_nice_to_have")
     plan = detect.detect_skills(rows, spark.createDataFrame([("python",)], "skill string"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tasks_grow_with_rows_read_in_few_large_ones(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, TASK_ROWS * (cores + 1), 1, cores).selectExpr("id", "CAST(id AS STRING) AS text")
+    spread = spread_if_few(rows)
+    assert spread.rdd.getNumPartitions() > cores
+    assert spread.count() == TASK_ROWS * (cores + 1)
+
+
+def test_keywords_of_a_text_are_distinct_without_a_shuffle_of_them(spark):
+    dictionary = spark.createDataFrame([("Foo",), ("foo",), ("a b",), ("bar",)], "skill string")
+    rows = spark.createDataFrame([(1, "foo foo! bar! a b x1"), (2, None), (None, "Foo"), (3, "bar")], "resume_id int, text string")
+    found = detect.keywords(rows, dictionary)
+    got = [(r.resume_id, r.keyword) for r in found.collect()]
+    assert sorted(got, key=str) == sorted([(1, "foo"), (1, "Foo"), (1, "bar"), (1, "a b"), (1, "x1"), (None, "foo"), (None, "Foo"), (3, "bar")], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [resume_id" not in plan
+
+
+def test_texts_that_share_a_key_share_their_keywords(spark):
+    dictionary = spark.createDataFrame([("Foo",), ("a b",)], "skill string")
+    rows = spark.createDataFrame([(1, "foo xx"), (1, "foo a b"), (None, "foo"), (None, "foo"), (2, "xx!")], "resume_id int, text string")
+    got = [(r.resume_id, r.keyword) for r in detect.keywords(rows, dictionary).collect()]
+    want = [(1, "foo"), (1, "Foo"), (1, "xx"), (1, "a b"), (None, "foo"), (None, "Foo"), (2, "xx")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_title_wins_and_listed_skills_are_left_out(spark):
+    dictionary = spark.createDataFrame([("Foo",), ("bar",), ("a b",)], "skill string")
+    rows = spark.createDataFrame([(1, "foo a b", "foo bar", ["BAR", None], None), (2, None, "bar foo", None, ["x"])],
+                                 "id int, title string, description string, skills_required array<string>, skills_nice_to_have array<string>")
+    got = {tuple(r) for r in detect.detect_skills(rows, dictionary).select("job_id", "skill_name", "source_field").collect()}
+    assert got == {(1, "Foo", "title"), (1, "a b", "title"), (2, "bar", "description"), (2, "Foo", "description")}
