@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from jobweave import fixed_values as fv
 from jobweave.functions.text import no_strings, skills_combined, strip
 from jobweave.operators.skew import broadcast_if_small, spread_if_few
-from jobweave.session import cut_lineage
+from jobweave.session import cut_lineage, keep
 
 K1 = 1.2
 B = 0.75
@@ -67,6 +67,12 @@ class TermIndex:
         """field, term, df of every term."""
         return _frequencies(self.terms)
 
+    @property
+    def vocabulary(self) -> DataFrame:
+        """field, term of every term; a task passes each on once, and no document does."""
+        rows = self.stored if self.tokens is None else self.tokens.select("field", F.explode("tokens").alias("term"))
+        return rows.select("field", "term").distinct()
+
     def look_up(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows of the terms in ``asked`` (field, term); field, docs, avg_dl), from one reading of the texts.
 
@@ -75,10 +81,10 @@ class TermIndex:
         """
         wanted = asked.select("field", "term").distinct()
         if self.tokens is None:
-            return cut_lineage(self.stored.join(broadcast_if_small(wanted), ["field", "term"], "left_semi")), self.stored_fields
+            return keep(self.stored.join(broadcast_if_small(wanted), ["field", "term"], "left_semi")), self.stored_fields
         marks = asked.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in self.boosts])).alias("field"), F.lit(WHOLE).alias("term"))
         each = self.tokens.select("job_id", "field", "dl", F.explode(F.array_append("tokens", F.lit(WHOLE))).alias("term"))
-        rows = cut_lineage(_counted(each.join(broadcast_if_small(wanted.unionByName(marks)), ["field", "term"], "left_semi")))
+        rows = keep(_counted(each.join(broadcast_if_small(wanted.unionByName(marks)), ["field", "term"], "left_semi")))
         return rows.where(F.col("term") != WHOLE), cut_lineage(_field_statistics(rows.where(F.col("term") == WHOLE)))
 
 
@@ -147,7 +153,7 @@ def expand_fuzzy(query_terms: DataFrame, index: TermIndex) -> DataFrame:
     d edits of it still contains one of them whole.  The edit distance is then checked on
     the candidates only.
     """
-    vocabulary = index.frequencies.where(~F.col("field").isin(list(WHOLE_VALUE_FIELDS))).select("field", "term")
+    vocabulary = index.vocabulary.where(~F.col("field").isin(list(WHOLE_VALUE_FIELDS)))
 
     def cut(term: Column) -> Column:
         """d + 1 pieces of equal length, the last with the rest."""

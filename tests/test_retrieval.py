@@ -302,3 +302,22 @@ def test_embedding_failures_stay_keyed(spark):
     rows = {r.job_id: r for r in embed.embed_texts(texts, dims=4, embed_fn=fn).collect()}
     assert {k: r.ok for k, r in rows.items()} == {1: True, 2: False, 3: True, 4: False}
     assert rows[1].content_key == rows[3].content_key and rows[1].embedding == [1.0] * 4 and rows[4].embedding is None
+
+
+def test_vocabulary_is_made_distinct_without_its_documents(spark):
+    docs = spark.createDataFrame([(1, "go go rust", "sql"), (2, "rust", None), (1, "go", "sql")], "job_id int, title string, description string")
+    index = search.build_index(docs, {"title": 2.0, "description": 1.0})
+    want = {(r.field, r.term) for r in index.frequencies.collect()}
+    assert {tuple(r) for r in index.vocabulary.collect()} == want == {("title", "go"), ("title", "rust"), ("description", "sql")}
+    assert len(index.vocabulary.collect()) == 3
+    assert "Aggregate [job_id" not in index.vocabulary._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kept_rows_come_back_as_they_were(spark):
+    from jobweave.session import ensure_checkpoint_dir, keep
+
+    rows = spark.createDataFrame([(1, "a", ["x"]), (None, None, None)], "k long, t string, s array<string>")
+    kept = keep(rows)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect())) and kept.schema == rows.schema
+    assert keep(rows.where("k = 7")).count() == 0
+    assert all(f.startswith(ensure_checkpoint_dir(spark)) or f.startswith("file:") for f in kept.inputFiles())
