@@ -186,3 +186,18 @@ def test_resume_analysis(spark):
     assert (best.job_id, best.match_count, best.match_ratio) == (1, 2, 1.0)
     assert {r.resume_id: r.match_score for r in out.categories.collect()} == {1: 54}
     assert {(r.resume_id, r.category, r.skill) for r in out.to_add.collect()} == {(1, "Backend", "SQL"), (1, "Backend", "Go")}
+
+
+def test_found_skills_are_stored_where_they_are_found(spark, tmp_path, monkeypatch):
+    from jobweave.plans import ingest
+
+    found, stored, detect = [], [], ingest.detect_skills
+    monkeypatch.setattr(ingest, "detect_skills", lambda *a: found.append(detect(*a)) or found[-1])
+    store = PostingStore.at(spark, str(tmp_path / "tables"))
+    append = store.detected.append
+    store.detected.append = lambda df, *a: (stored.append(df), append(df, *a))
+    lines = spark.createDataFrame(list(enumerate(BATCHES[0] + [offer(6, text="python sql SQL", skills=("Docker", "SQL"))])), "position int, line string")
+    ingest.ingest_batch(store, parse_feed(lines)[0], 0, now(0))
+    assert stored[0] is found[0]
+    pairs = [(r.job_id, r.skill_name) for r in store.detected.read().collect()]
+    assert pairs and len(pairs) == len(set(pairs))
