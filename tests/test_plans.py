@@ -201,3 +201,47 @@ def test_found_skills_are_stored_where_they_are_found(spark, tmp_path, monkeypat
     assert stored[0] is found[0]
     pairs = [(r.job_id, r.skill_name) for r in store.detected.read().collect()]
     assert pairs and len(pairs) == len(set(pairs))
+
+
+class OneMap:
+    """State of a bucket, as a processor sees it."""
+
+    def __init__(self):
+        self.kept = {}
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def containsKey(self, key):
+        return key in self.kept
+
+    def getValue(self, key):
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+
+def test_one_call_of_the_stream_has_many_urls_and_roles():
+    import pandas as pd
+
+    from jobweave.streaming.ingest_stream import _FirstOfRole, _FirstOfUrl
+
+    def call(processor, columns, *parts):
+        out = pd.concat(list(processor.handleInputRows((0,), iter([pd.DataFrame(p, columns=columns) for p in parts]), None)))
+        return sorted(tuple(None if pd.isna(v) else v for v in r) for r in out.itertuples(index=False))
+
+    urls, columns = _FirstOfUrl(), ["state_key", "place", "fate"]
+    urls.init(OneMap())
+    got = call(urls, columns, [("u", "2", "new"), ("v", "4", "new"), ("bad:1", "0", "error")], [("u", "1", "new"), ("bad:2", "5", "error")])
+    assert got == [("bad:1", "0", "error"), ("bad:2", "5", "error"), ("u", "1", "new"), ("v", "4", "new")]
+    assert call(urls, columns, [("w", "7", "new"), ("u", "6", "new")]) == [("u", "6", "known"), ("w", "7", "new")]
+    assert call(urls, columns, [("bad:3", "8", "error")]) == [("bad:3", "8", "error")]
+
+    roles, columns = _FirstOfRole(), ["role_key", "id", "has_role"]
+    roles.init(OneMap())
+    got = call(roles, columns, [("r", "b", True), ("s", "c", True)], [("r", "a", True), ("bad:1", "d", False)])
+    assert got == [("bad:1", "d", False, False, None), ("r", "a", True, False, None), ("r", "b", True, False, None), ("s", "c", True, False, None)]
+    got = call(roles, columns, [("r", "A", True), ("t", "e", True)], [("s", "f", True)])
+    assert got == [("r", "A", True, True, "a"), ("s", "f", True, True, "c"), ("t", "e", True, False, None)]
+    assert call(roles, columns, [("r", "g", True)]) == [("r", "g", True, True, "a")]
