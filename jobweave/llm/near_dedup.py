@@ -89,7 +89,7 @@ def _min_hashes(s: np.ndarray, count: int) -> np.ndarray:
 
 
 def _key_columns(forest: Forest) -> np.ndarray:
-    """For each tree the hashes of its order: the first ``depth`` its own, deeper ones of other trees."""
+    """For each tree the hashes of its order: the first ``depth`` its own, which name the region, deeper ones of other trees."""
     count = forest.trees * forest.depth
     return (np.arange(forest.trees)[:, None] * forest.depth + np.arange(forest.deepest)) % count
 
@@ -123,31 +123,46 @@ def fingerprint_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _regions(signatures: pa.Array, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """(region in each tree, hashes that follow it in the tree's order) of each signature."""
+    sig = np.frombuffer(b"".join(signatures.to_pylist()), "<u4").reshape(len(signatures), -1)
+    keys = sig[:, _key_columns(forest)]  # (n, trees, deepest)
+    region = np.full((len(signatures), forest.trees), 1, np.uint64) * np.arange(1, forest.trees + 1, dtype=np.uint64)
+    for d in range(forest.depth):
+        region = _mixed(region * _MIX + keys[:, :, d])
+    return region, keys[:, :, forest.depth:]
+
+
+def _region_rows(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
+    """The regions of each set, one row for each tree."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2_000):
+            region, _ = _regions(batch.column(0).slice(at, 2_000), forest)
+            yield pa.RecordBatch.from_arrays([pa.array(region.reshape(-1).view(np.int64))], names=["region"])
+
+
 def _forest_rows(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
-    """One row for each set and tree: (tree, region at ``depth``, whole key, node, n)."""
-    columns = _key_columns(forest)
+    """One row for each set and tree: (region, order in it, node, n).
+
+    The first ``depth`` hashes are the same all over a region, so the order leaves them out.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, 2_000):
             part = batch.slice(at, 2_000)
             n = part.num_rows
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(n, -1)
-            keys = sig[:, columns]  # (n, trees, deepest)
-            region = np.full((n, forest.trees), 1, np.uint64) * np.arange(1, forest.trees + 1, dtype=np.uint64)
-            for d in range(forest.depth):
-                region = _mixed(region * _MIX + keys[:, :, d])
-            ordered = np.ascontiguousarray(keys.astype(">u4")).view(f"S{4 * forest.deepest}").reshape(-1)
+            region, deeper = _regions(part.column(1), forest)
+            width = 4 * (forest.deepest - forest.depth)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.tile(np.arange(forest.trees, dtype=np.int32), n)),
                 pa.array(region.reshape(-1).view(np.int64)),
-                _fixed_binary(ordered, 4 * forest.deepest),
+                _fixed_binary(np.ascontiguousarray(deeper.astype(">u4")), n * forest.trees, width),
                 part.column(0).take(pa.array(np.repeat(np.arange(n), forest.trees))),
                 pa.array(np.repeat(part.column(2).to_numpy(), forest.trees)),
-            ], names=["tree", "region", "order_key", "node", "n"])
+            ], names=["region", "order_key", "node", "n"])
 
 
-def _fixed_binary(values: np.ndarray, width: int) -> pa.Array:
-    offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * width)
-    return pa.Array.from_buffers(pa.binary(), len(values), [None, offsets.buffers()[1], pa.py_buffer(values.tobytes())])
+def _fixed_binary(values: np.ndarray, count: int, width: int) -> pa.Array:
+    offsets = pa.array(np.arange(count + 1, dtype=np.int32) * width)
+    return pa.Array.from_buffers(pa.binary(), count, [None, offsets.buffers()[1], pa.py_buffer(values.tobytes())])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
@@ -171,14 +186,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[p
         tail = rows.slice(max(rows.num_rows - forest.reach, 0))
 
 
-def _candidates(rows: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
+def _candidates(rows: DataFrame, forest: Forest, regions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, crowded rows): every region's sets in their order, each with its next ones.
 
+    ``regions`` has the regions of all rows, where they are cheaper to make by themselves.
+
     In a region of no more than ``reach`` + 1 sets all meet; of larger ones, the crowded, the sets are
     returned too, for pairs that the orders may miss.  Small regions stay in one task; a
     crowded one is spread over as many as its order takes.
     """
-    sizes = stash(rows.groupBy("region").agg(F.count(F.lit(1)).alias("_in")).where("_in > 1"), "forest_regions")
+    sizes = stash((rows if regions is None else regions).groupBy("region").agg(F.count(F.lit(1)).alias("_in")).where("_in > 1"), "forest_regions")
     rows = stash(rows.join(sizes, "region"), "forest_shared")
     crowd = F.col("_in") > forest.reach + 1
     along = [F.when(crowd, F.col(c)) for c in ("order_key", "node")]
@@ -301,9 +318,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", forest
     nodes = described.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("_least"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     nodes = stash(nodes.withColumn("node", _node(F.col("_least"), F.col("set_id"))), "near_nodes")
-    rows = stash(nodes.select("node", "signature", "n").mapInArrow(
-        lambda b: _forest_rows(b, forest), "tree int, region long, order_key binary, node binary, n long"), "near_forest")
-    pairs, crowded = _candidates(rows, forest)
+    # The rows of all trees are several times the signatures, so they are made twice instead of being written.
+    rows = nodes.select("node", "signature", "n").mapInArrow(
+        lambda b: _forest_rows(b, forest), "region long, order_key binary, node binary, n long")
+    regions = nodes.select("signature").mapInArrow(lambda b: _region_rows(b, forest), "region long")
+    pairs, crowded = _candidates(rows, forest, regions)
     pairs, crowded = stash(pairs, "near_pairs"), stash(crowded.distinct(), "near_crowded")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
     wanted = small_side(stash(wanted.withColumn("doc_id", _key_of(F.col("node"))), "near_wanted"))

@@ -440,3 +440,16 @@ def test_stages_keep_columns(spark, docs, tmp_path):
             assert current.columns == docs.columns
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs.limit(0), "").count()
+
+
+def test_forest_rows_are_not_written(spark, monkeypatch):
+    """Rows of all sets and trees stay out of the work folder, and orders leave out what names their region."""
+    written, stash = {}, near_dedup.stash
+    monkeypatch.setattr(near_dedup, "stash", lambda df, name: written.update({name: stash(df, name)}) or written[name])
+    docs = spark.createDataFrame([(i, words(40 + i // 2, 60) + (" x" if i % 2 else "")) for i in range(20)], "doc_id long, text string")
+    forest = near_dedup.Forest(words=2)
+    assert near_dedup.near_groups(docs, forest=forest).where("kept").count() == 10
+    assert "near_forest" not in written
+    shared_rows = written["forest_shared"]
+    assert 0 < shared_rows.count() < 20 * forest.trees
+    assert {r[0] for r in shared_rows.select(F.length("order_key")).distinct().collect()} == {4 * (forest.deepest - forest.depth)}
