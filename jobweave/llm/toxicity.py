@@ -39,6 +39,7 @@ class Chain:
 
 
 STEM = 5
+ROWS_PER_TASK = 5_000  # labelled rows that a task of a fit reads
 
 
 def words_of(text: Column) -> Column:
@@ -91,7 +92,9 @@ def train_chain(
         return Chain(categories, None, (), settings.threshold, tuple(rates))
     vectorizer = CountVectorizer(inputCol="_tokens", outputCol="_words", vocabSize=settings.vocabulary, minDF=settings.min_documents, binary=True)
     words = vectorizer.fit(rows)
-    train = stash(words.transform(rows).drop("_tokens"), "labelled_features")
+    # Every step of a fit is a job over these rows; their number is bounded, and so is that of their tasks.
+    tasks = -(-settings.max_labelled // ROWS_PER_TASK)
+    train = stash(words.transform(rows).drop("_tokens"), "labelled_features").coalesce(tasks)
     models: list[LogisticRegressionModel] = []
     for at, category in enumerate(categories):
         learner = LogisticRegression(
@@ -108,7 +111,7 @@ def train_chain(
             out = parts[0]
             for part in parts[1:]:
                 out = out.unionByName(part)
-            train = stash(out, "labelled_chained")
+            train = stash(out, "labelled_chained").coalesce(tasks)
     return Chain(categories, words, tuple(models), settings.threshold)
 
 

@@ -453,3 +453,14 @@ def test_forest_rows_are_not_written(spark, monkeypatch):
     shared_rows = written["forest_shared"]
     assert 0 < shared_rows.count() < 20 * forest.trees
     assert {r[0] for r in shared_rows.select(F.length("order_key")).distinct().collect()} == {4 * (forest.deepest - forest.depth)}
+
+
+def test_fits_have_few_tasks(spark, monkeypatch):
+    """The tasks of a step of a fit follow the bounded number of labelled rows, not the partitions of the documents."""
+    tasks, fit = [], toxicity.LogisticRegression.fit
+    monkeypatch.setattr(toxicity.LogisticRegression, "fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    docs = spark.createDataFrame([(i, "bad words here" if i % 2 else "good words there") for i in range(120)], "doc_id long, text string").repartition(60)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("poor"), (F.col("doc_id") % 2).alias("toxic"))
+    chain = toxicity.train_chain(docs, labels, ("poor", "toxic"), settings=toxicity.ChainSettings(max_labelled=200, iterations=3))
+    assert tasks and max(tasks) == 1
+    assert toxicity.score_chain(docs, chain).where("flagged").count() == 60
