@@ -103,7 +103,9 @@ def rerank(
 
     if score_fn is None:
         return hits.where(F.col("rank") <= top_k)
-    texts = documents.select("job_id", text_fn().alias("_text"))
+    # Only texts of hits are put together.
+    wanted = broadcast_if_small(hits.select("job_id").distinct())
+    texts = documents.join(wanted, "job_id", "left_semi").select("job_id", text_fn().alias("_text"))
     asked = queries.select("query_id", strip(F.coalesce("query_text", F.lit(""))).alias("_q"))
     paired = texts.join(broadcast_if_small(hits), "job_id").join(broadcast_if_small(asked), "query_id").withColumn(
         "rerank_score", F.when(F.col("_q") != "", score_fn(F.col("_q"), F.col("_text")))

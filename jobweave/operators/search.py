@@ -8,14 +8,19 @@ terms can bring a document into the list at all; documents that hold only others
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobweave import fixed_values as fv
 from jobweave.functions.text import no_strings, skills_combined, strip
-from jobweave.operators.skew import broadcast_if_small, spread_if_few
+from jobweave.operators.blocks import best_columns
+from jobweave.operators.skew import broadcast_if_small, spread_if_few, task_count
 from jobweave.session import cut_lineage, keep
 
 K1 = 1.2
@@ -191,6 +196,10 @@ def expand_fuzzy(query_terms: DataFrame, index: TermIndex) -> DataFrame:
 FIRST_LOOK = 4  # so many times top_k documents are looked at for each term, to find a bound
 FEW = 4  # documents are found first where less than a fourth of the postings does it
 MARGIN = 1e-6  # sums of doubles differ by less
+SHARED = 64  # a posting that on average counts for more than one in 64 queries is shared by many
+WEIGHTS = 1 << 24  # numbers in the matrix of weights that a task holds
+PRODUCTS = 1 << 22  # computed at once
+TASK_POSTINGS = 1 << 19  # so many postings are scored in one task
 
 
 def search_keyword(
@@ -207,12 +216,99 @@ def search_keyword(
         terms = expand_fuzzy(terms, index)
     terms = cut_lineage(terms)
     rows, weighted = weigh(index, terms)
+    size = _size(weighted)
+    if size.numbers <= WEIGHTS and size.least > 0 and SHARED * size.pairs >= size.postings * size.queries:
+        best = score_together(rows, weighted, size.postings, top_k, digits)
+        return cut_lineage(top_k_per_query(best.withColumn("score", F.round("score", digits)), top_k))
     needed = needed_terms(rows, weighted, top_k)
-    postings = lambda some: some.agg(F.sum("df")).first()[0] or 0
     # Where most postings bring documents in, finding them first saves nothing.
-    if FEW * postings(needed) > postings(weighted):
-        return top_k_per_query(_best_field(rows.join(broadcast_if_small(weighted), ["field", "term"]), digits), top_k)
-    return top_k_per_query(score_candidates(rows, weighted, candidates(rows, needed), digits), top_k)
+    if FEW * (needed.agg(F.sum("df")).first()[0] or 0) > size.pairs:
+        scored = _best_field(rows.join(broadcast_if_small(weighted), ["field", "term"]), digits)
+    else:
+        scored = score_candidates(rows, weighted, candidates(rows, needed), digits)
+    # A list of bounded size, which callers may read more than once.
+    return cut_lineage(top_k_per_query(scored, top_k))
+
+
+def _size(weighted: DataFrame) -> Row:
+    """queries, postings, pairs of postings and queries, numbers in the matrix of weights, and the least weight."""
+    of_terms = weighted.groupBy("field", "term").agg(
+        F.first("df").alias("df"), F.sum("df").alias("pairs"), F.min("w").alias("least")).agg(
+        F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.sum("pairs").alias("pairs"), F.min("least").alias("least"))
+    queries = weighted.select("query_id").distinct().agg(F.count(F.lit(1)).alias("queries"))
+    return of_terms.crossJoin(queries).select(
+        "queries", (F.col("terms") * F.col("queries")).alias("numbers"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("postings", "pairs", "least")]).first()
+
+
+def score_together(rows: DataFrame, weighted: DataFrame, postings: int, top_k: int, digits: int = 9) -> DataFrame:
+    """(query_id, job_id, score), among them the best ``top_k`` of each query; every posting is scored for every query.
+
+    A document's terms and parts meet in one row, bounded by the asked terms.  A task multiplies the rows of
+    its documents by the matrix of weights, which is of bounded size, and passes on the best documents of
+    each query; so no pair of document and query is shuffled.
+    """
+    number = lambda some, names: cut_lineage(some.select(  # noqa: E731  asked queries and terms are few
+        *names, (F.row_number().over(Window.orderBy(*names)) - 1).alias("_n")))
+    queries = F.broadcast(number(weighted.select("query_id").distinct(), ["query_id"]))
+    terms = F.broadcast(number(weighted.select("field", "term").distinct(), ["field", "term"]))
+    of_query = weighted.withColumnRenamed("query_id", "_id").join(queries, F.col("_id").eqNullSafe(F.col("query_id")))
+    cells = of_query.select("field", "term", "w", F.col("_n").alias("_q")).join(terms, ["field", "term"]).select("field", "_n", "_q", "w").toPandas()
+    weights = [(part["_n"].to_numpy(), part["_q"].to_numpy(), part["w"].to_numpy()) for _, part in cells.groupby("field", sort=True)]
+    n_queries = int(cells["_q"].max()) + 1 if len(cells) else 0
+
+    tasks = max(task_count(rows), -(-postings // TASK_POSTINGS))
+    dealt = rows.join(terms, ["field", "term"]).select("job_id", F.col("_n").alias("_t"), "part").repartition(tasks, "job_id")
+    each = dealt.groupBy("job_id", "_t").agg(F.sum("part").alias("part")).groupBy("job_id").agg(F.collect_list(F.struct("_t", "part")).alias("_terms"))
+    # In the order of ids, so that of equal scores the first ones stay.
+    lists = each.select("job_id", F.transform("_terms", lambda e: e["_t"]).alias("_t"), F.transform("_terms", lambda e: e["part"]).alias("_part"))
+    lists = lists.sortWithinPartitions("job_id")
+    schema = T.StructType([T.StructField("_q", T.IntegerType()), rows.schema["job_id"], T.StructField("score", T.DoubleType())])
+    found = lists.mapInArrow(lambda batches: _best_of_task(batches, weights, n_queries, top_k, digits), schema)
+    return found.join(queries, F.col("_q") == F.col("_n")).select("query_id", "job_id", "score")
+
+
+def _best_of_task(batches: Iterable[pa.RecordBatch], weights: list[tuple], n_queries: int, top_k: int, digits: int) -> Iterator[pa.RecordBatch]:
+    """(_q, job_id, score): for each query the best of the task's documents, ties to the first ones.
+
+    ``weights`` has the cells (term, query, weight) of each field; terms are numbered field by field.
+    """
+    matrix = np.zeros((sum(len(np.unique(t)) for t, _, _ in weights), n_queries))
+    for t, q, w in weights:
+        matrix[t, q] = w
+    ends = [0, *np.cumsum([len(np.unique(t)) for t, _, _ in weights])]
+    best, places = np.empty((n_queries, 0)), np.empty((n_queries, 0), np.int64)
+    ids, seen = [], 0
+    for batch in batches:
+        ids.append(batch.column("job_id"))
+        lists = batch.column("_t")
+        offsets = lists.offsets.to_numpy()
+        terms, parts = lists.values.to_numpy(), batch.column("_part").values.to_numpy()
+        at = 0
+        while at < len(lists):
+            # As many documents as the products have room for, one at least.
+            room = offsets[at] + PRODUCTS // max(n_queries, 1)
+            to = max(at + 1, int(np.searchsorted(offsets, room, side="right")) - 1)
+            t, p = terms[offsets[at]:offsets[to]], parts[offsets[at]:offsets[to]]
+            doc = np.repeat(np.arange(to - at), np.diff(offsets[at:to + 1]))
+            scores = np.full((to - at, n_queries), -np.inf)
+            for low, high in zip(ends, ends[1:], strict=False):
+                own = (t >= low) & (t < high)
+                if own.any():
+                    docs, starts = np.unique(doc[own], return_index=True)
+                    sums = np.add.reduceat(matrix[t[own]] * p[own][:, None], starts, axis=0)
+                    scores[docs] = np.maximum(scores[docs], np.where(sums > 0, sums, -np.inf))
+            both = np.concatenate([best, scores.T], axis=1)
+            # Ranked as rounded, passed on as they are.
+            r, c = best_columns(np.round(both, digits), top_k)
+            where = np.concatenate([places, np.broadcast_to(np.arange(seen + at, seen + to), (n_queries, to - at))], axis=1)
+            best, places = both[r, c].reshape(n_queries, -1), where[r, c].reshape(n_queries, -1)
+            at = to
+        seen += len(lists)
+    q, c = np.nonzero(best > -np.inf)
+    if len(q):
+        job_ids = pa.chunked_array(ids).take(pa.array(places[q, c])).combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), job_ids, pa.array(best[q, c])], names=["_q", "job_id", "score"])
 
 
 def weigh(index: TermIndex, terms: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.operators.blocks import cogroup_cells, grid_of, meet_blocks
+from jobweave.operators.blocks import best_columns, cogroup_cells, grid_of, meet_blocks
 from jobweave.operators.search import top_k_per_query
 from jobweave.operators.skew import task_count
 from jobweave.session import cut_lineage
@@ -67,16 +67,6 @@ def _units(lists: pa.ChunkedArray | pa.Array, dims: int) -> tuple[np.ndarray, np
     return matrix[has] / norms[has][:, None], has
 
 
-def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest scores of each row; of equal ones the first columns."""
-    if scores.shape[1] <= k:
-        return np.divmod(np.arange(scores.size), max(scores.shape[1], 1))
-    last = np.partition(scores, -k, axis=1)[:, -k][:, None]
-    above, equal = scores > last, scores == last
-    room = k - above.sum(axis=1, keepdims=True)
-    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
-
-
 def _nearest(asked: pa.Table, stored: pa.Table, dims: int, top_k: int) -> pa.Table:
     """(query_id, job_id, score): for each query of a cell the best of the cell's vectors, ties to the smaller id."""
     stored = stored.sort_by("job_id")

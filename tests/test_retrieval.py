@@ -139,6 +139,51 @@ def test_documents_of_frequent_terms_only_are_not_scored(spark):
     assert len(search.search_keyword(index, queries, top_k=1_000).collect()) == 5 * 600
 
 
+@pytest.mark.parametrize("products", [1, 200, 1 << 20])
+def test_best_of_a_task_equals_brute_force(monkeypatch, products):
+    """Documents in the order of their ids, two fields, ties: the first of equal ones stay, however they are cut into pieces."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "PRODUCTS", products)
+    r = random.Random(5)
+    weights = [{(t, q): float(r.randrange(1, 4)) for t in terms for q in range(4) if r.random() < 0.6 or q == t % 4} for terms in (range(5), range(5, 8))]
+    docs = [(100 + i, sorted(r.sample(range(8), r.randrange(1, 6)))) for i in range(60)]
+    parts = {(i, t): float(r.randrange(1, 3)) for i, ts in docs for t in ts}
+    batches = [pa.RecordBatch.from_pydict({
+        "job_id": [i for i, _ in some], "_t": pa.array([ts for _, ts in some], pa.list_(pa.int32())), "_part": pa.array([[parts[i, t] for t in ts] for i, ts in some], pa.list_(pa.float64()))})
+        for some in (docs[:23], docs[23:])]
+    cells = [tuple(np.array(c) for c in ([t for t, _ in w], [q for _, q in w], list(w.values()))) for w in weights]
+    out = [row for b in search._best_of_task(batches, cells, 4, 7, 9) for row in b.to_pylist()]
+    want = []
+    for q in range(4):
+        scores = {i: max(sums) for i, ts in docs if (sums := [sum(w[t, q] * parts[i, t] for t in ts if (t, q) in w) for w in weights if any((t, q) in w for t in ts)])}
+        want += [(q, i, scores[i]) for i in sorted(scores, key=lambda i: (-scores[i], i))[:7]]
+    assert sorted((x["_q"], x["job_id"], x["score"]) for x in out) == sorted(want)
+
+
+def test_shared_terms_shuffle_no_pairs(spark, monkeypatch):
+    """Passages of common words: scores of all pairs are made in the tasks; repeated and null ids count as in the join."""
+    import random
+
+    r = random.Random(4)
+    words = "the and with from into".split()
+    docs = [(None if i < 2 else i // 2 * 2 if i % 10 == 0 else i - i % 3 % 2, " ".join(r.choices(words, k=r.randrange(1, 9))), "", "", " ".join(r.choices(words, k=3))) for i in range(300)]
+    frame = spark.createDataFrame(docs, "job_id long, title string, company string, skills_combined string, description string").repartition(5)
+    queries = spark.createDataFrame([(q, " ".join(r.choices(words, k=4))) for q in range(9)] + [(None, "the into")], "query_id long, query_text string")
+    index = search.build_index(frame, {"title": 2.0, "description": 1.0})
+    rows, weighted = search.weigh(index, search._query_terms(queries, index, "query_id", "query_text"))
+    want = search.top_k_per_query(search._best_field(rows.join(weighted, ["field", "term"]), 9), 8).collect()
+    monkeypatch.setattr(search, "_best_field", None)  # the form that shuffles a row for each pair
+    monkeypatch.setattr(search, "needed_terms", None)
+    hits = search.search_keyword(index, queries, top_k=8)
+    assert {tuple(h) for h in hits.collect()} == {tuple(h) for h in want} and len(want) == 80
+    # Read again, the list is not made again.
+    assert "MapInArrow" not in (plan := hits._jdf.queryExecution().executedPlan().toString()) and "Window" not in plan
+
+
 def test_stored_index_gives_the_same_hits(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"dev {'python' if i % 2 else 'go'}", "", "sql", "text " * i) for i in range(20)], "job_id long, title string, company string, skills_combined string, description string")
     queries = spark.createDataFrame([(1, "python sql"), (2, "text go")], "query_id long, query_text string")
@@ -195,6 +240,15 @@ def test_rerank_passthrough(spark):
     assert fusion.rerank(hits, queries, docs, top_k=1, score_fn=None).count() == 2
 
 
+def test_texts_of_hits_only_are_put_together(spark):
+    hits = spark.createDataFrame([(1, "y", 1, 9.0)], LIST)
+    docs = spark.createDataFrame([("x", "a", "", "", "", ""), ("y", "python", "", "", "", "")], "job_id string, title string, company string, category string, skills_combined string, description string")
+    queries = spark.createDataFrame([(1, "python")], "query_id long, query_text string")
+    ranked = fusion.rerank(hits, queries, docs)
+    assert "LeftSemi" in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert [(h.job_id, h.rank, h.rerank_score) for h in ranked.collect()] == [("y", 1, 1.0)]
+
+
 def test_merge_of_keyword_and_semantic(spark):
     row = "query_id long, rank long, job_id string, title string, company string"
     keyword = spark.createDataFrame([(1, 1, "a", "Dev", "Acme"), (1, 2, "z", "", None)], row)
