@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,9 +26,15 @@ class Grid:
     @classmethod
     def over(cls, left_rows: int, right_rows: int, block_rows: int, tasks: int, least: int = 512) -> Grid:
         """Blocks of ``block_rows`` rows on average; small tables are cut finer, down to ``least`` rows,
-        to give every task work."""
-        of_left = max(1, -(-left_rows // block_rows))
-        of_right = max(1, -(-right_rows // block_rows), min(-(-right_rows // least), -(-2 * tasks // of_left)))
+        to give every task work.
+
+        A row goes to all blocks of the other side, and each cell has results for all its rows of ``left``; so both
+        sides are cut in proportion to their rows, which moves least for a number of cells.
+        """
+        finest = lambda rows: -(-rows // least)
+        even = math.isqrt(2 * tasks * left_rows // max(right_rows, 1))
+        of_left = max(1, -(-left_rows // block_rows), min(finest(left_rows), even))
+        of_right = max(1, -(-right_rows // block_rows), min(finest(right_rows), -(-2 * tasks // of_left)))
         return cls(of_left, of_right, min(of_left * of_right, 4 * tasks))
 
 

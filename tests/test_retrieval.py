@@ -61,6 +61,16 @@ def test_blocks_meet_once(spark):
     assert len(got) == len(set(got)) == 50 * 70
 
 
+def test_both_sides_of_a_grid_are_cut_alike():
+    """A row of either side is copied no more often where the tables are ten times as large."""
+    from jobweave.operators.blocks import Grid
+
+    small, large = (Grid.over(n, n, 32_768, 200) for n in (10_250, 102_500))
+    assert small.left + small.right <= large.left + large.right <= small.left + small.right + 2 < 50
+    assert large.left * large.right >= 2 * 200
+    assert Grid.over(200, 102_500, 32_768, 200).left == 1 and Grid.over(700_000, 700_000, 32_768, 4).right == 22
+
+
 def test_vectors_of_other_lengths_are_named(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None)], "job_id long, embedding array<double>")
     index = vectors.build_vector_index(df)
