@@ -100,7 +100,8 @@ def multi_query_retrieve(
     joined = fused.join(flags, ["query_id", "job_id"])
     if reranking and documents is not None:
         primary = variants.where("variant = 0").select(F.col("resume_id").alias("query_id"), "query_text")
-        joined = rerank(joined, primary, documents, top_k=top_k, **rerank_options)
+        # Lists of bounded size, which callers read more than once.
+        joined = cut_lineage(rerank(cut_lineage(joined), primary, documents, top_k=top_k, **rerank_options))
     else:
         joined = joined.where(F.col("rank") <= top_k)
     return joined.withColumnRenamed("query_id", "resume_id")
