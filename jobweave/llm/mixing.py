@@ -65,7 +65,8 @@ def pareto_sample(items: DataFrame, group: str, size: str, copies: str, rank: Co
     p * size, rounded so that no order of summing shows, which fixes the size of the sample.  Items with p = 0 never are.
 
     The order is cut into BINS bins by its value.  Sums per (group, bin) are small; only
-    the one bin per group that holds the cut is sorted, so no task sees a whole group.
+    the one bin per group that holds the cut is sorted, so no task sees a whole group.  ``items``
+    are read for the sums, the bins and the result, so they should be stored or cheap to make.
     """
     whole = F.floor(copies).cast("long")
     p = F.col(copies) - whole
@@ -74,7 +75,6 @@ def pareto_sample(items: DataFrame, group: str, size: str, copies: str, rank: Co
     df = df.withColumn("_order", F.when(F.col("_p") > 0, (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))))
     # order/(1+order) lies in (0, 1) and keeps the order of the items.
     df = df.withColumn("_bin", F.floor(F.col("_order") / (1 + F.col("_order")) * BINS).cast("int"))
-    df = stash(df, "pareto_items")
     sums = df.groupBy(group).agg(F.round(F.sum(F.col("_p") * F.col(size)), 6).alias("_goal"))
     bins = df.where(F.col("_bin").isNotNull()).groupBy(group, "_bin").agg(F.sum(size).alias("_size"))
     running = F.sum("_size").over(W.partitionBy(group).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))

@@ -173,6 +173,13 @@ def test_repeat_words_of_close_hashes(spark):
     assert [r.n_repeat_words for r in quality.base_measures(df).collect()] == [10, 10, 10]
 
 
+def test_mix_writes_its_documents_once(docs, monkeypatch):
+    written = []
+    monkeypatch.setattr(mixing, "stash", lambda df, name: written.append(name) or shared.stash(df, name))
+    assert mixing.mix(docs).count() == docs.count()
+    assert written == ["mix_sizes", "mix_targets", "pareto_cuts"]
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs)
     again = mixing.mix(docs.repartition(5))
