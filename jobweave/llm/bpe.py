@@ -11,13 +11,13 @@ import heapq
 import json
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +25,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm.chunks import ChunkEncoder, chunks_of, slices
+from jobweave.llm.chunks import PieceEncoder, chunks_of, cores_of, pieces_of, slices
+from jobweave.llm.memory import gather, joined_bytes, offsets_of
 from jobweave.llm.shared import stash, work_path
 
 LEXICON_WORDS = 1 << 16
 SLICE_BYTES = 4_000_000  # texts encoded at once in a task
 LONG_WORD = 48  # bytes; longer words are merged one by one with a heap
+MERGE_STEP = 4  # words whose lengths round up to the same multiple are merged together
+MEMORY_WORDS = 200_000  # pieces, and words, whose ids a worker remembers
+COUNTED_ROWS = 500_000  # rows of pieces and counts that a task holds before it sums them up
 
 
 class Merges:
@@ -46,6 +50,7 @@ class Merges:
         self.pieces: list[str] = [""] * size
         for piece, i in chain(self.vocab.items(), self.specials.items()):
             self.pieces[i] = piece
+        self._piece_array = pa.array(self.pieces, pa.string())
         end = model["end_of_word_suffix"]
         symbols = byte_symbols()
         self.inner = np.array([self.vocab[s] for s in symbols], np.int64)
@@ -54,13 +59,16 @@ class Merges:
         left = np.array([self.vocab[a] for a, _ in pairs], np.int64)
         right = np.array([self.vocab[b] for _, b in pairs], np.int64)
         made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        self.base = size
-        keys = left * size + right
+        self.base = size + 1  # the number ``size`` stands for no symbol: it fills up shorter words
+        keys = left * self.base + right
         order = np.argsort(keys, kind="stable")
         # With a last entry that no pair equals, a search never runs off the end.
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.ranks = np.append(order, 0)
         self.made = np.append(made[order], 0)
+        # Ranks of the pairs of two bytes, inside a word and at its end.
+        self.inner_ranks = self.rank(self.inner[:, None], self.inner[None, :]).ravel()
+        self.final_ranks = self.rank(self.inner[:, None], self.final[None, :]).ravel()
         self.by_pair = {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(left, right, made))}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split)
@@ -73,31 +81,50 @@ class Merges:
         return np.where(self.keys[at] == keys, self.ranks[at], len(self.keys))
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as bytes: the lowest rank first, of equal ranks the leftmost, until no pair merges."""
-        out: list[bytes] = [b""] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = np.array(self._merge_long(w), "<i4").tobytes()
-            else:
-                by_length.setdefault(len(w), []).append(i)
-        for length, at in by_length.items():
-            rows = np.frombuffer(b"".join(words[i] for i in at), np.uint8).reshape(len(at), length)
-            ids = self.inner[rows]
-            ids[:, -1] = self.final[rows[:, -1]]
-            for i, row in self._merge_block(ids):
-                out[at[i]] = row
-        return out
-
-    def _merge_block(self, ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """Words of one length, together; each step merges one pair in every word that has one."""
-        names, none = np.arange(len(ids)), len(self.keys)
-        ranks = self.rank(ids[:, :-1], ids[:, 1:])
+        """Ids of each word, as bytes."""
+        ids, lengths = self.merge_flat(pa.array(words, pa.binary()))
+        data, at = ids.astype("<i4").tobytes(), (4 * offsets_of(lengths)).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def merge_flat(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each): the lowest rank first, of equal ranks the leftmost, until no pair merges."""
+        buffer, sizes = joined_bytes(words)
+        first = np.cumsum(sizes) - sizes
+        flat, starts, lengths, total = [np.empty(0, np.int32)], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            flat.append(np.array(self._merge_long(buffer[first[i]:first[i] + sizes[i]].tobytes()), np.int32))
+            starts[i], lengths[i] = total, len(flat[-1])
+            total += len(flat[-1])
+        steps = np.where((sizes > 0) & (sizes <= LONG_WORD), -(-sizes // MERGE_STEP), 0)
+        for step in np.unique(steps[steps > 0]).tolist():
+            at = np.flatnonzero(steps == step)
+            for names, ids in self._merge_block(buffer, first[at], sizes[at]):
+                real = ids < self.base - 1
+                flat.append(ids[real].astype(np.int32))
+                lengths[at[names]] = size = real.sum(axis=1)
+                starts[at[names]] = total + np.cumsum(size) - size
+                total += len(flat[-1])
+        return gather(np.concatenate(flat), starts, lengths), lengths
+
+    def _merge_block(self, buffer: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of words that are done, their ids) for words of up to one length, which lie in the buffer from ``first`` on.
+
+        Each step merges one pair in every word that has one; shorter words are filled up at their ends.
+        """
+        names, none = np.arange(len(first)), len(self.keys)
+        places = np.arange(sizes.max())
+        rows = buffer[np.minimum(first[:, None] + places, len(buffer) - 1)].astype(np.int64)
+        ids = np.where(places < sizes[:, None], self.inner[rows], self.base - 1)
+        ids[names, sizes - 1] = self.final[rows[names, sizes - 1]]
+        pairs = rows[:, :-1] << 8 | rows[:, 1:]
+        ranks = np.where(places[1:] < sizes[:, None] - 1, self.inner_ranks[pairs], none)
+        more = np.flatnonzero(sizes > 1)
+        ranks[more, sizes[more] - 2] = self.final_ranks[pairs[more, sizes[more] - 2]]
         while len(ids):
             done = ranks.min(axis=1) == none if ranks.shape[1] else np.ones(len(ids), bool)
-            data, size = ids[done].astype("<i4").tobytes(), 4 * ids.shape[1]
-            yield from ((n, data[size * k:size * (k + 1)]) for k, n in enumerate(names[done].tolist()))
-            names, ids, ranks = names[~done], ids[~done], ranks[~done]
+            if done.any():
+                yield names[done], ids[done]
+                names, ids, ranks = names[~done], ids[~done], ranks[~done]
             if not len(ids):
                 return
             n, width = ids.shape
@@ -155,10 +182,19 @@ class Merges:
             at = m.end()
         return out + self.words(chunk[at:])
 
+    def pieces_in(self, core: str) -> list[int | bytes]:
+        """``parts`` of a text that may hold white space."""
+        return [p for chunk in chunks_of(core) for p in self.parts(chunk)]
+
     def decode(self, ids) -> str:
         """Pieces joined by a space, as for a tokenizer file without a decoder."""
         return " ".join(map(self.pieces.__getitem__, ids))
 
+    def decode_lists(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """``decode`` of many texts at once; ``offsets`` says where each one's ids begin and end."""
+        pieces = self._piece_array.take(pa.array(ids))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces), " ")
+
 
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: itself where it prints, else one from 256 on."""
@@ -180,7 +216,6 @@ class Lexicon:
     def __init__(self, arrays: dict[str, np.ndarray], start: int, longest: int):
         self.__dict__.update(arrays)
         self.start, self.longest = start, longest
-        self._bytes, self._at = memoryview(self.ids).cast("B"), memoryview(self.offsets).cast("B").cast("I")
 
     @classmethod
     def compile(cls, words: list[bytes], ids: list[bytes]) -> Lexicon:
@@ -248,38 +283,33 @@ class Lexicon:
             at += width * n
         return cls(arrays, int(data[0]), int(data[1]))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: pa.Array | list[bytes]) -> np.ndarray:
         """The number of each word, or -1.  All words take one step at a time together."""
         found = np.full(len(words), -1, np.int64)
-        fits = [i for i, w in enumerate(words) if len(w) <= self.longest]
-        if not fits:
-            return found
-        lengths = np.fromiter((len(words[i]) for i in fits), np.int64, len(fits))
-        order = np.argsort(-lengths, kind="stable")
-        lengths, names = lengths[order], np.array(fits)[order]
-        flat = np.frombuffer(b"".join(words[i] for i in names), np.uint8)
+        flat, lengths = joined_bytes(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()))
         starts = np.cumsum(lengths) - lengths
-        state = np.full(len(names), self.start, np.int64)
-        total = np.zeros(len(names), np.int64)
-        live = np.arange(len(names))
-        for step in range(int(lengths[0])):
-            ended = live[lengths[live] == step]
+        live = np.flatnonzero(lengths <= self.longest)
+        state = np.full(len(words), self.start, np.int64)
+        total = np.zeros(len(words), np.int64)
+        for step in range(self.longest + 1):
+            over = lengths[live] == step
+            ended = live[over]
             done = ended[self.final[state[ended]] == 1]
-            found[names[done]] = total[done]
-            live = live[lengths[live] > step]
+            found[done] = total[done]
+            live = live[~over]
+            if not len(live):
+                break
             key = (state[live] << 8 | flat[starts[live] + step]).astype(np.uint64)
             at = np.searchsorted(self.arcs, key)
             hit = self.arcs[at] == key
             live, at = live[hit], at[hit]
             state[live] = self.target[at]
             total[live] += self.output[at]
-        done = live[self.final[state[live]] == 1]
-        found[names[done]] = total[done]
         return found
 
-    def ids_of(self, number: int) -> bytes:
-        """The ids of a word by its number, as bytes."""
-        return bytes(self._bytes[4 * self._at[number]:4 * self._at[number + 1]])
+    def lengths(self) -> np.ndarray:
+        """Number of ids of each word."""
+        return np.diff(self.offsets.astype(np.int64))
 
 
 @lru_cache(maxsize=2)
@@ -297,44 +327,66 @@ class Encoder:
 
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon = merges, lexicon
-        self.texts = ChunkEncoder(lambda words: self.word_ids([w.encode() for w in words]), self.chunk_ids)
-
-    def word_ids(self, words: list[bytes]) -> list[bytes]:
-        numbers = self.lexicon.numbers(words).tolist()
-        unseen = iter(self.merges.merge_words([w for w, n in zip(words, numbers) if n < 0]))
-        return [self.lexicon.ids_of(n) if n >= 0 else next(unseen) for n in numbers]
-
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        parts = [self.merges.parts(c) for c in chunks]
+        self.texts = PieceEncoder(self.word_ids, self.odd_ids, MEMORY_WORDS)
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        numbers = self.lexicon.numbers(words)
+        unseen = numbers < 0
+        merged, sizes = self.merges.merge_flat(words.filter(pa.array(unseen)))
+        known, at = self.lexicon.lengths(), numbers[~unseen]
+        lengths, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        lengths[unseen], lengths[~unseen] = sizes, known[at]
+        starts[unseen], starts[~unseen] = len(self.lexicon.ids) + np.cumsum(sizes) - sizes, self.lexicon.offsets[at]
+        return gather(np.concatenate([self.lexicon.ids.astype(np.int32), merged]), starts, lengths), lengths
+
+    def odd_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each): their special tokens and words are found one piece at a time."""
+        parts = [self.merges.pieces_in(p) for p in pieces.to_pylist()]
         words = list({p for ps in parts for p in ps if isinstance(p, bytes)})
-        ids = dict(zip(words, self.word_ids(words)))
-        return [b"".join(ids[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in ps) for ps in parts]
+        flat, sizes = self.word_ids(pa.array(words, pa.binary()))
+        data, at = flat.astype("<i4").tobytes(), (4 * offsets_of(sizes)).tolist()
+        ids = {w: data[a:b] for w, a, b in zip(words, at, at[1:])}
+        found = [b"".join(ids[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in ps) for ps in parts]
+        return np.frombuffer(b"".join(found), "<i4"), np.fromiter((len(f) // 4 for f in found), np.int64, len(found))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         return self.texts.encode(texts)
 
 
+def _summed(rows: list[pa.Table], key: str) -> pa.Table:
+    """(key, n) with different keys.  In this thread: Spark gives each task its core."""
+    return pa.concat_tables(rows).group_by(key, use_threads=False).aggregate([("n", "sum")]).select([key, "n_sum"]).rename_columns([key, "n"])
+
+
+def _words_of(pieces: pa.Table, merges: Merges) -> pa.Table:
+    """(word, n) of different pieces and their numbers.  A piece is cut into words once for all its occurrences."""
+    pieces = pieces.combine_chunks()
+    core, plain = cores_of(pieces["piece"])
+    n, odd, plain = pieces["n"], pa.array(~plain), pa.array(plain)
+    words, times = [], []
+    for piece, k in zip(core.filter(odd).to_pylist(), n.filter(odd).to_pylist()):
+        found = [p for p in merges.pieces_in(piece) if isinstance(p, bytes)]
+        words += found
+        times += [k] * len(found)
+    letters = pa.table({"word": pc.utf8_lower(core.filter(plain)).cast(pa.binary()), "n": n.filter(plain)})
+    return _summed([letters, pa.table({"word": pa.array(words, pa.binary()), "n": pa.array(times, pa.int64())})], "word")
+
+
 def _count_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     merges = merges_of(path)
-    counts: Counter[str] = Counter()
-
-    def take():
-        # A chunk is cut into words once for all its occurrences.
-        words: Counter[bytes] = Counter()
-        for chunk, n in counts.items():
-            for w in merges.parts(chunk):
-                if isinstance(w, bytes):
-                    words[w] += n
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())], names=["word", "n"])
-
+    held: list[pa.Table] = []
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(chunks_of(text or ""))
-            if len(counts) > 300_000:
-                yield take()
-    yield take()
+        for _, texts in slices(batch.column(0), SLICE_BYTES):
+            counts = pieces_of(texts)[0].value_counts()
+            held.append(pa.table({"piece": pc.ascii_trim_whitespace(counts.field("values")), "n": counts.field("counts")}))
+            if sum(t.num_rows for t in held) > COUNTED_ROWS:
+                held = [_summed(held, "piece")]
+                if held[0].num_rows > COUNTED_ROWS // 2:
+                    yield from _words_of(held.pop(), merges).to_batches()
+    if held:
+        yield from _words_of(_summed(held, "piece"), merges).to_batches()
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, text: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
@@ -384,9 +436,9 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, lexi
     for batch in batches:
         for first, texts in slices(batch.column(1), SLICE_BYTES):
             ids, lengths = encoder.encode(texts)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            decoded = pa.array((encoder.merges.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])), pa.string())
+            offsets = offsets_of(lengths)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            decoded = encoder.merges.decode_lists(offsets, ids)
             beside = [c.slice(first, len(texts)) for i, c in enumerate(batch.columns) if i != 1]
             yield pa.RecordBatch.from_arrays([beside[0], lists, decoded, *beside[1:]], names=["doc_id", "ids", "decoded", *batch.schema.names[2:]])
 

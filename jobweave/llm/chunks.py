@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 import re
-import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from jobweave.llm.memory import WordMemory, cut_at, gather, joined_bytes, offsets_of
+
 # White space as the tokenizer's own patterns see it (Unicode White_Space).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"[{SPACES}]+")
 # str.split() also cuts at these four.
 _ONLY_PYTHON = re.compile("[\x1c-\x1f]")
-# Marks that form a word of their own after a word of letters.
-_MARKS = frozenset(".,;:!?")
+# Letters that are one character in lower case and composed already.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+# ASCII characters that no token takes together with a letter before them.
+MARKS = ".,;:!?#$%&*"
+_SPACE, _MARK, _LETTER, _TAIL = 1, 2, 3, 4
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[[ord(c) for c in MARKS]] = _MARK
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+# Second bytes, after 0xC3, of the letters from À to ÿ.
+_KINDS[[c.encode()[1] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]] = _TAIL
 
 
 def chunks_of(text: str) -> list[str]:
@@ -33,103 +43,50 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
     yield from ((a, texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
-def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(chunks of all texts, number of chunks of each)."""
-    if pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():
-        lists = pa.array([chunks_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-    else:  # white space is then what Arrow takes for it; at the ends it gives empty chunks
-        lists = pc.utf8_split_whitespace(texts)
-    return lists.flatten(), lists.value_lengths().to_numpy()
-
-
-class Recent:
-    """Results by key in two generations: what was not used while one filled up is dropped."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def fetch(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
-        """(results that are there, keys without one)."""
-        new, old, found, missing = self.new, self.old, {}, []
-        for k in keys:
-            r = new.get(k)
-            if r is None:
-                r = old.get(k)
-                if r is None:
-                    missing.append(k)
-                    continue
-                new[k] = r
-            found[k] = r
-        return found, missing
-
-    def keep(self, results: dict[str, bytes]) -> None:
-        self.new.update(results)
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-
-
-def plain_word(core: str) -> str | None:
-    """The one word that a run of letters encodes to, in lower case; None where that is not plain to see."""
-    if not core.isalpha():
-        return None
-    word = core.lower()
-    # A letter may have a lower case of two characters; a sigma's depends on its place.
-    plain = core.isascii() or (unicodedata.is_normalized("NFC", core) and word.isalpha() and "Σ" not in core)
-    return word if plain else None
-
-
-class ChunkEncoder:
-    """Ids of texts from ids of words and chunks, which are bytes of little-endian 32-bit integers.
-
-    ``encode_words`` gives the ids of words of letters, ``encode_chunks`` those of any chunks.
-    Most chunks are a word and perhaps a mark, whose ids follow each other.
+def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts, number of pieces of each).
+
+    Texts are cut before white space and between a letter and a mark, where no token reaches across.
     """
+    buffer, lengths = joined_bytes(texts)
+    starts = np.zeros(len(buffer) + 1, bool)
+    if len(buffer):
+        kind = _KINDS[buffer]
+        starts[1:-1] = ((kind[1:] == _SPACE) & (kind[:-1] != _SPACE)) | ((kind[1:] == _MARK) & (kind[:-1] == _LETTER))
+        after = np.flatnonzero((kind[2:] == _MARK) & (kind[1:-1] == _TAIL)) + 2
+        starts[after[buffer[after - 2] == 0xC3]] = True
+    return cut_at(buffer, starts, offsets_of(lengths))
+
+
+def cores_of(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces without white space around them, whether each is one word of plain letters)."""
+    core = pc.ascii_trim_whitespace(pieces)
+    return core, pc.match_substring_regex(core, PLAIN).to_numpy(zero_copy_only=False)
+
+
+class PieceEncoder:
+    """Ids of texts from ids of words and of other pieces, as arrays: (flat ids, number of ids of each).
+
+    ``encode_words`` gives the ids of words in lower case, ``encode_odd`` those of any other pieces.
+    Both meet only what is not among the ``most`` words, and pieces, that are remembered.
+    """
+
+    def __init__(self, encode_words: Callable, encode_odd: Callable, most: int):
+        self.encode_odd = encode_odd
+        self.pieces, self.words = WordMemory(self._new_pieces, most), WordMemory(encode_words, most)
 
-    def __init__(self, encode_words: Callable, encode_chunks: Callable, most: int = 150_000):
-        self.encode_words, self.encode_chunks = encode_words, encode_chunks
-        self.chunks, self.words = Recent(most), Recent(most)
-        self.marks = dict(zip(_MARKS, encode_chunks(list(_MARKS))))
+    def _new_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        core, plain = cores_of(pieces)
+        known, sizes = self.words.ids_of(pc.utf8_lower(core.filter(pa.array(plain))))
+        odd, odd_sizes = self.encode_odd(core.filter(pa.array(~plain)))
+        lengths = np.empty(len(pieces), np.int64)
+        lengths[plain], lengths[~plain] = sizes, odd_sizes
+        starts = np.empty(len(pieces), np.int64)
+        starts[plain], starts[~plain] = np.cumsum(sizes) - sizes, len(known) + np.cumsum(odd_sizes) - odd_sizes
+        return gather(np.concatenate([known, odd]), starts, lengths), lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each text).  Each different chunk is looked up once."""
-        chunks, counts = _cut(texts)
-        coded = chunks.dictionary_encode()
-        different, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        found, missing = self.chunks.fetch(different)
-        if missing:
-            new = self._encode_new(missing)
-            self.chunks.keep(new)
-            found.update(new)
-        parts = [found[c] for c in different]
-        lengths = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-        ids, starts = np.frombuffer(b"".join(parts), "<i4"), np.cumsum(lengths) - lengths
-        # The ids of chunk after chunk: each run of places begins where the chunk's ids do.
-        size = lengths[at]
-        ends = np.cumsum(size)
-        places = np.repeat((starts[at] - (ends - size)).astype(np.int32), size)
-        places += np.arange(len(places), dtype=np.int32)
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids[places], np.diff(edges)
-
-    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
-        simple, odd = [], []
-        for c in chunks:
-            if not c:
-                odd.append(c)
-                continue
-            mark = c[-1] if c[-1] in _MARKS else ""
-            word = plain_word(c[:-1] if mark else c)
-            if word is None:
-                odd.append(c)
-            else:
-                simple.append((c, word, mark))
-        found, missing = self.words.fetch({w for _, w, _ in simple})
-        if missing:
-            new = dict(zip(missing, self.encode_words(missing)))
-            self.words.keep(new)
-            found.update(new)
-        marks = {"": b"", **self.marks}
-        out = {c: found[w] + marks[m] for c, w, m in simple}
-        if odd:
-            out.update(zip(odd, self.encode_chunks(odd)))
-        return out
+        """(ids of all texts, number of ids of each)."""
+        pieces, counts = pieces_of(texts)
+        ids, sizes = self.pieces.ids_of(pieces)
+        return ids, np.diff(offsets_of(sizes)[offsets_of(counts)])

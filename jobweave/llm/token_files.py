@@ -10,33 +10,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobweave.llm.chunks import slices
-from jobweave.llm.memory import WordMemory, cut_at, gather, joined_bytes, offsets_of
+from jobweave.llm.chunks import PieceEncoder, slices
+from jobweave.llm.memory import offsets_of
 from jobweave.llm.shared import small_side
 
 SLICE_BYTES = 8_000_000  # texts encoded at once in a task
 MEMORY_WORDS = 200_000  # pieces, and words, whose ids a worker remembers
 WORDS_A_CALL = 500
-# Letters that are one character in lower case and composed already.
-PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
-_SPACE, _MARK, _LETTER = 1, 2, 3
-_KINDS = np.zeros(256, np.uint8)
-_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
-_KINDS[[ord(c) for c in ".,;:!?"]] = _MARK
-_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
 ROWS = "doc_id long, shard int, local_start long, n_tokens long, tokens array<int>"
 
 
 class LibraryEncoder:
     """The tokenizers library over the different pieces of many texts.
 
-    Texts are cut before white space and between a letter and a mark, where no token reaches across.
     Pieces of letters are looked up in lower case; only words that were not met lately go to the library.
     """
 
@@ -51,8 +42,7 @@ class LibraryEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and piece.endswith(suffix)
-        self.pieces = WordMemory(self._new_pieces, MEMORY_WORDS)
-        self.words = WordMemory(self._new_words, MEMORY_WORDS)
+        self.texts = PieceEncoder(self._new_words, self._odd_pieces, MEMORY_WORDS)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,27 +61,12 @@ class LibraryEncoder:
             sizes.append(size)
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def _new_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        core = pc.ascii_trim_whitespace(pieces)
-        plain = pc.match_substring_regex(core, PLAIN).to_numpy(zero_copy_only=False)
-        known, sizes = self.words.ids_of(pc.utf8_lower(core.filter(pa.array(plain))))
-        odd, odd_sizes = self._encode(core.filter(pa.array(~plain)).to_pylist())
-        lengths = np.empty(len(pieces), np.int64)
-        lengths[plain], lengths[~plain] = sizes, odd_sizes
-        starts = np.empty(len(pieces), np.int64)
-        starts[plain], starts[~plain] = np.cumsum(sizes) - sizes, len(known) + np.cumsum(odd_sizes) - odd_sizes
-        return gather(np.concatenate([known, odd]), starts, lengths), lengths
+    def _odd_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._encode(pieces.to_pylist())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        buffer, lengths = joined_bytes(texts)
-        starts = np.zeros(len(buffer) + 1, bool)
-        if len(buffer):
-            kind = _KINDS[buffer]
-            starts[1:-1] = ((kind[1:] == _SPACE) & (kind[:-1] != _SPACE)) | ((kind[1:] == _MARK) & (kind[:-1] == _LETTER))
-        pieces, counts = cut_at(buffer, starts, offsets_of(lengths))
-        ids, sizes = self.pieces.ids_of(pieces)
-        return ids, np.diff(offsets_of(sizes)[offsets_of(counts)])
+        return self.texts.encode(texts)
 
 
 @lru_cache(maxsize=4)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -244,6 +245,43 @@ def test_fuzzed_texts_encode_like_the_library():
         assert got.tolist() == [i for x in ids for i in [*x, 2]] and lengths.tolist() == [len(x) + 1 for x in ids]
 
 
+def test_words_before_marks_are_no_odd_pieces(monkeypatch):
+    """Words of letters, with marks behind them or not, are counted and encoded as arrays; only other pieces are cut one at a time."""
+    library, seen, parts = word_library(), [], bpe.Merges.parts
+    merges = bpe.Merges(WORD_TOKENIZER)
+    texts = ["Été, à la&&& ÉCOLE.### ciónñ%%% n'est it's.", None, "", " été  été\n4.0. ×, ÷* straße$$$ <|endoftext|>,x", "the the, The!! " * 50 + "a" * 5000 + "."]
+    want = Counter(w for t in texts for c in bpe.chunks_of(t or "") for w in merges.parts(c) if isinstance(w, bytes))
+    monkeypatch.setattr(bpe.Merges, "parts", lambda self, chunk: seen.append(chunk) or parts(self, chunk))
+    got = Counter()
+    for batch in bpe._count_words(iter([pa.RecordBatch.from_arrays([pa.array(texts[:3])], names=["text"]), pa.RecordBatch.from_arrays([pa.array(texts[3:])], names=["text"])]), WORD_TOKENIZER):
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got[word] += n
+    assert got == want
+    odd = {",", "&&&", ".###", "###", ".", "%%%", "n'est", "it's", "4.0.", "×,", "÷*", "$$$", "<|endoftext|>,x", "!!", ""}
+    assert set(seen) <= odd
+    words = sorted(want)[::2]
+    encoder = bpe.Encoder(merges, bpe.Lexicon.compile(words, merges.merge_words(words)))
+    ids, lengths = encoder.encode(pa.array([t or "" for t in texts]))
+    assert set(seen) <= odd
+    found = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for x in found for i in x] and lengths.tolist() == [len(x) for x in found]
+    decoded = merges.decode_lists(np.concatenate([[0], np.cumsum(lengths)]), ids).to_pylist()
+    assert decoded == [library.decode(x, skip_special_tokens=False) for x in found] == [merges.decode(x) for x in found]
+
+
+def test_fuzzed_marks_encode_like_the_library():
+    library, merges, r = word_library(), bpe.Merges(WORD_TOKENIZER), random.Random(5)
+    letters = [*"abEst  \n.,;:!?#$%&*'<>|_-7", *"éÉñßÿ×÷ªµΣ", "\u0301", "\u0338", "\u037e", "\xa0", "<|endoftext|>", "'s"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(4000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = bpe.Encoder(merges, bpe.Lexicon.compile([], []))
+    for _ in range(2):  # from memory the second time
+        got, lengths = encoder.encode(pa.array(texts))
+        assert got.tolist() == [i for x in want for i in x] and lengths.tolist() == [len(x) for x in want]
+    got, lengths = token_files.encode_texts(pa.array(texts), WORD_TOKENIZER, 2)
+    assert got.tolist() == [i for x in want for i in [*x, 2]] and lengths.tolist() == [len(x) + 1 for x in want]
+
+
 def test_shared_suffixes():
     """Words that end alike share their last states."""
     some = [a + b for a in (b"start", b"stop", b"walk") for b in (b"", b"ed", b"ing")]
