@@ -385,3 +385,39 @@ def test_kept_rows_come_back_as_they_were(spark):
     assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect())) and kept.schema == rows.schema
     assert keep(rows.where("k = 7")).count() == 0
     assert all(f.startswith(ensure_checkpoint_dir(spark)) or f.startswith("file:") for f in kept.inputFiles())
+
+
+def test_fuzzy_search_keeps_postings_where_texts_are_read(spark, monkeypatch):
+    """No count of a document and no pair of document and query is written or shuffled, also where terms are too many for a
+    matrix; ids that come twice, lengths that differ and ties included the hits are those of joining every pair."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(2, 6)))
+    rows = [(i if i % 7 else i // 2, " ".join(word() for _ in range(r.randint(0, 6))), r.choice(["aab", "acme"]), "", " ".join(["abca"] * (i % 4))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "job_id long, title string, company string, skills_combined string, description string")
+    index = search.build_index(frame, {"title": 2.0, "company": 1.0, "description": 1.0})
+    queries = spark.createDataFrame([(q, f"{word()} {word()} abca" if q else "aab") for q in range(9)], "query_id long, query_text string")
+    terms = search.expand_fuzzy(search._query_terms(queries, index, "query_id", "query_text"), index)
+    found, weighted = search.weigh(index, terms)
+    want = [tuple(x) for x in search.top_k_per_query(search._best_field(found.join(weighted, ["field", "term"]), 9), 5).collect()]
+
+    written = []
+    monkeypatch.setattr(search, "WEIGHTS", 1)
+    monkeypatch.setattr(search, "PRODUCTS", 64)  # several stretches of documents in a task
+    monkeypatch.setattr(search, "keep", lambda df: (written.append(df.columns), keep(df))[1])
+    keep = __import__("jobweave.session", fromlist=["keep"]).keep
+    for refused in ("_best_field", "score_candidates", "weigh"):
+        monkeypatch.setattr(search, refused, None)
+    got = [tuple(x) for x in search.search_keyword(index, queries, top_k=5, fuzzy=True).collect()]
+    assert sorted(got) == sorted(want) and len({q for q, *_ in got}) == 9
+    assert written and not any("job_id" in columns for columns in written)
+
+
+def test_fuzzy_candidates_are_compared_once(spark):
+    """Terms that many queries ask in several fields, and that only share letters elsewhere, bring no pairs of their own."""
+    docs = spark.createDataFrame([(1, "cat", "", "", "tac xxca"), (2, "cut", "", "", "cat")], "job_id long, title string, company string, skills_combined string, description string")
+    index = search.build_index(docs, {"title": 1.0, "description": 1.0})
+    terms = spark.createDataFrame([(q, f, "cat", 1) for q in range(3) for f in ("title", "description")], "query_id int, field string, term string, n long")
+    got = {(r.query_id, r.field, r.term, round(r.n, 6)) for r in search.expand_fuzzy(terms, index).collect()}
+    assert {(t, n) for _, _, t, n in got} == {("cat", 1.0), ("cut", round(2 / 3, 6))} and len(got) == 12
