@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.salary import normalize_salary
 from jobweave.functions.text import format_category, is_blank, strings_or_empty
 from jobweave.operators.filters import has_salary, missing_description
-from jobweave.operators.skew import broadcast_if_small, rows_with_keys
+from jobweave.operators.skew import broadcast_if_small, fits_broadcast, rows_with_keys
 
 EDITABLE = ["status", "applied_date", "notes", "is_reposted", "saved"]
 
@@ -92,7 +92,9 @@ def merge_enrichment(postings: DataFrame, parsed: DataFrame, at: str | None = No
         "url", F.col("_p.description").alias("_d"), F.col("_p.skills_required").alias("_r"), F.col("_p.skills_nice_to_have").alias("_n"),
         F.lit(True).alias("_hit"),
     )
-    joined = postings.join(broadcast_if_small(new), "url", "left")
+    # The pages as they are bound what is left of them, and are measured without bringing them together first.
+    small = fits_broadcast(parsed.select("url", "description", "skills_required", "skills_nice_to_have"))
+    joined = postings.join(F.broadcast(new) if small else new, "url", "left")
     enriched = needs_enrichment() & F.coalesce("_hit", F.lit(False))
     longer = lambda c: F.col("enriched") & (F.size(strings_or_empty(F.col(c))) > 0)
     return (

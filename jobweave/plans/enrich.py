@@ -12,7 +12,7 @@ from jobweave.operators.skew import rows_with_keys
 from jobweave.operators.skills import known_skills
 from jobweave.plans.changes import enrichment_backlog, merge_enrichment
 from jobweave.plans.ingest import too_long
-from jobweave.session import cut_lineage
+from jobweave.session import cut_lineage, keep
 from jobweave.sources.pages import parse_pages, source_of
 
 
@@ -24,11 +24,14 @@ class Enrichment:
 
 
 def enrich_backfill(postings: DataFrame, pages: DataFrame, limit: int | None = None) -> Enrichment:
-    """``pages``: url, html of fetched offers.  ``limit``, if given, is the size of one run."""
-    backlog = cut_lineage(enrichment_backlog(postings, source_of(F.col("url")).isNotNull(), limit))
+    """``pages``: url, html of fetched offers.  ``limit``, if given, is the size of one run.
+
+    Backlog, parsed pages and merged postings are read several times, so each is kept once it is made.
+    """
+    backlog = keep(enrichment_backlog(postings, source_of(F.col("url")).isNotNull(), limit))
     parsed, rejected = parse_pages(rows_with_keys(pages, backlog, ["url"]))
-    parsed = cut_lineage(parsed)
-    merged = merge_enrichment(postings, parsed)
+    parsed = keep(parsed)
+    merged = keep(merge_enrichment(postings, parsed))
     absent = backlog.join(parsed.select("url"), "url", "left_anti").select("url", F.lit("no page").alias("error"))
-    found = detect_skills(merged.where("enriched"), known_skills(merged))
+    found = detect_skills(merged.where("enriched"), cut_lineage(known_skills(merged)))
     return Enrichment(merged, found, rejected.unionByName(absent).unionByName(too_long(parsed).drop("source")))

@@ -245,3 +245,18 @@ def test_one_call_of_the_stream_has_many_urls_and_roles():
     got = call(roles, columns, [("r", "A", True), ("t", "e", True)], [("s", "f", True)])
     assert got == [("r", "A", True, True, "a"), ("s", "f", True, True, "c"), ("t", "e", True, False, None)]
     assert call(roles, columns, [("r", "g", True)]) == [("r", "g", True, True, "a")]
+
+
+def test_an_enrichment_run_is_made_once(spark):
+    """What a run yields is read from what it kept: postings are joined and pages parsed once, however often they are read."""
+    from jobweave.plans.enrich import enrich_backfill
+
+    stored = schema.conform(rows_for_index(spark, 3).withColumns({"url": F.concat(F.lit("https://nofluffjobs.com/pl/job/"), "id"), "description": F.lit("")}), schema.POSTING)
+    html = "<h1>Dev</h1><p>Acme</p><h2>Opis</h2><p>Python and SQL</p>"
+    done = enrich_backfill(stored, spark.createDataFrame([(f"https://nofluffjobs.com/pl/job/{i}", html) for i in range(2)], "url string, html string"))
+    assert {(r.id, r.enriched, r.description) for r in done.postings.collect()} == {("0", True, "Python and SQL"), ("1", True, "Python and SQL"), ("2", False, "")}
+    plan = done.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "Join" not in plan
+    plan = done.detected._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "max_by" not in plan  # the spans with the dictionary
+    assert [r.url[-1] for r in done.errors.collect()] == ["2"]
