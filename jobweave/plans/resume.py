@@ -26,7 +26,7 @@ def analyze_resumes(
 
     The skills are read by three results, so they are kept once found.
     """
-    known = skills.known_skills(postings)
+    known = cut_lineage(skills.known_skills(postings))
     words = detect.keywords(texts, known)
     if extra_keywords is not None:
         words = skills.with_extra_keywords(words, extra_keywords)

@@ -5,6 +5,7 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from jobweave.operators import detect
 from jobweave.operators.skew import TASK_ROWS, spread_if_few
@@ -89,3 +90,46 @@ def test_title_wins_and_listed_skills_are_left_out(spark):
                                  "id int, title string, description string, skills_required array<string>, skills_nice_to_have array<string>")
     got = {tuple(r) for r in detect.detect_skills(rows, dictionary).select("job_id", "skill_name", "source_field").collect()}
     assert got == {(1, "Foo", "title"), (1, "a b", "title"), (2, "bar", "description"), (2, "Foo", "description")}
+
+
+def test_runs_of_pieces_equal_those_made_by_hand(spark):
+    """Runs made from shorter ones, and those too long for it, are the stretches between delimiters."""
+    import random
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(["aa", "B", "c", " ", ",", "", "/", "\n"]) for _ in range(r.randint(0, 14))) for _ in range(80)] + ["", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(4)
+    for counts in ([], [1], [2], [1, 3], [1, 2, 3, 4, 6]):
+        got = {x.n: x.s for x in frame.select("n", detect.spans(F.col("text"), counts).alias("s")).collect()}
+        for n, text in enumerate(texts):
+            parts = re.split(r"([\s,;()\[\]/|.])", (text or "").lower())
+            want = ["".join(parts[2 * i:2 * (i + k) - 1]) for k in counts for i in range(len(parts) // 2 + 2 - k)]
+            assert sorted(got[n]) == sorted(set(want)), (counts, text)
+
+
+def test_keywords_are_made_once_for_their_canonical_forms(spark):
+    from jobweave.operators import skills
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for part in rows:
+            made.add(len(part))
+            yield part
+
+    words = spark.createDataFrame([(1, "go"), (1, "GO"), (1, "xx"), (2, "sql"), (None, "go"), (3, "go")], "resume_id int, keyword string")
+    known = spark.createDataFrame([("Go",), ("SQL",)], "skill string")
+    got = skills.canonical_resume_skills(words.mapInPandas(count, words.schema), known)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "Go"), (2, "SQL"), (None, "Go"), (3, "Go")], key=str)
+    assert made.value == 6  # twice, before: for the skills and for the resumes without any
+
+
+def test_extra_keywords_shuffle_no_found_ones(spark):
+    from jobweave.operators import skills
+
+    found = spark.createDataFrame([(1, "go"), (1, "term a"), (None, "go"), (2, "x")], "resume_id int, keyword string")
+    extra = spark.createDataFrame([(1, "term a"), (1, "term a"), (None, "go"), (3, "y"), (3, None), (3, None)], "resume_id int, keyword string")
+    both = skills.with_extra_keywords(found, extra)
+    want = [(1, "go"), (1, "term a"), (None, "go"), (2, "x"), (3, "y"), (3, None)]
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(want, key=str)
+    assert both._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
