@@ -249,8 +249,6 @@ def test_one_call_of_the_stream_has_many_urls_and_roles():
 
 def test_an_enrichment_run_is_made_once(spark):
     """What a run yields is read from what it kept: postings are joined and pages parsed once, however often they are read."""
-    from jobweave.plans.enrich import enrich_backfill
-
     stored = schema.conform(rows_for_index(spark, 3).withColumns({"url": F.concat(F.lit("https://nofluffjobs.com/pl/job/"), "id"), "description": F.lit("")}), schema.POSTING)
     html = "<h1>Dev</h1><p>Acme</p><h2>Opis</h2><p>Python and SQL</p>"
     done = enrich_backfill(stored, spark.createDataFrame([(f"https://nofluffjobs.com/pl/job/{i}", html) for i in range(2)], "url string, html string"))
@@ -260,3 +258,37 @@ def test_an_enrichment_run_is_made_once(spark):
     plan = done.detected._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "max_by" not in plan  # the spans with the dictionary
     assert [r.url[-1] for r in done.errors.collect()] == ["2"]
+
+
+def test_a_batch_is_parsed_for_its_rows_and_its_rejects_only(spark, tmp_path):
+    """Rejects are counted and stored from what was kept; a repetition of a complete batch parses nothing."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        made.add(1)
+        return title
+
+    rows = [(i, f"https://nofluffjobs.com/pl/job/{i}", title, "Acme") for i, title in enumerate(["Dev", "", "Go dev", "Dev"])]
+    feed = spark.createDataFrame(rows, "position long, url string, title string, company string").withColumns({"title": counted("title"), "source": F.lit("b")})
+    parsed = feed.select("position", "title", *[F.col(c) if c in feed.columns else F.lit(None).cast(schema.PARSED[c].dataType).alias(c) for c in schema.PARSED.names if c != "title"])
+    store = PostingStore.at(spark, str(tmp_path))
+    ingest_batch(store, parsed, 0, "2024-07-01 10:00:00")
+    once = made.value
+    assert store.postings.read().count() == 3 and [r.error for r in store.rejects.read().collect()] == ["missing title"]
+    assert [(r.imported, r.errors) for r in store.audit.read().collect()] == [(3, 1)]
+    ingest_batch(store, parsed, 0, "2024-07-01 10:00:00")
+    assert made.value == once and store.postings.read().count() == 3
+
+
+def test_state_passes_carry_no_columns_of_postings(spark, monkeypatch, tmp_path):
+    from pyspark.sql.group import GroupedData
+
+    from jobweave.streaming import ingest_stream
+
+    seen, original = [], GroupedData.transformWithStateInPandas
+    monkeypatch.setattr(GroupedData, "transformWithStateInPandas", lambda self, *a, **k: (seen.append(self._df.columns), original(self, *a, **k))[1])
+    (tmp_path / "inbox").mkdir()
+    rows = ingest_stream._fated(ingest_stream.read_feed_stream(spark, str(tmp_path / "inbox")), 4)
+    assert len(seen) == 2 and all(len(columns) < 10 and "description" not in columns for columns in seen)
+    assert {"description", "skills_required", "dropped_skills", "error", "fate", "is_reposted"} <= set(rows.columns)
